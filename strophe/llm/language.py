@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tokens import PIECES, pieces
 
@@ -163,8 +164,8 @@ def train(docs: DataFrame, path: str = PIECES, per_language: int = PER_LANGUAGE)
     return [r.lang for r in found], np.array([r.p for r in found], np.float64).T if found else np.zeros((0, 0))
 
 
-def predict(docs: DataFrame, languages: list[str], table: np.ndarray, path: str = PIECES) -> DataFrame:
-    """``docs`` with lang_pred and score added from text alone; no shuffle."""
+def predict(docs: DataFrame, languages: list[str], table: np.ndarray, path: str = PIECES, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with its predicted language and score added, from text alone, as ``names``, which ``docs`` must not have; no shuffle."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast((languages, table))  # bounded: vocabulary times languages
     name = hashlib.sha256(repr(languages).encode() + table.tobytes()).hexdigest()
@@ -176,10 +177,9 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray, path: str
         m = _LOADED[name]
         for batch in batches:
             got = [m.text(t.as_py()) for t in batch["text"]]
-            yield pa.record_batch([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.record_batch([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*batch.schema.names, *names])
 
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def language_id(docs: DataFrame, path: str = PIECES, per_language: int = PER_LANGUAGE) -> DataFrame:

@@ -46,12 +46,12 @@ def _model(samples: list[str]) -> np.ndarray:
 def fit(words: list[str], seed: int = 10) -> np.ndarray:
     """Log-likelihood ratio of each character transition: random strings against words and identifiers."""
     r = np.random.Generator(np.random.PCG64(seed))
-    positive = ["".join(r.choice(list(a), r.integers(16, 48))) for a in _ALPHABETS for _ in range(1500)]
+    positive = ["".join(a[i] for i in r.integers(0, len(a), r.integers(16, 48)).tolist()) for a in _ALPHABETS for _ in range(1500)]
     plain = sorted({w for w in words if w and w.isascii() and all(_CLASS[ord(x)] for x in w)})
     joined = []
     if plain:
         for sep in ("_", "-", "/", "", "2", "10"):
-            joined += [sep.join(r.choice(plain, 3)) for _ in range(1500)]
+            joined += [sep.join(plain[i] for i in three) for three in r.integers(0, len(plain), (1500, 3)).tolist()]
     negative = plain + [w.capitalize() for w in plain] + [w.upper() for w in plain[::4]] + joined + [x for x in _ORDINARY for _ in range(50)]
     return _model(positive) - _model(negative)
 
