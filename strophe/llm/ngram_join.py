@@ -22,20 +22,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .graph import components
 from .stash import stash
 from .words import SHINGLE, mix, slices, words
 
-GROUPS = 64
+GROUPS = 256
 LEAF = 32
 TILE = 512
 #: Rows that may be broadcast; beyond it the same join shuffles.
 SMALL = 1_000_000
 
-_POINT = "doc_id long, node long, n long, point array<int>"
+#: Blocks of a set, the least by hash, by which a pair is recognised as met before.
+SEEN = 32
+
+_POINT = "doc_id long, node long, n long, point binary"
 _KEY = "spot long, node long, n int, key long"
 _PAIR = "a long, b long, na int, nb int, shared int, large boolean"
 
@@ -53,6 +57,23 @@ def _node(u: np.ndarray) -> int:
     return int(mix(mix(x[:1]) + mix(x[1:] ^ np.uint64(len(u)))).view(np.int64)[0])
 
 
+def _point(u: np.ndarray) -> bytes:
+    """Group counts as 16-bit numbers; a set too large for them has the top number everywhere, which bounds nothing wrongly."""
+    if len(u) > 65_535:
+        return np.full(GROUPS, 65_535, "<u2").tobytes()
+    return np.bincount((u >> np.uint64(40)) % np.uint64(GROUPS), minlength=GROUPS).astype("<u2").tobytes()
+
+
+def _matrix(points: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(points.to_pylist()), "<u2").reshape(-1, GROUPS)
+
+
+def _may_meet(x: np.ndarray, y: np.ndarray, nx, ny) -> np.ndarray:
+    """Whether the summed coordinate minima reach the overlap that sizes of at least ``nx`` and ``ny`` ask for."""
+    low = np.minimum(x, y).sum(-1, dtype=np.int64)
+    return (9 * low >= 4 * (nx + ny)) | (low == 65_535 * GROUPS)
+
+
 def _points(size: int):
     def run(batches):
         for whole in batches:
@@ -61,9 +82,8 @@ def _points(size: int):
                 for u in _sets(batch, size):
                     node.append(_node(u) if len(u) else None)
                     n.append(len(u))
-                    point.append(np.bincount((u >> np.uint64(40)) % np.uint64(GROUPS), minlength=GROUPS) if len(u) else np.zeros(GROUPS, np.int64))
-                flat = pa.array(np.concatenate(point).astype(np.int32))
-                yield pa.record_batch([batch["doc_id"], pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, GROUPS, dtype=np.int32), flat)], ["doc_id", "node", "n", "point"])
+                    point.append(_point(u))
+                yield pa.record_batch([batch["doc_id"], pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(point, pa.binary())], ["doc_id", "node", "n", "point"])
 
     return run
 
@@ -226,66 +246,96 @@ def _verified(docs: DataFrame, points: DataFrame, pairs: DataFrame, size: int) -
     return pairs.withColumn("o", both).where(100 * F.col("o") >= 80 * (F.size("x") + F.size("y") - F.col("o"))).select("a", "b")
 
 
+def _bound(pairs: DataFrame) -> DataFrame:
+    """Rows of ``pairs`` (x, y, nx, ny, ...) that may meet; x and y leave."""
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                n = [batch[c].to_numpy(zero_copy_only=False) for c in ("nx", "ny")]
+                keep = _may_meet(_matrix(batch["x"]), _matrix(batch["y"]), *n)
+                yield batch.drop_columns(["x", "y"]).filter(pa.array(keep))
+
+    rest = [f for f in pairs.schema.fields if f.name not in ("x", "y")]
+    return pairs.mapInArrow(run, T.StructType(rest))
+
+
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """Leaf test: keep pairs (a, b, na, nb) whose summed coordinate minima reach the overlap that their sizes ask for."""
     at = points.where("node is not null").groupBy("node").agg(F.first("point").alias("point"))
     many = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     at = stash(at.join(many, "node", "left_semi"), "bounds")
     pairs = pairs.join(at.select(F.col("node").alias("a"), F.col("point").alias("x")), "a").join(at.select(F.col("node").alias("b"), F.col("point").alias("y")), "b")
-    minima = F.aggregate(F.zip_with("x", "y", lambda p, q: F.least(p, q).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
-    return pairs.where(9 * minima >= 4 * (F.col("na") + F.col("nb")).cast("long")).drop("x", "y")
+    return _bound(pairs.select("a", "b", F.col("na").cast("long").alias("nx"), F.col("nb").cast("long").alias("ny"), "x", "y")).select("a", "b")
 
 
 def _tile_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Leaves of two tiles: pairs of different components whose summed minima reach the needed overlap."""
-    x, y = (t["point"].combine_chunks().flatten().to_numpy().reshape(-1, GROUPS) for t in (left, right))
-    ids = [t["node"].to_numpy() for t in (left, right)]
-    comp = [t["comp"].to_numpy() for t in (left, right)]
+    """Leaves of two tiles of a block: pairs of different components that may meet and that no earlier block has met."""
+    x, y = (_matrix(t["point"]) for t in (left, right))
+    ids, comp, n = ([t[c].to_numpy() for t in (left, right)] for c in ("node", "comp", "n"))
     out = []
     if len(x) and len(y):
+        block = left["key"][0].as_py()
+        mine, theirs = (t["seen"].combine_chunks() for t in (left, right))
+        owner = np.repeat(np.arange(len(y)), np.diff(theirs.offsets.to_numpy()))
+        known = theirs.flatten().to_numpy()
+        owner, known = owner[known < block], known[known < block]
+        order = np.argsort(known, kind="stable")
+        owner, known = owner[order], known[order]
+        ends, flat = mine.offsets.to_numpy() - mine.offsets[0].as_py(), mine.flatten().to_numpy()
         for i in range(len(x)):
-            need = -(-4 * (x[i].sum() + y.sum(1)) // 9)
-            k = np.flatnonzero((np.minimum(x[i], y).sum(1) >= need) & (comp[1] != comp[0][i]))
-            out.append(np.stack([np.minimum(ids[0][i], ids[1][k]), np.maximum(ids[0][i], ids[1][k])], 1))
+            fresh = comp[1] != comp[0][i]
+            before = flat[ends[i] : ends[i + 1]]
+            lo, hi = np.searchsorted(known, before), np.searchsorted(known, before, "right")
+            many = hi - lo
+            fresh[owner[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]] = False
+            k = np.flatnonzero(fresh)
+            if len(k):
+                k = k[_may_meet(x[i], y[k], n[0][i], n[1][k])]
+                out.append(np.stack([np.minimum(ids[0][i], ids[1][k]), np.maximum(ids[0][i], ids[1][k])], 1))
     out = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
     return pa.table({"a": out[:, 0], "b": out[:, 1]})
 
 
+def _box(tile: pa.Table) -> pa.Table:
+    """A tile as an inner node: its largest coordinates, least size and range of components."""
+    one = {c: [tile[c][0].as_py()] for c in ("key", "band", "tile")}
+    comp = tile["comp"].to_numpy()
+    one |= {"least": [int(tile["n"].to_numpy().min())], "lo": [int(comp.min())], "hi": [int(comp.max())], "top": [_matrix(tile["point"]).max(0).tobytes()]}
+    return pa.table(one, pa.schema([("key", pa.int64()), ("band", pa.int32()), ("tile", pa.int64()), ("least", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("top", pa.binary())]))
+
+
 def _tree_pairs(large: DataFrame, points: DataFrame, comp: DataFrame) -> DataFrame:
     """Candidate pairs of different components inside large blocks (key, node), by a two-level R-tree of each block.
 
-    Tiles of TILE points, packed by size and first coordinate, are the inner nodes; two tiles meet only where the summed minima
-    of their largest coordinates reach the overlap that their least sizes ask for.
+    Tiles of TILE points, packed by size, are the inner nodes; two tiles meet only where the summed minima of their largest
+    coordinates reach the overlap that their least sizes ask for. A pair is taken in the first block that both share among their
+    first SEEN ones, so groups that share many blocks are met once.
     """
     member = large.join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    member = stash(member.join(mixed, "key", "left_semi"), "members")
+    member = stash(member.join(mixed, "key", "left_semi").select("key", "node", "comp"), "members")
     if not member.head(1):
         return member.select(F.col("node").alias("a"), F.col("node").alias("b"))
     at = points.where("node is not null").groupBy("node").agg(F.first("point").alias("point"), F.first("n").alias("n"))
-    member = member.select("key", "node", "comp").join(at, "node")
+    own = member.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, SEEN).alias("seen"))
+    member = member.join(stash(own.join(at, "node"), "own"), "node")
     member = member.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
-    tile = F.floor((F.row_number().over(_by("key", "band", order=("n", "node"))) - 1) / TILE)
+    tile = F.floor((F.row_number().over(Window.partitionBy("key", "band").orderBy("n", "node")) - 1) / TILE)
     member = stash(member.withColumn("tile", tile), "tiles")
-    top = [F.max(F.col("point")[g]).alias(f"p{g}") for g in range(GROUPS)]
-    boxes = member.groupBy("key", "band", "tile").agg(F.min("n").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *top)
-    boxes = boxes.select("key", "band", "tile", "least", "lo", "hi", F.array(*[f"p{g}" for g in range(GROUPS)]).alias("top"))
-    boxes = stash(boxes, "boxes")
+    boxes = member.select("key", "band", "tile", "n", "comp", "point").groupBy("key", "band", "tile")
+    boxes = stash(boxes.applyInArrow(_box, "key long, band int, tile long, least long, lo long, hi long, top binary"), "boxes")
     names = ("band", "tile", "least", "lo", "hi", "top")
     x, y = (boxes.select("key", *[F.col(c).alias(f"{c}_{s}") for c in names]) for s in "xy")
     x = x.withColumn("meet", F.explode(F.array("band_x", F.col("band_x") + 1, F.col("band_x") + 2)))
     met = x.join(y.withColumnRenamed("band_y", "meet"), ["key", "meet"]).where("meet > band_x or tile_y >= tile_x")
-    minima = F.aggregate(F.zip_with("top_x", "top_y", lambda p, q: F.least(p, q).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
-    met = met.where(9 * minima >= 4 * (F.col("least_x") + F.col("least_y"))).where("not (lo_x = hi_x and lo_y = hi_y and lo_x = lo_y)")
-    met = stash(met.select(F.expr("uuid()").alias("pair"), "key", "band_x", "tile_x", F.col("meet").alias("band_y"), "tile_y"), "met")
-    sides = [met.select("pair", "key", F.col(f"band_{s}").alias("band"), F.col(f"tile_{s}").alias("tile")).join(member, ["key", "band", "tile"]).select("pair", "node", "comp", "point").toDF("pair", "node", "comp", "point") for s in "xy"]
-    return sides[0].groupBy("pair").cogroup(sides[1].groupBy("pair")).applyInArrow(_tile_pairs, "a long, b long").distinct()
-
-
-def _by(*cols: str, order: tuple[str, ...]):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*cols).orderBy(*order)
+    met = met.where("not (lo_x = hi_x and lo_y = hi_y and lo_x = lo_y)")
+    met = met.select("key", "band_x", "tile_x", F.col("meet").alias("band_y"), "tile_y", F.col("least_x").alias("nx"), F.col("least_y").alias("ny"), F.col("top_x").alias("x"), F.col("top_y").alias("y"))
+    met = stash(_bound(met).withColumn("pair", F.xxhash64("key", "band_x", "tile_x", "band_y", "tile_y")), "met")
+    names = ("pair", "key", "node", "comp", "n", "point", "seen")
+    sides = [met.select("pair", "key", F.col(f"band_{s}").alias("band"), F.col(f"tile_{s}").alias("tile")).join(member, ["key", "band", "tile"]).select(*names).toDF(*names) for s in "xy"]
+    # a block's name goes with the pair, so that equal hashes of two tile pairs can't mix
+    return sides[0].groupBy("pair", "key").cogroup(sides[1].groupBy("pair", "key")).applyInArrow(_tile_pairs, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
