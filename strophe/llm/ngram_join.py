@@ -33,6 +33,8 @@ from .words import SHINGLE, mix, slices, words
 GROUPS = 256
 LEAF = 32
 TILE = 512
+#: Members of a large block that one task takes as one tree; larger ones are cut into tiles.
+TREE = 4096
 #: Rows that may be broadcast; beyond it the same join shuffles.
 SMALL = 1_000_000
 
@@ -269,34 +271,65 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return _bound(pairs.select("a", "b", F.col("na").cast("long").alias("nx"), F.col("nb").cast("long").alias("ny"), "x", "y")).select("a", "b")
 
 
-def _tile_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Leaves of two tiles of a block: pairs of different components that may meet and that no earlier block has met."""
-    x, y = (_matrix(t["point"]) for t in (left, right))
-    ids, comp, n = ([t[c].to_numpy() for t in (left, right)] for c in ("node", "comp", "n"))
-    out = []
-    if len(x) and len(y):
-        block = left["key"][0].as_py()
-        mine, theirs = (t["seen"].combine_chunks() for t in (left, right))
-        owner = np.repeat(np.arange(len(y)), np.diff(theirs.offsets.to_numpy()))
-        known = theirs.flatten().to_numpy()
-        owner, known = owner[known < block], known[known < block]
+class _Tree:
+    """Members of a block (or tile) by size in leaves of LEAF points, each with the largest coordinates and least size of its leaf."""
+
+    def __init__(self, rows: pa.Table, block: int):
+        rows = rows.take(pa.array(np.lexsort((rows["node"].to_numpy(), rows["n"].to_numpy())))) if len(rows) else rows
+        self.node, self.comp, self.n = (rows[c].to_numpy() for c in ("node", "comp", "n"))
+        self.point = _matrix(rows["point"])
+        seen = rows["seen"].combine_chunks()
+        ends, flat = seen.offsets.to_numpy() - seen.offsets[0].as_py(), seen.flatten().to_numpy()
+        #: blocks before this one that each member is in
+        self.before = [x[x < block] for x in (flat[a:b] for a, b in zip(ends, ends[1:], strict=False))]
+        owner = np.repeat(np.arange(len(rows)), [len(x) for x in self.before])
+        known = np.concatenate(self.before) if len(rows) else flat
         order = np.argsort(known, kind="stable")
-        owner, known = owner[order], known[order]
-        ends, flat = mine.offsets.to_numpy() - mine.offsets[0].as_py(), mine.flatten().to_numpy()
-        for i in range(len(x)):
-            fresh = comp[1] != comp[0][i]
-            before = flat[ends[i] : ends[i + 1]]
-            lo, hi = np.searchsorted(known, before), np.searchsorted(known, before, "right")
+        self.owner, self.known = owner[order], known[order]
+        self.starts = np.arange(0, len(rows), LEAF)
+        self.top = np.maximum.reduceat(self.point, self.starts) if len(rows) else self.point
+        self.least = np.minimum.reduceat(self.n, self.starts) if len(rows) else self.n
+
+    def meet(self, point, n, comp, before) -> np.ndarray:
+        """Members of other components that may meet a point and that no earlier block has met."""
+        leaves = np.flatnonzero(_may_meet(point, self.top, n, self.least))
+        if not len(leaves):
+            return leaves
+        k = (self.starts[leaves][:, None] + np.arange(LEAF)).ravel()
+        k = k[k < len(self.n)]
+        k = k[self.comp[k] != comp]
+        k = k[_may_meet(point, self.point[k], n, self.n[k])] if len(k) else k
+        if len(k) and len(before):
+            lo, hi = np.searchsorted(self.known, before), np.searchsorted(self.known, before, "right")
             many = hi - lo
-            fresh[owner[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]] = False
-            k = np.flatnonzero(fresh)
-            if len(k):
-                k = k[_may_meet(x[i], y[k], n[0][i], n[1][k])]
-                out.append(np.stack([np.minimum(ids[0][i], ids[1][k]), np.maximum(ids[0][i], ids[1][k])], 1))
-    out = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            met = np.zeros(len(self.n), bool)
+            met[self.owner[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]] = True
+            k = k[~met[k]]
+        return k
+
+
+def _pairs(x: _Tree, y: _Tree) -> pa.Table:
+    out = [np.zeros((0, 2), np.int64)]
+    for i in range(len(x.n)):
+        k = y.meet(x.point[i], x.n[i], x.comp[i], x.before[i])
+        if len(k):
+            out.append(np.stack([np.minimum(x.node[i], y.node[k]), np.maximum(x.node[i], y.node[k])], 1))
+    out = np.unique(np.concatenate(out), axis=0)
     return pa.table({"a": out[:, 0], "b": out[:, 1]})
 
 
+def _block_pairs(rows: pa.Table) -> pa.Table:
+    tree = _Tree(rows, rows["key"][0].as_py())
+    return _pairs(tree, tree)
+
+
+def _tile_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+    if not len(left) or not len(right):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    block = left["key"][0].as_py()
+    return _pairs(_Tree(left, block), _Tree(right, block))
+
+
 def _box(tile: pa.Table) -> pa.Table:
     """A tile as an inner node: its largest coordinates, least size and range of components."""
     one = {c: [tile[c][0].as_py()] for c in ("key", "band", "tile")}
@@ -306,21 +339,26 @@ def _box(tile: pa.Table) -> pa.Table:
 
 
 def _tree_pairs(large: DataFrame, points: DataFrame, comp: DataFrame) -> DataFrame:
-    """Candidate pairs of different components inside large blocks (key, node), by a two-level R-tree of each block.
+    """Candidate pairs of different components inside large blocks (key, node), by an R-tree of each block.
 
-    Tiles of TILE points, packed by size, are the inner nodes; two tiles meet only where the summed minima of their largest
-    coordinates reach the overlap that their least sizes ask for. A pair is taken in the first block that both share among their
-    first SEEN ones, so groups that share many blocks are met once.
+    A block of up to TREE members is one tree. Of a larger one, tiles of TILE points, packed by size, are the upper nodes; two
+    tiles meet only where the summed minima of their largest coordinates reach the overlap that their least sizes ask for. A pair is
+    taken in the first block that both share among their first SEEN ones, so groups that share many blocks are met once.
     """
     member = large.join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    member = stash(member.join(mixed, "key", "left_semi").select("key", "node", "comp"), "members")
+    mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
+    member = stash(member.join(mixed.select("key", "many"), "key").select("key", "node", "comp", "many"), "members")
     if not member.head(1):
         return member.select(F.col("node").alias("a"), F.col("node").alias("b"))
     at = points.where("node is not null").groupBy("node").agg(F.first("point").alias("point"), F.first("n").alias("n"))
     own = member.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, SEEN).alias("seen"))
-    member = member.join(stash(own.join(at, "node"), "own"), "node")
-    member = member.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
+    own = stash(own.join(at, "node"), "own")
+    whole = member.where(F.col("many") <= TREE).select("key", "node", "comp").join(own, "node")
+    whole = whole.groupBy("key").applyInArrow(_block_pairs, "a long, b long")
+    member = member.where(F.col("many") > TREE).select("key", "node", "comp")
+    if not member.head(1):
+        return whole.distinct()
+    member = member.join(own, "node").withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
     tile = F.floor((F.row_number().over(Window.partitionBy("key", "band").orderBy("n", "node")) - 1) / TILE)
     member = stash(member.withColumn("tile", tile), "tiles")
     boxes = member.select("key", "band", "tile", "n", "comp", "point").groupBy("key", "band", "tile")
@@ -335,7 +373,8 @@ def _tree_pairs(large: DataFrame, points: DataFrame, comp: DataFrame) -> DataFra
     names = ("pair", "key", "node", "comp", "n", "point", "seen")
     sides = [met.select("pair", "key", F.col(f"band_{s}").alias("band"), F.col(f"tile_{s}").alias("tile")).join(member, ["key", "band", "tile"]).select(*names).toDF(*names) for s in "xy"]
     # a block's name goes with the pair, so that equal hashes of two tile pairs can't mix
-    return sides[0].groupBy("pair", "key").cogroup(sides[1].groupBy("pair", "key")).applyInArrow(_tile_pairs, "a long, b long").distinct()
+    tiled = sides[0].groupBy("pair", "key").cogroup(sides[1].groupBy("pair", "key")).applyInArrow(_tile_pairs, "a long, b long")
+    return whole.unionByName(tiled).distinct()
 
 
 def links(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
