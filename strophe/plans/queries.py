@@ -255,9 +255,9 @@ def verse_metrics(spark, sf):
 _MS = ("distinct_1", "rhyme_density", "avg_line_length")
 
 
-@query(f"WITH {_METRICS} SELECT source, count(*) AS n, {', '.join(f'round(avg({m}), 4) AS {m}_mean, round(stddev_pop({m}), 4) AS {m}_std' for m in _MS)} FROM m GROUP BY source")
+@query(f"WITH {_METRICS} SELECT source, count(*) AS n, {', '.join(f'round(avg({m}), 6) AS {m}_mean, round(stddev_pop({m}), 6) AS {m}_std' for m in _MS)} FROM m GROUP BY source")
 def metrics_mean_std(spark, sf):
-    return quality.mean_std(quality.verse_metrics(docs(spark, sf), "source", "doc_id"), list(_MS), "source")
+    return quality.mean_std(quality.verse_metrics(docs(spark, sf), "source", "doc_id"), list(_MS), "source", digits=6)
 
 
 @query(f"""WITH {Q.chunks(Q.verse("text"), 16, 16, 8, "doc_id")},
@@ -546,16 +546,16 @@ def augment_dataset(spark, sf):
 # run logs
 
 
-@query("SELECT user_id AS run, event_type AS metric, count(*) AS n, round(avg(value), 4) AS value_mean, round(stddev_pop(value), 4) AS value_std FROM events GROUP BY 1, 2")
+@query("SELECT user_id AS run, event_type AS metric, count(*) AS n, round(avg(value), 6) AS value_mean, round(stddev_pop(value), 6) AS value_std FROM events GROUP BY 1, 2")
 def run_metrics(spark, sf):
     rows = table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_type").alias("metric"), "value")
-    return quality.mean_std(rows, ["value"], "run", "metric")
+    return quality.mean_std(rows, ["value"], "run", "metric", digits=6)
 
 
-@query("WITH r AS (SELECT event_type AS metric, user_id, avg(value) AS m, stddev_pop(value) AS s FROM events GROUP BY 1, 2) SELECT metric, count(*) AS n, round(avg(m), 4) AS mean_mean, round(stddev_pop(m), 4) AS mean_std, round(avg(s), 4) AS std_mean, round(stddev_pop(s), 4) AS std_std FROM r GROUP BY metric")
+@query("WITH r AS (SELECT event_type AS metric, user_id, avg(value) AS m, stddev_pop(value) AS s FROM events GROUP BY 1, 2) SELECT metric, count(*) AS n, round(avg(m), 6) AS mean_mean, round(stddev_pop(m), 6) AS mean_std, round(avg(s), 6) AS std_mean, round(stddev_pop(s), 6) AS std_std FROM r GROUP BY metric")
 def run_metrics_second_level(spark, sf):
     rows = table(spark, sf, "events").groupBy(F.col("event_type").alias("metric"), "user_id").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    return quality.mean_std(rows, ["mean", "std"], "metric")
+    return quality.mean_std(rows, ["mean", "std"], "metric", digits=6)
 
 
 @query("SELECT user_id AS run, event_type AS metric, arg_max(value, event_id) AS last_value, count(*) AS n FROM events GROUP BY 1, 2")
@@ -564,10 +564,10 @@ def run_last(spark, sf):
     return runs.last_metrics(rows, order="event_id")
 
 
-@query("SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std FROM events GROUP BY 1, 2")
+@query("SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1, 2")
 def run_metrics_windowed(spark, sf):
     out = windowed(table(spark, sf, "events"), "ts", "event_type")
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 @query("""WITH b AS (SELECT user_id, event_id, value, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS best,
