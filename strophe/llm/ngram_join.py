@@ -40,6 +40,8 @@ SMALL = 1_000_000
 
 #: Blocks of a set, the least by hash, by which a pair is recognised as met before.
 SEEN = 32
+#: Of those, the ones of a searching member that are looked up.
+MARKS = 8
 
 _POINT = "doc_id long, node long, n long, point binary"
 _KEY = "spot long, node long, n int, key long"
@@ -72,7 +74,7 @@ def _matrix(points: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 def _may_meet(x: np.ndarray, y: np.ndarray, nx, ny) -> np.ndarray:
     """Whether the summed coordinate minima reach the overlap that sizes of at least ``nx`` and ``ny`` ask for."""
-    low = np.minimum(x, y).sum(-1, dtype=np.int64)
+    low = np.minimum(x, y).sum(-1, dtype=np.uint32).astype(np.int64)
     return (9 * low >= 4 * (nx + ny)) | (low == 65_535 * GROUPS)
 
 
@@ -298,14 +300,14 @@ class _Tree:
         k = (self.starts[leaves][:, None] + np.arange(LEAF)).ravel()
         k = k[k < len(self.n)]
         k = k[self.comp[k] != comp]
-        k = k[_may_meet(point, self.point[k], n, self.n[k])] if len(k) else k
+        before = before[:MARKS]
         if len(k) and len(before):
             lo, hi = np.searchsorted(self.known, before), np.searchsorted(self.known, before, "right")
-            many = hi - lo
             met = np.zeros(len(self.n), bool)
-            met[self.owner[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]] = True
+            for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
+                met[self.owner[x:y]] = True
             k = k[~met[k]]
-        return k
+        return k[_may_meet(point, self.point[k], n, self.n[k])] if len(k) else k
 
 
 def _pairs(x: _Tree, y: _Tree) -> pa.Table:
