@@ -11,9 +11,9 @@ labelled rows of each language, those with the least hash of doc_id, whole texts
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections import Counter
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -23,26 +23,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tokens import PIECES, pieces
+from .words import slices
 
 PER_LANGUAGE = 200
 ROUNDS = 3
 #: Words kept by one Python worker.
-KEPT = 400_000
+KEPT = 200_000
+_STRETCH = 48
 _LETTERS = re.compile(r"[^\W\d_]+")
 _FLOOR = 1e-9
+#: A piece's number and length are one number in the automaton; pieces are shorter than this.
+_CODE = 1024
 _LOADED: dict[str, Model] = {}
 
 
 def _matches(automaton, word: str) -> list[tuple[int, int, int]]:
     """(start, end, piece) of the pieces in a word, by end."""
-    return [(end + 1 - size, end + 1, piece) for end, (piece, size) in automaton.iter(word)]
+    return [(end + 1 - value % _CODE, end + 1, value // _CODE) for end, value in automaton.iter(word)]
 
 
 def _automaton(vocabulary: list[str], keep=None):
     a = ahocorasick.Automaton()
     for i, p in enumerate(vocabulary):
         if keep is None or keep[i]:
-            a.add_word(p, (i, len(p)))
+            a.add_word(p, i * _CODE + len(p))
     a.make_automaton()
     return a
 
@@ -88,55 +92,62 @@ class Model:
     def __init__(self, vocabulary: list[str], languages: list[str], table: np.ndarray):
         self.languages = languages
         # pieces that no language uses leave; characters stay, so that every word of known letters has a segmentation
-        keep = (table.max(1) > 1e-7) | np.array([len(v) == 1 for v in vocabulary])
+        keep = (table.max(1) > 1e-6) | np.array([len(v) == 1 for v in vocabulary]) if languages else np.zeros(0, bool)
         self.automaton = _automaton(vocabulary, keep)
-        self.table = {i: table[i].tolist() for i in np.flatnonzero(keep).tolist()}
-        self.known: dict[str, list[float]] = {}
-
-    def word(self, word: str) -> list[float]:
-        """Log-probability of a word in each language, summed over all segmentations."""
-        text = "▁" + word
-        n, width = len(text), range(len(self.languages))
-        ahead = [None] * (n + 1)
-        ahead[0] = [1.0 for _ in width]
-        done = 0
-        for s, e, k in _matches(self.automaton, text):
-            for at in range(done + 1, e):  # a place that ends no piece is crossed by an unknown character
-                self._cross(ahead, at, width)
-            done = max(done, e - 1)
-            p, a = self.table[k], ahead[s]
-            if ahead[e] is None:
-                ahead[e] = [a[i] * p[i] for i in width]
-            else:
-                b = ahead[e]
-                for i in width:
-                    b[i] += a[i] * p[i]
-        for at in range(1, n + 1):
-            self._cross(ahead, at, width)
-        return [math.log(max(x, 1e-300)) for x in ahead[n]]
-
-    @staticmethod
-    def _cross(ahead, at, width):
-        if ahead[at] is None:
-            ahead[at] = [x * _FLOOR for x in ahead[at - 1]]
-
-    def text(self, text: str | None) -> tuple[str, float]:
-        """(language, posterior); ``und`` and 0 where there is no letter."""
-        total, known = None, self.known
-        words = Counter(_LETTERS.findall(text.lower())) if text else {}
-        for w, c in words.items():
-            got = known.get(w)
-            if got is None:
-                # very long runs of letters are scored in stretches, as probabilities would vanish
-                got = self.word(w) if len(w) <= 48 else [sum(x) for x in zip(*(self.word(w[i : i + 48]) for i in range(0, len(w), 48)), strict=True)]
-                if len(known) >= KEPT:
-                    known.clear()
-                known[w] = got
-            total = [c * x for x in got] if total is None else [t + c * x for t, x in zip(total, got, strict=True)]
-        if total is None or not total:
-            return "und", 0.0
-        best = max(range(len(total)), key=lambda i: (total[i], self.languages[i]))
-        return self.languages[best], 1.0 / sum(math.exp(max(t - total[best], -700.0)) for t in total)
+        self.table = table
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((0, len(languages)))
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log-probability of each word in each language, summed over all segmentations; very long words go in stretches of 48.
+
+        One pass of the automaton runs over all words, as no piece goes on beyond a word's mark; sums go place by place over all words.
+        """
+        parts = [w[i : i + _STRETCH] for w in words for i in range(0, len(w), _STRETCH)]
+        of = np.repeat(np.arange(len(words)), [-(-len(w) // _STRETCH) for w in words])
+        size = np.array([len(x) + 1 for x in parts])
+        begin = np.cumsum(size) - size
+        found = np.fromiter(chain.from_iterable(self.automaton.iter("▁" + "▁".join(parts))), np.int64)
+        end, piece, width = found[::2], found[1::2] // _CODE, found[1::2] % _CODE
+        word = np.searchsorted(begin, end, "right") - 1
+        level, target = end - begin[word] + 1, end + 1 + word  # a word has a place more than characters
+        order = np.lexsort((target, level))
+        level, target, source, piece = level[order], target[order], (target - width)[order], piece[order]
+        ahead = np.zeros((size.sum() + len(parts), len(self.languages)))
+        first = begin + np.arange(len(parts))
+        ahead[first] = 1.0
+        cut = np.searchsorted(level, np.arange(1, size.max() + 2))
+        for at in range(1, size.max() + 1):
+            k = slice(cut[at - 1], cut[at])
+            if k.start < k.stop:
+                head = np.flatnonzero(np.diff(target[k], prepend=-1))
+                ahead[target[k][head]] = np.add.reduceat(ahead[source[k]] * self.table[piece[k]], head)
+            here = first[size >= at] + at
+            bare = here[ahead[here, 0] == 0]  # a place that ends no piece is crossed by an unknown character
+            ahead[bare] = ahead[bare - 1] * _FLOOR
+        out = np.zeros((len(words), len(self.languages)))
+        np.add.at(out, of, np.log(np.maximum(ahead[first + size], 1e-300)))
+        return out
+
+    def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, posterior) of each text; ``und`` and 0 where there is no letter."""
+        found = [_LETTERS.findall(t.lower()) if t else [] for t in texts] if self.languages else [[] for _ in texts]
+        if len(self.known) > KEPT:
+            self.known, self.rows = {}, self.rows[:0]
+        known = self.known
+        new = [w for w in set().union(*found) if w not in known]
+        if new:
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            self.rows = np.concatenate([self.rows, self.words(new)])
+        out = []
+        for words in found:
+            if not words:
+                out.append(("und", 0.0))
+                continue
+            total = self.rows[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(0)
+            best = len(total) - 1 - int(total[::-1].argmax())
+            out.append((self.languages[best], float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum())))
+        return out
 
 
 def train(docs: DataFrame, path: str = PIECES, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
@@ -148,7 +159,7 @@ def train(docs: DataFrame, path: str = PIECES, per_language: int = PER_LANGUAGE)
 
     def words(batches):
         for batch in batches:
-            count = Counter((lang, w) for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True) for w in _LETTERS.findall((text or "").lower()) if len(w) <= 48)
+            count = Counter((lang, w) for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True) for w in _LETTERS.findall((text or "").lower()) if len(w) <= _STRETCH)
             yield pa.record_batch([pa.array([k[0] for k in count], pa.string()), pa.array([k[1] for k in count], pa.string()), pa.array(count.values(), pa.int64())], ["lang", "word", "n"])
 
     counted = sample.mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -175,9 +186,10 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray, path: str
             _LOADED.clear()
             _LOADED[name] = Model([p for p, _ in pieces(path)], *model.value) if model.value[0] else Model([], [], np.zeros((0, 0)))
         m = _LOADED[name]
-        for batch in batches:
-            got = [m.text(t.as_py()) for t in batch["text"]]
-            yield pa.record_batch([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*batch.schema.names, *names])
+        for whole in batches:
+            for batch in slices(whole, most=1_000_000):
+                got = m.texts(batch["text"].to_pylist())
+                yield pa.record_batch([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*batch.schema.names, *names])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
