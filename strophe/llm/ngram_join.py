@@ -126,7 +126,7 @@ def _keys(size: int):
                         k = min(n, n - needed(n) + 1 + n // 20)
                         rows.append((u[:k].view(np.int64), np.full(k, _node(u)), np.full(k, n, np.int32)))
                         held += k
-                if held >= 1_500_000:
+                if held >= 600_000:
                     yield from flush(rows)
                     rows, held = [], 0
         if rows:
@@ -194,7 +194,7 @@ def _buckets(batches):
     for batch in batches:
         held.append(batch)
         size += len(batch)
-        if size < 500_000:
+        if size < 300_000:
             continue
         cols = arrays()
         cut = int(np.searchsorted(cols[0], cols[0][-1]))

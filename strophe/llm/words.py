@@ -103,7 +103,7 @@ def words(texts: pa.Array) -> Words:
     return Words(raw, off, starts, stops, np.searchsorted(starts, off), hashes)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice holds about ``most`` bytes of text or one document; whole documents always."""
     size = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.cumsum(size) // most
