@@ -109,7 +109,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     cuts = ids.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
     cuts = sorted({int(c) for c in cuts or []}, reverse=True)
     # chunk: how many cuts lie at or above the id; null ids come last
-    chunk = F.lit(len(cuts)).cast("int") if not cuts else F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= F.col("doc_id"))), F.lit(len(cuts)))
+    last = F.lit(len(cuts)).cast("int")
+    chunk = F.when(F.col("doc_id").isNull(), last).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= F.col("doc_id")))) if cuts else last
     heads = ids.select("doc_id", chunk.alias("chunk")).groupBy("chunk").agg(F.max("doc_id").alias("head")).orderBy("chunk").collect()  # a row a range
     if not heads:
         return docs.sparkSession.createDataFrame([], _OUT)
@@ -123,6 +124,3 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     firsts = docs.withColumn("to", first).where("to is not null").groupBy("to", "chunk", "doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", F.col("to").alias("chunk"), F.lit(True).alias("copy"))
     both = moved.unionByName(firsts).repartition("chunk").sortWithinPartitions("chunk", "copy", F.col("doc_id").desc_nulls_last(), "text")
     return both.mapInArrow(_pairs, _OUT)
-
-
-
