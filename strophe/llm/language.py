@@ -30,13 +30,18 @@ ROUNDS = 3
 #: Words kept by one Python worker.
 KEPT = 200_000
 _STRETCH = 48
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(r"[^\W\d_]+")  # with numerals that are no decimal digits, which _spoken leaves out
 _FLOOR = 1e-9
 #: A piece's number and length are one number in the automaton; pieces are shorter than this.
 _CODE = 1024
 _LOADED: dict[str, Model] = {}
 
 
+def _spoken(text: str | None) -> list[str]:
+    """The words of a text that have a letter."""
+    return [w for w in _LETTERS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
+
+
 def _matches(automaton, word: str) -> list[tuple[int, int, int]]:
     """(start, end, piece) of the pieces in a word, by end."""
     return [(end + 1 - value % _CODE, end + 1, value // _CODE) for end, value in automaton.iter(word)]
@@ -131,7 +136,7 @@ class Model:
 
     def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, posterior) of each text; ``und`` and 0 where there is no letter."""
-        found = [_LETTERS.findall(t.lower()) if t else [] for t in texts] if self.languages else [[] for _ in texts]
+        found = [_spoken(t) for t in texts] if self.languages else [[] for _ in texts]
         if len(self.known) > KEPT:
             self.known, self.rows = {}, self.rows[:0]
         known = self.known
@@ -159,7 +164,7 @@ def train(docs: DataFrame, path: str = PIECES, per_language: int = PER_LANGUAGE)
 
     def words(batches):
         for batch in batches:
-            count = Counter((lang, w) for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True) for w in _LETTERS.findall((text or "").lower()) if len(w) <= _STRETCH)
+            count = Counter((lang, w) for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True) for w in _spoken(text) if len(w) <= _STRETCH)
             yield pa.record_batch([pa.array([k[0] for k in count], pa.string()), pa.array([k[1] for k in count], pa.string()), pa.array(count.values(), pa.int64())], ["lang", "word", "n"])
 
     counted = sample.mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
