@@ -40,7 +40,7 @@ def rows():
         w = list(base)
         w[i - 60] = "changed"
         out.append((i, " ".join(w), "en", "src0"))
-    out += [(75, out[3][1], "en", None), (76, out[3][1].upper(), "en", "src1"), (77, None, None, None), (78, "", "en", "src2"), (79, " \t\n", "en", "src2"), (80, "one two", "en", "src2"), (81, "ONE  two", "en", "src2"), (82, "12 34 !", None, "src3")]
+    out += [(75, out[3][1], out[3][2], None), (76, out[3][1].upper(), out[3][2], "src1"), (77, None, None, None), (78, "", "en", "src2"), (79, " \t\n", "en", "src2"), (80, "one two", "en", "src2"), (81, "ONE  two", "en", "src2"), (82, "12 34 !", None, "src3")]
     out += [(83, prose(60_000, "en", 5), "en", "src0"), (None, "no id here at all", "en", "src1"), (84, "ÄÖ é　x\x0by 😀 ñ", "de", "src3"), (5, out[5][1], out[5][2], out[5][3])]
     return [(*r, len(r[1] or ""), 7, 0.5) for r in out]
 
