@@ -29,9 +29,16 @@ def _blank(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r")) == ""
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = PAGES) -> DataFrame:
-    """(host, line): hashes of each host's boilerplate lines."""
+def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = PAGES, copies: bool = True) -> DataFrame:
+    """(host, line): hashes of each host's boilerplate lines.
+
+    Without ``copies`` exact copies of a page count once among the host's pages, and for a line once count all pages with one least hash
+    besides the line's own, and such groups whose most frequent greatest hash is one: an edit changes one of the two at most, so a group of
+    exact or near copies doesn't make its own text boilerplate.
+    """
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: ~_blank(x)), _key))
+    if not copies:
+        return _over_distinct(pages, F.col(host).cast("string"), F.col(text), keys, ratio, least)
     rows = pages.select(F.col(host).cast("string").alias("host"), F.explode(keys).alias("line"))
     often = rows.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     total = pages.groupBy(F.col(host).cast("string").alias("of")).agg(F.count("*").alias("pages"))
@@ -39,14 +46,33 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, le
     return found.select("host", "line")
 
 
-def line_dedup(pages: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = PAGES, dropped: str | None = None, small: int = SMALL) -> DataFrame:
+def _over_distinct(pages: DataFrame, host: Column, text: Column, keys: Column, ratio: float, least: int) -> DataFrame:
+    each = pages.select(host.alias("host"), F.sort_array(keys).alias("keys")).select("host", F.explode("keys").alias("line"), "keys")
+    total = pages.select(host.alias("of"), F.xxhash64(text).alias("page")).distinct().groupBy("of").agg(F.count("*").alias("pages"))
+
+    def often(rows: DataFrame) -> DataFrame:
+        n = rows.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+        return n.join(total, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > ratio * F.col("pages")).select("host", "line")
+
+    some = stash(often(each.select("host", "line")).select(F.col("host").alias("in"), F.col("line").alias("bad")), "repeated")
+    rows = each.join(F.broadcast(some) if some.count() <= SMALL else some, F.col("host").eqNullSafe(F.col("in")) & (F.col("line") == F.col("bad")), "left_semi")
+    other = lambda i, j: F.when(F.get("keys", i) == F.col("line"), F.get("keys", j)).otherwise(F.get("keys", i))
+    n = F.size("keys")
+    rows = rows.select("host", "line", other(F.lit(0), F.lit(1)).alias("a"), other(n - 1, n - 2).alias("b")).groupBy("host", "line", "a", "b").agg(F.count("*").alias("n"))
+    rows = rows.groupBy("host", "line", "a").agg(F.max(F.struct("n", "b")).alias("most"))
+    return often(rows.select("host", "line", F.col("most.b").alias("page")).distinct())
+
+
+def line_dedup(
+    pages: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = PAGES, dropped: str | None = None, small: int = SMALL, copies: bool = True
+) -> DataFrame:
     """``pages`` with boilerplate lines gone from ``text``; the other columns unchanged, ``dropped`` (if named) added: lines that left.
 
     Null text stays null; a null host is a host; an empty text stays empty; a text of boilerplate only becomes empty. A line counts once a
-    page however often it is repeated, and all its repeats leave. Each row is a page, repeated rows too. No text is shuffled while a host's
+    page however often it is repeated, and all its repeats leave. Each row is a page, repeated rows too, unless ``copies`` is off (see ``boilerplate``). No text is shuffled while a host's
     lines fit a broadcast of ``small`` hashes in all; more than that, lines meet hashes in a join.
     """
-    bad = stash(boilerplate(pages, host, text, ratio, least), "boilerplate")
+    bad = stash(boilerplate(pages, host, text, ratio, least, copies), "boilerplate")
     a, b, c = (_free(pages, x) for x in ("_host", "_bad", "_lines"))
     lines = _lines(F.col(text).cast("string"))
     if bad.count() <= small:

@@ -32,3 +32,18 @@ def test_stages(spark):
 
 def test_run(spark):
     assert pipeline.run(spark, SF).count() > 100
+
+
+def _pages(spark, pages):
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, (s, t) in enumerate(pages)], "doc_id long, text string, lang string, source string, n_chars long")
+    return {r.doc_id: r.text for r in pipeline.line_stage(spark, docs, SF).collect()}
+
+
+def _own(i):
+    return "\n".join(f"own line {j} of page {i}" for j in range(12))
+
+
+def test_line_stage_keeps_the_text_of_copies(spark):
+    near = [_own("near").replace("own line 3", f"changed {i}") for i in range(20)]
+    pages = [("s", _own(i)) for i in range(40)] + [("s", _own("copy"))] * 20 + [("s", t) for t in near]
+    assert _pages(spark, pages) == {i: t for i, (_, t) in enumerate(pages)}
