@@ -29,7 +29,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source, counted over distinct pages; those that held nothing else go."""
-    out = lines.line_dedup(docs, "source", "text", copies=False).withColumn("n_chars", F.length("text").cast("long"))
+    out = lines.line_dedup(docs, "source", "text", lines.STAGE_RATIO, copies=False).withColumn("n_chars", F.length("text").cast("long"))
     return out.where(F.col("text").rlike(r"\S")).select(*docs.columns)
 
 

@@ -13,6 +13,8 @@ from .stash import stash
 
 RATIO = 0.1
 PAGES = 5
+#: Ratio of the pipeline's stage, over distinct pages: see the README for the gap that it lies in.
+STAGE_RATIO = 0.01
 #: Boilerplate lines that may be broadcast; beyond it pages are joined line by line.
 SMALL = 500_000
 

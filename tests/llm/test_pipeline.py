@@ -47,3 +47,9 @@ def test_line_stage_keeps_the_text_of_copies(spark):
     near = [_own("near").replace("own line 3", f"changed {i}") for i in range(20)]
     pages = [("s", _own(i)) for i in range(40)] + [("s", _own("copy"))] * 20 + [("s", t) for t in near]
     assert _pages(spark, pages) == {i: t for i, (_, t) in enumerate(pages)}
+
+
+def test_line_stage_drops_lines_of_few_pages(spark):
+    pages = [("s", f"{_own(i)}\nAll rights reserved." if i % 33 == 0 else _own(i)) for i in range(300)]
+    got = _pages(spark, pages)
+    assert got == {i: _own(i) for i in range(300)}
