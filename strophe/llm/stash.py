@@ -1,32 +1,5 @@
 """Intermediate tables in the folder that the whole cluster shares."""
 
-from __future__ import annotations
+from ..stash import partitions, shared_dir, stash
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; in local mode only, one of our own where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="strophe-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return it read back, which cuts its lineage; a lost executor costs a re-read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strophe-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def partitions(df: DataFrame) -> int:
-    """How many shuffle partitions the session asks for."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["partitions", "shared_dir", "stash"]

@@ -2,29 +2,43 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import char_ngrams
 from ..functions.vectors import boosted, dot
+from ..stash import stash
 
-#: Queries of one call; more are asked in blocks.
+#: Queries that are broadcast at once; more are asked in blocks.
 QUERIES = 10_000
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, mode: str = "prefilter", over: int = 10) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, mode: str = "prefilter", over: int = 10, prefer: Column | None = None, boost: float = 0.15) -> DataFrame:
     """(query_id, rank, vec_id, score, keep columns): the ``k`` best of each query by inner product, ties by vec_id.
 
-    ``queries`` (query_id, query, ..) is a bounded set. ``keep`` may compare columns of both sides. ``prefilter`` searches what it holds
-    for; ``overfetch`` takes the best ``over * k`` first and may return fewer than ``k``. A rank limit is pushed below the shuffle.
+    ``queries`` (query_id, query, ..) may be any number: blocks of about ``QUERIES``, by a hash of query_id, are broadcast one at a time and
+    their results united. ``keep`` may compare columns of both sides. ``prefilter`` searches what it holds for; ``overfetch`` takes the best
+    ``over * k`` first and may return fewer than ``k``. ``prefer`` raises scores by ``boost`` before they are ranked. A rank limit is pushed
+    below the shuffle.
     """
     if mode not in ("prefilter", "overfetch"):
         raise ValueError(mode)
-    if queries.count() > QUERIES:
-        raise ValueError(f"ask at most {QUERIES} queries a call")
+    n = queries.count()
+    if n <= QUERIES:
+        return _block(vectors, queries, k, keep, mode, over, prefer, boost)
+    blocks = -(-n // QUERIES)
+    key = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = [stash(_block(vectors, queries.where(key == i), k, keep, mode, over, prefer, boost), "found") for i in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _block(vectors: DataFrame, queries: DataFrame, k: int, keep: Column | None, mode: str, over: int, prefer: Column | None, boost: float) -> DataFrame:
     pairs = vectors.join(F.broadcast(queries), F.lit(True) if keep is None or mode == "overfetch" else keep)
-    pairs = pairs.withColumn("score", dot(F.col("embedding"), F.col("query"))).drop("embedding", "query")
+    score = dot(F.col("embedding"), F.col("query"))
+    pairs = pairs.withColumn("score", score if prefer is None else boosted(score, prefer, boost)).drop("embedding", "query")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     fetch = k if keep is None or mode == "prefilter" else over * k
     out = pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= fetch)

@@ -317,12 +317,7 @@ def vector_topk_overfetch(spark, sf):
 @query(_V + f"r AS (SELECT query_id, vec_id, score + CASE WHEN label = ql THEN 0.15 ELSE 0 END AS score FROM p), k AS (SELECT *, {_R} AS rank FROM r) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM k WHERE rank <= 5")
 def vector_topk_boosted(spark, sf):
     v, q = _queries(spark, sf)
-    from pyspark.sql import Window
-
-    from ..functions.vectors import boosted, dot
-
-    p = v.join(F.broadcast(q)).select("query_id", "vec_id", boosted(dot(F.col("embedding"), F.col("query")), F.col("label") == F.col("ql")).alias("score"))
-    return _found(p.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("rank <= 5"))
+    return _found(retrieval.search(v, q, 5, prefer=F.col("label") == F.col("ql")))
 
 
 @query()

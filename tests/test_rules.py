@@ -155,6 +155,17 @@ def test_retrieval(spark):
     assert [r.vec_id for r in retrieval.diverse(f, 5).orderBy("rank").collect()] == [1, 3]
 
 
+def test_retrieval_in_blocks(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float((i * p) % 11) for p in (3, 5, 7)], i % 3) for i in range(60)], "vec_id long, embedding array<float>, label int")
+    q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("ql"))
+    same = F.col("label") == F.col("ql")
+    ways = ({}, {"keep": ~same}, {"keep": ~same, "mode": "overfetch"}, {"prefer": same})
+    rows = lambda: [sorted((r.query_id, r.rank, r.vec_id, r.score) for r in retrieval.search(v, q, 4, **w).collect()) for w in ways]
+    whole = rows()
+    monkeypatch.setattr(retrieval, "QUERIES", 25)
+    assert rows() == whole
+
+
 def test_sources(spark, tmp_path):
     d = spark.createDataFrame([("a", 'line "one"\nline two'), ("b", None)], "artist string, artist_verses string")
     corpora.write_lyrics(d, str(tmp_path / "csv"))
