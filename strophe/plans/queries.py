@@ -388,6 +388,13 @@ def rhyme_groups(spark, sf):
     return most.join(v.groupBy("suffix").agg(F.count("*").alias("n_words")), "suffix").select("suffix", "n_words", "words")
 
 
+@query(f"WITH {_WORDS} SELECT suffix, word, count(*) OVER (PARTITION BY suffix) AS n_words FROM s WHERE suffix IS NOT NULL")
+def rhyme_group_words(spark, sf):
+    """Every word of each group, a row a word; ``rhyme_groups`` is the lookup of the first 100."""
+    v = _vocabulary(spark, sf).where("suffix is not null")
+    return v.join(v.groupBy("suffix").agg(F.count("*").alias("n_words")), "suffix").select("suffix", "word", "n_words")
+
+
 @query(f"WITH {_WORDS} SELECT suffix, CAST(row_number() OVER (ORDER BY suffix) AS INTEGER) AS id FROM (SELECT DISTINCT suffix FROM s WHERE suffix IS NOT NULL) UNION ALL SELECT '<NONE>', 0")
 def rhyme_suffix_vocab(spark, sf):
     from pyspark.sql import Window

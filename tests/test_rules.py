@@ -6,6 +6,7 @@ from strophe.config import Config
 from strophe.functions import phonetics, scheme, text
 from strophe.operators import augment, lines, originality, quality, retrieval, sequences, tokenizers
 from strophe.operators.following import with_following
+from strophe.plans import queries
 from strophe.sources import corpora, runs
 from strophe.streaming.run_metrics import read_stream, windowed, write_stream
 
@@ -166,6 +167,14 @@ def test_retrieval_in_blocks(spark, monkeypatch):
     assert rows() == whole
 
 
+def test_rhyme_groups_are_whole(spark, tmp_path):
+    words = [a + b + "ation" for a in "bcdfghjklmnp" for b in "aeioubcdfg"]
+    d = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["rhyme_group_words"](spark, str(tmp_path)).collect()
+    assert sorted(r.word for r in got) == sorted(words) and {r.n_words for r in got} == {120}
+
+
 def test_sources(spark, tmp_path):
     d = spark.createDataFrame([("a", 'line "one"\nline two'), ("b", None)], "artist string, artist_verses string")
     corpora.write_lyrics(d, str(tmp_path / "csv"))
