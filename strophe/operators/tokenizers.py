@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter, defaultdict
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _PARTS = r"\S+|\s"
+#: Vocabulary that training goes up to.
+SIZE = 1000
+#: Distinct words that training may take to the driver; more of them are merged in place, a pass a merge.
+SMALL = 500_000
 
 
 def characters(text: Column) -> Column:
@@ -56,28 +63,77 @@ def merged(tokens: Column, left: str, right: str) -> Column:
     return F.aggregate(tokens, F.array().cast("array<string>"), step)
 
 
-def bpe_train(docs: DataFrame, merges: int, stash=None) -> tuple[list[tuple[str, str]], dict[str, int]]:
-    """(merges, vocabulary): the most frequent pair each time, ties by (left, right).
+def bpe_train(docs: DataFrame, merges: int | None = None, stash=None, size: int = SIZE, small: int = SMALL) -> tuple[list[tuple[str, str]], dict[str, int]]:
+    """(merges, vocabulary): the most frequent pair each time, ties by (left, right); as many merges as named, or up to ``size`` tokens.
 
-    Runs over distinct words; a step is one aggregation whose result is a single pair. ``stash`` (DataFrame to DataFrame) may cut the
-    lineage between steps. A merged string that exists already takes a new id, as ids count what the vocabulary holds.
+    Runs over distinct words: up to ``small`` of them on the driver, where a merge touches the words that hold it; more in a pass a merge,
+    one aggregation whose result is a single pair. ``stash`` (DataFrame to DataFrame) may cut the lineage between passes. A merged string
+    that exists already takes a new id, as ids count what the vocabulary holds.
     """
-    words = word_counts(docs).withColumn("tokens", characters(F.col("word"))).select("tokens", "n").cache()
-    chars = [r.c for r in words.select(F.explode("tokens").alias("c")).distinct().orderBy("c").collect()]  # an alphabet
+    counts = word_counts(docs)
+    counts = stash(counts) if stash else counts.cache()
+    chars = [r.c for r in counts.select(F.explode(characters(F.col("word"))).alias("c")).distinct().orderBy("c").collect()]  # an alphabet
     vocab = {c: i for i, c in enumerate(chars)}
-    done: list[tuple[str, str]] = []
-    for _ in range(merges):
-        best = pair_counts(words).orderBy(F.desc("n"), "left", "right").first()
-        if best is None:
-            break
-        done.append((best.left, best.right))
-        vocab[best.left + best.right] = len(vocab)
-        new = words.withColumn("tokens", merged(F.col("tokens"), best.left, best.right))
-        new = stash(new) if stash else new.cache()
-        words = new
+    most = max(0, size - len(vocab)) if merges is None else merges
+    if counts.count() <= small:
+        done = _merges([(list(r.word), r.n) for r in counts.toLocalIterator()], most)
+    else:
+        done = []
+        words = counts.withColumn("tokens", characters(F.col("word"))).select("tokens", "n")
+        for _ in range(most):
+            best = pair_counts(words).orderBy(F.desc("n"), "left", "right").first()
+            if best is None:
+                break
+            done.append((best.left, best.right))
+            new = words.withColumn("tokens", merged(F.col("tokens"), best.left, best.right))
+            words = stash(new) if stash else new.cache()
+    for a, b in done:
+        vocab[a + b] = len(vocab)
     return done, vocab
 
 
+def _joined(tokens: list[str], left: str, right: str) -> list[str]:
+    out, i = [], 0
+    while i < len(tokens):
+        joins = i + 1 < len(tokens) and tokens[i] == left and tokens[i + 1] == right
+        out.append(left + right if joins else tokens[i])
+        i += 2 if joins else 1
+    return out
+
+
+def _merges(words: list[tuple[list[str], int]], most: int) -> list[tuple[str, str]]:
+    tokens, counts = [w for w, _ in words], [n for _, n in words]
+    total: Counter = Counter()
+    where: defaultdict = defaultdict(set)
+    for i, t in enumerate(tokens):
+        for p in zip(t, t[1:]):
+            total[p] += counts[i]
+            where[p].add(i)
+    heap = [(-n, *p) for p, n in total.items()]
+    heapq.heapify(heap)
+    done: list[tuple[str, str]] = []
+    while heap and len(done) < most:
+        n, a, b = heapq.heappop(heap)
+        if total[a, b] != -n or n == 0:  # an older count
+            continue
+        done.append((a, b))
+        touched = set()
+        for i in where.pop((a, b)):
+            old, new = tokens[i], _joined(tokens[i], a, b)
+            for p in zip(old, old[1:]):
+                total[p] -= counts[i]
+                touched.add(p)
+            for p in zip(new, new[1:]):
+                total[p] += counts[i]
+                where[p].add(i)
+                touched.add(p)
+            tokens[i] = new
+        for p in touched:
+            if total[p] > 0:
+                heapq.heappush(heap, (-total[p], *p))
+    return done
+
+
 def bpe_encode_words(words: DataFrame, merges: list[tuple[str, str]], vocab: dict[str, int]) -> DataFrame:
     """(word, tokens): ids of distinct words; characters outside the vocabulary are 0."""
     rank = {p: i for i, p in enumerate(merges)}

@@ -12,6 +12,7 @@ from ..functions.scheme import NAMED
 from ..operators import augment, originality, profiles, quality, retrieval, sequences, tokenizers
 from ..operators import lines as L
 from ..sources import corpora, runs
+from ..stash import stash
 from ..streaming.run_metrics import windowed
 from . import sql as Q
 
@@ -367,6 +368,14 @@ def blocked_ngrams(spark, sf):
     return originality.blocked(probe, originality.continuations(b), "item_id").select("item_id", F.array_join("blocked", "").alias("blocked"))
 
 
+@query("""WITH i AS (SELECT text, unnest(range(1, length(text) - 24)) AS i FROM benchmark WHERE length(text) > 25), n AS (SELECT substr(text, i, 25) AS prefix, list_sort(list(DISTINCT substr(text, i + 25, 1))) AS cs FROM i GROUP BY 1),
+p AS (SELECT doc_id, right(text, 25) AS tail, length(text) AS n FROM documents)
+SELECT doc_id, coalesce(array_to_string(cs, ''), '') AS blocked FROM p LEFT JOIN n ON p.n >= 25 AND p.tail = n.prefix""")
+def blocked_ngrams_documents(spark, sf):
+    index = originality.continuations(table(spark, sf, "benchmark"))
+    return originality.blocked(docs(spark, sf).select("doc_id", "text"), index, "doc_id").select("doc_id", F.array_join("blocked", "").alias("blocked"))
+
+
 # vocabularies and tokenizers
 
 
@@ -444,17 +453,19 @@ def bpe_first_merge(spark, sf):
     return bpe_pair_counts(spark, sf).orderBy(F.desc("n"), "left", "right").limit(1)
 
 
+def _bpe(spark, sf) -> tuple[list[tuple[str, str]], dict[str, int]]:
+    return tokenizers.bpe_train(docs(spark, sf), stash=lambda df: stash(df, "bpe"))
+
+
 @query()
 def bpe_train(spark, sf):
-    merges, vocab = tokenizers.bpe_train(table(spark, sf, "benchmark"), 12)
+    merges, vocab = _bpe(spark, sf)
     return spark.createDataFrame([(i, a, b, vocab[a + b]) for i, (a, b) in enumerate(merges)], "rank int, left string, right string, id int")
 
 
 @query()
 def bpe_encode(spark, sf):
-    b = table(spark, sf, "benchmark")
-    merges, vocab = tokenizers.bpe_train(b, 12)
-    return tokenizers.bpe_encode(docs(spark, sf), merges, vocab)
+    return tokenizers.bpe_encode(docs(spark, sf), *_bpe(spark, sf))
 
 
 # training sequences
@@ -467,6 +478,13 @@ def lm_windows(spark, sf):
     return sequences.lm_windows(rows, 64, 32, "item_id").select("item_id", "start", F.array_join("x", "").alias("x"), F.array_join("y", "").alias("y"))
 
 
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS c FROM documents), w AS (SELECT doc_id, c, unnest(range(0, len(c) - 65, 32)) AS s FROM t)
+SELECT doc_id, CAST(s AS INTEGER) AS start, array_to_string(c[s + 1 : s + 64], '') AS x, array_to_string(c[s + 2 : s + 65], '') AS y FROM w""")
+def lm_windows_documents(spark, sf):
+    rows = docs(spark, sf).select("doc_id", tokenizers.characters(F.col("text")).alias("tokens"))
+    return sequences.lm_windows(rows, 64, 32, "doc_id").select("doc_id", "start", F.array_join("x", "").alias("x"), F.array_join("y", "").alias("y"))
+
+
 @query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) > floor(count(*) OVER (PARTITION BY source) * 0.9::DOUBLE) AS is_val FROM documents")
 def train_val_split(spark, sf):
     return sequences.split_by_position(docs(spark, sf).select("doc_id", "source"), "source", "doc_id").select("doc_id", "source", "is_val")
@@ -484,6 +502,12 @@ def syllable_labels(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.array_join(sequences.syllable_labels(F.col("text")), "").alias("labels"))
 
 
+@query(rf"""SELECT doc_id, array_to_string(flatten(list_transform(regexp_extract_all(text, '[^ \n\t]+|[ \n\t]'), lambda w: list_transform(range(length(w)),
+  lambda i: CASE WHEN regexp_matches(w, '^\s*$') THEN 0 ELSE least(greatest(1, len(regexp_extract_all({Q.bare("w")}, '[aeiouy]+'))), 6) END))), '') AS labels FROM documents""")
+def syllable_labels_documents(spark, sf):
+    return docs(spark, sf).select("doc_id", F.array_join(sequences.syllable_labels(F.col("text")), "").alias("labels"))
+
+
 @query(f"""WITH r AS (SELECT doc_id, {Q.raw("text")} AS ls FROM documents), x AS (SELECT doc_id, ls, unnest(range(len(ls) - 1)) AS i FROM r)
 SELECT doc_id, CAST(list_sum(list_transform(ls[1 : i + 1], lambda z: length(z))) + i AS INTEGER) AS pos, {Q.last_suffix("ls[i + 1]")} AS suffix,
   CASE WHEN {Q.syllables("ls[i + 1]")} <= 6 THEN 0 WHEN {Q.syllables("ls[i + 1]")} <= 9 THEN 1 WHEN {Q.syllables("ls[i + 1]")} <= 12 THEN 2 WHEN {Q.syllables("ls[i + 1]")} <= 15 THEN 3 ELSE 4 END AS bucket FROM x""")

@@ -123,6 +123,20 @@ def test_tokenizers(spark):
     assert trie["a"] == (["n", "t"], False) and trie["an"] == (["t"], True)
 
 
+def test_bpe_ways_agree_and_queries_take_documents(spark, tmp_path):
+    body = "low lower lowest aaaa aaa banana bandana new newer newest ab abc abab " * 3
+    d = spark.createDataFrame([(1, body), (2, "wider 42 @home"), (3, "low aab é")], "doc_id long, text string")
+    here = tokenizers.bpe_train(d, 12)
+    assert here == tokenizers.bpe_train(d, 12, small=0) and len(here[0]) == 12
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "low")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    merges, vocab = tokenizers.bpe_train(d)
+    assert queries.QUERIES["bpe_train"](spark, str(tmp_path)).count() == len(merges) > 12
+    names = {i: t for t, i in vocab.items()}
+    for r in queries.QUERIES["bpe_encode"](spark, str(tmp_path)).join(d, "doc_id").collect():
+        assert "".join(names[i] for i in r.tokens) == r.text
+
+
 def test_augmentation_keeps_lines(spark):
     d = spark.createDataFrame([(i, "s", "\n".join(f"the line {i} {j} of it" for j in range(20))) for i in range(3)], "doc_id long, source string, text string")
     text_of = {r.doc_id: r.text for r in d.collect()}
