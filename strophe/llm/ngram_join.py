@@ -13,7 +13,8 @@ to ``LEAF`` points are one leaf. Larger blocks come from shingles that many docu
 Each set keeps 5% more shingles than the bound needs; a set with no more large blocks than that
 surplus meets all its partners in small blocks and leaves the large ones. What stays in large
 blocks is mostly groups of near copies: they are joined to one member first, and only blocks
-that still hold several components become R-trees (tiles with bounding corners).
+that still hold several components become R-trees. A tree emits a spanning forest of the
+components that may join, never all pairs; whole sets then meet inside the clusters so found.
 """
 
 from __future__ import annotations
@@ -22,27 +23,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .stash import stash
+from .stash import discard, stash
 from .words import SHINGLE, mix, slices, words
 
 GROUPS = 256
 LEAF = 32
-TILE = 512
-#: Members of a large block that one task takes as one tree; larger ones are cut into tiles.
+#: Members of a group, and bytes of their sets and points, that a task compares at once; larger groups are cut into parts.
 TREE = 4096
+PART = 32 << 20
 #: Rows that may be broadcast; beyond it the same join shuffles.
 SMALL = 1_000_000
 
-#: Blocks of a set, the least by hash, by which a pair is recognised as met before.
-SEEN = 32
-#: Of those, the ones of a searching member that are looked up.
-MARKS = 8
-
 _POINT = "doc_id long, node long, n long, point binary"
 _KEY = "spot long, node long, n int, key long"
 _PAIR = "a long, b long, na int, nb int, shared int, large boolean"
@@ -234,20 +230,26 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL else df
 
 
-def _verified(docs: DataFrame, points: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets meet the threshold."""
-    pairs = stash(pairs.select("a", "b"), "pairs")
-    if not pairs.head(1):
-        return pairs
-    nodes = stash(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+def _whole_sets(docs: DataFrame, points: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, items): the shingles of each of ``nodes`` (node, ...; distinct), from one of its texts."""
     many = nodes.count()
     ids = points.join(_small(nodes, many), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("rep")).select("rep").distinct()
     few = docs.select("doc_id", "text").join(_small(ids, many), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     sets = few.select("text").mapInArrow(_rows(size), "node long, items array<long>").join(_small(nodes, many), "node", "left_semi")
-    sets = stash(sets.groupBy("node").agg(F.first("items").alias("items")), "sets")
-    pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+    return stash(sets.groupBy("node").agg(F.first("items").alias("items")), "sets")
+
+
+def _verified(docs: DataFrame, points: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """Pairs (a, b), a few for each node, whose whole sets meet the threshold."""
+    pairs = stash(pairs.select("a", "b"), "pairs")
+    nodes = stash(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    sets = _whole_sets(docs, points, nodes, size)
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.withColumn("o", both).where(100 * F.col("o") >= 80 * (F.size("x") + F.size("y") - F.col("o"))).select("a", "b")
+    met = met.withColumn("o", both).where(100 * F.col("o") >= 80 * (F.size("x") + F.size("y") - F.col("o"))).select("a", "b")
+    met = stash(met, "edges")
+    discard(pairs, nodes, sets)
+    return met
 
 
 def _bound(pairs: DataFrame) -> DataFrame:
@@ -273,110 +275,149 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return _bound(pairs.select("a", "b", F.col("na").cast("long").alias("nx"), F.col("nb").cast("long").alias("ny"), "x", "y")).select("a", "b")
 
 
-class _Tree:
-    """Members of a block (or tile) by size in leaves of LEAF points, each with the largest coordinates and least size of its leaf."""
-
-    def __init__(self, rows: pa.Table, block: int):
-        rows = rows.take(pa.array(np.lexsort((rows["node"].to_numpy(), rows["n"].to_numpy())))) if len(rows) else rows
-        self.node, self.comp, self.n = (rows[c].to_numpy() for c in ("node", "comp", "n"))
-        self.point = _matrix(rows["point"])
-        seen = rows["seen"].combine_chunks()
-        ends, flat = seen.offsets.to_numpy() - seen.offsets[0].as_py(), seen.flatten().to_numpy()
-        #: blocks before this one that each member is in
-        self.before = [x[x < block] for x in (flat[a:b] for a, b in zip(ends, ends[1:], strict=False))]
-        owner = np.repeat(np.arange(len(rows)), [len(x) for x in self.before])
-        known = np.concatenate(self.before) if len(rows) else flat
-        order = np.argsort(known, kind="stable")
-        self.owner, self.known = owner[order], known[order]
-        self.starts = np.arange(0, len(rows), LEAF)
-        self.top = np.maximum.reduceat(self.point, self.starts) if len(rows) else self.point
-        self.least = np.minimum.reduceat(self.n, self.starts) if len(rows) else self.n
-
-    def meet(self, point, n, comp, before) -> np.ndarray:
-        """Members of other components that may meet a point and that no earlier block has met."""
-        leaves = np.flatnonzero(_may_meet(point, self.top, n, self.least))
-        if not len(leaves):
-            return leaves
-        k = (self.starts[leaves][:, None] + np.arange(LEAF)).ravel()
-        k = k[k < len(self.n)]
-        k = k[self.comp[k] != comp]
-        before = before[:MARKS]
-        if len(k) and len(before):
-            lo, hi = np.searchsorted(self.known, before), np.searchsorted(self.known, before, "right")
-            met = np.zeros(len(self.n), bool)
-            for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
-                met[self.owner[x:y]] = True
-            k = k[~met[k]]
-        return k[_may_meet(point, self.point[k], n, self.n[k])] if len(k) else k
-
-
-def _pairs(x: _Tree, y: _Tree) -> pa.Table:
-    out = [np.zeros((0, 2), np.int64)]
-    for i in range(len(x.n)):
-        k = y.meet(x.point[i], x.n[i], x.comp[i], x.before[i])
-        if len(k):
-            out.append(np.stack([np.minimum(x.node[i], y.node[k]), np.maximum(x.node[i], y.node[k])], 1))
-    out = np.unique(np.concatenate(out), axis=0)
-    return pa.table({"a": out[:, 0], "b": out[:, 1]})
-
-
-def _block_pairs(rows: pa.Table) -> pa.Table:
-    tree = _Tree(rows, rows["key"][0].as_py())
-    return _pairs(tree, tree)
+class _Members:
+    """Members of a group in leaves of LEAF points, each leaf with its largest coordinates and least size.
 
+    Components lie together, in the order of their least sizes, so that the leaves of near copies have tight corners. Rows have
+    node, comp and n and point, or the sorted shingles ``items``, from which both follow.
+    """
 
-def _tile_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-    if not len(left) or not len(right):
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    block = left["key"][0].as_py()
-    return _pairs(_Tree(left, block), _Tree(right, block))
+    def __init__(self, rows: pa.Table):
+        node, comp = rows["node"].to_numpy(), rows["comp"].to_numpy()
+        self.items = None
+        if "items" in rows.column_names:
+            items = rows["items"].combine_chunks()
+            items = items.chunk(0) if isinstance(items, pa.ChunkedArray) else items
+            ends, flat = items.offsets.to_numpy(), items.values.to_numpy().view(np.uint64)
+            sets = [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            n, points = np.diff(ends).astype(np.int64), [_point(u) for u in sets]
+        else:
+            n, points = rows["n"].to_numpy(), rows["point"].to_pylist()
+        name, comp = np.unique(comp, return_inverse=True)
+        least = np.full(len(name), np.iinfo(np.int64).max)
+        np.minimum.at(least, comp, n)
+        order = np.lexsort((node, n, comp, least[comp]))
+        self.node, self.n, self.comp = node[order], n[order], name[comp[order]]
+        if "items" in rows.column_names:
+            self.items = [sets[i] for i in order.tolist()]
+        self.point = np.frombuffer(b"".join(points[i] for i in order.tolist()), "<u2").reshape(-1, GROUPS)
+        self.starts = np.arange(0, len(order), LEAF)
+        self.top = np.maximum.reduceat(self.point, self.starts) if len(order) else self.point
+        self.least = np.minimum.reduceat(self.n, self.starts) if len(order) else self.n
+
+    def may_meet(self, point, n, after: int) -> np.ndarray:
+        """Members from ``after`` on in leaves whose corner doesn't rule them out."""
+        first = after // LEAF
+        leaves = first + np.flatnonzero(_may_meet(point, self.top[first:], n, self.least[first:]))
+        k = (self.starts[leaves][:, None] + np.arange(LEAF)).ravel()
+        return k[(k >= after) & (k < len(self.n))]
 
 
-def _box(tile: pa.Table) -> pa.Table:
-    """A tile as an inner node: its largest coordinates, least size and range of components."""
-    one = {c: [tile[c][0].as_py()] for c in ("key", "band", "tile")}
-    comp = tile["comp"].to_numpy()
-    one |= {"least": [int(tile["n"].to_numpy().min())], "lo": [int(comp.min())], "hi": [int(comp.max())], "top": [_matrix(tile["point"]).max(0).tobytes()]}
-    return pa.table(one, pa.schema([("key", pa.int64()), ("band", pa.int32()), ("tile", pa.int64()), ("least", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("top", pa.binary())]))
+def _similar(u: np.ndarray, v: np.ndarray) -> bool:
+    """Whether two sorted sets meet the threshold."""
+    if len(u) < len(v):
+        u, v = v, u
+    o = int((u[np.minimum(np.searchsorted(u, v), len(u) - 1)] == v).sum())
+    return 100 * o >= 80 * (len(u) + len(v) - o)
 
 
-def _tree_pairs(large: DataFrame, points: DataFrame, comp: DataFrame) -> DataFrame:
-    """Candidate pairs of different components inside large blocks (key, node), by an R-tree of each block.
+def _spanning_links(left: pa.Table, right: pa.Table | None = None) -> pa.Table:
+    """Links that join all components that pairs of members join, within ``left`` or between it and ``right``: a forest, so fewer than members.
 
-    A block of up to TREE members is one tree. Of a larger one, tiles of TILE points, packed by size, are the upper nodes; two
-    tiles meet only where the summed minima of their largest coordinates reach the overlap that their least sizes ask for. A pair is
-    taken in the first block that both share among their first SEEN ones, so groups that share many blocks are met once.
+    Pairs already joined, through whichever links, are passed over; pairs that fail are not told. A pair joins where whole sets are at
+    hand and meet the threshold, else where its points allow it.
     """
-    member = large.join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
-    member = stash(member.join(mixed.select("key", "many"), "key").select("key", "node", "comp", "many"), "members")
-    if not member.head(1):
-        return member.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    x = _Members(left)
+    y = x if right is None else _Members(right)
+    at = 0 if right is None else len(x.n)
+    label = np.unique(x.comp if right is None else np.concatenate([x.comp, y.comp]), return_inverse=True)[1]
+    out = []
+    for i in range(len(x.n)):
+        if len(k := y.may_meet(x.point[i], x.n[i], i + 1 if right is None else 0)):
+            k = k[label[at + k] != label[i]]
+        if len(k):
+            k = k[_may_meet(x.point[i], y.point[k], x.n[i], y.n[k])]
+        while len(k):  # one of each component, then what is left of those that weren't joined
+            one = np.unique(label[at + k], return_index=True)[1]
+            for j in k[one].tolist():
+                if x.items is None or _similar(x.items[i], y.items[j]):
+                    out.append((x.node[i], y.node[j]))
+                    label[label == label[at + j]] = label[i]
+            k = np.delete(k, one)
+            k = k[label[at + k] != label[i]]
+    out = np.array(out, np.int64).reshape(-1, 2)
+    return pa.table({"a": out.min(1), "b": out.max(1)} if len(out) else {"a": out[:, 0], "b": out[:, 1]})
+
+
+def _spanning(member: DataFrame) -> DataFrame:
+    """(a, b): links by which members (grp, node, comp, n, and point or items) of a group join components.
+
+    A task takes at most about PART bytes or TREE members of a group. A larger group is first joined within parts by hash. Of what is
+    then still apart, each large component is cut by hash and the small ones by size, and two parts meet where their sizes can and
+    more than one component is left: for a group that is one component but for a few members, that grows with the group, not its square.
+    """
+    share = F.lit(1 / TREE) + (8 * F.col("n") + 2 * GROUPS) / PART
+    large = member.groupBy("grp").agg(F.sum(share).alias("share")).where("share > 1")
+    large = stash(large.select("grp", F.ceil("share").alias("parts")), "groups")
+    cut = member.join(_small(large, large.count()), "grp", "left")
+    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
+    found = stash(cut.withColumn("part", part).groupBy("grp", "part").applyInArrow(lambda t: _spanning_links(t), "a long, b long").distinct(), "links")
+    if not large.head(1):
+        discard(large)
+        return found
+    rest = cut.where("parts > 1").drop("parts")
+    roots = components(found.unionByName(rest.select(F.col("node").alias("a"), F.col("comp").alias("b")).where("a <> b")))
+    rest = rest.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+    apart = rest.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("grp")
+    rest = stash(rest.join(_small(apart, large.count()), "grp", "left_semi"), "apart")
+    many = rest.groupBy("grp", "comp").agg(F.sum(share).alias("share")).where("share > 0.5").select("grp", "comp", F.lit(True).alias("whole"))
+    many = stash(many, "many")
+    rest = rest.join(_small(many, many.count()), ["grp", "comp"], "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
+    rest = rest.withColumn("of", F.when(F.col("whole"), F.col("comp")).otherwise(F.floor(F.log("n") / F.log(F.lit(1.25)))))
+    parts = stash(rest.groupBy("grp", "whole", "of").agg(F.ceil(F.sum(share)).alias("parts")), "parts")
+    rest = rest.join(_small(parts, parts.count()), ["grp", "whole", "of"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("parts")
+    rest = stash(rest, "cut")
+    box = rest.groupBy("grp", "whole", "of", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    box = stash(box.withColumn("name", F.struct("whole", "of", "part")), "boxes")
+    x, y = (box.select("grp", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "lo", "hi", "c0", "c1")]) for s in "xy")
+    met = x.join(y, "grp").where("name_x <= name_y and 5 * hi_x >= 4 * lo_y and 5 * hi_y >= 4 * lo_x and least(c0_x, c0_y) < greatest(c1_x, c1_y)")
+    met = stash(met.select("grp", "name_x", "name_y"), "met")
+
+    def side(s: str, pairs: DataFrame) -> DataFrame:
+        at = pairs.select("grp", "name_x", "name_y", F.col(f"name_{s}.whole").alias("whole"), F.col(f"name_{s}.of").alias("of"), F.col(f"name_{s}.part").alias("part"))
+        at = at.join(rest, ["grp", "whole", "of", "part"]).drop("whole", "of", "part")
+        return at.toDF(*at.columns).groupBy("grp", "name_x", "name_y")
+
+    own = side("x", met.where("name_x = name_y")).applyInArrow(lambda t: _spanning_links(t), "a long, b long")
+    two = met.where("name_x < name_y")
+    cross = side("x", two).cogroup(side("y", two)).applyInArrow(lambda a, b: _spanning_links(a, b), "a long, b long")
+    return stash(found.unionByName(own).unionByName(cross).distinct(), "links")
+
+
+def _between(docs: DataFrame, points: DataFrame, pairs: DataFrame, large: DataFrame, roots: DataFrame, size: int) -> DataFrame:
+    """Links (a, b) on whole sets between components, of which candidates are ``pairs`` (a, b) and members (key, node) of large blocks.
+
+    An R-tree of each block that holds several components tells by points alone which may join; so do the pairs. Components that may
+    join form clusters, a node lies in one cluster only, and so each node's whole set travels once, to be compared inside its cluster.
+    """
+    member = large.select("key", "node").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    member = stash(member.join(mixed, "key", "left_semi"), "members")
+    rx, ry = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    apart = pairs.join(rx, "a", "left").join(ry, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
+    apart = stash(apart.where("x <> y"), "apart")
     at = points.where("node is not null").groupBy("node").agg(F.first("point").alias("point"), F.first("n").alias("n"))
-    own = member.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, SEEN).alias("seen"))
-    own = stash(own.join(at, "node"), "own")
-    whole = member.where(F.col("many") <= TREE).select("key", "node", "comp").join(own, "node")
-    whole = whole.groupBy("key").applyInArrow(_block_pairs, "a long, b long")
-    member = member.where(F.col("many") > TREE).select("key", "node", "comp")
-    if not member.head(1):
-        return whole.distinct()
-    member = member.join(own, "node").withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
-    tile = F.floor((F.row_number().over(Window.partitionBy("key", "band").orderBy("n", "node")) - 1) / TILE)
-    member = stash(member.withColumn("tile", tile), "tiles")
-    boxes = member.select("key", "band", "tile", "n", "comp", "point").groupBy("key", "band", "tile")
-    boxes = stash(boxes.applyInArrow(_box, "key long, band int, tile long, least long, lo long, hi long, top binary"), "boxes")
-    names = ("band", "tile", "least", "lo", "hi", "top")
-    x, y = (boxes.select("key", *[F.col(c).alias(f"{c}_{s}") for c in names]) for s in "xy")
-    x = x.withColumn("meet", F.explode(F.array("band_x", F.col("band_x") + 1, F.col("band_x") + 2)))
-    met = x.join(y.withColumnRenamed("band_y", "meet"), ["key", "meet"]).where("meet > band_x or tile_y >= tile_x")
-    met = met.where("not (lo_x = hi_x and lo_y = hi_y and lo_x = lo_y)")
-    met = met.select("key", "band_x", "tile_x", F.col("meet").alias("band_y"), "tile_y", F.col("least_x").alias("nx"), F.col("least_y").alias("ny"), F.col("top_x").alias("x"), F.col("top_y").alias("y"))
-    met = stash(_bound(met).withColumn("pair", F.xxhash64("key", "band_x", "tile_x", "band_y", "tile_y")), "met")
-    names = ("pair", "key", "node", "comp", "n", "point", "seen")
-    sides = [met.select("pair", "key", F.col(f"band_{s}").alias("band"), F.col(f"tile_{s}").alias("tile")).join(member, ["key", "band", "tile"]).select(*names).toDF(*names) for s in "xy"]
-    # a block's name goes with the pair, so that equal hashes of two tile pairs can't mix
-    tiled = sides[0].groupBy("pair", "key").cogroup(sides[1].groupBy("pair", "key")).applyInArrow(_tile_pairs, "a long, b long")
-    return whole.unionByName(tiled).distinct()
+    at = stash(at.join(member.select("node").distinct(), "node", "left_semi"), "points")
+    may = _spanning(member.withColumnRenamed("key", "grp").join(at, "node"))
+    nodes = member.select("node", "comp").unionByName(apart.select(F.col("a").alias("node"), F.col("x").alias("comp"))).unionByName(apart.select(F.col("b").alias("node"), F.col("y").alias("comp")))
+    nodes = stash(nodes.distinct(), "nodes")
+    x, y = (nodes.select(F.col("node").alias(c), F.col("comp").alias(d)) for c, d in ("ax", "by"))
+    cluster = components(may.join(x, "a").join(y, "b").select("x", "y").unionByName(apart.select("x", "y")).toDF("a", "b"))
+    nodes = stash(nodes.join(cluster.select(F.col("node").alias("comp"), F.col("root").alias("grp")), "comp"), "nodes")
+    sets = _whole_sets(docs, points, nodes.select("node"), size)
+    found = _spanning(nodes.join(sets, "node").withColumn("n", F.size("items").cast("long")))
+    discard(member, apart, at, may, nodes, sets, cluster)
+    return found
 
 
 def links(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
@@ -388,30 +429,27 @@ def links(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     points = stash(docs.mapInArrow(_points(size), _POINT), "points")
     keys = docs.select("text").mapInArrow(_keys(size), _KEY)
     met = stash(keys.repartition("spot").sortWithinPartitions("spot", "node").mapInArrow(_buckets, _PAIR), "met")
-    large = stash(met.where("large").groupBy(F.col("a").alias("key"), F.col("b").alias("node")).agg(F.first("na").alias("n")), "large")
-    count = large.groupBy("node").agg(F.count("*").alias("h"), F.first("n").alias("n"))
-    held = stash(count, "held")
+    members = stash(met.where("large").groupBy(F.col("a").alias("key"), F.col("b").alias("node")).agg(F.first("na").alias("n")), "large")
+    held = stash(members.groupBy("node").agg(F.count("*").alias("h"), F.first("n").alias("n")), "held")
     h = [held.select(F.col("node").alias(c), F.col("h").alias(f"h{c}")) for c in "ab"]
     pairs = met.where("not large").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared"))
     pairs = pairs.join(h[0], "a", "left").join(h[1], "b", "left").fillna(0, ["ha", "hb"])
     pairs = pairs.where("shared + least(ha, hb) >= 1 + least(na, nb) div 20").select("a", "b", "na", "nb")
     pairs = stash(_bounded(pairs, points), "candidates")
     stuck = held.where("h > n div 25").select("node")
-    large = stash(large.join(stuck, "node", "left_semi"), "stuck")
+    large = stash(members.join(stuck, "node", "left_semi"), "stuck")
     # first a link for each set to its least neighbour; most groups of copies are whole after it
     lead = large.groupBy("key").agg(F.min("node").alias("b"))
     first = large.join(lead, "key").groupBy(F.col("node").alias("a")).agg(F.min("b").alias("b")).where("a <> b")
     near = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = near.groupBy("a").agg(F.min("b").alias("b")).where("b < a")
-    edges = stash(_verified(docs, points, first.unionByName(near).distinct(), size), "edges")
-    roots = stash(components(edges), "roots")
+    edges = _verified(docs, points, first.unionByName(near).distinct(), size)
+    roots = components(edges)
     # then whatever lies between different components
-    rx, ry = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-    apart = pairs.join(rx, "a", "left").join(ry, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-    rest = _verified(docs, points, apart.unionByName(_tree_pairs(large, points, roots)).distinct(), size)
-    rest = stash(rest, "edges")
+    rest = _between(docs, points, pairs, large, roots, size)
     if rest.head(1):
-        roots = stash(components(edges.unionByName(rest)), "roots")
+        roots = components(edges.unionByName(rest))
+    discard(met, members, held, pairs, large, edges, rest)
     return points, roots
 
 

@@ -1,5 +1,5 @@
 """Intermediate tables in the folder that the whole cluster shares."""
 
-from ..stash import partitions, shared_dir, stash
+from ..stash import discard, partitions, shared_dir, stash
 
-__all__ = ["partitions", "shared_dir", "stash"]
+__all__ = ["discard", "partitions", "shared_dir", "stash"]

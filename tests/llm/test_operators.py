@@ -113,12 +113,27 @@ def test_ngram_join_large_blocks(spark, monkeypatch):
         rows.append((i, f"{shared} {' '.join(own)}"))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = brute_components(rows)
-    for tree, tile in ((4096, 512), (8, 4)):
+    for tree in (4096, 8):  # 8: blocks and clusters are cut into parts
         monkeypatch.setattr(ngram_join, "TREE", tree)
-        monkeypatch.setattr(ngram_join, "TILE", tile)
         assert sorted(map(tuple, ngram_join.ngram_join(df).collect()), key=str) == want
 
 
+def test_ngram_join_emits_a_forest(spark, monkeypatch):
+    """Near copies of one text, which may all join: rows between the steps stay below the members of each block."""
+    base, sent = prose(70, "en", 78).split(), []
+    real = ngram_join._spanning
+    monkeypatch.setattr(ngram_join, "_spanning", lambda m: sent.append((m.count(), m.select("grp").distinct().count(), (out := real(m)).count())) or out)
+    for n in (400, 800):
+        rows, r = [], random.Random(n)
+        for i in range(n):
+            w = list(base)
+            w[r.randrange(70)] = f"edit{i}"
+            rows.append((i, " ".join(w)))
+        got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert sorted(map(tuple, got), key=str) == brute_components(rows)
+    assert len(sent) == 4 and all(links <= members - groups for members, groups, links in sent if members)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 102), (101, 103), (7, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
