@@ -12,7 +12,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .stash import partitions
@@ -65,15 +65,15 @@ def edited(text: str, following: str) -> str:
 
 
 def _pairs(batches):
-    """Rows sorted by (chunk, doc_id descending, text): a row is told the one after it. The last of a chunk is a copy of the next chunk's first."""
+    """Rows sorted by (chunk, copy, order): a row is told the one after it. The last of a chunk is a copy of the next chunk's first. A text is digested once."""
     held = None
     for batch in batches:
         out = []
         for chunk, doc_id, text, copy in zip(*(batch[c].to_pylist() for c in ("chunk", "doc_id", "text", "copy")), strict=True):
+            own = digest(text.encode("utf-8", "surrogatepass"))
             if held is not None and held[0] == chunk and not held[3]:
-                out.append(_row(held[1], held[2], held[4], text))
-            raw = text.encode("utf-8", "surrogatepass")
-            held = chunk, doc_id, text, copy, (raw, digest(raw))
+                out.append(_row(held[1], held[2], held[4], text, own))
+            held = chunk, doc_id, text, copy, own
             if len(out) >= 2000:
                 yield _batch(out)
                 out = []
@@ -81,11 +81,10 @@ def _pairs(batches):
             yield _batch(out)
 
 
-def _row(doc_id, text, known, following):
-    now = edited(text, following)
-    raw = now.encode("utf-8", "surrogatepass")
-    mine, other = known[1], digest(raw)
-    return doc_id, len(text), hashlib.sha256(raw).hexdigest(), mine, other, likeness(mine, other), likeness(mine, digest(following.encode("utf-8", "surrogatepass")))
+def _row(doc_id, text, mine, following, its):
+    raw = edited(text, following).encode("utf-8", "surrogatepass")
+    other = digest(raw)
+    return doc_id, len(text), hashlib.sha256(raw).hexdigest(), mine, other, likeness(mine, other), likeness(mine, its)
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -96,31 +95,54 @@ def _batch(rows):
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], [x.split()[0] for x in _OUT.split(", ")])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def _at_or_above(cuts: list[int], value: Column) -> Column:
+    """How many of ``cuts``, in descending order, lie at or above ``value``: a binary search, so that thousands of cuts cost a dozen steps a row."""
+    table = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+
+    def step(at: Column, width: Column) -> Column:
+        return F.when(F.coalesce(F.get(table, at + width - 1) >= value, F.lit(False)), at + width).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step) if cuts else F.lit(0)
+
+
+def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Digest of each text and of its edited text, with the likeness of both and of the next document's text.
 
-    The next document follows in descending doc_id (null last, equal ids by text); after the last comes the first. A table of one
-    row is its own next. Null text is empty. Repeated rows each give a row. Other columns are ignored. Documents move once, by
-    ranges of doc_id of about equal counts; a range also gets the first document of the next one.
+    The next document follows in descending doc_id (null last, equal ids by hash of the text, then text); after the last comes the first.
+    A table of one row is its own next. Null text is empty. Repeated rows each give a row. Other columns are ignored. Documents move once, by
+    ranges of doc_id of about equal counts, a range a task; a range also gets the first document of the next one. An id (or null) that
+    holds more than a range is cut by the hash of the text.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = docs.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    n = partitions(docs)
-    cuts = ids.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    cuts = sorted({int(c) for c in cuts or []}, reverse=True)
-    # chunk: how many cuts lie at or above the id; null ids come last
-    last = F.lit(len(cuts)).cast("int")
-    chunk = F.when(F.col("doc_id").isNull(), last).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= F.col("doc_id")))) if cuts else last
-    heads = ids.select("doc_id", chunk.alias("chunk")).groupBy("chunk").agg(F.max("doc_id").alias("head")).orderBy("chunk").collect()  # a row a range
-    if not heads:
+    n = parts or partitions(docs)
+    cuts = docs.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
+    cuts = [int(c) for c in cuts or []]
+    # an id between equal cuts has a range of its own
+    alone = {c for c, d in zip(cuts, cuts[1:], strict=False) if c == d}
+    cuts = sorted({*cuts, *(c - 1 for c in alone if c > -(1 << 63))}, reverse=True)
+    last = len(cuts) + 1  # null ids
+    band = F.when(F.col("doc_id").isNull(), last).otherwise(_at_or_above(cuts, F.col("doc_id")))
+    sizes = docs.select(band.alias("band"), "doc_id").groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).collect()  # a row a range
+    if not sizes:
         return docs.sparkSession.createDataFrame([], _OUT)
-    before = {b.chunk: a.chunk for a, b in zip(heads, heads[1:], strict=False)} | {heads[0].chunk: heads[-1].chunk}
-    docs = docs.withColumn("chunk", chunk)
-    moved = docs.select("doc_id", "text", "chunk", F.lit(False).alias("copy"))
-    first = F.lit(None).cast("int")
-    for h in heads:
-        same = (F.col("chunk") == h.chunk) & F.col("doc_id").eqNullSafe(F.lit(h.head).cast("long"))
-        first = F.when(same, F.lit(before[h.chunk])).otherwise(first)
-    firsts = docs.withColumn("to", first).where("to is not null").groupBy("to", "chunk", "doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", F.col("to").alias("chunk"), F.lit(True).alias("copy"))
-    both = moved.unionByName(firsts).repartition("chunk").sortWithinPartitions("chunk", "copy", F.col("doc_id").desc_nulls_last(), "text")
-    return both.mapInArrow(_pairs, _OUT)
+    share = max(1, sum(r.n for r in sizes) // n)
+    pieces, first = [1] * (last + 1), [0] * (last + 1)
+    for r in sizes:
+        if r.lo == r.hi:
+            pieces[r.band] = -(-r.n // share)
+    for i in range(last):
+        first[i + 1] = first[i] + pieces[i]
+    count, start = (F.get(F.split(F.lit(",".join(map(str, x))), ",").cast("array<int>"), F.col("band")) for x in (pieces, first))
+    docs = docs.withColumn("band", band).withColumn("h", F.xxhash64("text"))
+    piece = F.least(F.floor((F.col("h") / float(1 << 64) + 0.5) * count), count - 1)
+    docs = docs.select("doc_id", "text", "h", (start + piece).cast("int").alias("chunk"))
+    heads = docs.select("chunk", "doc_id").groupBy("chunk").agg(F.max("doc_id").alias("head")).orderBy("chunk").collect()  # a row a chunk
+    to = {b.chunk: a.chunk for a, b in zip(heads, heads[1:], strict=False)} | {heads[0].chunk: heads[-1].chunk}
+    table = docs.sparkSession.createDataFrame([(r.chunk, r.head, to[r.chunk]) for r in heads], "of int, head long, to int")
+    firsts = docs.join(F.broadcast(table), (F.col("chunk") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head")))
+    firsts = firsts.groupBy("to", "doc_id").agg(F.min(F.struct("h", "text")).alias("x"))
+    firsts = firsts.select("doc_id", "x.text", "x.h", F.col("to").alias("chunk"), F.lit(True).alias("copy"))
+    both = docs.withColumn("copy", F.lit(False)).unionByName(firsts).repartitionById(heads[-1].chunk + 1, F.col("chunk"))
+    both = both.sortWithinPartitions("chunk", "copy", F.col("doc_id").desc_nulls_last(), "h", "text")
+    return both.select("chunk", "doc_id", "text", "copy").mapInArrow(_pairs, _OUT)
