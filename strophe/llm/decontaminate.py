@@ -6,23 +6,27 @@ can't be similar. A multi-index over the items' fingerprints, cut into ``RADIUS
 all items within ``RADIUS`` bits. Those are verified by exact weighted-shingle similarity: over all shingles, the sum of lesser
 counts by the sum of greater counts, at least ``SIMILAR``.
 
-The benchmark is taken in blocks of at most ``BLOCK`` items, so that what a task holds stays bounded however large it grows.
+The benchmark is taken in blocks of at most about ``BLOCK`` items, a pass each, so that what a task holds stays bounded however large it grows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stash import stash
 from .words import SHINGLE, slices, words
+from .worker import kept
 
 RADIUS = 20
 SIMILAR = 0.8
-BLOCK = 50_000
+BLOCK = 10_000
 _LEAK = "array<struct<item_id:long,similarity:double,start_word:long>>"
 _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64())]))
 
@@ -52,8 +56,11 @@ class Items:
         self.prints = [simhash(s[a:b]) if b > a else None for a, b in zip(first, first[1:], strict=False)]
         item = np.repeat(np.arange(len(ids)), np.diff(first))
         place = np.arange(len(s)) - np.repeat(first[:-1], np.diff(first))
-        order = np.argsort(s, kind="stable")
-        self.shingle, self.item, self.place = s[order], item[order], place[order]
+        # where a window starts and ends follows from the place of a shingle and the item's size, so items that agree in both are one
+        at = np.zeros(len(s), np.dtype([("shingle", np.uint64), ("place", np.int64), ("size", np.int64)]))
+        at["shingle"], at["place"], at["size"] = s, place, self.size[item]
+        at = np.unique(at)
+        self.shingle, self.place, self.width = (np.ascontiguousarray(at[c]) for c in ("shingle", "place", "size"))
         edges = np.linspace(0, 64, RADIUS + 2).astype(int)
         self.blocks = [(int(a), (1 << int(b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
         self.index: dict[tuple[int, int], list[int]] = {}
@@ -83,9 +90,8 @@ def find(items: Items, texts: pa.Array) -> list[list[dict]]:
     many = hi - lo[hit]
     at = np.repeat(hit, many)
     row = np.repeat(lo[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    item = items.item[row]
     doc = np.searchsorted(first, at, "right") - 1
-    n, size = np.diff(w.first)[doc], items.size[item]
+    n, size = np.diff(w.first)[doc], items.width[row]
     start = np.clip(at - first[doc] - items.place[row], 0, np.maximum(n - size, 0))
     best: dict[tuple[int, int], tuple[float, int]] = {}
     for d, x, m in np.unique(np.stack([doc, start, size], 1), axis=0).tolist():
@@ -107,28 +113,46 @@ def find(items: Items, texts: pa.Array) -> list[list[dict]]:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks") -> DataFrame:
-    """``docs`` with an array of (item_id, similarity, start_word) added: the benchmark items that each text holds. No shuffle.
+    """``docs`` with an array of (item_id, similarity, start_word) added, by item_id: the benchmark items that each text holds.
 
     ``docs`` has text, ``benchmark`` has item_id and text. Null, empty and word-less texts hold nothing and are held by nothing. Items
-    of fewer than five words match texts that are just them. Repeated items are each named. Very long texts are read whole.
+    of fewer than five words match texts that are just them. Repeated items are each named, and so are windows of equal likeness by
+    their first start. Very long texts are read whole. One block of items: no shuffle. More of them: a pass over the texts a block, one at
+    a time, and what they find meets the rows.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     blocks = max(1, -(-items.count() // BLOCK))
-    docs = docs.withColumn(column, F.array().cast(_LEAK))
+    if blocks == 1:
+        docs = docs.withColumn(column, F.array().cast(_LEAK))
+        return docs.mapInArrow(_run(_known(items), docs.columns.index(column)), docs.schema)
+    row, found = "_row" + "_" * len(docs.columns), []
+    docs = stash(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect() if blocks > 1 else items.collect()  # at most about BLOCK items
-        known = docs.sparkSession.sparkContext.broadcast((tuple(r.item_id for r in rows), tuple(r.text for r in rows)))
-        docs = docs.mapInArrow(_run(known, docs.columns.index(column)), docs.schema)
-    return docs
+        one = docs.select(row, "text").withColumn("x", F.array().cast(_LEAK))
+        one = one.mapInArrow(_run(_known(items.where(part == k)), 2), one.schema)
+        found.append(stash(one.select(F.col(row).alias("_of"), F.explode("x").alias("x")), "leaks"))
+    every = reduce(DataFrame.unionByName, found).groupBy("_of").agg(F.sort_array(F.collect_list("x")).alias(column))
+    out = docs.join(every, F.col(row) == F.col("_of"), "left").drop(row, "_of")
+    return out.withColumn(column, F.coalesce(column, F.array().cast(_LEAK)))
+
+
+def _known(items: DataFrame):
+    rows = items.orderBy("item_id", "text").collect()  # a block: at most about BLOCK items
+    ids, texts = tuple(r.item_id for r in rows), tuple(r.text for r in rows)
+    name = hashlib.sha256(repr((ids, texts)).encode("utf-8", "surrogatepass")).hexdigest()
+    return items.sparkSession.sparkContext.broadcast((name, ids, texts))
 
 
 def _run(known, at: int):
+    """Each worker holds the index of the block that it last saw."""
+
     def run(batches):
-        items = Items(list(known.value[0]), list(known.value[1]))
+        name, ids, texts = known.value
+        items = kept("items", name, lambda: Items(list(ids), list(texts)))
         for whole in batches:
             for batch in slices(whole):
-                found = [[*a, *b] for a, b in zip(batch.column(at).to_pylist(), find(items, batch["text"]), strict=True)]
-                cols = [*batch.columns[:at], pa.array(found, _ARROW), *batch.columns[at + 1 :]]
+                cols = [*batch.columns[:at], pa.array(find(items, batch["text"]), _ARROW), *batch.columns[at + 1 :]]
                 yield pa.record_batch(cols, batch.schema.names)
 
     return run
