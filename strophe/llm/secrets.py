@@ -3,7 +3,8 @@
 Two first-order character models, of random strings and of ordinary identifiers, are trained from labelled samples: seeded
 draws from the alphabets that keys are written in, and words and joined words of a bounded sample of the corpus with the
 identifiers below. A stretch of 16 or more of ``[A-Za-z0-9+/_=-]`` is a secret where its log-likelihood ratio, a
-character, exceeds ``MARGIN``; stretches that a pattern's span overlaps add nothing.
+character, exceeds ``MARGIN``, and so is the likeliest part of one (a key behind a path or a name) whose sum is ``SURE`` beyond that.
+Characters of a pattern's span add nothing; what it leaves of a stretch is judged by itself.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _NAMES = re.compile(r"passw(?:or)?d|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 LEAST = 16
 MARGIN = 0.9
+#: What a part of a stretch must have beyond ``MARGIN``, in all, where the whole stretch isn't a secret.
+SURE = 12.0
 #: Rows of the corpus from which ordinary words are taken, those with the least hash of doc_id.
 SAMPLE = 400
 _ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_")
@@ -78,22 +81,50 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def _points(raw: bytes, text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Byte runs of ASCII characters as code point spans."""
-    if len(raw) == len(text):
+    if len(raw) == len(text) or not runs:
         return runs
-    return [(a := len(raw[:x].decode("utf-8", "surrogatepass")), a + y - x) for x, y in runs]
+    before = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])  # code points before each byte
+    return [(a := int(before[x]), a + y - x) for x, y in runs]
+
+
+def _taken(raw: bytes, text: str, base: list) -> np.ndarray:
+    """Which bytes of a text lie in base spans."""
+    edge = np.zeros(len(raw) + 1, np.int64)
+    if base:
+        at = np.array([s[1:] for s in base], np.int64)
+        if len(raw) != len(text):  # code points to bytes
+            start = np.append(np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80), len(raw))
+            at = start[at]
+        np.add.at(edge, at[:, 0], 1)
+        np.add.at(edge, at[:, 1], -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def likeliest(score: np.ndarray, least: int = LEAST) -> tuple[int, int, float]:
+    """(from, to, sum) of the stretch of at least ``least`` scores with the largest sum."""
+    total = np.concatenate([[0.0], np.cumsum(score)])
+    low = np.minimum.accumulate(total[: len(total) - least])
+    gain = total[least:] - low
+    end = int(gain.argmax())
+    return int(total[: end + 1].argmin()), end + least, float(gain[end])
 
 
 def spans(text: str, ratio: np.ndarray, margin: float = MARGIN) -> tuple[list, list]:
-    """(base spans, all spans)."""
+    """(base spans, all spans). What a base span leaves of a stretch is judged by itself; linear in the text."""
     base = base_spans(text)
     raw = text.encode("utf-8", "surrogatepass")
     b = np.frombuffer(raw, np.uint8)
-    more = []
-    for x, y in _runs(_CLASS[b], LEAST):
+    found = []
+    for x, y in _runs(_CLASS[b] & ~_taken(raw, text, base), LEAST):
         part = b[x:y].astype(np.int64)
-        if ratio[np.concatenate([[0], part[:-1]]), part].sum() > margin * (y - x):
-            more += [("markov", *s) for s in _points(raw, text, [(x, y)])]
-    more = [m for m in more if not any(m[1] < e and s < m[2] for _, s, e in base)]
+        score = ratio[np.concatenate([[0], part[:-1]]), part] - margin
+        if score.sum() > 0:
+            found.append((x, y))
+            continue
+        a, e, gain = likeliest(score)
+        if gain > SURE:
+            found.append((x + a, x + e))
+    more = [("markov", *s) for s in _points(raw, text, found)]
     return base, sorted([*base, *more], key=lambda s: (s[1], KINDS.index(s[0])))
 
 
