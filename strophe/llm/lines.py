@@ -1,7 +1,7 @@
 """Operator 7: line dedup by site-relative frequency, in DataFrame functions only.
 
 Pages and lines are grouped by host; a line that more than ``ratio`` of a host's pages contain, and at least ``pages`` of them, is
-boilerplate of that host and leaves all its pages. Lines are compared without blanks at their ends, by 64-bit hash; blank lines stay.
+boilerplate of that host and leaves all its pages. Lines are compared without blanks at their ends, by 60-bit hash; blank lines stay.
 """
 
 from __future__ import annotations
@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 
 from .stash import stash
 
-RATIO = 0.1
+#: See the README for the gap that the ratio lies in.
+RATIO = 0.01
 PAGES = 5
-#: Ratio of the pipeline's stage, over distinct pages: see the README for the gap that it lies in.
-STAGE_RATIO = 0.01
-#: Boilerplate lines that may be broadcast; beyond it pages are joined line by line.
+#: Boilerplate lines that may be broadcast, and lines of a host that each of its lines is compared with; beyond that, pages are joined line by line.
 SMALL = 500_000
+FEW = 500
 
 
 def _key(line: Column) -> Column:
-    return F.xxhash64(F.btrim(line, F.lit(" \t\r")))
+    return F.conv(F.substring(F.md5(F.btrim(line, F.lit(" \t\r"))), 1, 15), 16, 10).cast("long")
 
 
 def _lines(text: Column) -> Column:
@@ -31,7 +31,7 @@ def _blank(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r")) == ""
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = PAGES, copies: bool = True) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = PAGES, copies: bool = False) -> DataFrame:
     """(host, line): hashes of each host's boilerplate lines.
 
     Without ``copies`` exact copies of a page count once among the host's pages, and for a line once count all pages with one least hash
@@ -66,32 +66,45 @@ def _over_distinct(pages: DataFrame, host: Column, text: Column, keys: Column, r
 
 
 def line_dedup(
-    pages: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = PAGES, dropped: str | None = None, small: int = SMALL, copies: bool = True
+    pages: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = PAGES, dropped: str | None = None, small: int = SMALL, few: int = FEW, copies: bool = False
 ) -> DataFrame:
     """``pages`` with boilerplate lines gone from ``text``; the other columns unchanged, ``dropped`` (if named) added: lines that left.
 
     Null text stays null; a null host is a host; an empty text stays empty; a text of boilerplate only becomes empty. A line counts once a
-    page however often it is repeated, and all its repeats leave. Each row is a page, repeated rows too, unless ``copies`` is off (see ``boilerplate``). No text is shuffled while a host's
-    lines fit a broadcast of ``small`` hashes in all; more than that, lines meet hashes in a join.
+    page however often it is repeated, and all its repeats leave. Copies of a page count once, repeated rows too, unless ``copies`` says
+    that each row is a page of its own (see ``boilerplate``). No text of a host with up to ``few`` such lines is shuffled while all of them
+    fit a broadcast of ``small`` hashes; elsewhere lines meet hashes in a join.
     """
     bad = stash(boilerplate(pages, host, text, ratio, least, copies), "boilerplate")
     a, b, c = (_free(pages, x) for x in ("_host", "_bad", "_lines"))
     lines = _lines(F.col(text).cast("string"))
-    if bad.count() <= small:
+    sizes = stash(bad.groupBy("host").agg(F.count("*").alias("n")), "hosts")
+    all_few = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)) <= small, F.coalesce(F.max("n"), F.lit(0)) <= few).first()
+    many = sizes.where(F.col("n") > (few if all_few[0] else 0)).select(F.col("host").alias(b))
+    here = F.col(host).cast("string")
+
+    def by_array(rows: DataFrame) -> DataFrame:
         sets = bad.groupBy(F.col("host").alias(a)).agg(F.collect_set("line").alias(b))
-        out = pages.join(F.broadcast(sets), F.col(host).cast("string").eqNullSafe(F.col(a)), "left")
-        kept = F.when(F.col(b).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col(b), _key(x)) | _blank(x)))
-        out = out.withColumn(c, kept)
-    else:
-        rows = stash(pages.withColumn(a, F.expr("uuid()")), "pages")
-        each = rows.select(F.col(a), F.col(host).cast("string").alias("h"), F.posexplode(lines).alias("pos", "line"))
+        out = rows.join(F.broadcast(sets.where(F.size(b) <= few)), here.eqNullSafe(F.col(a)), "left")
+        return out.withColumn(c, F.when(F.col(b).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col(b), _key(x)) | _blank(x))))
+
+    def by_join(rows: DataFrame) -> DataFrame:
+        rows = stash(rows.withColumn(a, F.expr("uuid()")), "pages")
+        each = rows.select(F.col(a), here.alias("h"), F.posexplode(lines).alias("pos", "line"))
         kept = each.join(bad, each["h"].eqNullSafe(bad["host"]) & (_key(each["line"]) == bad["line"]) & ~_blank(each["line"]), "left_anti")
         kept = kept.groupBy(F.col(a).alias(b)).agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias(c))
-        out = rows.join(kept, F.col(a) == F.col(b), "left").withColumn(c, F.coalesce(F.col(f"{c}.line"), F.when(F.col(text).isNotNull(), F.array().cast("array<string>"))))
+        return rows.join(kept, F.col(a) == F.col(b), "left").withColumn(c, F.coalesce(F.col(f"{c}.line"), F.when(F.col(text).isNotNull(), F.array().cast("array<string>"))))
+
     names = [F.array_join(F.col(c), "\n").alias(x) if x == text else F.col(x) for x in pages.columns]
     if dropped:
         names.append((F.size(lines) - F.size(c)).cast("long").alias(dropped))
-    return out.select(*names)
+    if all(all_few):
+        return by_array(pages).select(*names)
+    if not all_few[0]:
+        return by_join(pages).select(*names)
+    many = F.broadcast(many)  # each has over ``few`` of at most ``small`` lines
+    apart = here.eqNullSafe(F.col(b))
+    return by_array(pages.join(many, apart, "left_anti")).select(*names).unionByName(by_join(pages.join(many, apart, "left_semi")).select(*names))
 
 
 def _free(df: DataFrame, name: str) -> str:
@@ -100,14 +113,21 @@ def _free(df: DataFrame, name: str) -> str:
     return name
 
 
+_HASH = "('0x' || substr(md5(x), 1, 15))::BIGINT"
 SQL = f"""
-WITH d AS (SELECT doc_id, source, string_split(text, chr(10)) AS ls, text FROM documents),
-e AS (SELECT source, unnest(list_distinct(list_filter(list_transform(ls, lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''))) AS line FROM d),
-n AS (SELECT source, line, count(*) AS n FROM e GROUP BY source, line),
-t AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
-b AS (SELECT n.source, list(n.line) AS bad FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source WHERE n.n >= {PAGES} AND n.n > {RATIO} * t.pages GROUP BY n.source),
+WITH d AS (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents),
+h AS (SELECT source, list_sort(list_distinct(list_transform(list_filter(list_transform(ls, lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''), lambda x: {_HASH}))) AS ks FROM d),
+e AS (SELECT source, unnest(ks) AS line, ks FROM h),
+t AS (SELECT source, count(*) AS pages FROM (SELECT DISTINCT source, text FROM documents) GROUP BY source),
+s AS (SELECT e.source, e.line FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source GROUP BY ALL HAVING count(*) >= {PAGES} AND count(*) > {RATIO}::DOUBLE * any_value(t.pages)),
+r AS (SELECT e.source, e.line, CASE WHEN ks[1] = e.line THEN ks[2] ELSE ks[1] END AS a, CASE WHEN ks[-1] = e.line THEN ks[len(ks) - 1] ELSE ks[-1] END AS z
+  FROM e JOIN s ON e.source IS NOT DISTINCT FROM s.source AND e.line = s.line),
+c AS (SELECT *, count(*) AS n FROM r GROUP BY ALL),
+m AS (SELECT source, line, z FROM c QUALIFY row_number() OVER (PARTITION BY source, line, a ORDER BY n DESC, z DESC NULLS LAST) = 1),
+p AS (SELECT source, line, count(*) AS n FROM (SELECT DISTINCT source, line, z FROM m) GROUP BY source, line),
+b AS (SELECT p.source, list(p.line) AS bad FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source WHERE p.n >= {PAGES} AND p.n > {RATIO}::DOUBLE * t.pages GROUP BY p.source),
 k AS (SELECT d.doc_id, d.source, len(d.ls) AS n, CASE WHEN b.bad IS NULL THEN d.ls
-    ELSE list_filter(d.ls, lambda x: NOT list_contains(b.bad, trim(x, ' ' || chr(9) || chr(13)))) END AS kept
+    ELSE list_filter(d.ls, lambda y: len(list_filter([trim(y, ' ' || chr(9) || chr(13))], lambda x: x <> '' AND list_contains(b.bad, {_HASH}))) = 0) END AS kept
   FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, source, CAST(n AS BIGINT) AS n_lines, CAST(n - len(kept) AS BIGINT) AS n_dropped, md5(array_to_string(kept, chr(10))) AS text_md5 FROM k
 """
