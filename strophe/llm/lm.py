@@ -3,35 +3,33 @@
 Tokens are words and one end a document. The model predicts a unit from the two units before it: the ``TOP`` most frequent
 words are units of their own, every other word belongs to one of ``SHAPES`` units by its last bytes. A context's vector is the
 sum of its units' vectors, each scaled by place; its product with a unit's vector, plus a bias, is the unit's score. Scores
-are normalised over all units (the normaliser of each pair of units is worked out once a worker by batched matrix products), and a word
+are normalised over all units (the normaliser of each pair of units is worked out once, rows of them in each task, by batched matrix products), and a word
 inside its unit has add-half probability, so texts get log-probabilities over an open vocabulary.
 
-Counts cover all training documents and are joined, not collected: the ``WIDE`` most frequent words travel to the tasks, the
+Counts cover all training documents and are joined, not collected: at most the ``WIDE`` most frequent words travel to the tasks, the
 rest of each document's words meet their counts in a shuffle. Training takes a pass over all training documents; each
-partition runs AdaGrad from the same start, and parameters are averaged by tokens.
+partition runs AdaGrad from the same start, and parameters are averaged by tokens. What a partition draws is keyed by its number, so
+scores repeat for one way of splitting the table into partitions and differ a little for another; the other columns don't.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .stash import stash
+from .stash import partitions, stash
 from .words import mix, slices, words
 
-TOP = 512
+TOP = 1024
 SHAPES = 256
 WIDE = 262_144
 DIM = 16
 NOISE = 32
 BATCH = 1024
 END = int(mix(np.array([1], np.uint64)).view(np.int64)[0])
-_NORMS: dict[str, np.ndarray] = {}
 
 
 def tokens(texts: pa.Array):
@@ -124,15 +122,14 @@ class Model:
             at += x.size
         return self
 
+    def norm(self, u: int) -> np.ndarray:
+        """log of the sum over units of exp(score), after ``u`` and each unit before it."""
+        s = (self.C[0] * self.R[u] + self.C[1] * self.R) @ self.Q.T + self.b
+        top = s.max(1)
+        return np.log(np.exp(s - top[:, None]).sum(1)) + top
+
     def norms(self) -> np.ndarray:
-        """log of the sum over units of exp(score), for each pair of context units."""
-        out = np.empty((len(self.R), len(self.R)), np.float32)
-        second = self.C[1] * self.R
-        for u in range(len(self.R)):
-            s = (self.C[0] * self.R[u] + second) @ self.Q.T + self.b
-            top = s.max(1)
-            out[u] = np.log(np.exp(s - top[:, None]).sum(1)) + top
-        return out
+        return np.stack([self.norm(u) for u in range(len(self.R))])
 
     def score(self, u, u1, u2, norm) -> np.ndarray:
         """Normalised natural log-probability of each unit after its context."""
@@ -209,15 +206,22 @@ def _train(units: Units, unigram: np.ndarray):
     return run
 
 
-def _score(units: Units, unigram, flat, log_class):
-    name = hashlib.sha256(flat.tobytes()).hexdigest()
+def norm_table(spark: SparkSession, unigram: np.ndarray, flat: np.ndarray, parts: int) -> np.ndarray:
+    """``Model.norms``, a task some rows of it: (units + 1) squared numbers, whatever the corpus."""
 
     def run(batches):
         model = Model(unigram).load(flat)
-        if name not in _NORMS:
-            _NORMS.clear()
-            _NORMS[name] = model.norms()
-        norm, row, part = _NORMS[name], 0, TaskContext.get().partitionId() << 33
+        for batch in batches:
+            yield pa.record_batch([batch["id"], pa.array([model.norm(u).tobytes() for u in batch["id"].to_pylist()], pa.binary())], ["id", "norm"])
+
+    rows = spark.range(0, len(unigram) + 1, 1, parts).mapInArrow(run, "id long, norm binary").collect()
+    return np.stack([np.frombuffer(r.norm, np.float32) for r in sorted(rows, key=lambda r: r.id)])
+
+
+def _score(units: Units, unigram, flat, log_class, norms):
+    def run(batches):
+        model, norm = Model(unigram).load(flat), norms.value
+        row, part = 0, TaskContext.get().partitionId() << 33
         for whole in batches:
             for batch in slices(whole):
                 ids, shape, first = tokens(batch["text"])
@@ -248,6 +252,19 @@ def _score(units: Units, unigram, flat, log_class):
     return run
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words of ``counts`` (n, ...) above the least count that at most ``most`` words reach, by a histogram of a few hundred bins."""
+    bins = F.floor(F.log2("n") * 8)
+    sizes = {r.bin: r.words for r in counts.groupBy(bins.alias("bin")).agg(F.count("*").alias("words")).collect()}  # a row a bin
+    total, least = 0, None
+    for b in sorted(sizes, reverse=True):
+        total += sizes[b]
+        if total > most:
+            break
+        least = b
+    return counts.where(bins >= least) if least is not None else counts.limit(0)
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; learned where crc32(doc_id) mod 5 is not 1.
 
@@ -260,7 +277,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     train = docs.where(~F.col("held_out")).select("text")
     counts = stash(train.mapInArrow(_count, "word long, shape int, n long").groupBy("word").agg(F.first("shape").alias("shape"), F.sum("n").alias("n")), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    wide = counts.orderBy(F.desc("n"), "word").limit(WIDE).select("word", "n", "shape").toPandas()  # at most WIDE rows
+    wide = frequent(counts, WIDE).select("word", "n", "shape").toPandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)  # at most WIDE rows
     word, n = wide["word"].to_numpy(np.int64), wide["n"].to_numpy(np.int64)
     units = Units(word[:TOP], word, n)
     rest = counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()  # a row a shape
@@ -277,7 +294,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     pack = lambda f, *a: (lambda batches: f(known.value, *a)(batches))
     found = train.mapInArrow(pack(_train, unigram), "i int, v double, w long").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).orderBy("i").toPandas()
     flat = found["v"].to_numpy(np.float64) if len(found) else Model(unigram).flat()
-    out = docs.mapInArrow(pack(_score, unigram, flat, log_class), "rid long, doc_id long, held_out boolean, n_tokens long, part double, logs double, known long, rare array<long>, times array<int>")
+    norms = spark.sparkContext.broadcast(norm_table(spark, unigram, flat, partitions(docs)))
+    out = docs.mapInArrow(pack(_score, unigram, flat, log_class, norms), "rid long, doc_id long, held_out boolean, n_tokens long, part double, logs double, known long, rare array<long>, times array<int>")
     out = stash(out, "scores")
     # words beyond the frequent ones meet their counts here
     rare = out.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
