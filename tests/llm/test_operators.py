@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from strophe.llm import decontaminate, fingerprint, graph, language, lines, lm, mixture, ngram_join, quality, secrets, tokens
@@ -167,11 +168,20 @@ def test_decontamination(spark, docs, none):
 
 
 def test_decontamination_in_blocks(spark, monkeypatch):
-    items = [(i, prose(20, "en", 700 + i)) for i in range(9)]
-    monkeypatch.setattr(decontaminate, "BLOCK", 4)
-    d = spark.createDataFrame(items, "doc_id long, text string")
-    got = decontaminate.contamination(d, spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(9)]
+    shared = prose(12, "en", 650)  # a passage that every item holds, at its start or in its midst
+    items = [(i, f"{shared} {prose(20, 'en', 700 + i)}" if i % 2 else f"{prose(9, 'en', 690 + i)} {shared} {prose(9, 'en', 720 + i)}") for i in range(9)] + [(3, None), (9, "too short")]
+    rows = [*items, items[4], (None, items[5][1]), (50, f"{shared} and more"), (51, ""), (52, f"{items[1][1]} {items[1][1]} {items[2][1]}")]
+    d = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, leaks string, _row int")
+    bench = spark.createDataFrame([*items, (30, items[1][1])], "item_id long, text string")
+    whole = decontaminate.contamination(d, bench).collect()
+    assert sum(r.doc_id == 4 for r in whole) == 2 and [r.item_id for r in whole if r.doc_id is None] == [5]
+    assert {(r.item_id, r.start_word) for r in whole if r.doc_id == 52} == {(1, 0), (30, 0), (2, 64)}  # the first of equal windows
+    kept = sorted(map(tuple, decontaminate.clean(d, bench).collect()), key=str)
+    assert [r[0] for r in kept] == [3, 50, 51]
+    monkeypatch.setattr(decontaminate, "BLOCK", 4)  # three blocks
+    assert sorted(decontaminate.contamination(d, bench).collect(), key=str) == sorted(whole, key=str)
+    again = decontaminate.clean(d, bench)
+    assert again.columns == d.columns and sorted(map(tuple, again.collect()), key=str) == kept
 
 
 def test_multi_index_finds_all_within_radius():
@@ -184,16 +194,33 @@ def test_multi_index_finds_all_within_radius():
         assert sorted(items.within(q)) == [i for i, x in enumerate(items.prints) if (x ^ q).bit_count() <= decontaminate.RADIUS]
 
 
-def test_fingerprints(spark, rows, docs, none):
-    got = fingerprint.fingerprints(docs).collect()
-    assert len(got) == len(rows)
-    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+def fingerprints_by_hand(rows):
+    h = lambda t: (x := xxhash.xxh64_intdigest(t.encode(), 42)) - (x >> 63 << 64)
+    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is None, -(r[0] or 0), h(r[1]), r[1]))
     want = []
     for i, (k, t) in enumerate(order):
         after = order[(i + 1) % len(order)][1]
         e = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
         a, b, c = (fingerprint.digest(x.encode()) for x in (t, e, after))
         want.append((k, len(t), hashlib.sha256(e.encode()).hexdigest(), a, b, round(fingerprint.likeness(a, b), 9), round(fingerprint.likeness(a, c), 9)))
+    return want
+
+
+def test_fingerprints_in_many_ranges(spark):
+    """Thousands of ranges, ids that many rows share, null ids."""
+    rows = [(i * 7, f"text {i}") for i in range(300)] + [(140, f"same id {i}") for i in range(150)] + [(None, f"no id {i}") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda x: (str(x[0]), *x[1:])
+    want = sorted(fingerprints_by_hand(rows), key=key)
+    got = sorted(((*r[:5], round(r[5], 9), round(r[6], 9)) for r in map(tuple, fingerprint.fingerprints(df, 40).collect())), key=key)
+    assert got == want
+    fingerprint.fingerprints(df, 5000).explain()  # the plan is built whatever the number of ranges
+
+
+def test_fingerprints(spark, rows, docs, none):
+    got = fingerprint.fingerprints(docs).collect()
+    assert len(got) == len(rows)
+    want = fingerprints_by_hand(rows)
     key = lambda x: (str(x[0]), *x[1:])
     assert sorted(((*r[:5], round(r[5], 9), round(r[6], 9)) for r in map(tuple, got)), key=key) == sorted(want, key=key)
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
@@ -283,17 +310,28 @@ def test_mixture(rows, docs, none):
 
 
 def test_line_dedup(spark, none):
-    rows = [(i, f"own line {i}\nMENU \nmenu\n\n MENU\nshared {i % 2}", "h" if i < 20 else None) for i in range(40)] + [(50, None, "h"), (51, "", "h"), (52, "MENU", "h"), (53, "MENU", "x")]
+    rows = [(i, f"own line {i}\nMENU \nmenu\n\n MENU\nshared {i % 2}", "h" if i < 20 else None) for i in range(40)] + [(50, None, "h"), (51, "", "h"), (52, "MENU", "h"), (53, "MENU", "x"), (3, "own line 3\nMENU \nmenu\n\n MENU\nshared 1", "h")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "id long, body string, host string, _bad string")
-    for small in (1000, 0):
-        got = {r.id: r for r in lines.line_dedup(df, "host", "body", ratio=0.6, dropped="gone", small=small).collect()}
+    for few, small in ((500, 1000), (2, 1000), (500, 0)):  # all by arrays; each way for some hosts; all by joins
+        got = lines.line_dedup(df, "host", "body", ratio=0.6, dropped="gone", few=few, small=small, copies=True).collect()
         assert len(got) == len(rows)
-        assert got[3].body == "own line 3\nmenu\n\nshared 1" and got[3].gone == 2 or "menu" not in got[3].body
+        assert [(r.body, r.gone) for r in got if r.id == 3] == [("own line 3\n\nshared 1", 3)] * 2  # a repeated row goes the same way
+        got = {r.id: r for r in got}
+        assert got[30].body == "own line 30\n\nshared 0" and got[30]._bad == "x"
         assert got[50].body is None and got[51].body == "" and got[52].body == "" and got[53].body == "MENU"
     assert lines.line_dedup(none, "source", "text").count() == 0
     assert lines.line_dedup(none, "source", "text").columns == none.columns
 
 
+def test_line_dedup_counts_copies_once(spark):
+    page = "\n".join(f"a line of the one page {i}" for i in range(5))
+    rows = [(i, page) for i in range(30)] + [(100 + i, "\n".join(f"page {i} line {j}" for j in range(5))) for i in range(60)]
+    df = spark.createDataFrame([(*r, "h") for r in rows], "id long, body string, host string")
+    got = {r.id: r.body for r in lines.line_dedup(df, "host", "body").collect()}
+    assert got == dict(rows)
+    assert lines.line_dedup(df, "host", "body", copies=True).where("body = ''").count() == 30
+
+
 def test_language(rows, docs, none):
     got = {(r.doc_id, r.held_out): r for r in language.language_id(docs).collect()}
     for r in rows:
@@ -337,13 +375,42 @@ def test_quality(spark, none):
     assert sum(r.keep for r in quality.importance_sample(d, labels.limit(0), keep=0.5).collect()) == round(0.5 * len(rows))
 
 
-def test_kth_largest(spark):
+def test_first_rows(spark):
     r = random.Random(2)
     rows = [(i, float(r.choice([1, 2, 3, r.random()]))) for i in range(500)]
     df = spark.createDataFrame(rows, "id long, x double").cache()
     for k in (0, 1, 77, 250, 499, 500):
         want = {i for i, _ in sorted(rows, key=lambda t: (-t[1], t[0]))[:k]}
-        assert {q.id for q in df.where(quality.kth_largest(df, "x", "id", k)).collect()} == want
+        assert {q.id for q in df.where(quality.first_rows(df, [F.col("x"), -F.col("id")], k)).collect()} == want
+
+
+def test_quality_keeps_as_many_as_are_due(spark, monkeypatch):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    same = [(1, "one text of one id")] * 300
+    nulls = [(None, "a text without an id")] * 300 + [(i, f"text {i}") for i in range(1000)]
+    for last in (10_000, 5):
+        monkeypatch.setattr(quality, "_LAST", last)
+        for rows, keep in ((same, 0.5), (nulls, 0.85)):
+            got = quality.importance_sample(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), labels, keep=keep).collect()
+            assert sum(r.keep for r in got) == round(keep * len(rows))
+
+
+def test_quality_weights_by_hand(spark):
+    rows = [(i, prose(30, "en" if i % 2 else "de", i)) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    grams = {}
+    for i, t in rows:
+        f, first = quality.ngrams(pa.array([t]))
+        assert first.tolist() == [0, 59]
+        grams[i] = f
+    raw, target = (np.bincount(np.concatenate([grams[i] for i in ids]), minlength=quality.BUCKETS).astype(float) for ids in (range(40), range(1, 20, 2)))
+    p = (raw + 0.5) / (raw.sum() + 0.5 * quality.BUCKETS)
+    q = (target + 0.05 * target.sum() * p) / (1.05 * target.sum())
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for per_ngram in (False, True):
+        for r in quality.importance_sample(df, labels, per_ngram=per_ngram).collect():
+            want = np.log(q[grams[r.doc_id]] / p[grams[r.doc_id]])
+            assert r.log_weight == pytest.approx(want.mean() if per_ngram else want.sum())
 
 
 def test_secrets(spark, rows, docs, none):
@@ -367,6 +434,54 @@ def test_secrets(spark, rows, docs, none):
     assert secrets.secret_scan(none).count() == 0
 
 
+def test_lm_beats_its_base_on_held_out_texts(spark):
+    """Words whose order tells what comes next: the model's probability of texts that it didn't learn from is the higher one."""
+    r, rows = random.Random(8), []
+    for i in range(400):
+        w = [r.choice("abc")]
+        while len(w) < 120:
+            w.append(chr(ord(w[-1]) + 1) if w[-1] < "h" and r.random() < 0.9 else r.choice("abc"))
+        rows.append((i, " ".join(w)))
+    got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).where("held_out").collect()
+    assert len(got) > 40 and all(x.score > x.base_score for x in got)
+    gain = sum(x.score - x.base_score for x in got) / sum(x.n_tokens for x in got)
+    assert gain > 0.1
+
+
+def test_frequent_words_are_bounded(spark):
+    counts = spark.createDataFrame([(w, n) for w, n in enumerate([1] * 500 + [2] * 50 + [7] * 20 + [100, 90])], "word long, n long")
+    for most in (0, 1, 25, 80, 571, 572):
+        got = [r.n for r in lm.frequent(counts, most).collect()]
+        rest = sorted((r.n for r in counts.collect()), reverse=True)
+        assert len(got) <= most and sorted(got, reverse=True) == rest[: len(got)]
+    assert lm.frequent(counts, 572).count() == 572 and lm.frequent(counts, 80).count() == 72
+
+
+def test_long_texts_of_spans_and_keys_inside_runs():
+    ratio = secrets.fit(prose(3000).split(), seed=1)
+    key = "q8Zt3LmX0vB7nR2kYw5Hs9DcPz4T"
+    words_ = prose(6, "en", 5).lower().replace(" ", "-")
+    text = f"é{words_}/{words_}/{key}/{words_}"
+    found = secrets.spans(text, ratio)[1]
+    at = text.index(key)
+    assert len(found) == 1 and at - 2 <= found[0][1] and found[0][2] <= at + len(key) + 2 and found[0][2] - found[0][1] >= 18
+    after = f"é token=abcdefghijkl {'x' * 3} deadbeefdeadbeef0/{key}"
+    kinds = [k for k, _, _ in secrets.spans(after, ratio)[1]]
+    assert kinds == ["assign", "hex", "markov"]
+    many = "é " + " ".join(f"deadbeefdeadbeef{i:06d} {key[i % 5:]}" for i in range(20_000))
+    base, every = secrets.spans(many, ratio)  # linear: the square would take minutes
+    assert len(base) == 20_000 and len(every) == 40_000
+    assert all(many[a:b].startswith("deadbeef") for _, a, b in base)
+
+
+@pytest.mark.parametrize("symbols", ["ABCDEFGHJKMNPQRSTVWXYZ0123456789", "abcdefghjkmnpqrstuvwxyz23456789", "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"])
+def test_markov_finds_other_alphabets(symbols):
+    """Base-32 and base-58 symbols that no training alphabet consists of."""
+    ratio = secrets.fit(prose(3000).split(), seed=1)
+    r = np.random.Generator(np.random.PCG64(7))
+    assert sum(len(secrets.spans("".join(r.choice(list(symbols), 26)), ratio)[1]) > 0 for _ in range(200)) >= 180
+
+
 def test_markov_accuracy():
     ratio = secrets.fit(prose(3000).split(), seed=1)
     r = np.random.Generator(np.random.PCG64(99))
