@@ -17,8 +17,10 @@ CONSONANTS = ("B", "CH", "D", "DH", "F", "G", "HH", "JH", "K", "L", "M", "N", "N
 
 
 def phonemes(spark) -> DataFrame:
-    """(symbol, id, is_vowel): padding is 0, then vowels by stress, then consonants."""
-    rows = [("<PAD>", False), *((f"{v}{s}", True) for v in VOWELS for s in (0, 1, 2)), *((c, False) for c in CONSONANTS)]
+    """(symbol, id, is_vowel): padding is 0, then all phonemes by name, a vowel once for each stress."""
+    rows = [("<PAD>", False)]
+    for p in sorted(VOWELS + CONSONANTS):
+        rows += [(f"{p}{s}", True) for s in (0, 1, 2)] if p in VOWELS else [(p, False)]
     return spark.createDataFrame([(s, i, v) for i, (s, v) in enumerate(rows)], "symbol string, id int, is_vowel boolean")
 
 

@@ -25,10 +25,10 @@ def classify(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 
 def window_schemes(suffixes: Column) -> Column:
-    """The scheme of each run of four suffixes of an array."""
-    n = F.size(suffixes)
-    at = F.when(n >= 4, F.sequence(F.lit(0), F.greatest(n - 4, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: classify(*(F.get(suffixes, i + k) for k in range(4))))
+    """The scheme of each run of four suffixes of an array, from four shifted slices: the array is made a few times a row, not once a line."""
+    n = F.greatest(F.size(suffixes) - 3, F.lit(0))
+    runs = F.arrays_zip(*[F.slice(suffixes, k + 1, n) for k in range(4)])
+    return F.transform(runs, lambda x: classify(*(x.getField(str(k)) for k in range(4))))
 
 
 def groups(scheme: str, lines: int, table: dict[str, str | None] = SCORING) -> list[int]:

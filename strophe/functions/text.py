@@ -16,6 +16,8 @@ CONTRACTION = r"(?i)\b\w+'\w+\b|\b\w+in'\b|\bain't\b|\bgon'\b|\btryna\b|\bfinna\
 BREAK = r"(?i),\s+|\s+and\s+|\s+but\s+|\s+'cause\s+|\s+then\s+|\s+so\s+|\s+like\s+"
 PUNCTUATION = r"""[.,!?;:'"()\-]"""
 END_PUNCTUATION = r"""[.,!?;:'"()\-—…]"""
+#: Whatever ends a line of a fetched text; rules for generated and augmented text know line feeds only.
+LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
 
 def strip(c: Column) -> Column:
@@ -27,9 +29,14 @@ def raw_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def stripped_lines(text: Column) -> Column:
-    """Stripped lines that hold something, in order."""
-    return F.filter(F.transform(raw_lines(text), strip), lambda x: x != "")
+def split_lines(text: Column) -> Column:
+    """Lines by any line end; an empty text still has one empty line, which every rule here drops."""
+    return F.split(text, LINE_END, -1)
+
+
+def stripped_lines(text: Column, fed_only: bool = False) -> Column:
+    """Stripped lines that hold something, in order; with ``fed_only`` line feeds alone end lines."""
+    return F.filter(F.transform(raw_lines(text) if fed_only else split_lines(text), strip), lambda x: x != "")
 
 
 def is_header(line: Column) -> Column:
@@ -45,7 +52,7 @@ def contains_any(line: Column, parts: tuple[str, ...]) -> Column:
 
 def page_lines(text: Column) -> Column:
     """Lines of a fetched lyrics page: the title line, headers, page noise and short non-letters leave."""
-    lines = raw_lines(text)
+    lines = split_lines(text)
     lines = F.when(lines[0].contains("Lyrics"), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
     keep = lambda x: (x != "") & ~is_header(x) & ~x.rlike(PAGE_NOISE) & ((F.length(x) >= 3) | x.rlike(r"^\p{L}"))
     return F.filter(F.transform(lines, strip), keep)
@@ -76,7 +83,7 @@ def verse_lines(text: Column) -> Column:
 
 def generated_lines(text: Column, most: int) -> Column:
     """Lines before the first stop line, without meta lines and single characters, at most ``most``."""
-    lines = stripped_lines(text)
+    lines = stripped_lines(text, fed_only=True)
     stop = F.array_position(F.transform(lines, lambda x: x.rlike(STOP_LINE)), True)
     head = F.when(stop > 0, F.slice(lines, 1, (stop - 1).cast("int"))).otherwise(lines)
     meta = lambda x: F.lit(False) if not META_PREFIXES else _starts(x)
@@ -92,7 +99,7 @@ def _starts(x: Column) -> Column:
 
 def first_lines(text: Column, most: int) -> Column:
     """The first non-blank lines, as they are."""
-    return F.slice(F.filter(raw_lines(text), lambda x: strip(x) != ""), 1, most)
+    return F.slice(F.filter(split_lines(text), lambda x: strip(x) != ""), 1, most)
 
 
 def words(text: Column) -> Column:
@@ -116,9 +123,12 @@ def last_word(line: Column) -> Column:
 
 
 def char_ngrams(text: Column, n: int) -> Column:
-    """All substrings of ``n`` characters in order; none of a shorter text."""
-    size = F.length(text)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))
+    """All substrings of ``n`` characters in order; none of a shorter text. Characters are split once, so that a long text takes linear time."""
+    at = lambda c: F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1)))
+    grams = lambda c: F.transform(at(c), lambda i: F.array_join(F.slice(c, i, n), ""))
+    chars = F.filter(F.split(text, ""), lambda x: x != "")
+    # an array of one array binds it to a name
+    return F.when(F.length(text) >= n, F.transform(F.array(chars), grams)[0]).otherwise(F.array().cast("array<string>"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -147,7 +157,7 @@ def char_class(c: Column) -> Column:
 
 def bar_split(text: Column) -> Column:
     """Lines of 40 or more characters split at their first break where both parts exceed ten; null where nothing is split."""
-    lines = stripped_lines(text)
+    lines = stripped_lines(text, fed_only=True)
 
     def parts(x: Column) -> Column:
         both = F.split(x, BREAK, 2)
@@ -167,6 +177,11 @@ def generated_part(text: Column) -> Column:
     return F.substring_index(F.substring_index(text, "<|verse|>", -1), "<|end|>", 1)
 
 
+def first_generated_lines(text: Column, most: int = 8) -> Column:
+    """The first stripped lines of the generated part."""
+    return F.array_join(F.slice(stripped_lines(strip(generated_part(text)), fed_only=True), 1, most), "\n")
+
+
 def page_text(html: Column) -> Column:
     """Text of an HTML page: scripts, styles and comments leave, breaks and block ends become line ends, entities are resolved."""
     out = F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", "")
@@ -177,5 +192,47 @@ def page_text(html: Column) -> Column:
     return F.array_join(stripped_lines(out), "\n")
 
 
+# Which links of a site lead to songs.
+LINK_RULES = {
+    "lyrics.com": {"starts": ("/lyric/", "https://www.lyrics.com/lyric/"), "base": "https://www.lyrics.com", "least": 2, "digits": False},
+    "azlyrics.com": {"holds": ("/lyrics/",), "ends": ".html", "base": "https://www.azlyrics.com"},
+    "songlyrics.com": {"holds": ("songlyrics.com",), "ends": "-lyrics/"},
+    "genius.com": {"holds": ("genius.com/", "-lyrics"), "least": 3, "once": True},
+}
+
+
+def song_links(html: Column, starts: tuple[str, ...] = (), holds: tuple[str, ...] = (), ends: str = "", base: str = "", least: int = 1, digits: bool = True, once: bool = False, slug: Column | None = None, page: Column | None = None) -> Column:
+    """[(title, link)] of a page's anchors that a site's rule takes, in order.
+
+    A link starts with one of ``starts``, holds all of ``holds`` and ``slug``, ends with ``ends`` and isn't the ``page`` itself; a title has
+    at least ``least`` characters and, without ``digits``, isn't a number. Relative links get ``base``; with ``once`` a link's first anchor counts.
+    """
+    anchor = F.lit(r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>')
+    pairs = F.arrays_zip(F.regexp_extract_all(html, anchor, 2).alias("title"), F.regexp_extract_all(html, anchor, 1).alias("link"))
+    pairs = F.transform(pairs, lambda x: F.struct(strip(F.regexp_replace(x["title"], r"<[^>]+>", "")).alias("title"), x["link"].alias("link")))
+
+    def taken(x: Column) -> Column:
+        link, ok = x["link"], F.length(x["title"]) >= least
+        if starts:
+            begins = F.lit(False)
+            for s in starts:
+                begins = begins | link.startswith(s)
+            ok = ok & begins
+        for h in holds:
+            ok = ok & link.contains(h)
+        ok = ok & link.endswith(ends) if ends else ok
+        ok = ok & ~x["title"].rlike(r"^\d+$") if not digits else ok
+        ok = ok & F.contains(link, slug) if slug is not None else ok
+        return ok & (link != page) if page is not None else ok
+
+    out = F.filter(pairs, taken)
+    if base:
+        out = F.transform(out, lambda x: F.struct(x["title"].alias("title"), F.when(x["link"].startswith("http"), x["link"]).otherwise(F.concat(F.lit(base), x["link"])).alias("link")))
+    if once:
+        links = F.transform(out, lambda x: x["link"])
+        out = F.filter(out, lambda x, i: F.array_position(links, x["link"]) == i + 1)
+    return out
+
+
 def page_links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), 1)

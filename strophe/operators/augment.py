@@ -1,80 +1,128 @@
-"""Seeded augmentation: keyed hashes instead of a random state, so results don't depend on partitions."""
+"""Seeded augmentation: draws are keyed hashes instead of a random state, so results don't depend on partitions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.draws import keyed
+from ..stash import stash
+from .following import numbered
 
-#: A small default table (word, replacements); pass another to swap more.
+#: A small default table (word, replacements); pass another (see ``read_synonyms``) to swap more.
 SYNONYMS = {"the": ["this", "that"], "of": ["from"], "and": ["plus"], "is": ["stays"], "to": ["toward"]}
 
 
-def shuffled_blocks(docs: DataFrame, *keep: str, block: int = 4, seed: int = 0) -> DataFrame:
-    """(keep..., text): lines of each full block in an order keyed by a hash; texts of under ``block`` lines or without change leave."""
-    rows = docs.select(*keep, text.stripped_lines(F.col("text")).alias("lines")).where(F.size("lines") >= block)
-    full = (F.size("lines") / block).cast("int") * block
+def shuffled_blocks(docs: DataFrame, *keep: str, block: int = 4, seed: int = 0, changed: bool = True) -> DataFrame:
+    """(keep..., text): lines of each full block in an order keyed by the first of ``keep``.
+
+    Texts of under ``block`` lines or without change leave, or stay as they are where not only the ``changed`` ones are asked for.
+    """
+    rows = docs.select(*keep, "text", text.stripped_lines(F.col("text"), fed_only=True).alias("lines"))
+    full = F.floor(F.size("lines") / block) * block
 
     def key(x: Column, i: Column) -> Column:
-        b = F.floor(i / block).cast("int")
-        order = F.when(i < full, F.xxhash64(F.lit(seed), F.col(keep[0]), i)).otherwise(i.cast("long"))
-        return F.struct(b.alias("b"), order.alias("o"), x.alias("x"))
+        order = F.when(i < full, keyed(seed, keep[0], i)).otherwise(i.cast("long"))
+        return F.struct(F.floor(i / block).alias("b"), order.alias("o"), x.alias("x"))
 
     new = F.transform(F.array_sort(F.transform("lines", key)), lambda s: s["x"])
-    return rows.withColumn("new", new).where(F.col("new") != F.col("lines")).select(*keep, F.array_join("new", "\n").alias("text"))
+    rows = rows.withColumn("new", new).withColumn("other", (F.size("lines") >= block) & (F.col("new") != F.col("lines")))
+    rows = rows.where("other") if changed else rows
+    return rows.select(*keep, F.when(F.col("other"), F.array_join("new", "\n")).otherwise(F.col("text")).alias("text"))
 
 
-def recombined(docs: DataFrame, group: str, order: str, size: int = 8, take: int = 2, seed: int = 0) -> DataFrame:
-    """(group, text): ``take`` full chunks of each group chosen by hash, of different texts where there are as many, else of any."""
-    lines = text.stripped_lines(F.col("text"))
-    full = (F.size(lines) / size).cast("int")
-    starts = F.when(full > 0, F.sequence(F.lit(0), F.greatest(full - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    cut = docs.select(group, order, lines.alias("lines"), F.explode(starts).alias("chunk")).withColumn("h", F.xxhash64(F.lit(seed), order, "chunk"))
-    own = cut.groupBy(group, order).agg(F.min(F.struct("h", "chunk")).alias("x"), F.count("*").alias("n"))
-    pick = cut.join(own.select(group, order, F.col("x.chunk").alias("best")), [group, order]).withColumn("late", (F.col("chunk") != F.col("best")).cast("int"))
-    by = Window.partitionBy(group).orderBy("late", "h", order, "chunk")
-    pick = pick.withColumn("n", F.row_number().over(by)).where(F.col("n") <= take)
-    parts = pick.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("n", F.slice("lines", F.col("chunk") * size + 1, size).alias("lines")))).alias("x"))
-    return parts.where(F.size("x") == take).select(group, F.array_join(F.flatten(F.col("x.lines")), "\n").alias("text"))
+def full_chunks(docs: DataFrame, group: str, order: str, size: int = 8) -> DataFrame:
+    """(group, order, chunk, lines): full chunks of ``size`` lines, each with its own lines only."""
+    lines = text.stripped_lines(F.col("text"), fed_only=True)
+    n = F.floor(F.size("_l") / size).cast("int")
+    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    cut = docs.select(group, order, lines.alias("_l")).select(group, order, F.posexplode(F.transform(starts, lambda i: F.slice("_l", i * size + 1, size))))
+    return cut.toDF(group, order, "chunk", "lines")
+
+
+def recombined(docs: DataFrame, group: str, order: str, draws: DataFrame | None = None, size: int = 8, seed: int = 0) -> DataFrame:
+    """(group, draw, text): two full chunks of a group a draw, of different texts where it has them, else any two; groups of one chunk have none.
+
+    ``draws`` (group, draw), or one a group. Chunks are numbered by (order, chunk), so those of a text lie together: the first is
+    drawn from all, the second from what is left of them. A draw joins two rows; no group is collected.
+    """
+    cut = full_chunks(docs, group, order, size)
+    rows = stash(numbered(cut, group, order, "chunk").select(group, order, (F.col("_no") - 1).alias("j"), F.col("_all").alias("m"), "lines"), "chunks")
+    own = rows.groupBy(group, order).agg(F.min("j").alias("s"), F.count("*").alias("c"))
+    if draws is None:
+        draws = rows.select(group).distinct().withColumn("draw", F.lit(0).cast("long"))
+    sizes = rows.groupBy(group).agg(F.first("m").alias("m")).where("m >= 2")
+    same = lambda x, y: x[group].eqNullSafe(y[group])
+    one = draws.join(sizes, same(draws, sizes)).select(draws[group].alias("g"), "draw", "m").withColumn("j1", F.pmod(keyed(seed, "g", "draw"), F.col("m")))
+    a = one.join(rows.drop("m"), F.col("g").eqNullSafe(F.col(group)) & (F.col("j1") == F.col("j"))).select("g", "draw", "m", "j1", F.col(order).alias("o"), F.col("lines").alias("left"))
+    own = own.toDF("og", "oo", "s", "c")
+    a = a.join(own, F.col("g").eqNullSafe(F.col("og")) & F.col("o").eqNullSafe(F.col("oo"))).drop("og", "oo")
+    alone = F.col("m") == F.col("c")
+    first, width = F.when(alone, F.col("j1")).otherwise(F.col("s")), F.when(alone, 1).otherwise(F.col("c"))
+    r = F.pmod(keyed(seed + 1, "g", "draw"), F.col("m") - width)
+    a = a.withColumn("j2", F.when(r < first, r).otherwise(r + width))
+    b = rows.select(F.col(group).alias("bg"), "j", F.col("lines").alias("right"))
+    out = a.join(b, F.col("g").eqNullSafe(F.col("bg")) & (F.col("j2") == F.col("j")))
+    return out.select(F.col("g").alias(group), "draw", F.array_join(F.concat("left", "right"), "\n").alias("text"))
 
 
 def swapped_synonyms(docs: DataFrame, *keep: str, table: dict[str, list[str]] | None = None, share: float = 0.3, seed: int = 0) -> DataFrame:
-    """(keep..., text): each word of the table replaced with probability ``share``; swaps don't cascade; unchanged texts leave."""
+    """(keep..., text): each word of the table replaced with probability ``share``, keyed by the first of ``keep``; swaps don't cascade; unchanged texts leave."""
     table = SYNONYMS if table is None else table
     known = F.create_map(*[x for w, r in sorted(table.items()) for x in (F.lit(w), F.array(*map(F.lit, r)))])
     parts = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_]+|[^A-Za-z0-9_]+"), 0)
 
     def swap(x: Column, i: Column) -> Column:
         options = F.try_element_at(known, F.lower(x))
-        h = F.pmod(F.xxhash64(F.lit(seed), F.col(keep[0]), i), F.lit(1_000_000))
-        new = F.get(options, F.pmod(F.xxhash64(F.lit(seed + 1), F.col(keep[0]), i), F.size(options)).cast("int"))
-        new = F.when(x.rlike("^[A-Z]"), F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, 2, 100))).otherwise(new)
-        return F.when(options.isNotNull() & (h < int(share * 1_000_000)), new).otherwise(x)
+        h = F.pmod(keyed(seed, keep[0], i), F.lit(1_000_000))
+        new = F.get(options, F.pmod(keyed(seed + 1, keep[0], i), F.size(options)).cast("int"))
+        new = F.when(x.rlike("^[A-Z]"), F.concat(F.upper(F.substring(new, 1, 1)), F.substr(new, F.lit(2)))).otherwise(new)
+        return F.when(options.isNotNull(), F.when(h < int(share * 1_000_000), new).otherwise(x)).otherwise(x)
 
     out = docs.where(F.col("text").isNotNull()).select(*keep, "text", F.array_join(F.transform(parts, swap), "").alias("new"))
     return out.where("new <> text").select(*keep, F.col("new").alias("text"))
 
 
-def augmented(docs: DataFrame, group: str = "source", order: str = "doc_id", multiplier: int = 3, seed: int = 0) -> DataFrame:
-    """(pass_no, group, text): originals, then shuffled, swapped, split and recombined texts, then more shuffles up to
-    ``multiplier`` times the originals; each text once, the earliest pass first. Further passes are at most three times the target."""
-    rows = docs.where(F.coalesce(F.col("text"), F.lit("")) != "")
-    parts = [rows.select(F.lit(0).alias("pass_no"), group, order, "text")]
-    parts.append(shuffled_blocks(rows, order, group, seed=seed).select(F.lit(1).alias("pass_no"), group, order, "text"))
-    parts.append(swapped_synonyms(rows, order, group, seed=seed).select(F.lit(2).alias("pass_no"), group, order, "text"))
-    split = rows.select(group, order, text.bar_split(F.col("text")).alias("text")).where("text is not null")
-    parts.append(split.select(F.lit(3).alias("pass_no"), group, order, "text"))
-    mixed = recombined(rows, group, order, seed=seed)
-    parts.append(mixed.select(F.lit(4).alias("pass_no"), group, F.lit(None).cast("long").alias(order), "text"))
-    for k in range(max(multiplier - 1, 0)):
-        parts.append(shuffled_blocks(rows, order, group, seed=seed + 10 + k).select(F.lit(5 + k).alias("pass_no"), group, order, "text"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    key = F.sha2("text", 256)
-    first = out.groupBy(key.alias("k")).agg(F.min(F.struct("pass_no", F.coalesce(order, F.lit(-1)).alias("o"), group)).alias("x"), F.first("text").alias("text"))
-    return first.select(F.col("x.pass_no").alias("pass_no"), F.col(f"x.{group}").alias(group), "text")
+def augmented(docs: DataFrame, group: str = "source", order: str = "doc_id", multiplier: int = 3, seed: int = 0, table: dict[str, list[str]] | None = None) -> DataFrame:
+    """(pass_no, group, text): towards ``multiplier`` times the originals, each text once, the earliest pass first.
+
+    Originals (0), one shuffled (1), swapped (2) and split (3) text each; then recombined ones (4) until the target is met or three
+    draws for each text of the target have failed; then, where that falls short, swapped and shuffled ones (5). Draws pick a group
+    each; those of groups that can't be recombined fail, and count. Texts without lines leave first.
+    """
+    rows = docs.select(order, group, "text").where(F.size(text.stripped_lines(F.coalesce("text", F.lit("")), fed_only=True)) > 0)
+    rows = stash(rows, "originals")
+
+    def part(n: int, df: DataFrame) -> DataFrame:
+        return df.select(F.lit(n).alias("pass_no"), group, F.col(order).cast("long").alias("_o"), "text")
+
+    parts = [part(0, rows), part(1, shuffled_blocks(rows, order, group, seed=seed)), part(2, swapped_synonyms(rows, order, group, table=table, seed=seed))]
+    parts.append(part(3, rows.select(order, group, text.bar_split(F.col("text")).alias("text")).where("text is not null")))
+    done = stash(reduce(DataFrame.unionByName, parts), "passes")
+    n = rows.count()
+    short = n * multiplier - done.count()
+    if short > 0:
+        able = full_chunks(rows, group, order).groupBy(group).count().where("count >= 2").select(group)
+        names = rows.select(group).distinct().withColumn("_h", keyed(seed + 8, group)).withColumn("_one", F.lit(0))
+        names = stash(numbered(names, "_one", "_h", group).select(group, "_no"), "groups")
+        fits = names.join(able.toDF("_able"), F.col(group).eqNullSafe(F.col("_able")), "left_semi")
+        tries = rows.sparkSession.range(3 * n * multiplier).withColumn("_no", F.pmod(keyed(seed + 2, "id"), F.lit(names.count())) + 1)
+        hits = stash(tries.join(fits, "_no").select(group, F.col("id").alias("draw"), F.lit(0).alias("_one")), "hits")
+        draws = stash(numbered(hits, "_one", "draw").where(F.col("_no") <= short).select(group, "draw"), "draws")
+        mixed = recombined(rows, group, order, draws, seed=seed + 3).withColumnRenamed("draw", order)
+        done = done.unionByName(part(4, mixed))
+        short -= draws.count()
+    if short > 0:
+        more = swapped_synonyms(rows, order, group, table=table, share=0.5, seed=seed + 5)
+        more = shuffled_blocks(more, order, group, seed=seed + 6, changed=False)
+        more = numbered(more.withColumn("_h", keyed(seed + 7, order)).withColumn("_one", F.lit(0)), "_one", "_h", order).where(F.col("_no") <= short)
+        done = done.unionByName(part(5, more))
+    every = stash(done.withColumn("_row", F.monotonically_increasing_id()), "augmented")
+    first = every.groupBy(F.sha2("text", 256).alias("_k")).agg(F.min(F.struct("pass_no", "_o", "_row")).alias("_x")).select(F.col("_x._row").alias("_row"))
+    return every.join(first, "_row", "left_semi").select("pass_no", group, "text")
 
 
 def interleaved(verses: DataFrame, words: DataFrame, order: str, share: float = 0.25, block: int = 50, seed: int = 0) -> DataFrame:
@@ -86,7 +134,7 @@ def interleaved(verses: DataFrame, words: DataFrame, order: str, share: float =
     n = verses.count()
     most = int(n * share / (1 - share))
     blocks = words.groupBy(F.floor(F.col("rank") / block).cast("long").alias("b")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]), " ").alias("text"))
-    drawn = verses.where(F.pmod(F.xxhash64(F.lit(seed), order), F.lit(1_000_000)) < int(share * 1_000_000)).select(order)
-    ranked = drawn.withColumn("b", F.row_number().over(Window.orderBy(order)).cast("long") - 1).where(F.col("b") < most)
+    drawn = verses.where(F.pmod(keyed(seed, order), F.lit(1_000_000)) < int(share * 1_000_000)).select(order, F.lit(0).alias("_one"))
+    ranked = numbered(drawn, "_one", order).select(order, (F.col("_no") - 1).alias("b")).where(F.col("b") < most)
     inserted = ranked.join(blocks, "b").select(order, F.lit(1).alias("part"), "text")
     return verses.select(order, F.lit(0).alias("part"), "text").unionByName(inserted)

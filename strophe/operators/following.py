@@ -12,7 +12,29 @@ def ranges(df: DataFrame, order: str, parts: int) -> Column:
     cuts = sorted({int(c) for c in cuts or []})
     if not cuts:
         return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order))), F.lit(0))
+    table = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+
+    def step(at: Column, width: Column) -> Column:  # binary search: how many cuts lie at or below
+        return F.when(F.coalesce(F.get(table, at + width - 1) <= F.col(order), F.lit(False)), at + width).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))]), F.lit(0), step)
+
+
+def numbered(df: DataFrame, group: str, order: str, *then: str, parts: int | None = None) -> DataFrame:
+    """``df`` with _no (rank from 1 in its group by ``order``, ``then``; nulls first) and _all (rows of the group).
+
+    Rows are ranked inside (group, range of order); what the ranges before hold is summed over a row a range, so no task takes a whole
+    group. ``order`` is a whole number.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.withColumn("_range", ranges(df, order, parts))
+    sizes = df.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    by = Window.partitionBy("_g")
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(by.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_n").over(by))
+    inside = Window.partitionBy(group, "_range").orderBy(order, *then)
+    df = df.withColumn("_no", F.row_number().over(inside))
+    out = df.join(sizes.drop("_n"), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return out.withColumn("_no", F.col("_no") + F.col("_before")).drop("_range", "_g", "_r", "_before")
 
 
 def with_following(df: DataFrame, group: str, order: str, items: str, n: int, to: str, parts: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import phonetics, text
 from ..functions.scheme import classify, window_schemes
+from ..stash import stash
 from .following import with_following
 
 
@@ -21,9 +22,24 @@ def line_suffixes(lines: Column) -> Column:
 
 
 def join_suffixes(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """``lines`` (.., line) with end_word, suffix and syllables from a lexicon; unknown words have null. The lexicon is small: a language's words."""
-    known = phonetics.pronounced(lexicon)
-    return lines.withColumn("end_word", text.end_word(F.col("line"))).join(F.broadcast(known), F.col("end_word") == F.col("word"), "left").drop("word")
+    """``lines`` (.., line) with end_word, suffix and syllables from a lexicon; unknown words have null. Spark broadcasts a lexicon whose size allows it."""
+    known = phonetics.pronounced(lexicon).withColumnRenamed("word", "_word")
+    return lines.withColumn("end_word", text.end_word(F.col("line"))).join(known, F.col("end_word") == F.col("_word"), "left").drop("_word")
+
+
+def suffixes_of_lines(docs: DataFrame, lexicon: DataFrame, lines: Column, *keep: str) -> DataFrame:
+    """(keep..., suffixes): the lexicon's suffix of each line's end word, null where it has none; a text without lines has no row."""
+    rows = join_suffixes(line_table(docs, lines, *keep), lexicon)
+    got = rows.groupBy(*keep).agg(F.sort_array(F.collect_list(F.struct("line_no", "suffix"))).alias("_x"))
+    return got.select(*keep, F.col("_x.suffix").alias("suffixes"))
+
+
+def syllables_of_lines(lines: DataFrame, lexicon: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., line_no, syllables) of ``lines`` (keep..., line_no, line): the lexicon's count of each word, by spelling where it has none."""
+    known = phonetics.pronounced(lexicon).select(F.col("word").alias("_word"), F.col("syllables").alias("_n"))
+    rows = lines.select(*keep, "line_no", F.explode_outer(text.words(F.col("line"))).alias("_w")).withColumn("_w", text.bare_word(F.col("_w")))
+    n = F.when(F.col("_w").isNull(), 0).otherwise(F.coalesce("_n", phonetics.spelled_syllables(F.col("_w"))))
+    return rows.join(known, F.col("_w") == F.col("_word"), "left").groupBy(*keep, "line_no").agg(F.sum(n).alias("syllables"))
 
 
 def spam_lines(docs: DataFrame, least: int = 5) -> DataFrame:
@@ -32,10 +48,11 @@ def spam_lines(docs: DataFrame, least: int = 5) -> DataFrame:
     return kept.select(F.explode("_lines").alias("line")).groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def without_spam(docs: DataFrame, least: int = 5, small: int = 100_000) -> DataFrame:
+def without_spam(docs: DataFrame, least: int = 5, small: int = 500) -> DataFrame:
     """(doc_id, source, text): cleaned texts without spam lines, over 100 characters before and after.
 
-    The spam set is joined to the texts as one array while it has at most ``small`` lines; a larger one meets the lines in an anti join.
+    Each row stays a row, repeated ones too. The spam set travels to the texts as one array while it has at most ``small`` lines; a larger
+    one meets the lines of numbered rows in an anti join.
     """
     kept = docs.select("doc_id", "source", text.page_lines(F.col("text")).alias("lines")).where(F.length(F.array_join("lines", "\n")) > 100)
     spam = spam_lines(docs, least).select("line")
@@ -43,17 +60,24 @@ def without_spam(docs: DataFrame, least: int = 5, small: int = 100_000) -> DataF
         one = spam.agg(F.collect_set(F.xxhash64("line")).alias("spam"))
         out = kept.join(F.broadcast(one)).withColumn("lines", F.filter("lines", lambda x: ~F.array_contains(F.col("spam"), F.xxhash64(x))))
     else:
-        each = line_table(kept, F.col("lines"), "doc_id", "source").join(spam, "line", "left_anti")
-        out = each.groupBy("doc_id", "source").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("lines")).withColumn("lines", F.col("lines.line"))
+        rows = stash(kept.withColumn("row", F.monotonically_increasing_id()), "rows")
+        each = line_table(rows, F.col("lines"), "row", "doc_id", "source").join(spam, "line", "left_anti")
+        out = each.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("lines")).withColumn("lines", F.col("lines.line"))
     return out.select("doc_id", "source", F.array_join("lines", "\n").alias("text")).where(F.length("text") > 100)
 
 
 def exact_dedup(docs: DataFrame, key: Column | str = "text", order: str = "doc_id") -> DataFrame:
-    """The first row of each key, by ``order``: partial aggregation on a hash finds the winners, which the rows then meet."""
+    """The first row of each key, by ``order``, nulls last; a null key is a key. Rows equal in both become one.
+
+    Partial aggregation on a hash finds the winners, which the rows then meet by key and order.
+    """
     key = F.col(key) if isinstance(key, str) else key
     named = docs.withColumn("_key", F.sha2(key, 256))
-    first = named.groupBy("_key").agg(F.min(order).alias("_first")).select(F.col("_first"))
-    return docs.join(first, docs[order] == first["_first"], "left_semi")
+    first = named.groupBy(F.col("_key").alias("_k")).agg(F.min(order).alias("_first"))
+    won = named.join(first, F.col("_key").eqNullSafe(F.col("_k")) & F.col(order).eqNullSafe(F.col("_first")), "left_semi")
+    if named.groupBy("_key", order).count().where("count > 1").head(1):
+        won = won.dropDuplicates(["_key", order])
+    return won.drop("_key")
 
 
 def chunks(docs: DataFrame, lines: Column, size: int, stride: int, least: int, *keep: str) -> DataFrame:
@@ -76,14 +100,21 @@ def index_chunks(docs: DataFrame, *keep: str, size: int = 16, least: int = 4) ->
     return out.withColumn("rhyme_scheme", classify(*(F.get("end_suffixes", k) for k in range(4))))
 
 
-def suffix_docs(docs: DataFrame) -> DataFrame:
-    """(source, doc_id, suffixes) of texts of 50 or more characters."""
+def with_vocabulary_ids(rows: DataFrame, column: str, vocab: DataFrame) -> DataFrame:
+    """``rows`` with ``id`` of ``vocab`` (column, id): 0 for what it lacks, null too."""
+    return rows.join(vocab.toDF("_v", "id"), F.col(column) == F.col("_v"), "left").drop("_v").withColumn("id", F.coalesce("id", F.lit(0)))
+
+
+def suffix_docs(docs: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """(source, doc_id, suffixes) of texts of 50 or more characters, by ``lexicon`` or, without one, by spelling."""
+    if lexicon is not None:
+        return suffixes_of_lines(docs.where(F.length("text") >= 50), lexicon, text.style_lines(F.col("text")), "source", "doc_id")
     return docs.where(F.length("text") >= 50).select("source", "doc_id", line_suffixes(text.style_lines(F.col("text"))).alias("suffixes"))
 
 
-def scheme_windows(docs: DataFrame, parts: int | None = None) -> DataFrame:
+def scheme_windows(docs: DataFrame, parts: int | None = None, lexicon: DataFrame | None = None) -> DataFrame:
     """(source, scheme): each run of four lines of a source's texts in order of doc_id; runs cross from text to text."""
-    rows = with_following(suffix_docs(docs), "source", "doc_id", "suffixes", 3, "after", parts)
+    rows = with_following(suffix_docs(docs, lexicon), "source", "doc_id", "suffixes", 3, "after", parts)
     return rows.select("source", F.explode(window_schemes(F.concat("suffixes", "after"))).alias("scheme"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..stash import stash
 
 SIMILAR = 0.85
 
@@ -26,25 +27,40 @@ def copied_lines(docs: DataFrame, corpus: DataFrame, *keep: str) -> DataFrame:
     return probe_lines(docs, *keep).join(training_lines(corpus), "line", "left_semi").select(*keep, "line_no", "line")
 
 
+def gram_counts(texts: DataFrame, column: str, n: int = 5) -> DataFrame:
+    """(gram, freq): in how many rows each substring of ``n`` characters occurs."""
+    return texts.select(F.explode(F.array_distinct(text.char_ngrams(F.col(column), n))).alias("gram")).groupBy("gram").agg(F.count("*").alias("freq"))
+
+
+def gram_prefixes(texts: DataFrame, column: str, freq: DataFrame, similar: float, n: int = 5) -> DataFrame:
+    """(column, size, gram): of each distinct text the first ``size - ceil(similar * size) + 1`` substrings, rarest in ``freq`` first.
+
+    Two texts above ``similar`` share one of them. Substrings that ``freq`` lacks come first of all and have no row, as nothing shares
+    them; a text with enough of those has no row at all.
+    """
+    grams = texts.select(column, F.array_distinct(text.char_ngrams(F.col(column), n)).alias("_g")).where(F.size("_g") > 0)
+    rows = grams.select(column, F.size("_g").alias("size"), F.explode("_g").alias("gram")).join(freq, "gram")
+    keep = (F.col("size") - F.ceil(F.lit(similar) * F.col("size")) + 1).cast("int")
+    rows = rows.groupBy(column, "size").agg(F.sort_array(F.collect_list(F.struct("freq", "gram"))).alias("_m"))
+    left = keep - (F.col("size") - F.size("_m"))
+    return rows.where(left > 0).select(column, "size", F.explode(F.slice("_m", 1, left)).alias("_x")).select(column, "size", F.col("_x.gram").alias("gram"))
+
+
 def near_copies(docs: DataFrame, corpus: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(line, known_line, similarity): distinct probe lines whose five-character Jaccard with a training line exceeds ``similar``.
 
-    Exact, by prefix: in one order of all substrings, rarest in the training lines first, both sets share one among the first
-    ``n - ceil(similar * n) + 1``; lengths must agree within ``similar``; candidates are verified on whole sets. Equal lines count 1.
+    Exact, by prefix (see ``gram_prefixes``): frequent substrings of the training lines come last and so join few lines. Only lines,
+    sizes and single substrings travel; sizes must agree within ``similar``; candidates are verified on whole sets. Equal lines count 1.
     """
-    grams = lambda c: F.array_distinct(text.char_ngrams(c, 5))
-    known = training_lines(corpus).select(F.col("line").alias("known_line"), grams(F.col("line")).alias("kg"))
-    probe = probe_lines(docs).select("line").distinct().select("line", grams(F.col("line")).alias("pg"))
-
-    def prefix(df: DataFrame, g: str) -> DataFrame:
-        ordered = F.array_sort(F.transform(g, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("g"))))
-        size = F.size(g)
-        keep = (size - F.ceil(F.lit(similar) * size) + 1).cast("int")
-        return df.withColumn("p", F.explode(F.transform(F.slice(ordered, 1, keep), lambda x: x["h"])))
-
-    met = prefix(probe, "pg").join(prefix(known, "kg"), "p")
-    met = met.where((F.size("pg") >= similar * F.size("kg")) & (F.size("kg") >= similar * F.size("pg"))).dropDuplicates(["line", "known_line"])
-    return met.withColumn("similarity", F.size(F.array_intersect("pg", "kg")) / F.size(F.array_union("pg", "kg"))).where(F.col("similarity") > similar).select("line", "known_line", "similarity")
+    known, probe = training_lines(corpus), probe_lines(docs).select("line").distinct()
+    freq = stash(gram_counts(known, "line"), "grams")
+    ours = gram_prefixes(known, "line", freq, similar).toDF("known_line", "known_size", "gram")
+    met = gram_prefixes(probe, "line", freq, similar).join(ours, "gram")
+    met = met.where((F.col("size") >= similar * F.col("known_size")) & (F.col("known_size") >= similar * F.col("size"))).select("line", "known_line").distinct()
+    a, b = (F.array_distinct(text.char_ngrams(F.col(c), 5)) for c in ("line", "known_line"))
+    met = met.withColumn("_a", a).withColumn("_b", b).withColumn("_i", F.size(F.array_intersect("_a", "_b")))
+    met = met.withColumn("similarity", F.col("_i") / (F.size("_a") + F.size("_b") - F.col("_i")))
+    return met.where(F.col("similarity") > similar).select("line", "known_line", "similarity")
 
 
 def continuations(corpus: DataFrame, n: int = 25) -> DataFrame:

@@ -11,7 +11,12 @@ from ..functions.scheme import NAMED
 from . import lines as L
 
 # Words that never sign, and English stop words of four or more letters.
-NEVER = "verse chorus intro outro bridge hook skit feat remix produced interlude instrumental yeah yo uh ooh huh ay aye haha uhh woah oooh ahh eyh yuh hol hmm wha like just got one know get going cause that this with they them your youre from have what when where than then now all".split()
+NEVER = (
+    "verse", "chorus", "intro", "outro", "bridge", "hook", "skit", "feat", "remix", "produced", "interlude", "instrumental",
+    "yeah", "yo", "uh", "ooh", "huh", "ay", "aye", "haha", "uhh", "woah", "oooh", "ahh", "eyh", "yuh", "hol", "hmm", "wha",
+    "like", "just", "got", "one", "know", "get", "going", "cause", "that", "this", "with", "they", "them", "your", "youre",
+    "from", "have", "what", "when", "where", "than", "then", "now", "all",
+)
 STOP = (
     "about above across after afterwards again against almost alone along already also although always among amongst another anyhow anyone anything "
     "anyway anywhere around back became because become becomes becoming been before beforehand behind being below beside besides between beyond both "
@@ -27,9 +32,9 @@ STOP = (
 ).split()
 
 
-def scheme_profile(docs: DataFrame, parts: int | None = None) -> DataFrame:
+def scheme_profile(docs: DataFrame, parts: int | None = None, lexicon: DataFrame | None = None) -> DataFrame:
     """(source, dominant_scheme, both confidences, window counts): ties go to the first of AABB, ABAB, ABBA, AAAA."""
-    n = L.scheme_windows(docs, parts).groupBy("source").agg(
+    n = L.scheme_windows(docs, parts, lexicon).groupBy("source").agg(
         F.sum(F.when(F.col("scheme") != "unknown", 1).otherwise(0)).cast("long").alias("scheme_window_count"), *[F.sum(F.when(F.col("scheme") == s, 1).otherwise(0)).cast("long").alias(s) for s in NAMED]
     )
     named = sum((F.col(s) for s in NAMED), F.lit(0))
@@ -76,7 +81,7 @@ def signature_words(docs: DataFrame, top: int = 30, features: int = 10_000) -> D
     scored = tf.join(F.broadcast(df), "word")  # at most ``features`` rows
     scored = scored.withColumn("raw", (1 + F.log("tf")) * (F.log((1 + F.col("all")) / (1 + F.col("df"))) + 1))
     norm = scored.groupBy("source").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    scored = scored.join(norm, "source").withColumn("score", F.round(F.col("raw") / F.col("norm"), 6)).where(~F.col("word").isin(NEVER))
+    scored = scored.join(norm, "source").withColumn("score", F.round(F.col("raw") / F.col("norm"), 6)).where(~F.col("word").isin(*NEVER))
     by = Window.partitionBy("source").orderBy(F.desc("score"), "word")
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top).select("source", "rank", "word", "score")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import phonetics, text
-from ..functions.scheme import group_array
+from ..functions.scheme import SCORING, group_array
 from .lines import line_suffixes
 
 
@@ -44,7 +44,7 @@ def structure(lines: Column) -> dict[str, Column]:
 def verse_metrics(docs: DataFrame, *keep: str, body: str = "text") -> DataFrame:
     """The eight metrics of each text. Arrays that expressions use again are columns first, so that each is made once a row."""
     c = F.coalesce(F.col(body), F.lit(""))
-    raw = F.filter(text.raw_lines(text.strip(c)), lambda x: text.strip(x) != "")
+    raw = F.filter(text.split_lines(text.strip(c)), lambda x: text.strip(x) != "")
     rows = docs.select(*keep, text.words(c).alias("_words"), text.stripped_lines(c).alias("_lines"), raw.alias("_raw"))
     rows = rows.withColumn("_known", known_suffixes(F.col("_lines")))
     cols = {f"distinct_{n}": F.round(distinct_n(F.col("_words"), n), 4) for n in (1, 2, 3)}
@@ -52,18 +52,18 @@ def verse_metrics(docs: DataFrame, *keep: str, body: str = "text") -> DataFrame:
     return rows.select(*keep, *[v.alias(k) for k, v in cols.items()])
 
 
-def score_verses(verses: DataFrame, scheme: str, target: int, most: int = 400) -> DataFrame:
+def score_verses(verses: DataFrame, scheme: str, target: int) -> DataFrame:
     """``verses`` (.., lines) with score, n_lines, pairs and hits.
 
     Pairs: equal known suffixes at most four lines apart. Hits: lines of a rhyme group, after its first, that equal the group's
-    first known suffix. Verses under four lines or half the target score -1, mostly unknown endings -0.5, free schemes 0.
+    first known suffix; lines beyond the scheme's pattern are groups of their own and can't hit. Verses under four lines or half the target score -1, mostly unknown endings -0.5, free schemes 0.
     """
     s = verses.withColumn("_s", line_suffixes(F.col("lines"))).withColumn("n_lines", F.size("lines"))
     idx = F.sequence(F.lit(0), F.greatest(F.col("n_lines") - 1, F.lit(0)))
     same = lambda i, k: F.when(F.coalesce(F.get("_s", i) == F.get("_s", i + k), F.lit(False)), 1).otherwise(0)
     pairs = F.aggregate(F.transform(idx, lambda i: sum((same(i, k) for k in range(1, 5)), F.lit(0))), F.lit(0), lambda a, x: a + x)
-    groups = group_array(scheme, most)
-    g = F.slice(groups, 1, F.least("n_lines", F.lit(most)))
+    reach = len(SCORING.get(scheme, scheme) or "x")  # the pattern: later lines share no group
+    g = F.slice(group_array(scheme, reach), 1, F.least("n_lines", F.lit(reach)))
 
     def group_hits(k: Column) -> Column:
         mine = F.filter(F.transform("_s", lambda x, i: F.when(F.get("_g", i) == k, F.struct(x.alias("v")))), lambda x: x.isNotNull())
@@ -107,7 +107,7 @@ def learning_rate(step: Column, warmup: int, total: int) -> Column:
     return F.when(step < warmup, step / max(warmup, 1)).otherwise(0.5 * (1 + F.cos(F.pi() * done)))
 
 
-def evals_since_best(rows: DataFrame, run: str, step: str, loss: str) -> DataFrame:
+def evals_since_best(rows: DataFrame, run: str | list[str], step: str, loss: str) -> DataFrame:
     """``rows`` with best (least loss so far) and since_best (evaluations since it first fell to that)."""
     w = Window.partitionBy(run).orderBy(step)
     out = rows.withColumn("best", F.min(loss).over(w.rowsBetween(Window.unboundedPreceding, 0)))

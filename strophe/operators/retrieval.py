@@ -8,37 +8,39 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import char_ngrams
+from ..functions.text import overlap
 from ..functions.vectors import boosted, dot
 from ..stash import stash
+from .originality import gram_counts, gram_prefixes
 
 #: Queries that are broadcast at once; more are asked in blocks.
 QUERIES = 10_000
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, mode: str = "prefilter", over: int = 10, prefer: Column | None = None, boost: float = 0.15) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, mode: str = "prefilter", over: int = 10, prefer: Column | None = None, boost: float = 0.15, least: float | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score, keep columns): the ``k`` best of each query by inner product, ties by vec_id.
 
     ``queries`` (query_id, query, ..) may be any number: blocks of about ``QUERIES``, by a hash of query_id, are broadcast one at a time and
     their results united. ``keep`` may compare columns of both sides. ``prefilter`` searches what it holds for; ``overfetch`` takes the best
-    ``over * k`` first and may return fewer than ``k``. ``prefer`` raises scores by ``boost`` before they are ranked. A rank limit is pushed
+    ``over * k`` first and may return fewer than ``k``. ``prefer`` raises scores by ``boost`` before they are ranked; scores up to ``least`` don't count. A rank limit is pushed
     below the shuffle.
     """
     if mode not in ("prefilter", "overfetch"):
         raise ValueError(mode)
     n = queries.count()
     if n <= QUERIES:
-        return _block(vectors, queries, k, keep, mode, over, prefer, boost)
+        return _block(vectors, queries, k, keep, mode, over, prefer, boost, least)
     blocks = -(-n // QUERIES)
     key = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    found = [stash(_block(vectors, queries.where(key == i), k, keep, mode, over, prefer, boost), "found") for i in range(blocks)]
+    found = [stash(_block(vectors, queries.where(key == i), k, keep, mode, over, prefer, boost, least), "found") for i in range(blocks)]
     return reduce(DataFrame.unionByName, found)
 
 
-def _block(vectors: DataFrame, queries: DataFrame, k: int, keep: Column | None, mode: str, over: int, prefer: Column | None, boost: float) -> DataFrame:
+def _block(vectors: DataFrame, queries: DataFrame, k: int, keep: Column | None, mode: str, over: int, prefer: Column | None, boost: float, least: float | None) -> DataFrame:
     pairs = vectors.join(F.broadcast(queries), F.lit(True) if keep is None or mode == "overfetch" else keep)
     score = dot(F.col("embedding"), F.col("query"))
     pairs = pairs.withColumn("score", score if prefer is None else boosted(score, prefer, boost)).drop("embedding", "query")
+    pairs = pairs if least is None else pairs.where(F.col("score") > least)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     fetch = k if keep is None or mode == "prefilter" else over * k
     out = pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= fetch)
@@ -89,9 +91,18 @@ def within_budget(found: DataFrame, most: int, joint: int = 2) -> DataFrame:
 
 
 def gram_overlap_pairs(texts: DataFrame, least: float) -> DataFrame:
-    """(a, b, overlap) of the rows of ``texts`` (id, text) by a join of their five-character substrings."""
-    grams = texts.select("id", F.explode(F.array_distinct(char_ngrams(F.col("text"), 5))).alias("g"))
-    n = grams.groupBy("id").agg(F.count("*").alias("n"))
-    pairs = grams.alias("x").join(grams.alias("y"), F.expr("x.g = y.g and x.id < y.id")).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("i"))
-    pairs = pairs.join(n.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    return pairs.withColumn("overlap", F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).where(F.col("overlap") > least).select("a", "b", "overlap")
+    """(a, b, overlap) of the rows of ``texts`` (id, text; ids distinct) whose five-character substrings overlap by more than ``least`` (above 0).
+
+    Texts meet where they share one of their rarest substrings, as many as ``least`` asks for (see ``gram_prefixes``); pairs are verified on
+    whole texts. Texts are compared once each, however many rows have them.
+    """
+    whole = texts.select("text").where("text is not null").distinct()
+    rows = gram_prefixes(whole, "text", gram_counts(whole, "text"), least).withColumn("h", F.xxhash64("text"))
+    rows = stash(rows.select("h", "size", "gram"), "prefixes")
+    met = rows.toDF("x", "nx", "gram").join(rows.toDF("y", "ny", "gram"), "gram")
+    met = met.where((F.col("x") < F.col("y")) & (F.col("nx") >= least * F.col("ny")) & (F.col("ny") >= least * F.col("nx"))).select("x", "y").distinct()
+    ids = texts.select("id", "text", F.xxhash64("text").alias("h"))
+    left, right = (ids.toDF(i, t, h) for i, t, h in (("a", "ta", "x"), ("b", "tb", "y")))
+    same = left.join(right, (F.col("x") == F.col("y")) & (F.col("a") < F.col("b")) & (F.length("ta") >= 5)).select("a", "b", F.lit(1.0).alias("overlap"))
+    pairs = met.join(left, "x").join(right, "y").withColumn("overlap", overlap(F.col("ta"), F.col("tb"))).where(F.col("overlap") > least)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap").unionByName(same.where(F.lit(1.0) > least))

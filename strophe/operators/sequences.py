@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import phonetics, text
+from ..functions.draws import keyed
+from .following import numbered
 from .tokenizers import characters
 
 
@@ -19,14 +21,13 @@ def lm_windows(tokens: DataFrame, block: int, stride: int, *keep: str, spare: in
 
 def split_by_hash(rows: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
     """``rows`` with is_val: a keyed Bernoulli split that no partitioning changes."""
-    u = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) / 1_000_000
+    u = F.pmod(keyed(seed, key), F.lit(1_000_000)) / 1_000_000
     return rows.withColumn("is_val", u < share)
 
 
 def split_by_position(rows: DataFrame, group: str, order: str, share: float = 0.1) -> DataFrame:
-    """``rows`` with is_val: the last rows of each group, after ``floor(n * (1 - share))``."""
-    w = Window.partitionBy(group)
-    return rows.withColumn("is_val", F.row_number().over(w.orderBy(order)) > F.floor(F.count("*").over(w) * (1 - share)))
+    """``rows`` with is_val: the last rows of each group by ``order`` (a whole number), after ``floor(n * (1 - share))``; a hot group is spread."""
+    return numbered(rows, group, order).withColumn("is_val", F.col("_no") > F.floor(F.col("_all") * (1 - share))).drop("_no", "_all")
 
 
 def boundary_labels(body: Column) -> Column:
@@ -43,18 +44,52 @@ def syllable_labels(body: Column, most: int = 6) -> Column:
 
 def newline_labels(docs: DataFrame, *keep: str) -> DataFrame:
     """(keep..., pos, suffix, bucket): at each line end, the suffix of the line's last word and its syllable bucket."""
-    rows = docs.select(*keep, F.posexplode(text.raw_lines(F.col("text"))).alias("i", "line"), text.raw_lines(F.col("text")).alias("all"))
-    rows = rows.where(F.col("i") < F.size("all") - 1)
-    pos = F.aggregate(F.transform(F.slice("all", 1, F.col("i") + 1), F.length), F.lit(0), lambda s, x: s + x) + F.col("i")
-    return rows.select(*keep, pos.alias("pos"), phonetics.spelled_suffix(text.last_word(F.col("line"))).alias("suffix"), phonetics.syllable_bucket(phonetics.line_syllables(F.col("line"))).alias("bucket"))
+    lines = text.raw_lines(F.col("text"))
+    ended = F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))  # the last one has no line end
+    rows = docs.select(*keep, F.explode(F.arrays_zip(ended.alias("line"), _places(F.col("text"), "\n").alias("pos"))).alias("x")).select(*keep, "x.line", "x.pos")
+    return rows.select(*keep, "pos", phonetics.spelled_suffix(text.last_word(F.col("line"))).alias("suffix"), phonetics.syllable_bucket(phonetics.line_syllables(F.col("line"))).alias("bucket"))
 
 
 def words_at_boundaries(docs: DataFrame, *keep: str) -> DataFrame:
     """(keep..., pos, word): each word where it ends; a word that the text cuts off loses its last character."""
     body = F.regexp_replace("text", r"(?s)(?<=[^ \n\t]).$", "\n")
-    rows = docs.select(*keep, body.alias("b")).select(*keep, F.posexplode(F.regexp_extract_all("b", F.lit(r"[^ \n\t]*[ \n\t]"), 0)).alias("i", "part"), F.regexp_extract_all("b", F.lit(r"[^ \n\t]*[ \n\t]"), 0).alias("all"))
-    end = F.aggregate(F.transform(F.slice("all", 1, F.col("i") + 1), F.length), F.lit(0), lambda s, x: s + x) - 1
-    return rows.select(*keep, end.alias("pos"), F.regexp_replace("part", r"[ \n\t]$", "").alias("word")).where("word <> ''")
+    parts = F.regexp_extract_all(body, F.lit(r"[^ \n\t]*[ \n\t]"), 0)
+    rows = docs.select(*keep, F.explode(F.arrays_zip(parts.alias("part"), _places(body, " ", "\n", "\t").alias("pos"))).alias("x")).select(*keep, "x.part", "x.pos")
+    return rows.select(*keep, "pos", F.regexp_replace("part", r"[ \n\t]$", "").alias("word")).where("word <> ''")
+
+
+def _places(body: Column, *marks: str) -> Column:
+    """Where, from 0, a text has one of ``marks``: one pass over its characters."""
+    return F.array_compact(F.transform(characters(body), lambda c, i: F.when(c.isin(*marks), i)))
+
+
+def open_line(body: Column) -> tuple[Column, Column]:
+    """(complete lines, open line) of a text that is still written."""
+    lines = text.raw_lines(body)
+    return F.slice(lines, 1, F.size(lines) - 1), F.element_at(lines, -1)
+
+
+def rhyme_bias(steps: DataFrame, groups: list[int], endings: DataFrame, step: str = "step", boost: float = 1.5) -> DataFrame:
+    """(step, token, bias) of texts that are still written, from ``steps`` (step, text) and the lines' rhyme ``groups``.
+
+    A group's first complete line with a known suffix sets what its later lines should end in. An open line of four words or more
+    that ends so gets ``1.6 * boost`` on the tokens of ``endings`` with a null suffix (line ends); one that doesn't gets ``boost`` on those
+    of its suffix (words that complete a rhyme). Lines beyond ``groups`` and groups without a suffix get nothing. ``endings``: (suffix, token).
+    """
+    done, now = open_line(F.col("text"))
+    rows = steps.select(step, done.alias("_done"), now.alias("_now")).withColumn("_i", F.size("_done")).where(F.col("_i") < len(groups))
+    table = F.array(*map(F.lit, groups))
+    ends = F.transform("_done", lambda x, i: F.when(F.get(table, i) == F.get(table, F.col("_i")), phonetics.spelled_suffix(text.end_word(x))))
+    rows = rows.withColumn("_target", F.get(F.array_compact(ends), F.lit(0))).where(F.col("_target").isNotNull() & (F.size(text.words(F.col("_now"))) >= 4))
+    closes = F.coalesce(phonetics.spelled_suffix(text.end_word(F.col("_now"))) == F.col("_target"), F.lit(False))
+    rows = rows.select(step, F.when(~closes, F.col("_target")).alias("_want"), F.when(closes, 1.6 * boost).otherwise(boost).alias("bias"))
+    return rows.join(endings, F.col("_want").eqNullSafe(F.col("suffix"))).select(step, "token", "bias")
+
+
+def batch_starts(n_tokens: int, block: int, batches: DataFrame, size: int, seed: int = 0) -> DataFrame:
+    """(batch, row, start): for each of ``batches`` (batch) ``size`` starts of windows of ``block``, uniform by a keyed hash."""
+    rows = batches.select("batch", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("row"))
+    return rows.withColumn("start", F.pmod(keyed(seed, "batch", "row"), F.lit(n_tokens - block)))
 
 
 def rhyme_pairs(suffixes: DataFrame, group: str, reach: int = 4) -> DataFrame:
@@ -93,7 +128,7 @@ def recent_tokens(tokens: Column, n: int = 200) -> Column:
 def sample(probs: DataFrame, step: str, token: str, seed: int = 0) -> DataFrame:
     """(step, token): inverse-CDF draws with a uniform number keyed by the step."""
     w = Window.partitionBy(step).orderBy(token).rowsBetween(Window.unboundedPreceding, 0)
-    u = F.pmod(F.xxhash64(F.lit(seed), step), F.lit(1 << 30)) / float(1 << 30)
+    u = F.pmod(keyed(seed, step), F.lit(1 << 30)) / float(1 << 30)
     return probs.withColumn("_c", F.sum("p").over(w)).where(F.col("_c") > u).groupBy(step).agg(F.min_by(token, "_c").alias(token))
 
 
@@ -104,6 +139,17 @@ def selectivity(activations: DataFrame, neuron: str, value: str, on: Column, top
 
 
 def attention_scores(weights: DataFrame) -> DataFrame:
-    """(head, mean_position, mean_distance) of a table (head, t, s, weight)."""
-    total = F.sum("weight")
-    return weights.groupBy("head").agg((F.sum(F.col("weight") * F.col("s")) / total).alias("mean_position"), (F.sum(F.col("weight") * F.abs(F.col("t") - F.col("s"))) / total).alias("mean_distance"))
+    """(head, locality, newline_attention) of a table (head, t, s, weight, is_newline): the mean distance between a position and the
+    one that it expects, over positions with any weight, and the mean weight on line ends."""
+    rows = weights.groupBy("head", "t").agg(F.sum("weight").alias("total"), F.sum(F.col("weight") * F.col("s")).alias("expected"), F.sum(F.when(F.col("is_newline"), F.col("weight"))).alias("nl"), F.count_if("is_newline").alias("n"))
+    far = F.avg(F.when(F.col("total") > 0, F.abs(F.col("expected") - F.col("t"))))
+    return rows.groupBy("head").agg(F.coalesce(far, F.lit(0.0)).alias("locality"), F.coalesce(F.try_divide(F.sum("nl"), F.sum("n")), F.lit(0.0)).alias("newline_attention"))
+
+
+def attention_heads(scores: DataFrame, top: int = 3) -> DataFrame:
+    """(kind, rank, head, score): the ``top`` heads of least and of greatest distance and of most weight on line ends; ties by head. A row a head."""
+    out = None
+    for kind, score, order in (("local", "locality", F.asc), ("distance", "locality", F.desc), ("newline", "newline_attention", F.desc)):
+        ranked = scores.select(F.lit(kind).alias("kind"), F.row_number().over(Window.orderBy(order(F.round(score, 9)), "head")).alias("rank"), "head", F.col(score).alias("score")).where(F.col("rank") <= top)
+        out = ranked if out is None else out.unionByName(ranked)
+    return out

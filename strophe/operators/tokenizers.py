@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import heapq
+import re
 from collections import Counter, defaultdict
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..stash import discard, stash
 
 _PARTS = r"\S+|\s"
+_WORD = re.compile(_PARTS, re.ASCII)
 #: Vocabulary that training goes up to.
 SIZE = 1000
 #: Distinct words that training may take to the driver; more of them are merged in place, a pass a merge.
 SMALL = 500_000
+#: Words that an encoding task keeps.
+KEPT = 200_000
 
 
 def characters(text: Column) -> Column:
@@ -37,8 +45,8 @@ def char_encode(docs: DataFrame, vocab: DataFrame, *keep: str) -> DataFrame:
 
 
 def char_decode(tokens: Column, symbols: Column) -> Column:
-    """Text of ids by a map id to character; unknown ids become ``?``."""
-    return F.array_join(F.transform(tokens, lambda i: F.coalesce(F.try_element_at(symbols, i), F.lit("?"))), "")
+    """Text of ids by an array of characters in the order of their ids; unknown ids become ``?``."""
+    return F.array_join(F.transform(tokens, lambda i: F.coalesce(F.get(symbols, i), F.lit("?"))), "")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -63,30 +71,32 @@ def merged(tokens: Column, left: str, right: str) -> Column:
     return F.aggregate(tokens, F.array().cast("array<string>"), step)
 
 
-def bpe_train(docs: DataFrame, merges: int | None = None, stash=None, size: int = SIZE, small: int = SMALL) -> tuple[list[tuple[str, str]], dict[str, int]]:
+def bpe_train(docs: DataFrame, merges: int | None = None, size: int = SIZE, small: int = SMALL) -> tuple[list[tuple[str, str]], dict[str, int]]:
     """(merges, vocabulary): the most frequent pair each time, ties by (left, right); as many merges as named, or up to ``size`` tokens.
 
     Runs over distinct words: up to ``small`` of them on the driver, where a merge touches the words that hold it; more in a pass a merge,
-    one aggregation whose result is a single pair. ``stash`` (DataFrame to DataFrame) may cut the lineage between passes. A merged string
+    one aggregation whose result is a single pair, each pass written and the one before removed. A merged string
     that exists already takes a new id, as ids count what the vocabulary holds.
     """
-    counts = word_counts(docs)
-    counts = stash(counts) if stash else counts.cache()
+    counts = stash(word_counts(docs), "words")
     chars = [r.c for r in counts.select(F.explode(characters(F.col("word"))).alias("c")).distinct().orderBy("c").collect()]  # an alphabet
     vocab = {c: i for i, c in enumerate(chars)}
     most = max(0, size - len(vocab)) if merges is None else merges
     if counts.count() <= small:
         done = _merges([(list(r.word), r.n) for r in counts.toLocalIterator()], most)
+        discard(counts)
     else:
         done = []
-        words = counts.withColumn("tokens", characters(F.col("word"))).select("tokens", "n")
+        words = stash(counts.withColumn("tokens", characters(F.col("word"))).select("tokens", "n"), "bpe")
+        discard(counts)
         for _ in range(most):
             best = pair_counts(words).orderBy(F.desc("n"), "left", "right").first()
             if best is None:
                 break
             done.append((best.left, best.right))
-            new = words.withColumn("tokens", merged(F.col("tokens"), best.left, best.right))
-            words = stash(new) if stash else new.cache()
+            before, words = words, stash(words.withColumn("tokens", merged(F.col("tokens"), best.left, best.right)), "bpe")
+            discard(before)
+        discard(words)
     for a, b in done:
         vocab[a + b] = len(vocab)
     return done, vocab
@@ -134,38 +144,55 @@ def _merges(words: list[tuple[list[str], int]], most: int) -> list[tuple[str, st
     return done
 
 
-def bpe_encode_words(words: DataFrame, merges: list[tuple[str, str]], vocab: dict[str, int]) -> DataFrame:
-    """(word, tokens): ids of distinct words; characters outside the vocabulary are 0."""
-    rank = {p: i for i, p in enumerate(merges)}
+class Bpe:
+    """Encodes texts in a task; keeps up to ``KEPT`` words with their ids."""
+
+    def __init__(self, merges: list[tuple[str, str]], vocab: dict[str, int]):
+        self.rank, self.vocab = {p: i for i, p in enumerate(merges)}, vocab
+        self.known: dict[str, list[int]] = {}
 
-    def encode(word: str) -> list[int]:
+    def word(self, word: str) -> list[int]:
         tokens = list(word)
         while len(tokens) > 1:
-            best = min(range(len(tokens) - 1), key=lambda i: rank.get((tokens[i], tokens[i + 1]), len(rank)))
-            pair = tokens[best], tokens[best + 1]
-            if pair not in rank:
+            first = min(self.rank.get(p, len(self.rank)) for p in zip(tokens, tokens[1:]))
+            if first == len(self.rank):
                 break
-            out, i = [], 0
-            while i < len(tokens):
-                joins = i + 1 < len(tokens) and (tokens[i], tokens[i + 1]) == pair
-                out.append(pair[0] + pair[1] if joins else tokens[i])
-                i += 2 if joins else 1
-            tokens = out
-        return [vocab.get(t, 0) for t in tokens]
+            tokens = _joined(tokens, *self.pairs[first])
+        return [self.vocab.get(t, 0) for t in tokens]
+
+    @cached_property
+    def pairs(self) -> list[tuple[str, str]]:
+        return list(self.rank)
+
+    def text(self, text: str) -> list[int]:
+        out: list[int] = []
+        for w in _WORD.findall(text):
+            ids = self.known.get(w)
+            if ids is None:
+                ids = self.word(w)
+                if len(w) <= 64:
+                    if len(self.known) >= KEPT:
+                        self.known.clear()
+                    self.known[w] = ids
+            out += ids
+        return out
+
+
+def bpe_encode(docs: DataFrame, merges: list[tuple[str, str]], vocab: dict[str, int], *keep: str) -> DataFrame:
+    """(keep... or doc_id, tokens) of each row: no shuffle, as the frequent words and the single blank make up most of a corpus.
+
+    Characters outside the vocabulary are 0. An empty text has no tokens, a null text null; repeated rows each give a row.
+    """
+    docs = docs.select(*(keep or ("doc_id",)), "text")
 
     def run(batches):
+        bpe = Bpe(merges, vocab)
         for b in batches:
-            yield pa.record_batch([b["word"], pa.array([encode(w) for w in b["word"].to_pylist()], pa.list_(pa.int64()))], ["word", "tokens"])
-
-    return words.select("word").mapInArrow(run, "word string, tokens array<long>")
-
+            tokens = pa.array([None if t is None else bpe.text(t) for t in (x.as_py() for x in b["text"])], pa.list_(pa.int64()))
+            yield pa.record_batch([*b.columns[:-1], tokens], [*b.schema.names[:-1], "tokens"])
 
-def bpe_encode(docs: DataFrame, merges: list[tuple[str, str]], vocab: dict[str, int]) -> DataFrame:
-    """(doc_id, tokens): each distinct word is encoded once and joined back in order."""
-    parts = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(_PARTS), 0)).alias("pos", "word"))
-    known = bpe_encode_words(parts.select("word").distinct(), merges, vocab)
-    out = parts.join(known, "word").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "tokens"))).alias("x"))
-    return out.select("doc_id", F.flatten(F.col("x.tokens")).alias("tokens"))
+    schema = T.StructType([*docs.schema.fields[:-1], T.StructField("tokens", T.ArrayType(T.LongType()))])
+    return docs.mapInArrow(run, schema)
 
 
 def prefix_table(words: DataFrame) -> DataFrame:

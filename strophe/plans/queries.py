@@ -12,7 +12,6 @@ from ..functions.scheme import NAMED
 from ..operators import augment, originality, profiles, quality, retrieval, sequences, tokenizers
 from ..operators import lines as L
 from ..sources import corpora, runs
-from ..stash import stash
 from ..streaming.run_metrics import windowed
 from . import sql as Q
 
@@ -97,11 +96,6 @@ def signature_words_by_source(spark, sf):
     return profiles.signature_words(docs(spark, sf))
 
 
-@query()
-def style_profiles(spark, sf):
-    return profiles.style_profiles(docs(spark, sf))
-
-
 # cleaning and dedup
 
 
@@ -150,10 +144,11 @@ def source_counts(spark, sf):
     return docs(spark, sf).where("text is not null").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum((n > 50).cast("long")).alias("over_50"), F.sum((n > 100).cast("long")).alias("over_100"))
 
 
-@query("""SELECT title_key, doc_id FROM (SELECT regexp_replace(lower(substr(text, 1, 30)), '[^A-Za-z0-9_]', '', 'g') AS title_key, doc_id,
-  row_number() OVER (PARTITION BY regexp_replace(lower(substr(text, 1, 30)), '[^A-Za-z0-9_]', '', 'g') ORDER BY CASE WHEN source = 'src0' THEN 0 ELSE 1 END, doc_id) AS r FROM documents WHERE length(text) > 100) WHERE r = 1""")
+@query("""WITH t AS (SELECT regexp_replace(lower(string_split(text, chr(10))[1]), '[^A-Za-z0-9_]', '', 'g') AS title_key, doc_id, source FROM documents WHERE length(text) > 100 AND source IS NOT NULL)
+SELECT title_key, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY title_key ORDER BY CASE WHEN source = 'src0' THEN 0 ELSE 1 END, doc_id) AS r FROM t) WHERE r = 1""")
 def titles_by_priority(spark, sf):
-    d = docs(spark, sf).select("source", F.col("doc_id").alias("pos"), F.substring("text", 1, 30).alias("title"), F.col("text").alias("lyrics"))
+    """The first line stands for the title."""
+    d = docs(spark, sf).select("source", F.col("doc_id").alias("pos"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("lyrics"))
     out = corpora.scraped_union([d.where("source = 'src0'"), d.where("source <> 'src0'")])
     return out.select(text.title_key(F.col("title")).alias("title_key"), F.col("pos").alias("doc_id"))
 
@@ -198,7 +193,7 @@ def artist_starters(spark, sf):
     return L.artist_starters(docs(spark, sf))
 
 
-_PARTS = f"list_transform({Q.lines('text')}, lambda y: CASE WHEN length(y) >= 40 AND regexp_matches(y, {Q.q(text.BREAK)}) THEN [y, {Q.strip(f'substr(y, 1, strpos(y, regexp_extract(y, {Q.q(text.BREAK)})) - 1)')}, {Q.strip(f'substr(y, strpos(y, regexp_extract(y, {Q.q(text.BREAK)})) + length(regexp_extract(y, {Q.q(text.BREAK)})))')}] ELSE [y] END)"
+_PARTS = f"list_transform({Q.lines('text', fed_only=True)}, lambda y: CASE WHEN length(y) >= 40 AND regexp_matches(y, {Q.q(text.BREAK)}) THEN [y, {Q.strip(f'substr(y, 1, strpos(y, regexp_extract(y, {Q.q(text.BREAK)})) - 1)')}, {Q.strip(f'substr(y, strpos(y, regexp_extract(y, {Q.q(text.BREAK)})) + length(regexp_extract(y, {Q.q(text.BREAK)})))')}] ELSE [y] END)"
 
 
 @query(f"""WITH p AS (SELECT doc_id, {_PARTS} AS p FROM documents),
@@ -215,7 +210,7 @@ def hf_format(spark, sf):
     return rows.select("doc_id", "chunk_id", text.training_format(F.col("source"), F.array_join("lines", "\n")).alias("sample"))
 
 
-@query(f"""WITH d AS (SELECT conv_id, turn, {Q.lines("text")} AS ls FROM conversations), s AS (SELECT *, list_position(list_transform(ls, lambda y: regexp_matches(y, {Q.q(text.STOP_LINE)})), true) AS stop FROM d),
+@query(f"""WITH d AS (SELECT conv_id, turn, {Q.lines("text", fed_only=True)} AS ls FROM conversations), s AS (SELECT *, list_position(list_transform(ls, lambda y: regexp_matches(y, {Q.q(text.STOP_LINE)})), true) AS stop FROM d),
 h AS (SELECT conv_id, turn, CASE WHEN coalesce(stop, 0) > 0 THEN ls[1 : stop - 1] ELSE ls END AS ls FROM s)
 SELECT conv_id, turn, array_to_string(list_filter(ls, lambda z: length(z) >= 2 AND NOT ({" OR ".join(f"starts_with(z, {Q.q(p)})" for p in text.META_PREFIXES)}))[1:12], chr(10)) AS verse FROM h""")
 def generated_lines(spark, sf):
@@ -232,7 +227,7 @@ def conversation_corpus(spark, sf):
 # verse metrics
 
 _M = "coalesce(text, '')"
-_ML = f"list_filter({Q.raw(Q.strip(_M))}, lambda z: {Q.strip('z')} <> '')"
+_ML = f"list_filter({Q.split(Q.strip(_M))}, lambda z: {Q.strip('z')} <> '')"
 
 
 def _distinct(n: int) -> str:
@@ -270,7 +265,7 @@ t AS (SELECT doc_id, chunk_id, CAST(any_value(n) AS INTEGER) AS n_lines, CAST(su
 SELECT doc_id, chunk_id, n_lines, pairs, hits, CASE WHEN n_lines < 8 THEN -1.0::DOUBLE WHEN known::DOUBLE / n_lines < 0.5 THEN -0.5::DOUBLE
   ELSE (pairs + 0.5::DOUBLE * hits) * least(n_lines / 16.0::DOUBLE, 1.0) + 0.5::DOUBLE * least(n_lines / 16.0::DOUBLE, 1.0) END AS score FROM t""")
 def score_candidates(spark, sf):
-    return quality.score_verses(L.verse_chunks(docs(spark, sf), "doc_id"), "AABB", 16, 16).select("doc_id", "chunk_id", "n_lines", "pairs", "hits", "score")
+    return quality.score_verses(L.verse_chunks(docs(spark, sf), "doc_id"), "AABB", 16).select("doc_id", "chunk_id", "n_lines", "pairs", "hits", "score")
 
 
 @query("SELECT quality_baseline, toxic_baseline FROM (SELECT max(n)::DOUBLE / sum(n) AS quality_baseline FROM (SELECT count(*) AS n FROM labels GROUP BY quality)), (SELECT max(n)::DOUBLE / sum(n) AS toxic_baseline FROM (SELECT count(*) AS n FROM labels GROUP BY toxic))")
@@ -282,50 +277,50 @@ def majority_baseline(spark, sf):
 
 # vectors
 
-_V = "WITH q AS (SELECT vec_id AS query_id, embedding AS query, label AS ql FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT query_id, ql, vec_id, label, list_dot_product(embedding::DOUBLE[], query::DOUBLE[]) AS score FROM embeddings, q), "
+FOUND = "WITH q AS (SELECT vec_id AS query_id, embedding AS query, label AS ql FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT query_id, ql, vec_id, label, list_dot_product(embedding::DOUBLE[], query::DOUBLE[]) AS score FROM embeddings, q), "
 
 
-def _queries(spark, sf) -> tuple[DataFrame, DataFrame]:
+def vector_queries(spark, sf) -> tuple[DataFrame, DataFrame]:
     v = table(spark, sf, "embeddings")
     return v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("ql"))
 
 
-def _found(df: DataFrame) -> DataFrame:
+def found(df: DataFrame) -> DataFrame:
     return df.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
 
 
-_R = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"
+RANKED = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"
 
 
-@query(_V + f"r AS (SELECT *, {_R} AS rank FROM p) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5")
+@query(FOUND + f"r AS (SELECT *, {RANKED} AS rank FROM p) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5")
 def vector_topk(spark, sf):
-    v, q = _queries(spark, sf)
-    return _found(retrieval.search(v, q, 5))
+    v, q = vector_queries(spark, sf)
+    return found(retrieval.search(v, q, 5))
 
 
-@query(_V + f"r AS (SELECT *, {_R} AS rank FROM p WHERE label <> ql) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5")
+@query(FOUND + f"r AS (SELECT *, {RANKED} AS rank FROM p WHERE label <> ql) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5")
 def vector_topk_filtered(spark, sf):
-    v, q = _queries(spark, sf)
-    return _found(retrieval.search(v, q, 5, F.col("label") != F.col("ql")))
+    v, q = vector_queries(spark, sf)
+    return found(retrieval.search(v, q, 5, F.col("label") != F.col("ql")))
 
 
-@query(_V + f"r AS (SELECT *, {_R} AS r FROM p), f AS (SELECT *, {_R} AS rank FROM r WHERE r <= 50 AND label <> ql) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM f WHERE rank <= 5")
+@query(FOUND + f"r AS (SELECT *, {RANKED} AS r FROM p), f AS (SELECT *, {RANKED} AS rank FROM r WHERE r <= 50 AND label <> ql) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM f WHERE rank <= 5")
 def vector_topk_overfetch(spark, sf):
-    v, q = _queries(spark, sf)
-    return _found(retrieval.search(v, q, 5, F.col("label") != F.col("ql"), "overfetch"))
+    v, q = vector_queries(spark, sf)
+    return found(retrieval.search(v, q, 5, F.col("label") != F.col("ql"), "overfetch"))
 
 
-@query(_V + f"r AS (SELECT query_id, vec_id, score + CASE WHEN label = ql THEN 0.15 ELSE 0 END AS score FROM p), k AS (SELECT *, {_R} AS rank FROM r) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM k WHERE rank <= 5")
+@query(FOUND + f"r AS (SELECT query_id, vec_id, score + CASE WHEN label = ql THEN 0.15 ELSE 0 END AS score FROM p), k AS (SELECT *, {RANKED} AS rank FROM r) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM k WHERE rank <= 5")
 def vector_topk_boosted(spark, sf):
-    v, q = _queries(spark, sf)
-    return _found(retrieval.search(v, q, 5, prefer=F.col("label") == F.col("ql")))
+    v, q = vector_queries(spark, sf)
+    return found(retrieval.search(v, q, 5, prefer=F.col("label") == F.col("ql")))
 
 
 @query()
 def retrieve_diverse(spark, sf):
-    v, q = _queries(spark, sf)
-    found = retrieval.search(v, q, 30).join(docs(spark, sf).select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left")
-    return retrieval.diverse(found, 5, F.col("label") == F.col("ql"))
+    v, q = vector_queries(spark, sf)
+    best = retrieval.search(v, q, 30).join(docs(spark, sf).select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left")
+    return retrieval.diverse(best, 5, F.col("label") == F.col("ql"))
 
 
 @query("WITH x AS (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS neuron FROM embeddings), s AS (SELECT neuron, avg(v::DOUBLE) FILTER (label = 0) - avg(v::DOUBLE) FILTER (label <> 0) AS s FROM x GROUP BY neuron), r AS (SELECT *, row_number() OVER (ORDER BY abs(round(s, 9)) DESC, neuron) AS rank FROM s) SELECT CAST(neuron AS INTEGER) AS neuron, round(s, 6) AS selectivity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
@@ -359,56 +354,50 @@ def ngram_continuations(spark, sf):
     return originality.continuations(table(spark, sf, "benchmark")).select("prefix", F.array_join("next_chars", "").alias("next_chars"))
 
 
-@query("""WITH i AS (SELECT text, unnest(range(1, length(text) - 24)) AS i FROM benchmark WHERE length(text) > 25), n AS (SELECT substr(text, i, 25) AS prefix, list_sort(list(DISTINCT substr(text, i + 25, 1))) AS cs FROM i GROUP BY 1),
-p AS (SELECT item_id, substr(text, 11, 25) AS tail, length(text) AS n FROM benchmark)
-SELECT item_id, coalesce(array_to_string(cs, ''), '') AS blocked FROM p LEFT JOIN n ON p.n >= 35 AND p.tail = n.prefix""")
-def blocked_ngrams(spark, sf):
-    b = table(spark, sf, "benchmark")
-    probe = b.select("item_id", F.when(F.length("text") >= 35, F.substring("text", 1, 35)).otherwise("").alias("text"))
-    return originality.blocked(probe, originality.continuations(b), "item_id").select("item_id", F.array_join("blocked", "").alias("blocked"))
-
-
 @query("""WITH i AS (SELECT text, unnest(range(1, length(text) - 24)) AS i FROM benchmark WHERE length(text) > 25), n AS (SELECT substr(text, i, 25) AS prefix, list_sort(list(DISTINCT substr(text, i + 25, 1))) AS cs FROM i GROUP BY 1),
 p AS (SELECT doc_id, right(text, 25) AS tail, length(text) AS n FROM documents)
 SELECT doc_id, coalesce(array_to_string(cs, ''), '') AS blocked FROM p LEFT JOIN n ON p.n >= 25 AND p.tail = n.prefix""")
-def blocked_ngrams_documents(spark, sf):
+def blocked_ngrams(spark, sf):
     index = originality.continuations(table(spark, sf, "benchmark"))
     return originality.blocked(docs(spark, sf).select("doc_id", "text"), index, "doc_id").select("doc_id", F.array_join("blocked", "").alias("blocked"))
 
 
+QUERIES["blocked_ngrams_documents"], SQL["blocked_ngrams_documents"] = blocked_ngrams, SQL["blocked_ngrams"]
+
+
 # vocabularies and tokenizers
 
 
-_WORDS = f"v AS (SELECT DISTINCT {Q.bare('w')} AS word FROM (SELECT unnest({Q.words('text')}) AS w FROM documents)), s AS (SELECT word, {Q.suffix('word')} AS suffix FROM v WHERE regexp_matches(word, '^[a-z]+$'))"
+WORDS = f"v AS (SELECT DISTINCT {Q.bare('w')} AS word FROM (SELECT unnest({Q.words('text')}) AS w FROM documents)), s AS (SELECT word, {Q.suffix('word')} AS suffix FROM v WHERE regexp_matches(word, '^[a-z]+$'))"
 
 
-def _vocabulary(spark, sf) -> DataFrame:
+def vocabulary(spark, sf) -> DataFrame:
     words = docs(spark, sf).select(F.explode(text.words(F.col("text"))).alias("w")).select(text.bare_word(F.col("w")).alias("word")).distinct()
     return words.where(F.col("word").rlike("^[a-z]+$")).withColumn("suffix", phonetics.spelled_suffix(F.col("word")))
 
 
-@query(f"WITH {_WORDS}, r AS (SELECT *, row_number() OVER (PARTITION BY suffix ORDER BY word) AS r, count(*) OVER (PARTITION BY suffix) AS n FROM s WHERE suffix IS NOT NULL) SELECT suffix, any_value(n) AS n_words, string_agg(word, ' ' ORDER BY word) AS words FROM r WHERE r <= 100 GROUP BY suffix")
+@query(f"WITH {WORDS}, r AS (SELECT *, row_number() OVER (PARTITION BY suffix ORDER BY word) AS r, count(*) OVER (PARTITION BY suffix) AS n FROM s WHERE suffix IS NOT NULL) SELECT suffix, any_value(n) AS n_words, string_agg(word, ' ' ORDER BY word) AS words FROM r WHERE r <= 100 GROUP BY suffix")
 def rhyme_groups(spark, sf):
     from pyspark.sql import Window
 
     by = Window.partitionBy("suffix").orderBy("word")
-    v = _vocabulary(spark, sf).where("suffix is not null")
+    v = vocabulary(spark, sf).where("suffix is not null")
     most = v.withColumn("r", F.row_number().over(by)).where("r <= 100").groupBy("suffix").agg(F.array_join(F.sort_array(F.collect_list("word")), " ").alias("words"))
     return most.join(v.groupBy("suffix").agg(F.count("*").alias("n_words")), "suffix").select("suffix", "n_words", "words")
 
 
-@query(f"WITH {_WORDS} SELECT suffix, word, count(*) OVER (PARTITION BY suffix) AS n_words FROM s WHERE suffix IS NOT NULL")
+@query(f"WITH {WORDS} SELECT suffix, word, count(*) OVER (PARTITION BY suffix) AS n_words FROM s WHERE suffix IS NOT NULL")
 def rhyme_group_words(spark, sf):
     """Every word of each group, a row a word; ``rhyme_groups`` is the lookup of the first 100."""
-    v = _vocabulary(spark, sf).where("suffix is not null")
+    v = vocabulary(spark, sf).where("suffix is not null")
     return v.join(v.groupBy("suffix").agg(F.count("*").alias("n_words")), "suffix").select("suffix", "word", "n_words")
 
 
-@query(f"WITH {_WORDS} SELECT suffix, CAST(row_number() OVER (ORDER BY suffix) AS INTEGER) AS id FROM (SELECT DISTINCT suffix FROM s WHERE suffix IS NOT NULL) UNION ALL SELECT '<NONE>', 0")
+@query(f"WITH {WORDS} SELECT suffix, CAST(row_number() OVER (ORDER BY suffix) AS INTEGER) AS id FROM (SELECT DISTINCT suffix FROM s WHERE suffix IS NOT NULL) UNION ALL SELECT '<NONE>', 0")
 def rhyme_suffix_vocab(spark, sf):
     from pyspark.sql import Window
 
-    ids = _vocabulary(spark, sf).where("suffix is not null").select("suffix").distinct().withColumn("id", F.row_number().over(Window.orderBy("suffix")))
+    ids = vocabulary(spark, sf).where("suffix is not null").select("suffix").distinct().withColumn("id", F.row_number().over(Window.orderBy("suffix")))
     return ids.unionByName(spark.createDataFrame([("<NONE>", 0)], "suffix string, id int"))
 
 
@@ -419,9 +408,9 @@ def artist_vocab(spark, sf):
     return docs(spark, sf).where("source is not null").select("source").distinct().withColumn("id", F.row_number().over(Window.orderBy("source")))
 
 
-@query(f"WITH {_WORDS}, x AS (SELECT word, unnest(range(0, length(word) + 1)) AS i FROM s) SELECT substr(word, 1, i) AS prefix, coalesce(string_agg(DISTINCT nullif(substr(word, i + 1, 1), ''), '' ORDER BY nullif(substr(word, i + 1, 1), '')), '') AS next_chars, bool_or(i = length(word)) AS is_word FROM x GROUP BY 1")
+@query(f"WITH {WORDS}, x AS (SELECT word, unnest(range(0, length(word) + 1)) AS i FROM s) SELECT substr(word, 1, i) AS prefix, coalesce(string_agg(DISTINCT nullif(substr(word, i + 1, 1), ''), '' ORDER BY nullif(substr(word, i + 1, 1), '')), '') AS next_chars, bool_or(i = length(word)) AS is_word FROM x GROUP BY 1")
 def prefix_table(spark, sf):
-    return tokenizers.prefix_table(_vocabulary(spark, sf)).select("prefix", F.array_join("next_chars", "").alias("next_chars"), "is_word")
+    return tokenizers.prefix_table(vocabulary(spark, sf)).select("prefix", F.array_join("next_chars", "").alias("next_chars"), "is_word")
 
 
 _CV = "cv AS (SELECT c AS char, row_number() OVER (ORDER BY c) - 1 AS id FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents))"
@@ -454,7 +443,7 @@ def bpe_first_merge(spark, sf):
 
 
 def _bpe(spark, sf) -> tuple[list[tuple[str, str]], dict[str, int]]:
-    return tokenizers.bpe_train(docs(spark, sf), stash=lambda df: stash(df, "bpe"))
+    return tokenizers.bpe_train(docs(spark, sf))
 
 
 @query()
@@ -471,16 +460,9 @@ def bpe_encode(spark, sf):
 # training sequences
 
 
-@query("""WITH t AS (SELECT item_id, regexp_extract_all(text, '(?s).') AS c FROM benchmark), w AS (SELECT item_id, c, unnest(range(0, len(c) - 65, 32)) AS s FROM t)
-SELECT item_id, CAST(s AS INTEGER) AS start, array_to_string(c[s + 1 : s + 64], '') AS x, array_to_string(c[s + 2 : s + 65], '') AS y FROM w""")
-def lm_windows(spark, sf):
-    rows = table(spark, sf, "benchmark").select("item_id", tokenizers.characters(F.col("text")).alias("tokens"))
-    return sequences.lm_windows(rows, 64, 32, "item_id").select("item_id", "start", F.array_join("x", "").alias("x"), F.array_join("y", "").alias("y"))
-
-
 @query("""WITH t AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS c FROM documents), w AS (SELECT doc_id, c, unnest(range(0, len(c) - 65, 32)) AS s FROM t)
 SELECT doc_id, CAST(s AS INTEGER) AS start, array_to_string(c[s + 1 : s + 64], '') AS x, array_to_string(c[s + 2 : s + 65], '') AS y FROM w""")
-def lm_windows_documents(spark, sf):
+def lm_windows(spark, sf):
     rows = docs(spark, sf).select("doc_id", tokenizers.characters(F.col("text")).alias("tokens"))
     return sequences.lm_windows(rows, 64, 32, "doc_id").select("doc_id", "start", F.array_join("x", "").alias("x"), F.array_join("y", "").alias("y"))
 
@@ -496,15 +478,9 @@ def word_boundary_labels(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(labels).alias("labels_md5"), F.regexp_count(labels, F.lit("1")).cast("long").alias("n_boundaries"))
 
 
-@query(rf"""SELECT item_id, array_to_string(flatten(list_transform(regexp_extract_all(text, '[^ \n\t]+|[ \n\t]'), lambda w: list_transform(range(length(w)),
-  lambda i: CASE WHEN regexp_matches(w, '^\s*$') THEN 0 ELSE least(greatest(1, len(regexp_extract_all({Q.bare("w")}, '[aeiouy]+'))), 6) END))), '') AS labels FROM benchmark""")
-def syllable_labels(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", F.array_join(sequences.syllable_labels(F.col("text")), "").alias("labels"))
-
-
 @query(rf"""SELECT doc_id, array_to_string(flatten(list_transform(regexp_extract_all(text, '[^ \n\t]+|[ \n\t]'), lambda w: list_transform(range(length(w)),
   lambda i: CASE WHEN regexp_matches(w, '^\s*$') THEN 0 ELSE least(greatest(1, len(regexp_extract_all({Q.bare("w")}, '[aeiouy]+'))), 6) END))), '') AS labels FROM documents""")
-def syllable_labels_documents(spark, sf):
+def syllable_labels(spark, sf):
     return docs(spark, sf).select("doc_id", F.array_join(sequences.syllable_labels(F.col("text")), "").alias("labels"))
 
 
@@ -517,49 +493,77 @@ def newline_labels(spark, sf):
 
 # decoding steps: an embedding stands for the logits of a step
 
-_LG = "lg AS (SELECT vec_id AS step, unnest(embedding)::DOUBLE AS logit, unnest(range(len(embedding))) AS token FROM embeddings)"
+LOGITS = "lg AS (SELECT vec_id AS step, unnest(embedding)::DOUBLE AS logit, unnest(range(len(embedding))) AS token FROM embeddings)"
 
 
-def _logits(spark, sf) -> DataFrame:
+def logits(spark, sf) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("step"), F.posexplode("embedding").alias("token", "logit")).withColumn("logit", F.col("logit").cast("double"))
 
 
-@query(f"WITH {_LG}, r AS (SELECT *, rank() OVER (PARTITION BY step ORDER BY logit DESC) AS r FROM lg) SELECT step, CAST(token AS INTEGER) AS token, round(logit, 6) AS logit FROM r WHERE r <= 5")
+@query(f"WITH {LOGITS}, r AS (SELECT *, rank() OVER (PARTITION BY step ORDER BY logit DESC) AS r FROM lg) SELECT step, CAST(token AS INTEGER) AS token, round(logit, 6) AS logit FROM r WHERE r <= 5")
 def top_k_filter(spark, sf):
-    return sequences.top_k_mask(_logits(spark, sf), "step", 5).select("step", "token", F.round("logit", 6).alias("logit"))
+    return sequences.top_k_mask(logits(spark, sf), "step", 5).select("step", "token", F.round("logit", 6).alias("logit"))
 
 
-@query(f"""WITH {_LG}, e AS (SELECT *, exp((logit - max(logit) OVER (PARTITION BY step)) / 0.1) AS e FROM lg), p AS (SELECT *, e / sum(e) OVER (PARTITION BY step) AS p FROM e),
+@query(f"""WITH {LOGITS}, e AS (SELECT *, exp((logit - max(logit) OVER (PARTITION BY step)) / 0.1) AS e FROM lg), p AS (SELECT *, e / sum(e) OVER (PARTITION BY step) AS p FROM e),
 c AS (SELECT *, sum(p) OVER (PARTITION BY step ORDER BY p DESC, token ROWS UNBOUNDED PRECEDING) - p AS b FROM p) SELECT step, CAST(token AS INTEGER) AS token, round(p, 6) AS p FROM c WHERE b < 0.5""")
 def top_p_filter(spark, sf):
-    probs = sequences.softmax(_logits(spark, sf), "step", 0.1)
+    probs = sequences.softmax(logits(spark, sf), "step", 0.1)
     return sequences.top_p_mask(probs, "step", "token", 0.5).select("step", "token", F.round("p", 6).alias("p"))
 
 
-@query(f"WITH {_LG} SELECT step, CAST(token AS INTEGER) AS token, round(CASE WHEN token % 4 = 0 THEN CASE WHEN logit > 0 THEN logit / 1.2::DOUBLE ELSE logit * 1.2::DOUBLE END ELSE logit END, 6) AS logit FROM lg")
+@query(f"""WITH {LOGITS}, g AS (SELECT step, arg_max(token, struct_pack(l := logit, t := -token)) AS token FROM lg GROUP BY step)
+SELECT step, CAST(token AS INTEGER) AS token, round(CASE WHEN EXISTS (SELECT 1 FROM g WHERE g.token = lg.token AND g.step BETWEEN lg.step - 10 AND lg.step - 1)
+  THEN CASE WHEN logit > 0 THEN logit / 1.2::DOUBLE ELSE logit * 1.2::DOUBLE END ELSE logit END, 6) AS logit FROM lg""")
 def repetition_penalty(spark, sf):
-    return _logits(spark, sf).select("step", "token", F.round(sequences.repetition_penalty(F.col("logit"), F.col("token") % 4 == 0, 1.2), 6).alias("logit"))
+    """Tokens that one of the ten steps before takes are penalised; a step takes its likeliest token."""
+    rows = logits(spark, sf)
+    taken = rows.groupBy("step").agg(F.max_by("token", F.struct("logit", -F.col("token"))).alias("token"))
+    recent = taken.select(F.explode(F.sequence(F.col("step") + 1, F.col("step") + 10)).alias("step"), "token").distinct().withColumn("recent", F.lit(True))
+    rows = rows.join(recent, ["step", "token"], "left").withColumn("recent", F.coalesce("recent", F.lit(False)))
+    return rows.select("step", "token", F.round(sequences.repetition_penalty(F.col("logit"), F.col("recent"), 1.2), 6).alias("logit"))
 
 
-@query()
+@query(f"""WITH {LOGITS}, e AS (SELECT *, exp((logit - max(logit) OVER (PARTITION BY step)) / 0.1) AS e FROM lg), p AS (SELECT *, e / sum(e) OVER (PARTITION BY step) AS p FROM e),
+c AS (SELECT step, token, sum(p) OVER (PARTITION BY step ORDER BY token ROWS UNBOUNDED PRECEDING) AS c FROM p)
+SELECT step, CAST(min(token) AS INTEGER) AS token FROM c WHERE c > ({Q.keyed(0, "step")} % 1073741824) / 1073741824.0::DOUBLE GROUP BY step""")
 def sampled_tokens(spark, sf):
-    return sequences.sample(sequences.softmax(_logits(spark, sf), "step", 0.1), "step", "token")
+    return sequences.sample(sequences.softmax(logits(spark, sf), "step", 0.1), "step", "token")
 
 
 # augmentation
 
 
-@query()
+_FED = Q.lines("text", fed_only=True)
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_FED} AS ls FROM documents), r AS (SELECT doc_id, ls, unnest(ls) AS x, unnest(range(len(ls))) AS i FROM d WHERE len(ls) >= 4),
+o AS (SELECT *, CASE WHEN i < len(ls) // 4 * 4 THEN {Q.keyed(0, "doc_id", "i")} ELSE i END AS o FROM r),
+n AS (SELECT doc_id, any_value(array_to_string(ls, chr(10))) AS old, string_agg(x, chr(10) ORDER BY i // 4, o, x) AS text FROM o GROUP BY doc_id)
+SELECT doc_id, text FROM n WHERE text <> old""")
 def shuffle_blocks(spark, sf):
     return augment.shuffled_blocks(docs(spark, sf), "doc_id")
 
 
-@query()
+@query(f"""WITH d AS (SELECT source, doc_id, {_FED} AS ls FROM documents), r AS (SELECT source, doc_id, ls, unnest(range(len(ls) // 8)) AS chunk FROM d),
+c AS (SELECT source, doc_id, array_to_string(ls[chunk * 8 + 1 : chunk * 8 + 8], chr(10)) AS text, row_number() OVER (PARTITION BY source ORDER BY doc_id, chunk) - 1 AS j, count(*) OVER (PARTITION BY source) AS m,
+  count(*) OVER (PARTITION BY source, doc_id) AS c FROM r),
+s AS (SELECT *, min(j) OVER (PARTITION BY source, doc_id) AS s FROM c),
+f AS (SELECT source, text, m, CASE WHEN m = c THEN j ELSE s END AS at, CASE WHEN m = c THEN 1 ELSE c END AS width FROM s WHERE m >= 2 AND j = {Q.keyed(0, "source", "0")} % m),
+g AS (SELECT *, {Q.keyed(1, "source", "0")} % (m - width) AS r FROM f)
+SELECT g.source, 0::BIGINT AS draw, g.text || chr(10) || c.text AS text FROM g JOIN c ON g.source IS NOT DISTINCT FROM c.source AND c.j = CASE WHEN r < g.at THEN r ELSE r + width END""")
 def recombine(spark, sf):
     return augment.recombined(docs(spark, sf), "source", "doc_id")
 
 
-@query()
+_OPTIONS = " ".join(f"WHEN {Q.q(w)} THEN {r}" for w, r in sorted(augment.SYNONYMS.items()))
+
+
+@query(f"""WITH p AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+') AS ps FROM documents), x AS (SELECT doc_id, unnest(ps) AS x, unnest(range(len(ps))) AS i FROM p),
+o AS (SELECT *, CASE lower(x) {_OPTIONS} END AS o FROM x),
+n AS (SELECT *, CASE WHEN o IS NOT NULL AND {Q.keyed(0, "doc_id", "i")} % 1000000 < 300000 THEN o[({Q.keyed(1, "doc_id", "i")} % len(o) + 1)::INT] END AS w FROM o),
+t AS (SELECT doc_id, string_agg(CASE WHEN w IS NULL THEN x WHEN regexp_matches(x, '^[A-Z]') THEN upper(w[1:1]) || w[2:] ELSE w END, '' ORDER BY i) AS text FROM n GROUP BY doc_id)
+SELECT doc_id, t.text FROM t JOIN documents d USING (doc_id) WHERE t.text <> d.text""")
 def synonym_swap(spark, sf):
     return augment.swapped_synonyms(docs(spark, sf), "doc_id")
 
@@ -596,12 +600,15 @@ def run_metrics_windowed(spark, sf):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-@query("""WITH b AS (SELECT user_id, event_id, value, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS best,
-  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = 'purchase'), c AS (SELECT *, max(CASE WHEN before IS NULL OR value < before THEN n END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS b FROM b)
-SELECT user_id, event_id, best, CAST(n - b AS BIGINT) AS since_best FROM c""")
+_E = "PARTITION BY user_id, event_type ORDER BY event_id"
+
+
+@query(f"""WITH b AS (SELECT user_id, event_type, event_id, value, min(value) OVER ({_E} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, min(value) OVER ({_E} ROWS UNBOUNDED PRECEDING) AS best,
+  row_number() OVER ({_E}) AS n FROM events), c AS (SELECT *, max(CASE WHEN before IS NULL OR value < before THEN n END) OVER ({_E} ROWS UNBOUNDED PRECEDING) AS b FROM b)
+SELECT user_id, event_type, event_id, best, CAST(n - b AS BIGINT) AS since_best FROM c""")
 def early_stopping(spark, sf):
-    rows = table(spark, sf, "events").where("event_type = 'purchase'").select("user_id", "event_id", "value")
-    return quality.evals_since_best(rows, "user_id", "event_id", "value").select("user_id", "event_id", "best", "since_best")
+    rows = table(spark, sf, "events").select("user_id", "event_type", "event_id", "value")
+    return quality.evals_since_best(rows, ["user_id", "event_type"], "event_id", "value").select("user_id", "event_type", "event_id", "best", "since_best")
 
 
 @query("SELECT range AS step, round(CASE WHEN range < 100 THEN range / 100.0::DOUBLE ELSE 0.5::DOUBLE * (1 + cos(pi() * (range - 100) / 900.0::DOUBLE)) END, 6) AS factor FROM range(1000)")
@@ -639,3 +646,7 @@ def page_text(spark, sf):
 def char_class_counts(spark, sf):
     chars = docs(spark, sf).select("source", F.explode(tokenizers.characters(F.col("text"))).alias("c")).groupBy("source", "c").agg(F.count("*").alias("n"))
     return chars.groupBy("source", text.char_class(F.col("c")).alias("class")).agg(F.sum("n").alias("n"))
+
+
+# the other queries register themselves
+from . import dataset_queries, decoding_queries, profile_queries  # noqa: E402, F401

@@ -18,8 +18,16 @@ def raw(t: str) -> str:
     return f"string_split({t}, chr(10))"
 
 
-def lines(t: str) -> str:
-    return f"list_filter(list_transform({raw(t)}, lambda x0: {strip('x0')}), lambda x1: x1 <> '')"
+def split(t: str) -> str:
+    return rf"string_split_regex({t}, '\r\n|[\n\r\x0B\f\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]')"
+
+
+def lines(t: str, fed_only: bool = False) -> str:
+    return f"list_filter(list_transform({raw(t) if fed_only else split(t)}, lambda x0: {strip('x0')}), lambda x1: x1 <> '')"
+
+
+def keyed(seed: int, *key: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(f'({k})::VARCHAR' for k in key)})), 1, 15))::BIGINT"
 
 
 def style(t: str) -> str:
@@ -27,7 +35,7 @@ def style(t: str) -> str:
 
 
 def page(t: str) -> str:
-    body = f"CASE WHEN contains({raw(t)}[1], 'Lyrics') THEN {raw(t)}[2:] ELSE {raw(t)} END"
+    body = f"CASE WHEN contains({split(t)}[1], 'Lyrics') THEN {split(t)}[2:] ELSE {split(t)} END"
     keep = f"x4 <> '' AND NOT regexp_matches(x4, {q(T.HEADER)}) AND NOT regexp_matches(x4, {q(T.PAGE_NOISE)}) AND (length(x4) >= 3 OR regexp_matches(x4, '^\\p{{L}}'))"
     return f"list_filter(list_transform({body}, lambda x3: {strip('x3')}), lambda x4: {keep})"
 
@@ -75,12 +83,13 @@ k AS (SELECT {cols}, CAST(i // {stride} AS INTEGER) AS chunk_id, ls[i + 1 : i +
 
 #: l(source, doc_id, line_no, line) and w(source, a, b, c, d): lines of texts of 50 or more characters, runs of four suffixes.
 LINES = f"""l AS (SELECT source, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM (SELECT source, doc_id, {style("text")} AS ls FROM documents WHERE length(text) >= 50))"""
-WINDOWS = f"""{LINES},
-s AS (SELECT source, doc_id, line_no, {suffix(end_word("line"))} AS s FROM l),
-w0 AS (SELECT source, s AS a, lead(s, 1) OVER v AS b, lead(s, 2) OVER v AS c, lead(s, 3) OVER v AS d, row_number() OVER v AS rn, count(*) OVER (PARTITION BY source) AS n
+RUNS = f"""w0 AS (SELECT source, s AS a, lead(s, 1) OVER v AS b, lead(s, 2) OVER v AS c, lead(s, 3) OVER v AS d, row_number() OVER v AS rn, count(*) OVER (PARTITION BY source) AS n
   FROM s WINDOW v AS (PARTITION BY source ORDER BY doc_id, line_no)),
 w AS (SELECT * FROM w0 WHERE rn <= n - 3),
 c AS (SELECT source, {classify("a", "b", "c", "d")} AS scheme FROM w)"""
+WINDOWS = f"""{LINES},
+s AS (SELECT source, doc_id, line_no, {suffix(end_word("line"))} AS s FROM l),
+{RUNS}"""
 
 
 def grams(x: str, n: int = 5) -> str:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators.following import numbered
+from ..operators.lines import exact_dedup
 
 CHUNK = "artist string, title string, text string, chunk_id int, rhyme_scheme string, end_suffixes array<string>"
 PROFILE = (
@@ -112,6 +117,38 @@ def without_versions(songs: DataFrame) -> DataFrame:
 
 
 def training_corpus(songs: DataFrame, group: str, order: str) -> DataFrame:
-    """(group, text): the texts of each group in order, joined by blank lines."""
-    parts = F.transform(F.sort_array(F.collect_list(F.struct(order, "text"))), lambda x: x["text"])
-    return songs.groupBy(group).agg(F.array_join(parts, "\n\n").alias("text"))
+    """(group, part_no, text): the texts of each group in order, a blank line after each but the last; a row a text, so no group is one row."""
+    rows = numbered(songs.select(group, order, "text"), group, order, "text")
+    return rows.select(group, F.col("_no").alias("part_no"), F.concat("text", F.when(F.col("_no") < F.col("_all"), "\n\n").otherwise("")).alias("text"))
+
+
+def built_dataset(songs: DataFrame, order: str, *keep: str) -> DataFrame:
+    """(order, keep..., lyrics): songs (.., lyrics) cleaned, each text once, the first by ``order``, those of over 100 characters."""
+    rows = songs.select(order, *keep, text.clean_page(F.coalesce("lyrics", F.lit(""))).alias("lyrics"))
+    return exact_dedup(rows, "lyrics", order).where(F.length("lyrics") > 100)
+
+
+def songs_of(corpus: DataFrame, artist: str, order: str) -> DataFrame:
+    """(artist, title, lyrics): an artist's texts (artist, text) of over 100 characters, whatever the case of the name, as Track 1, 2, .. by ``order``."""
+    rows = corpus.where((F.lower("artist") == artist.lower()) & (F.length("text") > 100))
+    rows = numbered(rows.withColumn("_one", F.lit(0)), "_one", order)
+    return rows.select(F.lit(artist).alias("artist"), F.concat(F.lit("Track "), F.col("_no").cast("string")).alias("title"), text.clean_page(F.col("text")).alias("lyrics"))
+
+
+def cached_songs(spark: SparkSession, artist: str, folder: str, fetch: Callable[[str], DataFrame]) -> DataFrame:
+    """(artist, title, lyrics) of ``folder``'s table for the artist; where it has none, what ``fetch`` gives, which is kept there unless empty."""
+    path = f"{folder}/{re.sub('[^a-z0-9]+', '_', artist.lower()).strip('_')}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.read.schema(SONG).parquet(path)
+    songs = fetch(artist).select("artist", "title", "lyrics")
+    if not songs.head(1):
+        return songs
+    songs.write.mode("overwrite").parquet(path)
+    return spark.read.schema(SONG).parquet(path)
+
+
+def read_synonyms(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """A table of replacements from JSON lines (word, replacements): a vocabulary's worth, so it travels inside expressions."""
+    rows = spark.read.schema("word string, replacements array<string>").json(path).where(F.size("replacements") > 0)
+    return {r.word.lower(): list(r.replacements) for r in rows.collect()}

@@ -29,6 +29,12 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def write_results(summary: DataFrame, runs: DataFrame, path: str) -> None:
+    """The sink of a comparison: its summary and the runs that it sums up, as JSON lines."""
+    summary.write.mode("overwrite").json(f"{path}/summary")
+    runs.write.mode("overwrite").json(f"{path}/runs")
+
+
 def last_metrics(log: DataFrame, run: str = "run", metric: str = "metric", order: str = "step", value: str = "value") -> DataFrame:
     """(run, metric, last_value, n): the value of the last row of each run and metric."""
     return log.groupBy(run, metric).agg(F.max_by(value, order).alias("last_value"), F.count("*").alias("n"))

@@ -1,11 +1,14 @@
 """Rules that the given tables don't exercise, on hand-written rows."""
 
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from strophe.config import Config
-from strophe.functions import phonetics, scheme, text
+from strophe.functions import phonetics, reports, scheme, text
 from strophe.operators import augment, lines, originality, quality, retrieval, sequences, tokenizers
-from strophe.operators.following import with_following
+from strophe.operators.following import numbered, with_following
 from strophe.plans import queries
 from strophe.sources import corpora, runs
 from strophe.streaming.run_metrics import read_stream, windowed, write_stream
@@ -44,7 +47,10 @@ def test_phonetics(spark):
     assert one(spark, phonetics.phone_suffix(F.col("p")), p=["M"]) is None
     assert [one(spark, phonetics.spelled_syllables(F.col("w")), w=w) for w in ("zzz", "-", "banana")] == [1, 1, 3]
     assert [one(spark, phonetics.syllable_bucket(F.col("n")), n=n) for n in (6, 7, 12, 15, 16)] == [0, 1, 2, 3, 4]
-    assert phonetics.phonemes(spark).count() == 70
+    ids = {r.symbol: r.id for r in phonetics.phonemes(spark).collect()}
+    assert len(ids) == 70 and (ids["AA0"], ids["AY2"], ids["B"], ids["CH"], ids["D"], ids["DH"], ids["EH0"], ids["ZH"]) == (1, 18, 19, 20, 21, 22, 23, 69)
+    assert one(spark, phonetics.words_rhyme(F.lit("Ride"), F.lit("side"), F.lit("AY1 D"), F.lit("AY1 D")), t="")
+    assert not one(spark, phonetics.words_rhyme(F.lit("Ride"), F.lit("ride"), F.lit("AY1 D"), F.lit("AY1 D")), t="")
 
 
 def test_scheme(spark):
@@ -75,11 +81,55 @@ def test_chunks(spark):
 
 
 def test_spam_paths_agree(spark):
-    body = "\n".join(f"a line of the text number {i}" for i in range(6))
-    df = spark.createDataFrame([(i, "s", f"{body} {i}\nbuy tickets now\nown line {i}") for i in range(6)], "doc_id long, source string, text string")
-    a, b = (sorted(map(tuple, lines.without_spam(df, small=n).collect())) for n in (1000, 0))
-    assert a == b
-    assert a == [] or all("buy tickets" not in r[2] for r in a)
+    """Both ways give the same rows, ids that occur twice and null ids among them."""
+    own = lambda i: "\n".join(f"a line of text {i} and of no other, number {j}" for j in range(6))
+    ids = [0, 1, 1, None, None, 5, 6]
+    df = spark.createDataFrame([(d, "s", f"{own(i)}\nbuy tickets now\nown line {i}") for i, d in enumerate(ids)], "doc_id long, source string, text string")
+    a, b = (sorted(map(tuple, lines.without_spam(df, small=n).collect()), key=str) for n in (1000, 0))
+    assert a == b and len(a) == len(ids)
+    assert all("buy tickets" not in r[2] and r[2].endswith(f"own line {r[2][-1]}") for r in a)
+
+
+def test_exact_dedup_of_null_and_repeated_ids(spark):
+    rows = [(None, "alone"), (1, "twice"), (2, "twice"), (1, "another of id 1"), (None, "here too"), (7, "here too"), (8, None), (9, None), (3, "same row"), (3, "same row")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, lines.exact_dedup(df).collect()), key=str)
+    assert got == sorted([(None, "alone"), (1, "twice"), (1, "another of id 1"), (7, "here too"), (8, None), (3, "same row")], key=str)
+
+
+def test_lines_end_in_many_ways(spark):
+    t = "one line\r\ntwo line\rthree line\x0bfour line\u2028five line\x85six line"
+    assert len(one(spark, text.style_lines(F.col("t")), t=t)) == 6
+    assert one(spark, text.clean_page(F.col("t")), t="X Lyrics\r\nkept line\r\n") == "kept line"
+    assert one(spark, text.generated_lines(F.col("t"), 9), t="a b\x0bc\nd e") == ["a b\x0bc", "d e"]
+
+
+def test_numbered_is_a_row_number(spark):
+    rows = [("a", d % 40 if d % 9 else None, d) for d in range(200)] + [(None, 3, 1), (None, 1, 2)]
+    df = spark.createDataFrame(rows, "g string, o long, d long")
+    for parts in (1, 7):
+        got = numbered(df, "g", "o", "d", parts=parts).collect()
+        for g in ("a", None):
+            mine = [r for r in got if r.g == g]
+            order = sorted(mine, key=lambda r: (r.o is not None, r.o or 0, r.d))
+            assert [r._no for r in order] == list(range(1, len(mine) + 1)) and {r._all for r in mine} == {len(mine)}
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+
+    def seconds(n, f):
+        df = spark.createDataFrame([("s", 1, "\n".join(f"a line of words that ends in {w}" for w in ("ride", "side", "stone", "alone") * (n // 4)))], "source string, doc_id long, text string")
+        f(df).count()
+        best = []
+        for _ in range(2):
+            began = time.time()
+            f(df).write.format("noop").mode("overwrite").save()
+            best.append(time.time() - began)
+        return min(best)
+
+    for f in (lines.scheme_windows, lambda d: sequences.newline_labels(d, "doc_id"), lambda d: sequences.words_at_boundaries(d, "doc_id"), lambda d: augment.full_chunks(d, "source", "doc_id")):
+        assert seconds(16_000, f) <= 2.5 * seconds(8_000, f) + 0.5
 
 
 def test_metrics(spark):
@@ -91,6 +141,9 @@ def test_metrics(spark):
     got = {r.id: r for r in quality.score_verses(v, "AABB", 8).collect()}
     assert got[1].score == -1.0
     assert got[2].pairs == 22 and got[2].hits == 4 and got[2].score == 22 + 2 + 0.5
+    long = spark.createDataFrame([(1, ["a cat", "a hat"] * 300)], "id long, lines array<string>")
+    got = quality.score_verses(long, "ABAB", 8).first()
+    assert got.n_lines == 600 and got.pairs == sum(min(4, 599 - i) for i in range(600)) and got.hits == 10  # the pattern's lines only
     best = quality.best_candidate(quality.score_verses(v, "AABB", 8).withColumn("g", F.lit(1)), "g", "lines", "id").first()
     assert best.n_lines == 8
 
@@ -128,6 +181,10 @@ def test_bpe_ways_agree_and_queries_take_documents(spark, tmp_path):
     d = spark.createDataFrame([(1, body), (2, "wider 42 @home"), (3, "low aab é")], "doc_id long, text string")
     here = tokenizers.bpe_train(d, 12)
     assert here == tokenizers.bpe_train(d, 12, small=0) and len(here[0]) == 12
+    odd = spark.createDataFrame([(1, "low"), (1, "new low"), (2, None), (3, ""), (None, "low")], "doc_id long, text string")
+    names = {i: t for t, i in here[1].items()}
+    got = [(r.doc_id, None if r.tokens is None else "".join(names[i] for i in r.tokens)) for r in tokenizers.bpe_encode(odd, *here).collect()]
+    assert sorted(got, key=str) == sorted(map(tuple, odd.collect()), key=str)
     d.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "low")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     merges, vocab = tokenizers.bpe_train(d)
@@ -145,8 +202,16 @@ def test_augmentation_keeps_lines(spark):
         assert all(sorted(old[i : i + 4]) == sorted(new[i : i + 4]) for i in range(0, 20, 4))
     r = augment.recombined(d, "source", "doc_id").first()
     assert len(r.text.split("\n")) == 16 and len({x.split()[2] for x in r.text.split("\n")}) == 2
-    out = augment.augmented(d)
-    assert out.count() == out.select("text").distinct().count()
+    single = d.where("doc_id = 1").withColumn("source", F.lit("t"))
+    assert len(set(augment.recombined(single, "source", "doc_id").first().text.split("\n"))) == 16  # two chunks of the one text
+    short = spark.createDataFrame([(9, "u", "one line"), (10, "u", None), (11, "u", " ")], "doc_id long, source string, text string")
+    big = augment.augmented(d.unionByName(short), multiplier=6).collect()
+    n = Counter(r.pass_no for r in big)
+    assert n[0] == 4 and 8 <= sum(n.values()) <= 24 and n[4] > 0 and len({r.text for r in big}) == len(big)
+    assert {r.source for r in big if r.pass_no == 4} == {"s"}
+    few = augment.augmented(short.unionByName(d.where("doc_id < 1").select("doc_id", F.lit("v").alias("source"), F.expr("substring_index(text, '\\n', 5)").alias("text"))), multiplier=4, table={"line": ["row"]}).collect()
+    assert {r.pass_no for r in few} >= {0, 5} and not any(r.pass_no == 4 for r in few)  # nothing to recombine
+    assert augment.swapped_synonyms(d, "doc_id", table={"line": ["x" * 150]}).where("text like '%" + "x" * 150 + "%'").count() == 3
     words = spark.createDataFrame([(i, f"w{i}") for i in range(120)], "rank long, word string")
     mixed = augment.interleaved(d.select("doc_id", "text"), words, "doc_id", 0.5).collect()
     assert sum(r.part == 0 for r in mixed) == 3 and sum(r.part == 1 for r in mixed) <= 3
@@ -158,6 +223,19 @@ def test_near_copies_against_brute_force(spark):
     c = spark.createDataFrame([(1, base)], "item_id long, text string")
     got = {r.line: r.similarity for r in originality.near_copies(d, c).collect()}
     assert set(got) == {base, base + "s"} and got[base] == 1.0
+    r = random.Random(4)
+    words = ["".join(r.choice("abcde") for _ in range(4)) for _ in range(12)]
+    probes, known = ([" ".join(r.choice(words) for _ in range(7)) for _ in range(n)] for n in (120, 60))
+    probes += [k[:-1] + "z" for k in known[:30]] + ["aaaaaaaaaaaaaaaaaaaaa"]
+    grams = lambda t: {t[i : i + 5] for i in range(len(t) - 4)}
+    d, c = (spark.createDataFrame([(i, t) for i, t in enumerate(ts)], "id long, text string") for ts in (probes, known))
+    for similar in (0.3, 0.85):
+        want = {(p, k) for p in probes for k in known if len(grams(p) & grams(k)) > similar * len(grams(p) | grams(k))}
+        assert want and {(x.line, x.known_line) for x in originality.near_copies(d, c, similar).collect()} == want
+    every = probes + known[:5] + known[:5]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(every)], "id long, text string")
+    want = {(i, j) for j in range(len(every)) for i in range(j) if len(grams(every[i]) & grams(every[j])) > 0.3 * len(grams(every[i]) | grams(every[j]))}
+    assert {(x.a, x.b) for x in retrieval.gram_overlap_pairs(rows, 0.3).collect()} == want
 
 
 def test_retrieval(spark):
@@ -189,6 +267,61 @@ def test_rhyme_groups_are_whole(spark, tmp_path):
     assert sorted(r.word for r in got) == sorted(words) and {r.n_words for r in got} == {120}
 
 
+def test_song_links(spark):
+    html = '<a class="x" href="/lyric/1">One <b>song</b></a><a href="/lyric/2">17</a><a href="/about">About</a><a href="https://www.lyrics.com/lyric/3">Three</a><a href="https://genius.com/a-lyrics">Song A</a><a href="https://genius.com/a-lyrics">Again</a><a href="https://genius.com/b-lyrics">ab</a><a href="../lyrics/q/z.html">Z</a><a href="https://www.songlyrics.com/me/a-lyrics/">A</a><a href="https://www.songlyrics.com/me-lyrics/">me</a>'
+    got = lambda site, **more: [tuple(x) for x in one(spark, text.song_links(F.col("t"), **text.LINK_RULES[site], **more), t=html)]
+    assert got("lyrics.com") == [("One song", "https://www.lyrics.com/lyric/1"), ("Three", "https://www.lyrics.com/lyric/3")]
+    assert got("azlyrics.com") == [("Z", "https://www.azlyrics.com../lyrics/q/z.html")]
+    assert got("songlyrics.com", slug=F.lit("me"), page=F.lit("https://www.songlyrics.com/me-lyrics/")) == [("A", "https://www.songlyrics.com/me/a-lyrics/")]
+    assert got("genius.com") == [("Song A", "https://genius.com/a-lyrics")]
+
+
+def test_rhyme_bias_and_open_lines(spark):
+    steps = [(1, "the ring\nlet them sing\nit was a long spring"), (2, "the ring\nlet it"), (3, "the ring\nlet it be now for a plan"), (4, "first line of four words"), (5, "a\nb\nc\nd\ntoo many lines for it ring")]
+    ends = spark.createDataFrame([("ing", 10), ("ing", 11), ("an", 12), (None, 0)], "suffix string, token int")
+    got = sequences.rhyme_bias(spark.createDataFrame(steps, "step long, text string"), [0, 0, 0, 1], ends).collect()
+    assert sorted((r.step, r.token, round(r.bias, 6)) for r in got) == [(1, 0, 2.4), (3, 10, 1.5), (3, 11, 1.5)]
+
+
+def test_reports(spark):
+    profile = dict(dominant_scheme="AABB", scheme_confidence_named=0.125, avg_syllables=10.5, syllable_stddev=3.57, rhyme_density=0.144, contraction_rate=0.03, signature_words=["alpha", "beta"])
+    names = ", ".join(f"{k} {'string' if isinstance(v, str) else 'array<string>' if isinstance(v, list) else 'double'}" for k, v in profile.items())
+    df = spark.createDataFrame([tuple(profile.values()), (None,) * len(profile)], names)
+    cards = [r.x for r in df.select(reports.profile_card(F.lit("Me")).alias("x")).collect()]
+    assert "- **Bar length:** 10.5 syllables (±3.6)\n" in cards[0] and "(12% of clean patterns)" in cards[0] and cards[0].endswith("`alpha`, `beta`\n")
+    assert cards[1] == "_No style profile available for Me_"
+    got = [r.x for r in df.select(reports.prompt(F.lit("home"), F.lit("Me"), F.array(F.lit(" a\n\nb\nc ")), cap=2).alias("x")).collect()]
+    assert got[0].split("\n") == ["Me writes in AABB couplets (lines 1+2 rhyme, 3+4 rhyme).", "Average bar length: 10 syllables.", "Me's signature vocabulary includes: alpha, beta.", "", "Rap verses by Me:", "", "Verse 1:", "a", "b", "", "Verse 2 by Me (AABB rhyme scheme) about home:"]
+    assert got[1].split("\n") == ["Rap verses by Me:", "", "Verse 1:", "a", "b", "", "Verse 2 — home:"]
+    assert reports.header_row(["loss"], True) == f"{'Model':<25} {'Params':>10} | {'loss':<16}"
+
+
+def test_lookups_and_sinks(spark, tmp_path):
+    d = spark.createDataFrame([("Dave", "x" * 60 + f"\nline {i} of it\n" + "y" * 60, i) for i in (3, 1, 2)] + [("dave", "short", 9)], "artist string, text string, pos long")
+    got = corpora.songs_of(d, "DAVE", "pos").collect()
+    assert sorted((r.title, r.lyrics.split("\n")[1]) for r in got) == [(f"Track {i}", f"line {i} of it") for i in (1, 2, 3)]
+    asked = []
+    fetch = lambda a: (asked.append(a), corpora.songs_of(d, a, "pos"))[1]
+    assert [corpora.cached_songs(spark, "Dave!", str(tmp_path), lambda a: fetch("dave")).count() for _ in range(2)] == [3, 3] and asked == ["dave"]
+    assert corpora.cached_songs(spark, "nobody", str(tmp_path), fetch).count() == 0
+    runs.write_results(d.groupBy("artist").count(), d, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r" / "runs")).count() == 4
+    p = spark.createDataFrame([("Nas", 1), ("NAS", 2)], "artist string, n int")
+    assert corpora.profile_of(p, "NAS").first().n == 2 and corpora.profile_of(p, "nas").count() == 1
+    (tmp_path / "syn.json").write_text('{"word": "Line", "replacements": ["row"]}\n{"word": "none", "replacements": []}\n')
+    assert corpora.read_synonyms(spark, str(tmp_path / "syn.json")) == {"line": ["row"]}
+
+
+def test_lexicon_paths(spark):
+    lex = spark.createDataFrame([("money", 0, ["M", "AH1", "N", "IY0"]), ("honey", 0, ["HH", "AH1", "N", "IY0"]), ("honey", 1, ["X"]), ("ride", 0, ["R", "AY1", "D"])], "word string, variant int, phones array<string>")
+    body = "all the money!\nmilk and honey\nwe ride\nunknownword"
+    d = spark.createDataFrame([("s", 1, body + " " * 50)], "source string, doc_id long, text string")
+    assert lines.suffix_docs(d, lex).first().suffixes == ["IY0", "IY0", "AY1 D", None]
+    rows = lines.line_table(d, text.style_lines(F.col("text")), "doc_id")
+    assert [r.syllables for r in lines.syllables_of_lines(rows, lex, "doc_id").orderBy("line_no").collect()] == [1 + 1 + 2, 1 + 1 + 2, 2, 3]
+    assert [r.scheme for r in lines.scheme_windows(d, lexicon=lex).collect()] == ["unknown"]
+
+
 def test_sources(spark, tmp_path):
     d = spark.createDataFrame([("a", 'line "one"\nline two'), ("b", None)], "artist string, artist_verses string")
     corpora.write_lyrics(d, str(tmp_path / "csv"))
