@@ -33,30 +33,31 @@ def gram_counts(texts: DataFrame, column: str, n: int = 5) -> DataFrame:
 
 
 def gram_prefixes(texts: DataFrame, column: str, freq: DataFrame, similar: float, n: int = 5) -> DataFrame:
-    """(column, size, gram): of each distinct text the first ``size - ceil(similar * size) + 1`` substrings, rarest in ``freq`` first.
+    """(h, size, gram): of each distinct text, named by its 64-bit hash, the first ``size - ceil(similar * size) + 1`` substrings, rarest in ``freq`` first.
 
     Two texts above ``similar`` share one of them. Substrings that ``freq`` lacks come first of all and have no row, as nothing shares
     them; a text with enough of those has no row at all.
     """
-    grams = texts.select(column, F.array_distinct(text.char_ngrams(F.col(column), n)).alias("_g")).where(F.size("_g") > 0)
-    rows = grams.select(column, F.size("_g").alias("size"), F.explode("_g").alias("gram")).join(freq, "gram")
+    grams = texts.select(F.xxhash64(column).alias("h"), F.array_distinct(text.char_ngrams(F.col(column), n)).alias("_g")).where(F.size("_g") > 0)
+    rows = grams.select("h", F.size("_g").alias("size"), F.explode("_g").alias("gram")).join(freq, "gram")
     keep = (F.col("size") - F.ceil(F.lit(similar) * F.col("size")) + 1).cast("int")
-    rows = rows.groupBy(column, "size").agg(F.sort_array(F.collect_list(F.struct("freq", "gram"))).alias("_m"))
+    rows = rows.groupBy("h", "size").agg(F.sort_array(F.collect_list(F.struct("freq", "gram"))).alias("_m"))
     left = keep - (F.col("size") - F.size("_m"))
-    return rows.where(left > 0).select(column, "size", F.explode(F.slice("_m", 1, left)).alias("_x")).select(column, "size", F.col("_x.gram").alias("gram"))
+    return rows.where(left > 0).select("h", "size", F.explode(F.slice("_m", 1, left)).alias("_x")).select("h", "size", F.col("_x.gram").alias("gram"))
 
 
 def near_copies(docs: DataFrame, corpus: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(line, known_line, similarity): distinct probe lines whose five-character Jaccard with a training line exceeds ``similar``.
 
-    Exact, by prefix (see ``gram_prefixes``): frequent substrings of the training lines come last and so join few lines. Only lines,
-    sizes and single substrings travel; sizes must agree within ``similar``; candidates are verified on whole sets. Equal lines count 1.
+    Exact, by prefix (see ``gram_prefixes``): frequent substrings of the training lines come last and so join few lines. Only hashes,
+    sizes and single substrings travel; sizes must agree within ``similar``; candidates are verified on whole lines. Equal lines count 1.
     """
-    known, probe = training_lines(corpus), probe_lines(docs).select("line").distinct()
+    known, probe = training_lines(corpus), stash(probe_lines(docs).select("line").distinct(), "lines")
     freq = stash(gram_counts(known, "line"), "grams")
-    ours = gram_prefixes(known, "line", freq, similar).toDF("known_line", "known_size", "gram")
+    ours = gram_prefixes(known, "line", freq, similar).toDF("k", "known_size", "gram")
     met = gram_prefixes(probe, "line", freq, similar).join(ours, "gram")
-    met = met.where((F.col("size") >= similar * F.col("known_size")) & (F.col("known_size") >= similar * F.col("size"))).select("line", "known_line").distinct()
+    met = met.where((F.col("size") >= similar * F.col("known_size")) & (F.col("known_size") >= similar * F.col("size"))).select("h", "k").distinct()
+    met = met.join(known.select(F.xxhash64("line").alias("k"), F.col("line").alias("known_line")), "k").join(probe.select(F.xxhash64("line").alias("h"), "line"), "h")
     a, b = (F.array_distinct(text.char_ngrams(F.col(c), 5)) for c in ("line", "known_line"))
     met = met.withColumn("_a", a).withColumn("_b", b).withColumn("_i", F.size(F.array_intersect("_a", "_b")))
     met = met.withColumn("similarity", F.col("_i") / (F.size("_a") + F.size("_b") - F.col("_i")))

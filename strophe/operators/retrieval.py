@@ -97,8 +97,7 @@ def gram_overlap_pairs(texts: DataFrame, least: float) -> DataFrame:
     whole texts. Texts are compared once each, however many rows have them.
     """
     whole = texts.select("text").where("text is not null").distinct()
-    rows = gram_prefixes(whole, "text", gram_counts(whole, "text"), least).withColumn("h", F.xxhash64("text"))
-    rows = stash(rows.select("h", "size", "gram"), "prefixes")
+    rows = stash(gram_prefixes(whole, "text", gram_counts(whole, "text"), least), "prefixes")
     met = rows.toDF("x", "nx", "gram").join(rows.toDF("y", "ny", "gram"), "gram")
     met = met.where((F.col("x") < F.col("y")) & (F.col("nx") >= least * F.col("ny")) & (F.col("ny") >= least * F.col("nx"))).select("x", "y").distinct()
     ids = texts.select("id", "text", F.xxhash64("text").alias("h"))
