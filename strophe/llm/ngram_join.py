@@ -406,6 +406,8 @@ def _between(docs: DataFrame, points: DataFrame, pairs: DataFrame, large: DataFr
     rx, ry = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
     apart = pairs.join(rx, "a", "left").join(ry, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
     apart = stash(apart.where("x <> y"), "apart")
+    if not member.head(1) and not apart.head(1):
+        return apart.select("a", "b")
     at = points.where("node is not null").groupBy("node").agg(F.first("point").alias("point"), F.first("n").alias("n"))
     at = stash(at.join(member.select("node").distinct(), "node", "left_semi"), "points")
     may = _spanning(member.withColumnRenamed("key", "grp").join(at, "node"))
