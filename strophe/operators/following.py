@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stash import stash
+
 
 def ranges(df: DataFrame, order: str, parts: int) -> Column:
     """The range of about equal counts in which ``order`` lies; cuts are approximate quantiles."""
@@ -37,6 +39,21 @@ def numbered(df: DataFrame, group: str, order: str, *then: str, parts: int | Non
     return out.withColumn("_no", F.col("_no") + F.col("_before")).drop("_range", "_g", "_r", "_before")
 
 
+def numbered_values(df: DataFrame, column: str) -> DataFrame:
+    """(column, id): the distinct known values of a column, numbered from 1 in their order.
+
+    They are written in ranges of their order and ranked inside each, so no task takes all of them; what the ranges before hold is
+    summed over a row a range.
+    """
+    values = df.where(F.col(column).isNotNull()).select(column).distinct()
+    rows = stash(values.repartitionByRange(column).select(column, F.spark_partition_id().alias("_range")), "values")
+    sizes = rows.groupBy(F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_no", F.row_number().over(Window.partitionBy("_range").orderBy(column)))
+    out = rows.join(sizes.select("_r", before.alias("_before")), F.col("_range") == F.col("_r"))
+    return out.select(column, (F.col("_no") + F.col("_before")).cast("int").alias("id"))
+
+
 def with_following(df: DataFrame, group: str, order: str, items: str, n: int, to: str, parts: int | None = None) -> DataFrame:
     """``df`` (a row a document, ``items`` an array) with ``to``: the first ``n`` items after the document, over all later ones.
 

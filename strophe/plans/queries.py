@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import phonetics, text
 from ..functions.scheme import NAMED
 from ..operators import augment, originality, profiles, quality, retrieval, sequences, tokenizers
 from ..operators import lines as L
+from ..operators.following import numbered_values
 from ..sources import corpora, runs
 from ..streaming.run_metrics import windowed
 from . import sql as Q
@@ -376,36 +377,37 @@ def vocabulary(spark, sf) -> DataFrame:
     return words.where(F.col("word").rlike("^[a-z]+$")).withColumn("suffix", phonetics.spelled_suffix(F.col("word")))
 
 
-@query(f"WITH {WORDS}, r AS (SELECT *, row_number() OVER (PARTITION BY suffix ORDER BY word) AS r, count(*) OVER (PARTITION BY suffix) AS n FROM s WHERE suffix IS NOT NULL) SELECT suffix, any_value(n) AS n_words, string_agg(word, ' ' ORDER BY word) AS words FROM r WHERE r <= 100 GROUP BY suffix")
-def rhyme_groups(spark, sf):
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("suffix").orderBy("word")
+def _group_words(spark, sf) -> DataFrame:
     v = vocabulary(spark, sf).where("suffix is not null")
-    most = v.withColumn("r", F.row_number().over(by)).where("r <= 100").groupBy("suffix").agg(F.array_join(F.sort_array(F.collect_list("word")), " ").alias("words"))
-    return most.join(v.groupBy("suffix").agg(F.count("*").alias("n_words")), "suffix").select("suffix", "n_words", "words")
+    return v.join(v.groupBy("suffix").agg(F.count("*").alias("n_words")), "suffix").select("suffix", "word", "n_words")
 
 
 @query(f"WITH {WORDS} SELECT suffix, word, count(*) OVER (PARTITION BY suffix) AS n_words FROM s WHERE suffix IS NOT NULL")
-def rhyme_group_words(spark, sf):
-    """Every word of each group, a row a word; ``rhyme_groups`` is the lookup of the first 100."""
-    v = vocabulary(spark, sf).where("suffix is not null")
-    return v.join(v.groupBy("suffix").agg(F.count("*").alias("n_words")), "suffix").select("suffix", "word", "n_words")
+def rhyme_groups(spark, sf):
+    """Every word of each group, a row a word; ``rhyming_words`` is the lookup of a group's first 100."""
+    return _group_words(spark, sf)
+
+
+QUERIES["rhyme_group_words"], SQL["rhyme_group_words"] = rhyme_groups, SQL["rhyme_groups"]
+
+
+@query(f"WITH {WORDS}, r AS (SELECT *, row_number() OVER (PARTITION BY suffix ORDER BY word) AS r, count(*) OVER (PARTITION BY suffix) AS n FROM s WHERE suffix IS NOT NULL) SELECT suffix, any_value(n) AS n_words, string_agg(word, ' ' ORDER BY word) AS words FROM r WHERE r <= 100 GROUP BY suffix")
+def rhyming_words(spark, sf):
+    """The first 100 words of each group by alphabet: the limit is the lookup's."""
+    first = F.row_number().over(Window.partitionBy("suffix").orderBy("word"))
+    most = _group_words(spark, sf).withColumn("r", first).where("r <= 100")
+    return most.groupBy("suffix").agg(F.first("n_words").alias("n_words"), F.array_join(F.sort_array(F.collect_list("word")), " ").alias("words"))
 
 
 @query(f"WITH {WORDS} SELECT suffix, CAST(row_number() OVER (ORDER BY suffix) AS INTEGER) AS id FROM (SELECT DISTINCT suffix FROM s WHERE suffix IS NOT NULL) UNION ALL SELECT '<NONE>', 0")
 def rhyme_suffix_vocab(spark, sf):
-    from pyspark.sql import Window
-
-    ids = vocabulary(spark, sf).where("suffix is not null").select("suffix").distinct().withColumn("id", F.row_number().over(Window.orderBy("suffix")))
+    ids = numbered_values(vocabulary(spark, sf), "suffix")
     return ids.unionByName(spark.createDataFrame([("<NONE>", 0)], "suffix string, id int"))
 
 
 @query("SELECT source, CAST(row_number() OVER (ORDER BY source) AS INTEGER) AS id FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)")
 def artist_vocab(spark, sf):
-    from pyspark.sql import Window
-
-    return docs(spark, sf).where("source is not null").select("source").distinct().withColumn("id", F.row_number().over(Window.orderBy("source")))
+    return numbered_values(docs(spark, sf), "source")
 
 
 @query(f"WITH {WORDS}, x AS (SELECT word, unnest(range(0, length(word) + 1)) AS i FROM s) SELECT substr(word, 1, i) AS prefix, coalesce(string_agg(DISTINCT nullif(substr(word, i + 1, 1), ''), '' ORDER BY nullif(substr(word, i + 1, 1), '')), '') AS next_chars, bool_or(i = length(word)) AS is_word FROM x GROUP BY 1")

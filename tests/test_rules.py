@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strophe.config import Config
 from strophe.functions import phonetics, reports, scheme, text
 from strophe.operators import augment, lines, originality, quality, retrieval, sequences, tokenizers
-from strophe.operators.following import numbered, with_following
+from strophe.operators.following import numbered, numbered_values, with_following
 from strophe.plans import queries
 from strophe.sources import corpora, runs
 from strophe.streaming.run_metrics import read_stream, windowed, write_stream
@@ -115,6 +115,20 @@ def test_numbered_is_a_row_number(spark):
             assert [r._no for r in order] == list(range(1, len(mine) + 1)) and {r._all for r in mine} == {len(mine)}
 
 
+def test_numbered_values_are_in_order(spark):
+    values = [None, "", "z", "é", "𝄞", *(f"w{i * 7919 % 500}" for i in range(2000))]
+    df = spark.createDataFrame([(v,) for v in values], "v string").repartition(5)
+    known = sorted({v for v in values if v is not None}, key=lambda v: v.encode())
+    aqe = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        for coalesce in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+            assert {r.v: r.id for r in numbered_values(df, "v").collect()} == {v: i + 1 for i, v in enumerate(known)}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", aqe)
+    assert numbered_values(df.limit(0), "v").count() == 0
+
+
 def test_long_texts_take_linear_time(spark):
     import time
 
@@ -263,8 +277,11 @@ def test_rhyme_groups_are_whole(spark, tmp_path):
     words = [a + b + "ation" for a in "bcdfghjklmnp" for b in "aeioubcdfg"]
     d = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
     d.write.parquet(str(tmp_path / "documents.parquet"))
-    got = queries.QUERIES["rhyme_group_words"](spark, str(tmp_path)).collect()
-    assert sorted(r.word for r in got) == sorted(words) and {r.n_words for r in got} == {120}
+    for name in ("rhyme_groups", "rhyme_group_words"):
+        got = queries.QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted(r.word for r in got) == sorted(words) and {r.n_words for r in got} == {120}
+    (row,) = queries.QUERIES["rhyming_words"](spark, str(tmp_path)).collect()
+    assert row.words.split() == sorted(words)[:100] and row.n_words == 120
 
 
 def test_song_links(spark):
