@@ -6,7 +6,8 @@ can't be similar. A multi-index over the items' fingerprints, cut into ``RADIUS
 all items within ``RADIUS`` bits. Those are verified by exact weighted-shingle similarity: over all shingles, the sum of lesser
 counts by the sum of greater counts, at least ``SIMILAR``.
 
-The benchmark is taken in blocks of at most about ``BLOCK`` items, a pass each, so that what a task holds stays bounded however large it grows.
+The benchmark is taken in blocks of at most about ``BLOCK`` items and ``BYTES`` of text, a pass each, so that what a task holds stays
+bounded however large it grows.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from .worker import kept
 RADIUS = 20
 SIMILAR = 0.8
 BLOCK = 10_000
+BYTES = 16 << 20
 _LEAK = "array<struct<item_id:long,similarity:double,start_word:long>>"
 _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64())]))
 
@@ -121,7 +123,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks") -> DataF
     a time, and what they find meets the rows.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    blocks = max(1, -(-items.count() // BLOCK))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-size.n // BLOCK), -(-size.bytes // BYTES))
     if blocks == 1:
         docs = docs.withColumn(column, F.array().cast(_LEAK))
         return docs.mapInArrow(_run(_known(items), docs.columns.index(column)), docs.schema)
@@ -138,7 +141,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks") -> DataF
 
 
 def _known(items: DataFrame):
-    rows = items.orderBy("item_id", "text").collect()  # a block: at most about BLOCK items
+    rows = items.orderBy("item_id", "text").collect()  # a block: at most about BLOCK items of BYTES in all
     ids, texts = tuple(r.item_id for r in rows), tuple(r.text for r in rows)
     name = hashlib.sha256(repr((ids, texts)).encode("utf-8", "surrogatepass")).hexdigest()
     return items.sparkSession.sparkContext.broadcast((name, ids, texts))

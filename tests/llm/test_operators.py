@@ -180,6 +180,9 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert [r[0] for r in kept] == [3, 50, 51]
     monkeypatch.setattr(decontaminate, "BLOCK", 4)  # three blocks
     assert sorted(decontaminate.contamination(d, bench).collect(), key=str) == sorted(whole, key=str)
+    monkeypatch.setattr(decontaminate, "BLOCK", 10_000)
+    monkeypatch.setattr(decontaminate, "BYTES", 600)  # several blocks by their bytes
+    assert sorted(decontaminate.contamination(d, bench).collect(), key=str) == sorted(whole, key=str)
     again = decontaminate.clean(d, bench)
     assert again.columns == d.columns and sorted(map(tuple, again.collect()), key=str) == kept
 
