@@ -91,17 +91,19 @@ def within_budget(found: DataFrame, most: int, joint: int = 2) -> DataFrame:
 
 
 def gram_overlap_pairs(texts: DataFrame, least: float) -> DataFrame:
-    """(a, b, overlap) of the rows of ``texts`` (id, text; ids distinct) whose five-character substrings overlap by more than ``least`` (above 0).
+    """(a, b, overlap): the texts of ``texts`` (id, text; ids distinct) whose five-character substrings overlap by more than ``least`` (above 0).
 
-    Texts meet where they share one of their rarest substrings, as many as ``least`` asks for (see ``gram_prefixes``); pairs are verified on
-    whole texts. Texts are compared once each, however many rows have them.
+    A text stands under its least id: pairs of different texts are pairs of those, a < b. Each copy of a text has one row of its own, with
+    the least id and overlap 1, so copies cost their number. Null texts and texts under five characters have no rows. Texts meet where they
+    share one of their rarest substrings, as many as ``least`` asks for (see ``gram_prefixes``); pairs are verified on whole texts.
     """
-    whole = texts.select("text").where("text is not null").distinct()
+    ids = texts.where(F.length("text") >= 5).select("id", F.xxhash64("text").alias("h"))
+    least_id = ids.groupBy("h").agg(F.min("id").alias("first"))
+    whole = texts.join(least_id.select("first"), F.col("id") == F.col("first"), "left_semi").select("id", "text", F.xxhash64("text").alias("h"))
     rows = stash(gram_prefixes(whole, "text", gram_counts(whole, "text"), least), "prefixes")
     met = rows.toDF("x", "nx", "gram").join(rows.toDF("y", "ny", "gram"), "gram")
     met = met.where((F.col("x") < F.col("y")) & (F.col("nx") >= least * F.col("ny")) & (F.col("ny") >= least * F.col("nx"))).select("x", "y").distinct()
-    ids = texts.select("id", "text", F.xxhash64("text").alias("h"))
-    left, right = (ids.toDF(i, t, h) for i, t, h in (("a", "ta", "x"), ("b", "tb", "y")))
-    same = left.join(right, (F.col("x") == F.col("y")) & (F.col("a") < F.col("b")) & (F.length("ta") >= 5)).select("a", "b", F.lit(1.0).alias("overlap"))
+    left, right = (whole.toDF(i, t, h) for i, t, h in (("a", "ta", "x"), ("b", "tb", "y")))
     pairs = met.join(left, "x").join(right, "y").withColumn("overlap", overlap(F.col("ta"), F.col("tb"))).where(F.col("overlap") > least)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap").unionByName(same.where(F.lit(1.0) > least))
+    copies = ids.join(least_id, "h").where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("overlap"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap").unionByName(copies.where(F.lit(1.0) > least))

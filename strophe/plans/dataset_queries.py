@@ -65,9 +65,11 @@ def retrieve_within_budget(spark, sf):
     return found(retrieval.within_budget(retrieval.with_fallback(first, retrieval.search(v, q, 5), q).join(texts, "vec_id"), 4000))
 
 
-@query("""WITH g AS (SELECT item_id, list_distinct(list_transform(range(1, length(text) - 3), lambda g0: substr(text, g0, 5))) AS g FROM benchmark), x AS (SELECT item_id, len(g) AS n, unnest(g) AS x FROM g),
+@query("""WITH d AS (SELECT item_id, text, min(item_id) OVER (PARTITION BY text) AS first FROM benchmark WHERE length(text) >= 5),
+g AS (SELECT item_id, list_distinct(list_transform(range(1, length(text) - 3), lambda g0: substr(text, g0, 5))) AS g FROM d WHERE item_id = first), x AS (SELECT item_id, len(g) AS n, unnest(g) AS x FROM g),
 p AS (SELECT a.item_id AS a, b.item_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i FROM x a JOIN x b ON a.x = b.x AND a.item_id < b.item_id GROUP BY 1, 2)
-SELECT a, b, round(i::DOUBLE / (na + nb - i), 6) AS overlap FROM p WHERE i::DOUBLE / (na + nb - i) > 0.03""")
+SELECT a, b, round(i::DOUBLE / (na + nb - i), 6) AS overlap FROM p WHERE i::DOUBLE / (na + nb - i) > 0.03
+UNION ALL SELECT first, item_id, 1.0::DOUBLE FROM d WHERE item_id > first""")
 def benchmark_overlap_pairs(spark, sf):
     rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
     return retrieval.gram_overlap_pairs(rows, 0.03).withColumn("overlap", F.round("overlap", 6))

@@ -246,10 +246,14 @@ def test_near_copies_against_brute_force(spark):
     for similar in (0.3, 0.85):
         want = {(p, k) for p in probes for k in known if len(grams(p) & grams(k)) > similar * len(grams(p) | grams(k))}
         assert want and {(x.line, x.known_line) for x in originality.near_copies(d, c, similar).collect()} == want
-    every = probes + known[:5] + known[:5]
+    every = probes + known[:5] + known[:5] + ["a copy of a line"] * 40 + [None, None, "", "", "abcd", "abcd"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(every)], "id long, text string")
-    want = {(i, j) for j in range(len(every)) for i in range(j) if len(grams(every[i]) & grams(every[j])) > 0.3 * len(grams(every[i]) | grams(every[j]))}
-    assert {(x.a, x.b) for x in retrieval.gram_overlap_pairs(rows, 0.3).collect()} == want
+    first = {t: i for i, t in reversed(list(enumerate(every))) if t and len(t) >= 5}
+    sets = {i: grams(t) for t, i in first.items()}
+    want = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) > 0.3 * len(sets[i] | sets[j])}
+    want |= {(first[t], i) for i, t in enumerate(every) if t in first and i > first[t]}
+    got = [(x.a, x.b) for x in retrieval.gram_overlap_pairs(rows, 0.3).collect()]
+    assert set(got) == want and len(got) == len(want)  # 40 copies: 39 rows
 
 
 def test_retrieval(spark):
