@@ -1,4 +1,4 @@
-"""The ten queries of this subpackage and their SQL."""
+"""The queries of this subpackage and their SQL."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from .ngram_join import ngram_join
 from .quality import importance_sample
 from .secrets import secret_scan
 from .tokens import token_counts
+from .whiten import whiten
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(_docs(spark, sf_dir))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,6 +79,7 @@ QUERIES = {
         op8_language_id,
         op9_quality_sample,
         op10_secret_scan,
+        op11_embedding_whitening,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op6_source_mixture": mixture.SQL, "op7_line_dedup": lines.SQL}
