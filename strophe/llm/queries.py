@@ -11,6 +11,7 @@ from .fingerprint import fingerprints
 from .language import language_id
 from .lm import lm_scores
 from .ngram_join import ngram_join
+from .packing import packed_documents
 from .quality import importance_sample
 from .secrets import secret_scan
 from .tokens import token_counts
@@ -66,6 +67,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(_docs(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,6 +85,7 @@ QUERIES = {
         op9_quality_sample,
         op10_secret_scan,
         op11_embedding_whitening,
+        op12_sequence_packing,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op6_source_mixture": mixture.SQL, "op7_line_dedup": lines.SQL}
