@@ -14,6 +14,7 @@ from .ngram_join import ngram_join
 from .packing import packed_documents
 from .quality import importance_sample
 from .secrets import secret_scan
+from .spelling import spelling_variants
 from .tokens import token_counts
 from .whiten import whiten
 
@@ -71,6 +72,10 @@ def op12_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(_docs(spark, sf_dir))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_docs(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -86,6 +91,7 @@ QUERIES = {
         op10_secret_scan,
         op11_embedding_whitening,
         op12_sequence_packing,
+        op13_spelling_variants,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op6_source_mixture": mixture.SQL, "op7_line_dedup": lines.SQL}
