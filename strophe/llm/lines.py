@@ -1,7 +1,8 @@
 """Operator 7: line dedup by site-relative frequency, in DataFrame functions only.
 
-Pages and lines are grouped by host; a line that more than ``ratio`` of a host's pages contain, and at least ``pages`` of them, is
-boilerplate of that host and leaves all its pages. Lines are compared without blanks at their ends, by 60-bit hash; blank lines stay.
+Pages and lines are grouped by host: pages containing the line by pages of the host, each text of a host being a page. A line that exceeds
+``ratio``, on ``pages`` pages at least, is boilerplate of that host and leaves all its pages. Lines are compared without blanks at their
+ends, by 64-bit hash; blank lines stay.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stash import stash
+from .stash import discard, stash
 
 #: See the README for the gap that the ratio lies in.
 RATIO = 0.01
@@ -20,7 +21,7 @@ FEW = 500
 
 
 def _key(line: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.btrim(line, F.lit(" \t\r"))), 1, 15), 16, 10).cast("long")
+    return F.xxhash64(F.btrim(line, F.lit(" \t\r")))
 
 
 def _lines(text: Column) -> Column:
@@ -31,51 +32,45 @@ def _blank(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r")) == ""
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = PAGES, copies: bool = False) -> DataFrame:
-    """(host, line): hashes of each host's boilerplate lines.
+def boilerplate(
+    pages: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = PAGES, copies: bool = False, id: str | None = None, groups: DataFrame | None = None
+) -> DataFrame:
+    """(host, line): hashes of each host's boilerplate lines, those on at least ``least`` and more than ``ratio`` of its pages.
 
-    Without ``copies`` exact copies of a page count once among the host's pages, and for a line once count all pages with one least hash
-    besides the line's own, and such groups whose most frequent greatest hash is one: an edit changes one of the two at most, so a group of
-    exact or near copies doesn't make its own text boilerplate.
+    Pages of one host and text are one page; ``copies`` makes each row a page. With ``groups`` (id, group), say near-duplicate components, all rows
+    of one host whose ``id`` is in one group are one page, which holds the lines of all of them; rows of no group are told apart by their text.
     """
-    keys = F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: ~_blank(x)), _key))
-    if not copies:
-        return _over_distinct(pages, F.col(host).cast("string"), F.col(text), keys, ratio, least)
-    rows = pages.select(F.col(host).cast("string").alias("host"), F.explode(keys).alias("line"))
+    keys = F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: ~_blank(x)), _key)).alias("keys")
+    hosts, page = F.col(host).cast("string").alias("host"), F.xxhash64(text).alias("page")
+    if copies:
+        each = pages.select(hosts, keys)
+    elif groups is None:
+        each = stash(pages.select(hosts, page, keys).distinct(), "pages")  # copies meet in the map-side aggregation
+    else:
+        known = groups.select(F.col(groups.columns[0]).alias("id"), F.col(groups.columns[1]).alias("group")).where("id is not null and group is not null").groupBy("id").agg(F.min("group").alias("group"))
+        each = pages.select(hosts, page, keys, F.col(id).alias("of")).join(known, F.col("of") == F.col("id"), "left")
+        each = stash(each.select("host", F.struct("group", F.when(F.col("group").isNull(), F.col("page"))).alias("page"), "keys"), "pages")
+    rows = each.select("host", F.explode("keys").alias("line")) if groups is None else each.select("host", F.explode("keys").alias("line"), "page").distinct()
+    total = each if groups is None else each.select("host", "page").distinct()
+    total = total.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("pages"))
     often = rows.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    total = pages.groupBy(F.col(host).cast("string").alias("of")).agg(F.count("*").alias("pages"))
-    found = often.join(total, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > ratio * F.col("pages"))
-    return found.select("host", "line")
-
-
-def _over_distinct(pages: DataFrame, host: Column, text: Column, keys: Column, ratio: float, least: int) -> DataFrame:
-    each = pages.select(host.alias("host"), F.sort_array(keys).alias("keys")).select("host", F.explode("keys").alias("line"), "keys")
-    total = pages.select(host.alias("of"), F.xxhash64(text).alias("page")).distinct().groupBy("of").agg(F.count("*").alias("pages"))
-
-    def often(rows: DataFrame) -> DataFrame:
-        n = rows.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-        return n.join(total, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > ratio * F.col("pages")).select("host", "line")
-
-    some = stash(often(each.select("host", "line")).select(F.col("host").alias("in"), F.col("line").alias("bad")), "repeated")
-    rows = each.join(F.broadcast(some) if some.count() <= SMALL else some, F.col("host").eqNullSafe(F.col("in")) & (F.col("line") == F.col("bad")), "left_semi")
-    other = lambda i, j: F.when(F.get("keys", i) == F.col("line"), F.get("keys", j)).otherwise(F.get("keys", i))
-    n = F.size("keys")
-    rows = rows.select("host", "line", other(F.lit(0), F.lit(1)).alias("a"), other(n - 1, n - 2).alias("b")).groupBy("host", "line", "a", "b").agg(F.count("*").alias("n"))
-    rows = rows.groupBy("host", "line", "a").agg(F.max(F.struct("n", "b")).alias("most"))
-    return often(rows.select("host", "line", F.col("most.b").alias("page")).distinct())
+    found = stash(often.join(total, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > ratio * F.col("pages")).select("host", "line"), "boilerplate")
+    discard(each)
+    return found
 
 
 def line_dedup(
-    pages: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = PAGES, dropped: str | None = None, small: int = SMALL, few: int = FEW, copies: bool = False
+    pages: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = PAGES, dropped: str | None = None, small: int = SMALL, few: int = FEW, copies: bool = False,
+    id: str | None = None, groups: DataFrame | None = None,
 ) -> DataFrame:
     """``pages`` with boilerplate lines gone from ``text``; the other columns unchanged, ``dropped`` (if named) added: lines that left.
 
     Null text stays null; a null host is a host; an empty text stays empty; a text of boilerplate only becomes empty. A line counts once a
-    page however often it is repeated, and all its repeats leave. Copies of a page count once, repeated rows too, unless ``copies`` says
-    that each row is a page of its own (see ``boilerplate``). No text of a host with up to ``few`` such lines is shuffled while all of them
+    page however often it is repeated, and all its repeats leave. What counts as one page, ``copies``, ``id`` and ``groups`` say (see
+    ``boilerplate``): by default each text of a host, so that exact copies and repeated rows count once, near copies one by one. No text of a host with up to ``few`` such lines is shuffled while all of them
     fit a broadcast of ``small`` hashes; elsewhere lines meet hashes in a join.
     """
-    bad = stash(boilerplate(pages, host, text, ratio, least, copies), "boilerplate")
+    bad = boilerplate(pages, host, text, ratio, least, copies, id, groups)
     a, b, c = (_free(pages, x) for x in ("_host", "_bad", "_lines"))
     lines = _lines(F.col(text).cast("string"))
     sizes = stash(bad.groupBy("host").agg(F.count("*").alias("n")), "hosts")
@@ -113,21 +108,15 @@ def _free(df: DataFrame, name: str) -> str:
     return name
 
 
-_HASH = "('0x' || substr(md5(x), 1, 15))::BIGINT"
+_TRIM = "trim(x, ' ' || chr(9) || chr(13))"
 SQL = f"""
-WITH d AS (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents),
-h AS (SELECT source, list_sort(list_distinct(list_transform(list_filter(list_transform(ls, lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''), lambda x: {_HASH}))) AS ks FROM d),
-e AS (SELECT source, unnest(ks) AS line, ks FROM h),
-t AS (SELECT source, count(*) AS pages FROM (SELECT DISTINCT source, text FROM documents) GROUP BY source),
-s AS (SELECT e.source, e.line FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source GROUP BY ALL HAVING count(*) >= {PAGES} AND count(*) > {RATIO}::DOUBLE * any_value(t.pages)),
-r AS (SELECT e.source, e.line, CASE WHEN ks[1] = e.line THEN ks[2] ELSE ks[1] END AS a, CASE WHEN ks[-1] = e.line THEN ks[len(ks) - 1] ELSE ks[-1] END AS z
-  FROM e JOIN s ON e.source IS NOT DISTINCT FROM s.source AND e.line = s.line),
-c AS (SELECT *, count(*) AS n FROM r GROUP BY ALL),
-m AS (SELECT source, line, z FROM c QUALIFY row_number() OVER (PARTITION BY source, line, a ORDER BY n DESC, z DESC NULLS LAST) = 1),
-p AS (SELECT source, line, count(*) AS n FROM (SELECT DISTINCT source, line, z FROM m) GROUP BY source, line),
-b AS (SELECT p.source, list(p.line) AS bad FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source WHERE p.n >= {PAGES} AND p.n > {RATIO}::DOUBLE * t.pages GROUP BY p.source),
-k AS (SELECT d.doc_id, d.source, len(d.ls) AS n, CASE WHEN b.bad IS NULL THEN d.ls
-    ELSE list_filter(d.ls, lambda y: len(list_filter([trim(y, ' ' || chr(9) || chr(13))], lambda x: x <> '' AND list_contains(b.bad, {_HASH}))) = 0) END AS kept
-  FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, source, CAST(n AS BIGINT) AS n_lines, CAST(n - len(kept) AS BIGINT) AS n_dropped, md5(array_to_string(kept, chr(10))) AS text_md5 FROM k
+WITH p AS (SELECT DISTINCT source, text FROM documents),
+t AS (SELECT source, count(*) AS pages FROM p GROUP BY source),
+e AS (SELECT source, unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_TRIM}), lambda x: x <> ''))) AS line FROM p),
+n AS (SELECT source, line, count(*) AS n FROM e GROUP BY source, line),
+b AS (SELECT n.source, list(n.line) AS bad FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source WHERE n.n >= {PAGES} AND n.n > {RATIO}::DOUBLE * t.pages GROUP BY n.source),
+k AS (SELECT d.doc_id, d.source, string_split(d.text, chr(10)) AS ls, CASE WHEN b.bad IS NULL THEN string_split(d.text, chr(10))
+    ELSE list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(b.bad, {_TRIM})) END AS kept
+  FROM documents d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, source, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(kept) AS BIGINT) AS n_dropped, md5(array_to_string(kept, chr(10))) AS text_md5 FROM k
 """

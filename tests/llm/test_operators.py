@@ -326,6 +326,44 @@ def test_line_dedup(spark, none):
     assert lines.line_dedup(none, "source", "text").columns == none.columns
 
 
+def brute_lines(rows, ratio, least):
+    """The dealt rule: distinct texts of the host that contain the line, by distinct texts of the host."""
+    strip = lambda x: x.strip(" \t\r")
+    texts = {(h, t) for _, t, h in rows}
+    total = Counter(h for h, _ in texts)
+    holds = Counter((h, x) for h, t in texts for x in {strip(x) for x in (t or "").split("\n")} - {""})
+    bad = {k for k, n in holds.items() if n >= least and n > ratio * total[k[0]]}
+    return sorted(((i, t if t is None else "\n".join(x for x in t.split("\n") if (h, strip(x)) not in bad), h) for i, t, h in rows), key=str)
+
+
+@pytest.mark.parametrize("few, small", [(500, 1000), (2, 1000), (500, 0)])
+def test_line_dedup_default_counts_pages_that_contain_the_line(spark, few, small):
+    r, rows = random.Random(4), []
+    for i in range(300):
+        common = [f"menu {j}" + r.choice(["", " ", "\t"]) for j in range(8) if r.random() < 0.05 * j]
+        rows.append((i, "\n".join([*common, f"own {i}", "", *common[:1]]), r.choice(["a", "b", None])))
+    rows += [(400 + i, *rows[i][1:]) for i in range(40)] + rows[:5] + [(500, None, "a"), (501, "", "a"), (502, "menu 7", None), (None, "menu 7\nno id", "a")]
+    df = spark.createDataFrame([(*x, 1, 2) for x in rows], "id long, body string, host string, line int, page int").repartition(3)
+    for ratio, least in ((0.01, 5), (0.2, 5), (0.2, 40)):
+        got = lines.line_dedup(df, "host", "body", ratio, least, few=few, small=small)
+        assert got.columns == df.columns
+        assert sorted((tuple(x)[:3] for x in got.collect()), key=str) == brute_lines(rows, ratio, least)
+
+
+@pytest.mark.parametrize("footers", [1, 2, 3, 6])
+@pytest.mark.parametrize("own", [1, 3, 10])
+def test_line_dedup_of_pages_that_are_mostly_template(spark, footers, own):
+    page = lambda i: "\n".join(f"page {i} line {j}" for j in range(own))
+    foot = "\n".join(f"footer {j} of all pages" for j in range(footers))
+    df = spark.createDataFrame([(i, f"{page(i)}\n{foot}", "h") for i in range(500)], "id long, body string, host string")
+    assert {r.id: r.body for r in lines.line_dedup(df, "host", "body").collect()} == {i: page(i) for i in range(500)}
+
+
+def test_line_dedup_of_few_pages_that_share_many_lines(spark):
+    df = spark.createDataFrame([(i, "\n".join([f"own {i}", *(f"shared {j}" for j in range(2000))]), "h") for i in range(8)], "id long, body string, host string")
+    assert {r.id: r.body for r in lines.line_dedup(df, "host", "body").collect()} == {i: f"own {i}" for i in range(8)}
+
+
 def test_line_dedup_counts_copies_once(spark):
     page = "\n".join(f"a line of the one page {i}" for i in range(5))
     rows = [(i, page) for i in range(30)] + [(100 + i, "\n".join(f"page {i} line {j}" for j in range(5))) for i in range(60)]
@@ -335,6 +373,17 @@ def test_line_dedup_counts_copies_once(spark):
     assert lines.line_dedup(df, "host", "body", copies=True).where("body = ''").count() == 30
 
 
+def test_line_dedup_counts_groups_once(spark):
+    near = lambda i: "\n".join(f"line {j} of a copied page" if j != i % 12 else f"edit {i}" for j in range(12))
+    rows = [(i, f"{near(i)}\nfooter") for i in range(30)] + [(100 + i, f"page {i}\nfooter" if i < 8 else f"page {i}") for i in range(60)] + [(None, "page x\nfooter")]
+    df = spark.createDataFrame([(*r, "h") for r in rows], "id long, body string, host string")
+    groups = spark.createDataFrame([(i, 0) for i in range(30)] + [(100, 100), (None, 7)], "id long, group long")
+    got = sorted(((r.id, r.body) for r in lines.line_dedup(df, "host", "body", id="id", groups=groups).collect()), key=str)
+    assert got == sorted(((i, t.removesuffix("\nfooter")) for i, t in rows), key=str)  # 10 of 62 pages have the footer
+    gone = lines.line_dedup(df, "host", "body").where("id < 30").collect()
+    assert all(r.body == f"edit {r.id}" for r in gone)  # one by one, near copies are pages as others
+
+
 def test_language(rows, docs, none):
     got = {(r.doc_id, r.held_out): r for r in language.language_id(docs).collect()}
     for r in rows:
