@@ -28,8 +28,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source, counted over distinct pages; those that held nothing else go."""
-    out = lines.line_dedup(docs, "source", "text").withColumn("n_chars", F.length("text").cast("long"))
+    """Documents without the boilerplate lines of their source, and ``n_chars`` (where there is that column) of what is left; those that
+    held nothing else go. A group of near duplicates counts as one page, so that copies don't make their own text boilerplate."""
+    ship(spark)
+    out = lines.line_dedup(docs, "source", "text", id="doc_id", groups=stash(ngram_join(docs).select("doc_id", "component_id"), "groups"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.where(F.col("text").rlike(r"\S")).select(*docs.columns)
 
 
