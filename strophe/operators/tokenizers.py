@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
 import re
-from collections import Counter, defaultdict
 from functools import cached_property
 
 import pyarrow as pa
@@ -13,13 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..stash import discard, stash
+from .merges import learn
 
 _PARTS = r"\S+|\s"
 _WORD = re.compile(_PARTS, re.ASCII)
 #: Vocabulary that training goes up to.
 SIZE = 1000
-#: Distinct words that training may take to the driver; more of them are merged in place, a pass a merge.
-SMALL = 500_000
 #: Words that an encoding task keeps.
 KEPT = 200_000
 
@@ -61,42 +58,17 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return rows.groupBy(F.get("tokens", F.col("i")).alias("left"), F.get("tokens", F.col("i") + 1).alias("right")).agg(F.sum("n").alias("n"))
 
 
-def merged(tokens: Column, left: str, right: str) -> Column:
-    """Tokens with each pair (left, right), from the left, made one."""
-
-    def step(s: Column, x: Column) -> Column:
-        joins = (x == right) & F.coalesce(F.try_element_at(s, F.lit(-1)) == left, F.lit(False))
-        return F.when(joins, F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.lit(left + right)))).otherwise(F.concat(s, F.array(x)))
-
-    return F.aggregate(tokens, F.array().cast("array<string>"), step)
-
-
-def bpe_train(docs: DataFrame, merges: int | None = None, size: int = SIZE, small: int = SMALL) -> tuple[list[tuple[str, str]], dict[str, int]]:
+def bpe_train(docs: DataFrame, merges: int | None = None, size: int = SIZE) -> tuple[list[tuple[str, str]], dict[str, int]]:
     """(merges, vocabulary): the most frequent pair each time, ties by (left, right); as many merges as named, or up to ``size`` tokens.
 
-    Runs over distinct words: up to ``small`` of them on the driver, where a merge touches the words that hold it; more in a pass a merge,
-    one aggregation whose result is a single pair, each pass written and the one before removed. A merged string
-    that exists already takes a new id, as ids count what the vocabulary holds.
+    Runs over distinct words, which stay on the executors (see ``merges.learn``): the driver holds the alphabet, pairs and their counts. A
+    merged string that exists already takes a new id, as ids count what the vocabulary holds. Null and empty texts have no words.
     """
     counts = stash(word_counts(docs), "words")
     chars = [r.c for r in counts.select(F.explode(characters(F.col("word"))).alias("c")).distinct().orderBy("c").collect()]  # an alphabet
     vocab = {c: i for i, c in enumerate(chars)}
-    most = max(0, size - len(vocab)) if merges is None else merges
-    if counts.count() <= small:
-        done = _merges([(list(r.word), r.n) for r in counts.toLocalIterator()], most)
-        discard(counts)
-    else:
-        done = []
-        words = stash(counts.withColumn("tokens", characters(F.col("word"))).select("tokens", "n"), "bpe")
-        discard(counts)
-        for _ in range(most):
-            best = pair_counts(words).orderBy(F.desc("n"), "left", "right").first()
-            if best is None:
-                break
-            done.append((best.left, best.right))
-            before, words = words, stash(words.withColumn("tokens", merged(F.col("tokens"), best.left, best.right)), "bpe")
-            discard(before)
-        discard(words)
+    done = learn(counts, chars, max(0, size - len(vocab)) if merges is None else merges)
+    discard(counts)
     for a, b in done:
         vocab[a + b] = len(vocab)
     return done, vocab
@@ -111,39 +83,6 @@ def _joined(tokens: list[str], left: str, right: str) -> list[str]:
     return out
 
 
-def _merges(words: list[tuple[list[str], int]], most: int) -> list[tuple[str, str]]:
-    tokens, counts = [w for w, _ in words], [n for _, n in words]
-    total: Counter = Counter()
-    where: defaultdict = defaultdict(set)
-    for i, t in enumerate(tokens):
-        for p in zip(t, t[1:]):
-            total[p] += counts[i]
-            where[p].add(i)
-    heap = [(-n, *p) for p, n in total.items()]
-    heapq.heapify(heap)
-    done: list[tuple[str, str]] = []
-    while heap and len(done) < most:
-        n, a, b = heapq.heappop(heap)
-        if total[a, b] != -n or n == 0:  # an older count
-            continue
-        done.append((a, b))
-        touched = set()
-        for i in where.pop((a, b)):
-            old, new = tokens[i], _joined(tokens[i], a, b)
-            for p in zip(old, old[1:]):
-                total[p] -= counts[i]
-                touched.add(p)
-            for p in zip(new, new[1:]):
-                total[p] += counts[i]
-                where[p].add(i)
-                touched.add(p)
-            tokens[i] = new
-        for p in touched:
-            if total[p] > 0:
-                heapq.heappush(heap, (-total[p], *p))
-    return done
-
-
 class Bpe:
     """Encodes texts in a task; keeps up to ``KEPT`` words with their ids."""
 

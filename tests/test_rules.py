@@ -3,11 +3,12 @@
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from strophe.config import Config
 from strophe.functions import phonetics, reports, scheme, text
-from strophe.operators import augment, lines, originality, quality, retrieval, sequences, tokenizers
+from strophe.operators import augment, lines, merges, originality, quality, retrieval, sequences, tokenizers
 from strophe.operators.following import numbered, numbered_values, with_following
 from strophe.plans import queries
 from strophe.sources import corpora, runs
@@ -177,10 +178,10 @@ def test_decoding(spark):
 
 def test_tokenizers(spark):
     d = spark.createDataFrame([(1, "low low lower"), (2, "new newer")], "doc_id long, text string")
-    merges, vocab = tokenizers.bpe_train(d, 3)
-    assert merges[0] == ("l", "o") and merges[1] == ("lo", "w")
+    done, vocab = tokenizers.bpe_train(d, 3)
+    assert done[0] == ("l", "o") and done[1] == ("lo", "w")
     names = {i: t for t, i in vocab.items()}
-    for r in tokenizers.bpe_encode(d, merges, vocab).join(d, "doc_id").collect():
+    for r in tokenizers.bpe_encode(d, done, vocab).join(d, "doc_id").collect():
         assert "".join(names[i] for i in r.tokens) == r.text
     v = tokenizers.char_vocab(d)
     back = {r.id: r.char for r in v.collect()}
@@ -190,19 +191,64 @@ def test_tokenizers(spark):
     assert trie["a"] == (["n", "t"], False) and trie["an"] == (["t"], True)
 
 
-def test_bpe_ways_agree_and_queries_take_documents(spark, tmp_path):
+def one_by_one(words, most):
+    """Merges one after another, all pairs counted anew each time."""
+    words, done = [(list(w), n) for w, n in words], []
+    while len(done) < most:
+        pairs = Counter()
+        for t, n in words:
+            for p in zip(t, t[1:]):
+                pairs[p] += n
+        if not pairs:
+            break
+        a, b = min(pairs, key=lambda p: (-pairs[p], p))
+        done.append((a, b))
+        words = [(tokenizers._joined(t, a, b), n) for t, n in words]
+    return done
+
+
+@pytest.mark.parametrize("ahead, keep, tokens", [(64, 64, 100_000), (5, 3, 40), (1, 1, 1)])
+def test_bpe_merges_are_those_made_one_by_one(spark, monkeypatch, ahead, keep, tokens):
+    monkeypatch.setattr(merges, "TOKENS", tokens)
+    r = random.Random(tokens)
+    words = {"".join(r.choice("aab" if i % 2 else "aabcdeé") for _ in range(r.randint(1, 12))): r.randint(1, 60) for i in range(150)}
+    words |= {"aaaa": 50, "aaa": 41, "abababab": 40, "abcabc": 33, "a" * 301: 2, "\n": 900, " ": 2000}
+    df = spark.createDataFrame(list(words.items()), "word string, n long").repartition(3)
+    want = one_by_one(words.items(), 60 if ahead > 1 else 25)
+    assert merges.learn(df, sorted({c for w in words for c in w}), len(want), ahead, keep) == want
+    assert merges.learn(df.limit(0), ["a"], 5) == [] and merges.learn(df.where("length(word) = 1"), ["\n", " "], 5) == []
+    few = df.where("word in ('aaaa', 'aaa')")
+    assert merges.learn(few, ["a"], 99) == one_by_one([("aaaa", 50), ("aaa", 41)], 99)  # until no pair is left
+
+
+def test_follow_puts_early_guesses_off():
+    words = [("abx", 10), ("cdy", 9), ("cd", 2), ("efab", 3)]
+    count = lambda ws: Counter(p for t, n in ws for q in zip(t, t[1:]) for p in [q] * n)
+    now, steps, guessed = [(list(w), n) for w, n in words], [], [("c", "d"), ("a", "b"), ("e", "f")]
+    for a, b in guessed:
+        before = count(now)
+        now = [(tokenizers._joined(t, a, b), n) for t, n in now]
+        steps.append(merges.Step({p: count(now)[p] - before[p] for p in set(before) | set(count(now))}, before[a, b]))
+    start = dict(count([(list(w), n) for w, n in words]))
+    assert merges.follow(start, guessed, steps, 1) == ([("a", "b")], dict(count([(["ab", "x"], 10), (list("cdy"), 9), (list("cd"), 2), (["e", "f", "ab"], 3)])))
+    done, left = merges.follow(start, guessed, steps, 9)
+    assert done == [("a", "b"), ("c", "d")] and left["ab", "x"] == 10  # the next, (ab, x), wasn't guessed
+
+
+def test_bpe_queries_take_documents(spark, tmp_path):
     body = "low lower lowest aaaa aaa banana bandana new newer newest ab abc abab " * 3
-    d = spark.createDataFrame([(1, body), (2, "wider 42 @home"), (3, "low aab é")], "doc_id long, text string")
+    d = spark.createDataFrame([(1, body), (2, "wider 42 @home"), (3, "low aab é"), (4, None), (5, "")], "doc_id long, text string")
     here = tokenizers.bpe_train(d, 12)
-    assert here == tokenizers.bpe_train(d, 12, small=0) and len(here[0]) == 12
+    assert here[0] == one_by_one([(r.word, r.n) for r in tokenizers.word_counts(d).collect()], 12)
+    d = d.where("text is not null")
     odd = spark.createDataFrame([(1, "low"), (1, "new low"), (2, None), (3, ""), (None, "low")], "doc_id long, text string")
     names = {i: t for t, i in here[1].items()}
     got = [(r.doc_id, None if r.tokens is None else "".join(names[i] for i in r.tokens)) for r in tokenizers.bpe_encode(odd, *here).collect()]
     assert sorted(got, key=str) == sorted(map(tuple, odd.collect()), key=str)
     d.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "low")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    merges, vocab = tokenizers.bpe_train(d)
-    assert queries.QUERIES["bpe_train"](spark, str(tmp_path)).count() == len(merges) > 12
+    done, vocab = tokenizers.bpe_train(d)
+    assert queries.QUERIES["bpe_train"](spark, str(tmp_path)).count() == len(done) > 12
     names = {i: t for t, i in vocab.items()}
     for r in queries.QUERIES["bpe_encode"](spark, str(tmp_path)).join(d, "doc_id").collect():
         assert "".join(names[i] for i in r.tokens) == r.text
