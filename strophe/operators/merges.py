@@ -184,6 +184,8 @@ def guess(counts: dict[Pair, int], known: set[str], ahead: int = AHEAD) -> list[
         a, b = pair
         if a + b in known or a + b in made:
             return out or [pair]
+        if now[pair] <= 0:
+            break
         out.append(pair)
         made.add(a + b)
         n = now.pop(pair)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..stash import stash
+from .tokenizers import characters
 
 SIMILAR = 0.85
 
@@ -65,10 +66,13 @@ def near_copies(docs: DataFrame, corpus: DataFrame, similar: float = SIMILAR) ->
 
 
 def continuations(corpus: DataFrame, n: int = 25) -> DataFrame:
-    """(prefix, next_chars): for each run of ``n`` characters of a text the sorted set of what follows it."""
-    size = F.length("text")
-    at = F.when(size > n, F.sequence(F.lit(1), size - n)).otherwise(F.array().cast("array<int>"))
-    rows = corpus.select("text", F.explode(at).alias("i")).select(F.substring(F.col("text"), F.col("i"), F.lit(n)).alias("prefix"), F.substring(F.col("text"), F.col("i") + n, F.lit(1)).alias("c"))
+    """(prefix, next_chars): for each run of ``n`` characters of a text the sorted set of what follows it.
+
+    Windows slide over the text's characters inside its row, in time proportional to it; a row of them carries no text.
+    """
+    chars = corpus.select(characters(F.col("text")).alias("c")).where(F.size("c") > n)
+    window = lambda i: F.struct(F.array_join(F.slice("c", i, n), "").alias("prefix"), F.element_at("c", i + n).alias("c"))
+    rows = chars.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("c") - n), window)).alias("x")).select("x.*")
     return rows.groupBy("prefix").agg(F.sort_array(F.collect_set("c")).alias("next_chars"))
 
 

@@ -101,10 +101,11 @@ def perplexity(loss: Column) -> Column:
     return F.exp(F.avg(loss))
 
 
-def learning_rate(step: Column, warmup: int, total: int) -> Column:
+def learning_rate(step: Column, warmup: int | Column, total: int | Column) -> Column:
     """The factor at a step: linear warm-up, then half a cosine."""
-    done = (step - warmup) / max(total - warmup, 1)
-    return F.when(step < warmup, step / max(warmup, 1)).otherwise(0.5 * (1 + F.cos(F.pi() * done)))
+    warmup, total = (x if isinstance(x, Column) else F.lit(x) for x in (warmup, total))
+    done = (step - warmup) / F.greatest(total - warmup, F.lit(1))
+    return F.when(step < warmup, step / F.greatest(warmup, F.lit(1))).otherwise(0.5 * (1 + F.cos(F.pi() * done)))
 
 
 def evals_since_best(rows: DataFrame, run: str | list[str], step: str, loss: str) -> DataFrame:

@@ -13,10 +13,15 @@ from .tokenizers import characters
 
 def lm_windows(tokens: DataFrame, block: int, stride: int, *keep: str, spare: int = 1) -> DataFrame:
     """(keep..., start, x, y): windows of ``block`` tokens and the same one later, where start + block + spare <= length."""
-    last = F.size("tokens") - block - spare - 1
-    at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    rows = tokens.select(*keep, "tokens", F.explode(at).alias("start"))
-    return rows.select(*keep, "start", F.slice("tokens", F.col("start") + 1, block).alias("x"), F.slice("tokens", F.col("start") + 2, block).alias("y"))
+    at = window_starts(F.size("tokens"), block, stride, spare)
+    window = lambda i: F.struct(i.alias("start"), F.slice("tokens", i + 1, block).alias("x"), F.slice("tokens", i + 2, block).alias("y"))
+    return tokens.select(*keep, F.explode(F.transform(at, window)).alias("w")).select(*keep, "w.*")
+
+
+def window_starts(size: Column, block: int, stride: int, spare: int = 1) -> Column:
+    """Where the windows of ``lm_windows`` start in a text of ``size`` tokens."""
+    last = size - block - spare - 1
+    return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride))).otherwise(F.array().cast("array<int>"))
 
 
 def split_by_hash(rows: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
@@ -50,6 +55,32 @@ def newline_labels(docs: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, "pos", phonetics.spelled_suffix(text.last_word(F.col("line"))).alias("suffix"), phonetics.syllable_bucket(phonetics.line_syllables(F.col("line"))).alias("bucket"))
 
 
+def line_ends(docs: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., pos, line): where each line of a text ends, from 0, and the line; the last one has no end."""
+    lines = text.raw_lines(F.col("text"))
+    ended = F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))
+    return docs.select(*keep, F.explode(F.arrays_zip(ended.alias("line"), _places(F.col("text"), "\n").alias("pos"))).alias("x")).select(*keep, "x.pos", "x.line")
+
+
+def window_labels(ends: DataFrame, windows: DataFrame, block: int, *keep: str) -> DataFrame:
+    """(keep..., start, offset, suffix, bucket): the line ends that each window's targets hold, where, and the labels of the line before them.
+
+    ``windows`` (keep..., start): targets are the ``block`` characters from start + 1 on, any starts, repeated ones too; ``ends`` as ``line_ends`` gives them.
+    A line that the window's start cuts has the labels of what the window holds of it, and none if that is blank. Line ends and windows meet by
+    bins of ``block`` places, two of which hold a window: time is linear in both, and only a line's own text travels. Null keys meet null keys.
+    """
+    place = ends.select(*(F.col(k).alias(f"_{k}") for k in keep), "pos", "line", F.floor(F.col("pos") / block).alias("_bin"))
+    first = F.floor((F.col("start") + 1) / block)
+    rows = windows.select(*keep, "start", F.explode(F.array_distinct(F.array(first, F.floor((F.col("start") + block) / block)))).alias("_at"))
+    same = F.col("_at") == F.col("_bin")
+    for k in keep:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    rows = rows.join(place, same).withColumn("offset", F.col("pos") - F.col("start") - 1).where((F.col("offset") >= 0) & (F.col("offset") < block))
+    rows = rows.withColumn("line", F.when(F.length("line") > F.col("offset"), F.right("line", F.col("offset"))).otherwise(F.col("line")))
+    rows = rows.where(F.size(text.words(F.col("line"))) > 0)
+    return rows.select(*keep, "start", F.col("offset").cast("int").alias("offset"), phonetics.spelled_suffix(text.last_word(F.col("line"))).alias("suffix"), phonetics.syllable_bucket(phonetics.line_syllables(F.col("line"))).alias("bucket"))
+
+
 def words_at_boundaries(docs: DataFrame, *keep: str) -> DataFrame:
     """(keep..., pos, word): each word where it ends; a word that the text cuts off loses its last character."""
     body = F.regexp_replace("text", r"(?s)(?<=[^ \n\t]).$", "\n")
@@ -86,10 +117,11 @@ def rhyme_bias(steps: DataFrame, groups: list[int], endings: DataFrame, step: st
     return rows.join(endings, F.col("_want").eqNullSafe(F.col("suffix"))).select(step, "token", "bias")
 
 
-def batch_starts(n_tokens: int, block: int, batches: DataFrame, size: int, seed: int = 0) -> DataFrame:
-    """(batch, row, start): for each of ``batches`` (batch) ``size`` starts of windows of ``block``, uniform by a keyed hash."""
-    rows = batches.select("batch", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("row"))
-    return rows.withColumn("start", F.pmod(keyed(seed, "batch", "row"), F.lit(n_tokens - block)))
+def batch_starts(batches: DataFrame, block: int, size: int, seed: int = 0) -> DataFrame:
+    """(batch, row, start): for each of ``batches`` (batch, n_tokens) ``size`` starts of windows of ``block`` in that many tokens, uniform by a
+    keyed hash; a batch of ``block`` tokens or fewer has none."""
+    rows = batches.where(F.col("n_tokens") > block).select("batch", "n_tokens", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("row"))
+    return rows.select("batch", "row", F.pmod(keyed(seed, "batch", "row"), F.col("n_tokens") - block).alias("start"))
 
 
 def rhyme_pairs(suffixes: DataFrame, group: str, reach: int = 4) -> DataFrame:
@@ -121,10 +153,69 @@ def repetition_penalty(logit: Column, recent: Column, penalty: float) -> Column:
     return F.when(recent, F.when(logit > 0, logit / penalty).otherwise(logit * penalty)).otherwise(logit)
 
 
+def recent_spans(tokens: DataFrame, key: str, n: int = 200) -> DataFrame:
+    """(key, token, first, last) of ``tokens`` (key, pos, token): the runs of positions at which a token is among the ``n`` before.
+
+    An occurrence covers the ``n`` positions after it; what overlaps or touches becomes one run. A run may go beyond the last position, where
+    the next token would be drawn. Null tokens are a token. Rows are dealt by key, a text at a time.
+    """
+    by = Window.partitionBy(key, "token").orderBy("pos")
+    rows = tokens.withColumn("_new", F.coalesce((F.col("pos") - F.lag("pos").over(by) > n).cast("int"), F.lit(1)))
+    rows = rows.withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(key, "token", "_run").agg((F.min("pos") + 1).alias("first"), (F.max("pos") + n).alias("last")).drop("_run")
+
+
+def recent_counts(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """(key, pos, token, n_recent, recent) of each row of ``tokens`` (key, pos, token): how many tokens are recent there and whether its own
+    is, from ``recent_spans``. Starts and ends of runs and the positions meet in one order a text."""
+    marks = spans.select(key, F.col("first").alias("pos"), F.lit(1).alias("_d")).unionByName(spans.select(key, (F.col("last") + 1).alias("pos"), F.lit(-1).alias("_d")))
+    rows = tokens.select(key, "pos", "token", F.lit(0).alias("_d"), F.lit(True).alias("_real"))
+    rows = rows.unionByName(marks.groupBy(key, "pos").agg(F.sum("_d").cast("int").alias("_d")).withColumn("_real", F.lit(False)), allowMissingColumns=True)
+    rows = rows.withColumn("n_recent", F.sum("_d").over(Window.partitionBy(key).orderBy("pos").rangeBetween(Window.unboundedPreceding, 0))).where("_real")
+    runs = spans.select(F.col(key).alias("_k"), F.col("token").alias("_t"), (F.col("first") - 1).alias("_f"), "last")
+    # a run's first occurrence is the one position of the run's occurrences that it doesn't cover
+    rows = rows.join(runs, F.col(key).eqNullSafe(F.col("_k")) & F.col("token").eqNullSafe(F.col("_t")) & (F.col("pos") == F.col("_f")), "left")
+    return rows.select(key, "pos", "token", "n_recent", F.col("_f").isNull().alias("recent"))
+
+
 def recent_tokens(tokens: Column, n: int = 200) -> Column:
     return F.array_distinct(F.when(F.size(tokens) > n, F.slice(tokens, -n, n)).otherwise(tokens))
 
 
+def mixed_draws(steps: DataFrame, step: str, first: DataFrame, first_key: str, second: DataFrame, second_key: str, share: float, seed: int = 0) -> DataFrame:
+    """(step, from_first, row): each step draws a row, with replacement, of ``first`` with probability ``share``, else of ``second``.
+
+    Which side and which row are keyed hashes of the step, so reruns draw the same. Rows are numbered by their (distinct, known, whole) keys without a task for all of
+    them, and steps look their number up in one shuffle join. An empty side is never drawn from; where both are, there are no rows. Null and repeated steps draw like any other.
+    """
+    sides = []
+    for side, df, key in ((True, first, first_key), (False, second, second_key)):
+        rows = df.where(F.col(key).isNotNull()).select(F.lit(side).alias("_side"), F.col(key).cast("long").alias("row"))
+        sides.append(numbered(rows, "_side", "row"))
+    n_first, n_second = (df.where(F.col(key).isNotNull()).count() for df, key in ((first, first_key), (second, second_key)))
+    u = F.pmod(keyed(seed, step), F.lit(1_000_000)) / 1_000_000
+    from_first = F.lit(False) if not n_first else F.lit(True) if not n_second else u < share
+    drawn = steps.select(step, from_first.alias("from_first")).withColumn("_draw", F.pmod(keyed(seed + 1, step), F.when(F.col("from_first"), F.lit(max(n_first, 1))).otherwise(F.lit(max(n_second, 1)))))
+    table = sides[0].unionByName(sides[1]).select("_side", "row", (F.col("_no") - 1).alias("_at"))
+    return drawn.join(table, (F.col("from_first") == F.col("_side")) & (F.col("_draw") == F.col("_at"))).select(step, "from_first", "row")
+
+
+def temperature_sweep(rows: DataFrame, logits: Column, temperatures: list[float], level: str) -> DataFrame:
+    """(temperature, level, n, mean_entropy, std_entropy, mean_top, std_top): entropy and greatest probability of the softmax at each temperature.
+
+    A row's grid is expanded inside its task and one roll-up gives a row for each temperature and level, for each temperature (null level, with ``of_all`` 1) and
+    over all (``of_all`` 3). Rows without logits count nowhere; deviations are those of the population.
+    """
+    x = F.transform(logits, lambda v: v.cast("double"))
+    grid = rows.select(F.col(level).alias("level"), x.alias("x"), F.explode(F.array(*map(F.lit, temperatures))).alias("temperature")).where(F.size("x") > 0)
+    z = F.transform("x", lambda v: (v - F.array_max("x")) / F.col("temperature"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    grid = grid.select("temperature", "level", z.alias("z")).withColumn("sum", total(F.transform("z", F.exp)))
+    grid = grid.withColumn("entropy", F.log("sum") - total(F.transform("z", lambda v: v * F.exp(v))) / F.col("sum")).withColumn("top", 1 / F.col("sum"))
+    numbers = [f(c).alias(f"{name}_{c}") for c in ("entropy", "top") for name, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    return grid.rollup("temperature", "level").agg(F.grouping_id().cast("int").alias("of_all"), F.count("*").alias("n"), *numbers)
+
+
 def sample(probs: DataFrame, step: str, token: str, seed: int = 0) -> DataFrame:
     """(step, token): inverse-CDF draws with a uniform number keyed by the step."""
     w = Window.partitionBy(step).orderBy(token).rowsBetween(Window.unboundedPreceding, 0)

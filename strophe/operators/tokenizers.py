@@ -134,8 +134,51 @@ def bpe_encode(docs: DataFrame, merges: list[tuple[str, str]], vocab: dict[str,
     return docs.mapInArrow(run, schema)
 
 
+def _prefixes(word: Column) -> Column:
+    """(size, prefix) of all prefixes of a word, the empty one too."""
+    chars = characters(word)
+    return F.transform(F.sequence(F.lit(0), F.size(chars)), lambda i: F.struct(i.alias("size"), F.array_join(F.slice(chars, 1, i), "").alias("prefix")))
+
+
 def prefix_table(words: DataFrame) -> DataFrame:
     """(prefix, next_chars, is_word): a trie over ``words`` (word)."""
     n = F.length("word")
     rows = words.select("word", F.explode(F.sequence(F.lit(0), n)).alias("i")).select(F.substring(F.col("word"), F.lit(1), F.col("i")).alias("prefix"), F.nullif(F.substring(F.col("word"), F.col("i") + 1, F.lit(1)), F.lit("")).alias("c"))
     return rows.groupBy("prefix").agg(F.sort_array(F.collect_set("c")).alias("next_chars"), F.max(F.col("c").isNull()).alias("is_word"))
+
+
+def transitions(words: DataFrame) -> DataFrame:
+    """(state, char, next, is_word): a trie over ``words`` (word) as a table of steps; a state is the 64-bit hash of its prefix, ``is_word`` says
+    whether the next one ends a word. Repeated and null words add nothing; the empty word is the first state and has no step."""
+    rows = words.where("word <> ''").select(F.explode(_prefixes(F.col("word"))).alias("x"), "word").where("x.size > 0")
+    rows = rows.select(F.col("x.prefix").alias("p"), (F.length("word") == F.col("x.size")).alias("ends"))
+    steps = rows.groupBy("p").agg(F.max("ends").alias("is_word"))
+    before = F.expr("substring(p, 1, length(p) - 1)")
+    return steps.select(F.xxhash64(before).alias("state"), F.right("p", F.lit(1)).alias("char"), F.xxhash64("p").alias("next"), "is_word")
+
+
+def walk(open_words: DataFrame, steps: DataFrame, key: str, word: str = "word") -> DataFrame:
+    """(key, word, depth, alive, is_word, next_chars): how far each open word (key, word) goes in the trie of ``steps`` and what may follow it.
+
+    A step of the word meets the trie where its state and character do; as a state is known by its prefix, all steps of a word are taken in one
+    join. ``depth`` counts the steps before the first that isn't there, a dead state: such a word has no continuation. The
+    empty word stands at the root; a null word is dead at depth 0. Keys are distinct.
+    """
+    at = F.explode(F.transform(_prefixes(F.col(word)), lambda x: F.struct(x["size"].alias("size"), F.xxhash64(x["prefix"]).alias("reached"))))
+    taken = open_words.select(key, at.alias("x")).select(key, "x.*").where("size > 0")
+    taken = taken.join(steps.select("next", "is_word"), F.col("reached") == F.col("next")).groupBy(key).agg(F.max("size").alias("depth"), F.max_by("is_word", "size").alias("is_word"))
+    after = steps.groupBy("state").agg(F.array_join(F.sort_array(F.collect_set("char")), "").alias("next_chars"))  # as wide as the alphabet
+    rows = open_words.select(key, word).join(taken, key, "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    rows = rows.withColumn("alive", F.coalesce(F.col("depth") == F.length(word), F.lit(False)))
+    rows = rows.withColumn("_state", F.when(F.col("alive"), F.xxhash64(word))).join(after, F.col("_state") == F.col("state"), "left")
+    return rows.select(key, word, "depth", "alive", F.coalesce(F.col("alive") & F.col("is_word"), F.lit(False)).alias("is_word"), F.coalesce("next_chars", F.lit("")).alias("next_chars"))
+
+
+def completion_tokens(words: DataFrame, most: int = 500) -> DataFrame:
+    """(suffix, n_words, tokens) of ``words`` (suffix, word, tokens): the distinct last tokens of a rhyme group's first ``most`` words by alphabet, sorted.
+
+    The limit is the lookup's. Words without suffix or tokens take no part; a group is cut to its first words before they meet.
+    """
+    rows = words.where(F.col("suffix").isNotNull() & (F.size("tokens") > 0)).select("suffix", "word", F.element_at("tokens", -1).alias("token"))
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("suffix").orderBy("word", "token"))).where(F.col("_r") <= most)
+    return rows.groupBy("suffix").agg(F.count("*").alias("n_words"), F.sort_array(F.collect_set("token")).alias("tokens"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scheme
+from ..functions import scheme, text
 from ..operators import originality, sequences, tokenizers
 from . import sql as Q
-from .queries import LOGITS, WORDS, docs, logits, query, rhyme_suffix_vocab, table
+from .queries import LOGITS, WORDS, docs, logits, query, rhyme_suffix_vocab, table, vocabulary
 
 _GROUPS = scheme.groups("AABB", 16)
 
@@ -24,9 +24,85 @@ def rhyme_bias(spark, sf):
     return sequences.rhyme_bias(steps, _GROUPS, ids).withColumn("bias", F.round("bias", 6))
 
 
-@query(f"SELECT b.range AS batch, CAST(r.range AS INTEGER) AS row, CAST({Q.keyed(0, 'b.range', 'r.range')} % (100000 - 64) AS BIGINT) AS start FROM range(50) b, range(8) r")
+_BUCKET = f"CASE WHEN {Q.syllables('line')} <= 6 THEN 0 WHEN {Q.syllables('line')} <= 9 THEN 1 WHEN {Q.syllables('line')} <= 12 THEN 2 WHEN {Q.syllables('line')} <= 15 THEN 3 ELSE 4 END"
+
+
+@query(f"""WITH r AS (SELECT doc_id, {Q.raw("text")} AS ls FROM documents), x AS (SELECT doc_id, unnest(ls[:-2]) AS line, unnest(range(len(ls) - 1)) AS i FROM r),
+e AS (SELECT doc_id, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) - 1 AS pos FROM x), w AS (SELECT doc_id, unnest(range(0, length(text) - 65, 32)) AS start FROM documents),
+j AS (SELECT doc_id, start, pos - start - 1 AS o, CASE WHEN length(line) > pos - start - 1 THEN right(line, CAST(pos - start - 1 AS BIGINT)) ELSE line END AS line FROM w JOIN e USING (doc_id) WHERE pos BETWEEN start + 1 AND start + 64)
+SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(o AS INTEGER) AS "offset", {Q.last_suffix("line")} AS suffix, {_BUCKET} AS bucket FROM j WHERE len({Q.words("line")}) > 0""")
+def window_labels(spark, sf):
+    """Rhyme and syllable labels of the training windows of each text."""
+    d = docs(spark, sf).select("doc_id", "text")
+    windows = d.select("doc_id", F.explode(sequences.window_starts(F.length("text"), 64, 32)).alias("start"))
+    return sequences.window_labels(sequences.line_ends(d, "doc_id"), windows, 64, "doc_id")
+
+
+_TOKENS = f"tk AS (SELECT doc_id, unnest({Q.words('text')}) AS token, unnest(range(len({Q.words('text')}))) AS pos FROM documents)"
+
+
+@query(f"""WITH {_TOKENS}, g AS (SELECT *, pos - lag(pos) OVER (PARTITION BY doc_id, token ORDER BY pos) AS gap FROM tk),
+i AS (SELECT *, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, token ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM g),
+s AS (SELECT doc_id, token, min(pos) + 1 AS f, max(pos) + 200 AS l FROM i GROUP BY doc_id, token, run),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(l - f + 1) AS covered FROM s GROUP BY doc_id), t AS (SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (gap <= 200) AS n_penalised FROM g GROUP BY doc_id),
+a AS (SELECT doc_id, p, sum(d) AS d FROM (SELECT doc_id, f AS p, 1 AS d FROM s UNION ALL SELECT doc_id, l + 1, -1 FROM s) GROUP BY doc_id, p),
+k AS (SELECT tk.doc_id, tk.pos, x.n FROM tk ASOF LEFT JOIN (SELECT doc_id, p, sum(d) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS n FROM a) x ON tk.doc_id = x.doc_id AND tk.pos >= x.p),
+z AS (SELECT doc_id, max(coalesce(n, 0)) AS most_recent FROM k GROUP BY doc_id)
+SELECT t.doc_id, n_tokens, n_penalised, n_spans, CAST(covered AS BIGINT) AS covered, CAST(most_recent AS BIGINT) AS most_recent FROM t JOIN c USING (doc_id) JOIN z USING (doc_id)""")
+def recent_token_sets(spark, sf):
+    """The sets of the 200 tokens before each position of a text: runs that they make, positions whose own token would be penalised, the largest set."""
+    d = docs(spark, sf).select("doc_id", F.posexplode(text.words(F.col("text"))).alias("pos", "token"))
+    spans = sequences.recent_spans(d, "doc_id")
+    at = sequences.recent_counts(d, spans, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_if("recent").alias("n_penalised"), F.max("n_recent").cast("long").alias("most_recent"))
+    runs = spans.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum(F.col("last") - F.col("first") + 1).cast("long").alias("covered"))
+    return at.join(runs, "doc_id").select("doc_id", "n_tokens", "n_penalised", "n_spans", "covered", "most_recent")
+
+
+_OPEN = f"o AS (SELECT doc_id, lower(regexp_extract({Q.raw('text')}[-1], '[^ \\t]*$')) AS word FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"""WITH {WORDS}, {_OPEN}, p AS (SELECT DISTINCT word, substr(word, 1, i) AS prefix, substr(word, i + 1, 1) AS c FROM (SELECT word, unnest(range(0, length(word) + 1)) AS i FROM s)),
+t AS (SELECT prefix, coalesce(string_agg(DISTINCT nullif(c, ''), '' ORDER BY nullif(c, '')), '') AS next_chars, bool_or(c = '') AS is_word FROM p GROUP BY prefix),
+x AS (SELECT doc_id, word, max(i) AS depth FROM (SELECT doc_id, word, unnest(range(0, length(word) + 1)) AS i FROM o) JOIN t ON t.prefix = substr(word, 1, i) GROUP BY doc_id, word)
+SELECT doc_id, x.word, CAST(depth AS INTEGER) AS depth, depth = length(x.word) AS alive, coalesce(depth = length(x.word) AND length(x.word) > 0 AND is_word, false) AS is_word, coalesce(next_chars, '') AS next_chars FROM x LEFT JOIN t ON x.word = t.prefix""")
+def open_word_walk(spark, sf):
+    """What may follow the word that each text's open last line ends in, in the trie of the corpus' words; dead where no word begins so."""
+    now = docs(spark, sf).where("text is not null").select("doc_id", F.lower(F.regexp_extract(F.element_at(text.raw_lines(F.col("text")), -1), r"[^ \t]*$", 0)).alias("word"))
+    return tokenizers.walk(now, tokenizers.transitions(vocabulary(spark, sf)), "doc_id")
+
+
+@query(f"""WITH {WORDS}, r AS (SELECT *, row_number() OVER (PARTITION BY suffix ORDER BY word) AS r FROM s WHERE suffix IS NOT NULL), cv AS (SELECT c AS char, row_number() OVER (ORDER BY c) - 1 AS id FROM (SELECT DISTINCT unnest(regexp_extract_all(word, '.')) AS c FROM s))
+SELECT suffix, count(*) AS n_words, string_agg(DISTINCT id::VARCHAR, ' ' ORDER BY id::VARCHAR) AS tokens FROM r JOIN cv ON char = right(word, 1) WHERE r <= 500 GROUP BY suffix""")
+def rhyme_completion_tokens(spark, sf):
+    """The tokens that complete a word of each rhyme group, over the first 500 words as the lookup takes them; words in characters' ids."""
+    words = vocabulary(spark, sf)
+    ids = tokenizers.char_vocab(words.withColumnRenamed("word", "text"))
+    tokens = tokenizers.char_encode(words.withColumn("text", F.col("word")), ids, "suffix", "word")
+    return tokenizers.completion_tokens(tokens).select("suffix", "n_words", F.array_join(F.sort_array(F.transform("tokens", lambda x: x.cast("string"))), " ").alias("tokens"))
+
+
+@query("""WITH g AS (SELECT label AS level, embedding::DOUBLE[] AS x, unnest([0.3, 0.5, 0.7, 1.0, 1.2]::DOUBLE[]) AS temperature FROM embeddings WHERE len(embedding) > 0), z AS (SELECT temperature, level, list_transform(x, lambda v: (v - list_max(x)) / temperature) AS z FROM g),
+m AS (SELECT temperature, level, list_sum(list_transform(z, lambda v: exp(v))) AS s, list_sum(list_transform(z, lambda v: v * exp(v))) AS zs FROM z), e AS (SELECT temperature, level, ln(s) - zs / s AS entropy, 1 / s AS top FROM m)
+SELECT temperature, level, CAST(GROUPING(temperature, level) AS INTEGER) AS of_all, count(*) AS n, round(avg(entropy), 6) AS mean_entropy, round(stddev_pop(entropy), 6) AS std_entropy, round(avg(top), 6) AS mean_top, round(stddev_pop(top), 6) AS std_top FROM e GROUP BY ROLLUP (temperature, level)""")
+def temperature_sweep(spark, sf):
+    out = sequences.temperature_sweep(table(spark, sf, "embeddings"), F.col("embedding"), [0.3, 0.5, 0.7, 1.0, 1.2], "label")
+    return out.select("temperature", "level", "of_all", "n", *(F.round(c, 6).alias(c) for c in out.columns[4:]))
+
+
+@query(f"""WITH b AS (SELECT item_id AS row, row_number() OVER (ORDER BY item_id) - 1 AS no, count(*) OVER () AS n FROM benchmark), d AS (SELECT doc_id AS row, row_number() OVER (ORDER BY doc_id) - 1 AS no, count(*) OVER () AS n FROM documents),
+s AS (SELECT event_id AS step, ({Q.keyed(0, "event_id")} % 1000000) / 1000000.0::DOUBLE < 0.3::DOUBLE AS from_first, {Q.keyed(1, "event_id")} AS k FROM events)
+SELECT step, from_first, b.row FROM s JOIN b ON b.no = k % b.n WHERE from_first UNION ALL SELECT step, from_first, d.row FROM s JOIN d ON d.no = k % d.n WHERE NOT from_first""")
+def mixed_draws(spark, sf):
+    """For each event as a step of fine-tuning, a row of the user's table (``benchmark``, three draws of ten) or of the base (``documents``)."""
+    steps = table(spark, sf, "events").select(F.col("event_id").alias("step"))
+    return sequences.mixed_draws(steps, "step", table(spark, sf, "benchmark"), "item_id", docs(spark, sf), "doc_id", 0.3)
+
+
+@query(f"SELECT doc_id AS batch, CAST(unnest(range(8)) AS INTEGER) AS row, CAST({Q.keyed(0, 'doc_id', 'unnest(range(8))')} % (length(text) - 64) AS BIGINT) AS start FROM documents WHERE length(text) > 64")
 def batch_starts(spark, sf):
-    return sequences.batch_starts(100_000, 64, spark.range(50).withColumnRenamed("id", "batch"), 8)
+    """Eight starts of windows of 64 characters in each text that holds one."""
+    sizes = docs(spark, sf).where(F.length("text") > 64).select(F.col("doc_id").alias("batch"), F.length("text").cast("long").alias("n_tokens"))
+    return sequences.batch_starts(sizes, 64, 8)
 
 
 @query(r"""WITH d AS (SELECT doc_id, regexp_replace(text, '[^ \n\t]\z', chr(10)) AS b FROM documents), p AS (SELECT doc_id, regexp_extract_all(b, '[^ \n\t]*[ \n\t]') AS ps FROM d), x AS (SELECT doc_id, unnest(ps) AS part, unnest(range(len(ps))) AS i FROM p),

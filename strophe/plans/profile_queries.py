@@ -63,10 +63,13 @@ def lexicon_line_syllables(spark, sf):
     return L.syllables_of_lines(rows, _lexicon(spark, sf), "doc_id")
 
 
-@query("SELECT * FROM (VALUES ('<PAD>', 0), ('AA0', 1), ('AA2', 3), ('AY1', 17), ('B', 19), ('CH', 20), ('EH0', 23), ('ZH', 69)) t(symbol, id)")
+@query("""WITH t(symbol, id) AS (VALUES ('B', 19), ('D', 21), ('F', 32), ('G', 33), ('K', 42), ('L', 43), ('M', 44), ('N', 45), ('P', 53), ('R', 54), ('S', 55), ('T', 57), ('V', 65), ('W', 66), ('Y', 67), ('Z', 68)), c AS (SELECT upper(c) AS letter, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]')) AS c FROM documents) GROUP BY 1)
+SELECT letter, CAST(coalesce(id, 0) AS INTEGER) AS id, n FROM c LEFT JOIN t ON letter = symbol""")
 def phoneme_ids(spark, sf):
-    """A few of the fixed ids."""
-    return phonetics.phonemes(spark).where(F.col("symbol").isin("<PAD>", "AA0", "AA2", "AY1", "B", "CH", "EH0", "ZH")).select("symbol", "id")
+    """The fixed ids of the letters of all texts that are phonemes by themselves, 0 (padding) for the others."""
+    letters = docs(spark, sf).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]"), F.lit(0))).alias("c")).groupBy(F.upper("c").alias("letter")).agg(F.count("*").alias("n"))
+    ids = F.broadcast(phonetics.phonemes(spark).select("symbol", "id"))  # a fixed table
+    return letters.join(ids, F.col("letter") == F.col("symbol"), "left").select("letter", F.coalesce("id", F.lit(0)).alias("id"), "n")
 
 
 # texts made of profiles

@@ -11,7 +11,7 @@ from ..functions import phonetics, text
 from ..functions.scheme import NAMED
 from ..operators import augment, originality, profiles, quality, retrieval, sequences, tokenizers
 from ..operators import lines as L
-from ..operators.following import numbered_values
+from ..operators.following import numbered, numbered_values
 from ..sources import corpora, runs
 from ..streaming.run_metrics import windowed
 from . import sql as Q
@@ -363,9 +363,6 @@ def blocked_ngrams(spark, sf):
     return originality.blocked(docs(spark, sf).select("doc_id", "text"), index, "doc_id").select("doc_id", F.array_join("blocked", "").alias("blocked"))
 
 
-QUERIES["blocked_ngrams_documents"], SQL["blocked_ngrams_documents"] = blocked_ngrams, SQL["blocked_ngrams"]
-
-
 # vocabularies and tokenizers
 
 
@@ -388,9 +385,6 @@ def rhyme_groups(spark, sf):
     return _group_words(spark, sf)
 
 
-QUERIES["rhyme_group_words"], SQL["rhyme_group_words"] = rhyme_groups, SQL["rhyme_groups"]
-
-
 @query(f"WITH {WORDS}, r AS (SELECT *, row_number() OVER (PARTITION BY suffix ORDER BY word) AS r, count(*) OVER (PARTITION BY suffix) AS n FROM s WHERE suffix IS NOT NULL) SELECT suffix, any_value(n) AS n_words, string_agg(word, ' ' ORDER BY word) AS words FROM r WHERE r <= 100 GROUP BY suffix")
 def rhyming_words(spark, sf):
     """The first 100 words of each group by alphabet: the limit is the lookup's."""
@@ -613,9 +607,12 @@ def early_stopping(spark, sf):
     return quality.evals_since_best(rows, ["user_id", "event_type"], "event_id", "value").select("user_id", "event_type", "event_id", "best", "since_best")
 
 
-@query("SELECT range AS step, round(CASE WHEN range < 100 THEN range / 100.0::DOUBLE ELSE 0.5::DOUBLE * (1 + cos(pi() * (range - 100) / 900.0::DOUBLE)) END, 6) AS factor FROM range(1000)")
+@query("""WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step, count(*) OVER (PARTITION BY user_id) AS total FROM events), w AS (SELECT *, total // 10 AS warm FROM n)
+SELECT user_id, event_id, round(CASE WHEN step < warm THEN step / warm::DOUBLE ELSE 0.5::DOUBLE * (1 + cos(pi() * (step - warm) / (total - warm)::DOUBLE)) END, 6) AS factor FROM w""")
 def lr_schedule(spark, sf):
-    return spark.range(1000).select(F.col("id").alias("step"), F.round(quality.learning_rate(F.col("id"), 100, 1000), 6).alias("factor"))
+    """Each user's events as the steps of a run, a tenth of them warm-up."""
+    rows = numbered(table(spark, sf, "events").select("user_id", "event_id"), "user_id", "event_id")
+    return rows.select("user_id", "event_id", F.round(quality.learning_rate(F.col("_no") - 1, F.floor(F.col("_all") / 10), F.col("_all")), 6).alias("factor"))
 
 
 @query("SELECT event_type, round(exp(avg(value / 100)), 6) AS perplexity FROM events GROUP BY event_type")

@@ -1,5 +1,6 @@
 """Rules that the given tables don't exercise, on hand-written rows."""
 
+import math
 import random
 from collections import Counter
 
@@ -216,7 +217,7 @@ def test_bpe_merges_are_those_made_one_by_one(spark, monkeypatch, ahead, keep, t
     df = spark.createDataFrame(list(words.items()), "word string, n long").repartition(3)
     want = one_by_one(words.items(), 60 if ahead > 1 else 25)
     assert merges.learn(df, sorted({c for w in words for c in w}), len(want), ahead, keep) == want
-    assert merges.learn(df.limit(0), ["a"], 5) == [] and merges.learn(df.where("length(word) = 1"), ["\n", " "], 5) == []
+    assert merges.learn(df.limit(0), ["a"], 5) == [] and merges.learn(df.where("length(word) = 1"), sorted({c for w in words for c in w}), 5) == []
     few = df.where("word in ('aaaa', 'aaa')")
     assert merges.learn(few, ["a"], 99) == one_by_one([("aaaa", 50), ("aaa", 41)], 99)  # until no pair is left
 
@@ -327,7 +328,7 @@ def test_rhyme_groups_are_whole(spark, tmp_path):
     words = [a + b + "ation" for a in "bcdfghjklmnp" for b in "aeioubcdfg"]
     d = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
     d.write.parquet(str(tmp_path / "documents.parquet"))
-    for name in ("rhyme_groups", "rhyme_group_words"):
+    for name in ("rhyme_groups",):
         got = queries.QUERIES[name](spark, str(tmp_path)).collect()
         assert sorted(r.word for r in got) == sorted(words) and {r.n_words for r in got} == {120}
     (row,) = queries.QUERIES["rhyming_words"](spark, str(tmp_path)).collect()
@@ -418,3 +419,90 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     every = {tuple(r) for r in windowed(rows, "ts", "m").collect()}
     assert got and got <= every and len(every) - len(got) <= 6  # windows still open when the input ends
+
+
+def test_labels_of_any_windows(spark):
+    body = "one two three\n\n  \nfour five sixty\nseven eight\nlast"
+    d = spark.createDataFrame([(1, body), (2, "no end"), (3, ""), (4, None), (None, "ab\ncd\n")], "id int, text string")
+    starts = [(1, 0), (1, 0), (1, 4), (1, 8), (1, 13), (1, 20), (1, 99), (2, 0), (None, -1), (None, 0)]
+    windows = spark.createDataFrame(starts, "id int, start int")
+    for block in (3, 16, 64):
+        got = sequences.window_labels(sequences.line_ends(d, "id"), windows, block, "id").collect()
+        want = []
+        for i, s in starts:
+            now = ""
+            for t, c in enumerate({r.id: r.text for r in d.collect()}[i][s + 1 : s + 1 + block]):
+                if c == "\n":
+                    if now.split():
+                        want.append((i, s, t, one(spark, phonetics.spelled_suffix(F.col("w")), w=now.split()[-1]), one(spark, phonetics.syllable_bucket(phonetics.line_syllables(F.col("w"))), w=now)))
+                    now = ""
+                else:
+                    now += c
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and (want or block == 3)
+
+
+def test_recent_tokens_by_runs(spark):
+    r = random.Random(2)
+    texts = {1: [r.choice("abcdefgh") for _ in range(120)], 2: ["a"], 3: [None, "b", None], 4: list("ab" * 30)}
+    rows = [(k, i, t) for k, ts in texts.items() for i, t in enumerate(ts)]
+    d = spark.createDataFrame(rows, "id int, pos int, token string").repartition(3)
+    for n in (1, 4, 50):
+        spans = sequences.recent_spans(d, "id", n)
+        sets = {(k, p): set(ts[max(0, p - n) : p]) for k, ts in texts.items() for p in range(len(ts))}
+        runs = spans.collect()
+        assert {(k, p): {s.token for s in runs if s.id == k and s.first <= p <= s.last} for k, p in sets} == sets
+        got = {(x.id, x.pos): (x.n_recent, x.recent) for x in sequences.recent_counts(d, spans, "id").collect()}
+        assert got == {(k, p): (len(v), texts[k][p] in v) for (k, p), v in sets.items()}
+    assert sequences.recent_counts(d.limit(0), sequences.recent_spans(d.limit(0), "id"), "id").count() == 0
+
+
+def test_walk_of_open_words(spark):
+    steps = tokenizers.transitions(spark.createDataFrame([("an",), ("ant",), ("at",), ("an",), ("é",), (None,), ("",)], "word string"))
+    assert steps.count() == 5
+    words = spark.createDataFrame(list(enumerate(["", "a", "an", "ant", "ants", "b", "é", "ab", None, "an"])), "id int, word string")
+    got = {r.id: (r.depth, r.alive, r.is_word, r.next_chars) for r in tokenizers.walk(words, steps, "id").collect()}
+    live = {0: (0, True, False, "aé"), 1: (1, True, False, "nt"), 2: (2, True, True, "t"), 3: (3, True, True, ""), 6: (1, True, True, ""), 9: (2, True, True, "t")}
+    dead = {4: 3, 5: 0, 7: 1, 8: 0}
+    assert got == live | {k: (n, False, False, "") for k, n in dead.items()}
+    most = tokenizers.completion_tokens(spark.createDataFrame([("x", "b", [1, 9]), ("x", "a", [3]), ("x", "c", [7]), (None, "d", [1]), ("x", "0", []), ("y", "z", [9, 9])], "suffix string, word string, tokens array<int>"), 2)
+    assert {(r.suffix, r.n_words, tuple(r.tokens)) for r in most.collect()} == {("x", 2, (3, 9)), ("y", 1, (9,))}
+
+
+def test_mixed_draws(spark):
+    steps = spark.createDataFrame([(i,) for i in range(3000)] + [(None,), (7,)], "step int")
+    a, b = spark.createDataFrame([(10 * i,) for i in range(5)] + [(None,)], "a long"), spark.createDataFrame([(i,) for i in range(100, 140)], "b int")
+    got = sequences.mixed_draws(steps, "step", a, "a", b, "b", 0.25).collect()
+    assert len(got) == 3002 and sum(r.step == 7 for r in got) == 2
+    mine, other = Counter(r.row for r in got if r.from_first), Counter(r.row for r in got if not r.from_first)
+    assert set(mine) == {0, 10, 20, 30, 40} and set(other) == set(range(100, 140)) and abs(sum(mine.values()) / 3002 - 0.25) < 0.03
+    assert max(mine.values()) < 1.4 * min(mine.values())
+    again = sequences.mixed_draws(steps.repartition(7), "step", a.repartition(3), "a", b.repartition(2), "b", 0.25).collect()
+    assert Counter(got) == Counter(again)
+    assert {r.from_first for r in sequences.mixed_draws(steps, "step", a.limit(0), "a", b, "b", 0.9).collect()} == {False}
+    assert {r.from_first for r in sequences.mixed_draws(steps, "step", a, "a", b.limit(0), "b", 0.0).collect()} == {True}
+    assert sequences.mixed_draws(steps, "step", a.limit(0), "a", b.limit(0), "b", 0.5).count() == 0
+
+
+def test_temperature_sweep(spark):
+    rows = spark.createDataFrame([("a", [1.0, 2.0, 3.0]), ("a", [5.0, 5.0, 5.0]), ("b", [0.0, 800.0, -800.0]), (None, [1.0, 1.0]), ("c", None), ("c", [])], "k string, x array<double>")
+    got = {(r.temperature, r.level, r.of_all): r for r in sequences.temperature_sweep(rows, F.col("x"), [0.5, 2.0], "k").collect()}
+
+    def both(x, t):
+        e = [math.exp((v - max(x)) / t) for v in x]
+        p = [v / sum(e) for v in e]
+        return -sum(v * math.log(v) for v in p if v), max(p)
+
+    assert len(got) == 2 * 3 + 2 + 1 and got[None, None, 3].n == 8 and got[0.5, None, 1].n == 4 and got[0.5, None, 0].n == 1
+    want = [both([1.0, 2.0, 3.0], 2.0), both([5.0] * 3, 2.0)]
+    assert got[2.0, "a", 0].mean_entropy == pytest.approx(sum(w[0] for w in want) / 2) and got[2.0, "a", 0].mean_top == pytest.approx(sum(w[1] for w in want) / 2)
+    assert got[2.0, "a", 0].std_top == pytest.approx(abs(want[0][1] - want[1][1]) / 2) and got[0.5, "b", 0].mean_entropy == pytest.approx(0)
+
+
+def test_continuations_take_time_in_proportion(spark):
+    text = "".join(random.Random(1).choice("abcé ") for _ in range(400))
+    d = spark.createDataFrame([(text,), (text[:25],), (text[5:40],), (None,), ("",)], "text string")
+    want = {}
+    for t in (text, text[5:40]):
+        for i in range(len(t) - 25):
+            want.setdefault(t[i : i + 25], set()).add(t[i + 25])
+    assert {r.prefix: set(r.next_chars) for r in originality.continuations(d).collect()} == want
