@@ -33,12 +33,13 @@ def _blank(line: Column) -> Column:
 
 
 def boilerplate(
-    pages: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = PAGES, copies: bool = False, id: str | None = None, groups: DataFrame | None = None
+    pages: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = PAGES, copies: bool = False, id: str | None = None, groups: DataFrame | None = None, among: DataFrame | None = None,
 ) -> DataFrame:
     """(host, line): hashes of each host's boilerplate lines, those on at least ``least`` and more than ``ratio`` of its pages.
 
     Pages of one host and text are one page; ``copies`` makes each row a page. With ``groups`` (id, group), say near-duplicate components, all rows
     of one host whose ``id`` is in one group are one page, which holds the lines of all of them; rows of no group are told apart by their text.
+    ``among`` (host, line) names the lines that may be found; pages are counted alike.
     """
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: ~_blank(x)), _key)).alias("keys")
     hosts, page = F.col(host).cast("string").alias("host"), F.xxhash64(text).alias("page")
@@ -50,7 +51,12 @@ def boilerplate(
         known = groups.select(F.col(groups.columns[0]).alias("id"), F.col(groups.columns[1]).alias("group")).where("id is not null and group is not null").groupBy("id").agg(F.min("group").alias("group"))
         each = pages.select(hosts, page, keys, F.col(id).alias("of")).join(known, F.col("of") == F.col("id"), "left")
         each = stash(each.select("host", F.struct("group", F.when(F.col("group").isNull(), F.col("page"))).alias("page"), "keys"), "pages")
-    rows = each.select("host", F.explode("keys").alias("line")) if groups is None else each.select("host", F.explode("keys").alias("line"), "page").distinct()
+    rows = each.select("host", F.explode("keys").alias("line"), *([] if groups is None else ["page"]))
+    if among is not None:
+        few = among.select(F.col("host").alias("in"), F.col("line").alias("may"))
+        rows = rows.join(F.broadcast(few) if few.count() <= SMALL else few, F.col("host").eqNullSafe(F.col("in")) & (F.col("line") == F.col("may")), "left_semi")
+    if groups is not None:
+        rows = rows.distinct()
     total = each if groups is None else each.select("host", "page").distinct()
     total = total.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("pages"))
     often = rows.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
@@ -61,16 +67,17 @@ def boilerplate(
 
 def line_dedup(
     pages: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = PAGES, dropped: str | None = None, small: int = SMALL, few: int = FEW, copies: bool = False,
-    id: str | None = None, groups: DataFrame | None = None,
+    id: str | None = None, groups: DataFrame | None = None, bad: DataFrame | None = None,
 ) -> DataFrame:
     """``pages`` with boilerplate lines gone from ``text``; the other columns unchanged, ``dropped`` (if named) added: lines that left.
 
     Null text stays null; a null host is a host; an empty text stays empty; a text of boilerplate only becomes empty. A line counts once a
     page however often it is repeated, and all its repeats leave. What counts as one page, ``copies``, ``id`` and ``groups`` say (see
-    ``boilerplate``): by default each text of a host, so that exact copies and repeated rows count once, near copies one by one. No text of a host with up to ``few`` such lines is shuffled while all of them
+    ``boilerplate``): by default each text of a host, so that exact copies and repeated rows count once, near copies one by one. ``bad`` is the
+    boilerplate (host, line) where it is known. No text of a host with up to ``few`` such lines is shuffled while all of them
     fit a broadcast of ``small`` hashes; elsewhere lines meet hashes in a join.
     """
-    bad = boilerplate(pages, host, text, ratio, least, copies, id, groups)
+    bad = boilerplate(pages, host, text, ratio, least, copies, id, groups) if bad is None else bad
     a, b, c = (_free(pages, x) for x in ("_host", "_bad", "_lines"))
     lines = _lines(F.col(text).cast("string"))
     sizes = stash(bad.groupBy("host").agg(F.count("*").alias("n")), "hosts")
