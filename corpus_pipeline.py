@@ -29,9 +29,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source, and ``n_chars`` (where there is that column) of what is left; those that
-    held nothing else go. A group of near duplicates counts as one page, so that copies don't make their own text boilerplate."""
+    held nothing else go. Near duplicates among the documents that hold such lines count as one page when the lines are counted again, so
+    that copies don't make their own text boilerplate."""
     ship(spark)
-    out = lines.line_dedup(docs, "source", "text", id="doc_id", groups=stash(ngram_join(docs).select("doc_id", "component_id"), "groups"))
+    whole, gone = "_whole" + "_" * len(docs.columns), "_gone" + "_" * len(docs.columns)
+    bad = lines.boilerplate(docs, "source", "text")
+    held = lines.line_dedup(docs.withColumn(whole, F.col("text")), "source", "text", dropped=gone, bad=bad).where(F.col(gone) > 0)
+    groups = stash(ngram_join(held.select("doc_id", F.col(whole).alias("text"))).select("doc_id", "component_id"), "groups")
+    bad = lines.boilerplate(docs, "source", "text", id="doc_id", groups=groups, among=bad)
+    out = lines.line_dedup(docs, "source", "text", bad=bad)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.where(F.col("text").rlike(r"\S")).select(*docs.columns)
