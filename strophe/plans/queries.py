@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import phonetics, text
 from ..functions.scheme import NAMED
-from ..operators import augment, originality, profiles, quality, retrieval, sequences, tokenizers
+from ..operators import augment, originality, profiles, quality, retrieval, sequences, tokenizers, vector_index
 from ..operators import lines as L
 from ..operators.following import numbered, numbered_values
 from ..sources import corpora, runs
+from ..stash import shared_dir
 from ..streaming.run_metrics import windowed
 from . import sql as Q
 
@@ -299,6 +301,16 @@ def vector_topk(spark, sf):
     return found(retrieval.search(v, q, 5))
 
 
+@query(SQL["vector_topk"])
+def vector_topk_indexed(spark, sf):
+    """The rows of ``vector_topk`` from an index in clusters that is written, read and searched by bounds."""
+    v, q = vector_queries(spark, sf)
+    path = f"{shared_dir(spark)}/strophe-index-{uuid.uuid4().hex}"
+    vector_index.write_index(v, path)
+    clusters = spark.read.parquet(f"{path}/clusters")
+    return found(vector_index.search_index(vector_index.read_vectors(spark, path, v), clusters, q.select("query_id", "query"), 5)[0])
+
+
 @query(FOUND + f"r AS (SELECT *, {RANKED} AS rank FROM p WHERE label <> ql) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5")
 def vector_topk_filtered(spark, sf):
     v, q = vector_queries(spark, sf)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strophe.config import Config
 from strophe.functions import phonetics, reports, scheme, text
-from strophe.operators import augment, lines, merges, originality, quality, retrieval, sequences, tokenizers
+from strophe.operators import augment, lines, merges, originality, quality, retrieval, sequences, tokenizers, vector_index
 from strophe.operators.following import numbered, numbered_values, with_following
 from strophe.plans import queries
 from strophe.sources import corpora, runs
@@ -506,3 +506,27 @@ def test_continuations_take_time_in_proportion(spark):
         for i in range(len(t) - 25):
             want.setdefault(t[i : i + 25], set()).add(t[i + 25])
     assert {r.prefix: set(r.next_chars) for r in originality.continuations(d).collect()} == want
+
+
+@pytest.mark.parametrize("pairs", [100_000, 60])
+def test_indexed_search_is_exact_and_skips_clusters(spark, tmp_path, monkeypatch, pairs):
+    monkeypatch.setattr(vector_index, "PAIRS", pairs)
+    r = random.Random(8)
+    centres = [[r.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    rows = [(i, [c + r.gauss(0, 0.05) for c in centres[i % 12]], i % 3) for i in range(600)]
+    rows += [(700, rows[0][1], 1), (701, rows[0][1], 1), (702, None, 0), (703, [], 0), (704, [1.0], 0), (705, [math.nan] * 8, 0), (3, rows[3][1], rows[3][2])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    vector_index.write_index(v, f"{tmp_path}/i", clusters=24, by="label")
+    clusters, held = spark.read.parquet(f"{tmp_path}/i/clusters"), vector_index.read_vectors(spark, f"{tmp_path}/i", v)
+    fine = v.where("vec_id < 702")
+    q = fine.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    rows_of = lambda df: sorted((x.query_id, x["rank"], x.vec_id, round(x.score, 5)) for x in df.collect())
+    got, scored = vector_index.search_index(held, clusters, q, 5)
+    assert rows_of(got) == rows_of(retrieval.search(fine, q, 5))
+    assert sum(x.scored for x in scored.collect()) < 0.5 * q.count() * fine.count()  # most vectors are never scored
+    got, _ = vector_index.search_index(held, clusters, q, 5, F.col("label") == 2)
+    assert rows_of(got) == rows_of(retrieval.search(fine.where("label = 2"), q, 5))
+    assert "PartitionFilters: [isnotnull(label" in held.where("label = 2")._jdf.queryExecution().toString()
+    assert rows_of(vector_index.search_index(held, clusters, q.limit(0), 5)[0]) == []
+    few = vector_index.search_index(held, clusters, q.limit(1), 1000)[0]
+    assert few.count() == fine.count()
