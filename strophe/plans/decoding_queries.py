@@ -65,7 +65,7 @@ _OPEN = f"o AS (SELECT doc_id, lower(regexp_extract({Q.raw('text')}[-1], '[^ \\t
 t AS (SELECT prefix, coalesce(string_agg(DISTINCT nullif(c, ''), '' ORDER BY nullif(c, '')), '') AS next_chars, bool_or(c = '') AS is_word FROM p GROUP BY prefix),
 x AS (SELECT doc_id, word, max(i) AS depth FROM (SELECT doc_id, word, unnest(range(0, length(word) + 1)) AS i FROM o) JOIN t ON t.prefix = substr(word, 1, i) GROUP BY doc_id, word)
 SELECT doc_id, x.word, CAST(depth AS INTEGER) AS depth, depth = length(x.word) AS alive, coalesce(depth = length(x.word) AND length(x.word) > 0 AND is_word, false) AS is_word, coalesce(next_chars, '') AS next_chars FROM x LEFT JOIN t ON x.word = t.prefix""")
-def open_word_walk(spark, sf):
+def trie_walk(spark, sf):
     """What may follow the word that each text's open last line ends in, in the trie of the corpus' words; dead where no word begins so."""
     now = docs(spark, sf).where("text is not null").select("doc_id", F.lower(F.regexp_extract(F.element_at(text.raw_lines(F.col("text")), -1), r"[^ \t]*$", 0)).alias("word"))
     return tokenizers.walk(now, tokenizers.transitions(vocabulary(spark, sf)), "doc_id")
