@@ -3,8 +3,9 @@
 Of a document, windows of as many words as a benchmark item has are fingerprinted (64-bit SimHash of five-word shingles, each as
 often as it occurs). Windows lie wherever a shingle of the document and one of an item align them; a window without a shared shingle
 can't be similar. A multi-index over the items' fingerprints, cut into ``RADIUS + 1`` blocks of which one must be equal, yields
-all items within ``RADIUS`` bits. Those are verified by exact weighted-shingle similarity: over all shingles, the sum of lesser
-counts by the sum of greater counts, at least ``SIMILAR``.
+all items within ``RADIUS`` bits. At such a radius blocks are short and hold a good part of all items, so the index is one of bit sets,
+and what it yields is cut down to the items that share a shingle with the window, which a similar one must. Those are verified by exact
+weighted-shingle similarity: over all shingles, the sum of lesser counts by the sum of greater counts, at least ``SIMILAR``.
 
 The benchmark is taken in blocks of at most about ``BLOCK`` items and ``BYTES`` of text, a pass each, so that what a task holds stays
 bounded however large it grows.
@@ -48,14 +49,15 @@ def similarity(a: Counter, b: Counter) -> float:
 
 
 class Items:
-    """Benchmark items: shingles, places, fingerprints and their multi-index."""
+    """Benchmark items: shingles, which items hold them, places, fingerprints and their multi-index."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         w = words(pa.array(texts, pa.string()))
         s, first = w.shingles()
         self.ids, self.size = ids, np.diff(w.first)
         self.count = [Counter(s[a:b].tolist()) for a, b in zip(first, first[1:], strict=False)]
-        self.prints = [simhash(s[a:b]) if b > a else None for a, b in zip(first, first[1:], strict=False)]
+        self.has = np.diff(first) > 0
+        self.prints = np.array([simhash(s[a:b]) if b > a else 0 for a, b in zip(first, first[1:], strict=False)], np.uint64)
         item = np.repeat(np.arange(len(ids)), np.diff(first))
         place = np.arange(len(s)) - np.repeat(first[:-1], np.diff(first))
         # where a window starts and ends follows from the place of a shingle and the item's size, so items that agree in both are one
@@ -63,18 +65,36 @@ class Items:
         at["shingle"], at["place"], at["size"] = s, place, self.size[item]
         at = np.unique(at)
         self.shingle, self.place, self.width = (np.ascontiguousarray(at[c]) for c in ("shingle", "place", "size"))
-        edges = np.linspace(0, 64, RADIUS + 2).astype(int)
-        self.blocks = [(int(a), (1 << int(b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-        self.index: dict[tuple[int, int], list[int]] = {}
-        for i, p in enumerate(self.prints):
-            if p is not None:
-                for k, (a, mask) in enumerate(self.blocks):
-                    self.index.setdefault((k, p >> a & mask), []).append(i)
-
-    def within(self, fingerprint: int) -> list[int]:
-        """All items whose fingerprint differs in at most RADIUS bits."""
-        found = {i for k, (a, mask) in enumerate(self.blocks) for i in self.index.get((k, fingerprint >> a & mask), ())}
-        return [i for i in found if (self.prints[i] ^ fingerprint).bit_count() <= RADIUS]
+        held = np.zeros(len(s), np.dtype([("shingle", np.uint64), ("item", np.int64)]))
+        held["shingle"], held["item"] = s, item
+        held = np.unique(held)
+        self.held, self.holder = np.ascontiguousarray(held["shingle"]), np.ascontiguousarray(held["item"])
+        edges = np.linspace(0, 64, RADIUS + 2).astype(np.uint64)
+        self.shift, self.mask = edges[:-1], (np.uint64(1) << np.diff(edges)) - np.uint64(1)
+        # a row of bits, one an item, for each value of each block
+        self.row = np.concatenate([[0], np.cumsum(self.mask[:-1] + np.uint64(1))]).astype(np.int64)
+        values = self._values(self.prints[:, None])
+        self.index = np.concatenate([np.packbits((values[:, k] == np.arange(int(m) + 1)[:, None]) & self.has, 1) for k, m in enumerate(self.mask)])
+
+    def _values(self, prints):
+        return (prints >> self.shift & self.mask).astype(np.int64)
+
+    def sharing(self, shingles: np.ndarray) -> np.ndarray:
+        """The items that hold one of the shingles, ascending."""
+        lo, hi = np.searchsorted(self.held, shingles), np.searchsorted(self.held, shingles, "right")
+        n = hi - lo
+        return np.unique(self.holder[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())])
+
+    def within(self, fingerprint: int, among: np.ndarray | None = None) -> np.ndarray:
+        """All items, of ``among`` where given, whose fingerprint differs in at most RADIUS bits, ascending."""
+        fingerprint = np.uint64(fingerprint)
+        rows = self.row + self._values(fingerprint)
+        if among is None:
+            found = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(self.index[rows], 0), count=len(self.prints)))
+        else:
+            bits = self.index[rows[:, None], among >> 3] >> (7 - (among & 7)).astype(np.uint8) & 1
+            found = among[bits.any(0)]
+        return found[np.bitwise_count(self.prints[found] ^ fingerprint) <= RADIUS]
 
 
 def find(items: Items, texts: pa.Array) -> list[list[dict]]:
@@ -88,7 +108,8 @@ def find(items: Items, texts: pa.Array) -> list[list[dict]]:
     hit = np.flatnonzero(items.shingle[np.minimum(lo, len(items.shingle) - 1)] == s)
     if not len(hit):
         return out
-    hi = np.searchsorted(items.shingle, s[hit], "right")
+    hits = s[hit]
+    hi = np.searchsorted(items.shingle, hits, "right")
     many = hi - lo[hit]
     at = np.repeat(hit, many)
     row = np.repeat(lo[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
@@ -103,8 +124,8 @@ def find(items: Items, texts: pa.Array) -> list[list[dict]]:
         if words_in >= SHINGLE and m < SHINGLE:
             continue  # an item shorter than a shingle equals whole texts only
         window = s[a : min(a + take, int(first[d + 1]))]
-        count = None
-        for i in items.within(simhash(window)):
+        count, some = None, hits[slice(*np.searchsorted(hit, (a, a + len(window))))]
+        for i in items.within(simhash(window), items.sharing(np.unique(some))).tolist():
             count = count or Counter(window.tolist())
             like = similarity(count, items.count[i])
             if like >= SIMILAR and (like, -x) > best.get((d, i), (0.0, 1)):

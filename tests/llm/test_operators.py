@@ -190,11 +190,27 @@ def test_decontamination_in_blocks(spark, monkeypatch):
 def test_multi_index_finds_all_within_radius():
     items = decontaminate.Items(list(range(50)), [prose(30, "en", 800 + i) for i in range(50)])
     r = random.Random(4)
-    for p in items.prints[:20]:
+    prints, some = items.prints.tolist(), np.array([0, 3, 7, 8, 9, 31, 49])
+    for p in prints[:20]:
         q = p
         for b in r.sample(range(64), decontaminate.RADIUS):
             q ^= 1 << b
-        assert sorted(items.within(q)) == [i for i, x in enumerate(items.prints) if (x ^ q).bit_count() <= decontaminate.RADIUS]
+        near = [i for i, x in enumerate(prints) if (x ^ q).bit_count() <= decontaminate.RADIUS]
+        assert items.within(q).tolist() == near
+        assert items.within(q, some).tolist() == [i for i in near if i in some]
+        assert items.within(q, some[:0]).tolist() == []
+
+
+def test_items_that_share_a_shingle():
+    """Of 3,000 items few share a shingle with a window; none that does is left out, nor one without words named."""
+    texts = [prose(20, "en", 5000 + i) for i in range(3000)] + ["", "one two three four five six", None, "one two three four five seven"]
+    items = decontaminate.Items(list(range(len(texts))), texts)
+    held = [set(c) for c in items.count]
+    for i in (*range(0, 3000, 300), 3001):
+        window = np.array(sorted(held[i]), np.uint64)
+        got = items.sharing(window).tolist()
+        assert got == [j for j, h in enumerate(held) if h & held[i]] and len(got) < 0.05 * len(texts)
+    assert items.sharing(np.array([], np.uint64)).tolist() == [] and 3003 in items.sharing(np.array(list(held[3001]), np.uint64))
 
 
 def fingerprints_by_hand(rows):
