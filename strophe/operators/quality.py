@@ -108,7 +108,7 @@ def learning_rate(step: Column, warmup: int | Column, total: int | Column) -> Co
     return F.when(step < warmup, step / F.greatest(warmup, F.lit(1))).otherwise(0.5 * (1 + F.cos(F.pi() * done)))
 
 
-def evals_since_best(rows: DataFrame, run: str | list[str], step: str, loss: str) -> DataFrame:
+def evals_since_best(rows: DataFrame, run: str | list[str], step: str | list[str], loss: str) -> DataFrame:
     """``rows`` with best (least loss so far) and since_best (evaluations since it first fell to that)."""
     w = Window.partitionBy(run).orderBy(step)
     out = rows.withColumn("best", F.min(loss).over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,10 +42,26 @@ def write_lyrics(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
 
 
-def read_songs(spark: SparkSession, pattern: str) -> DataFrame:
-    """Songs of JSON arrays; missing names become Unknown and Untitled."""
-    df = spark.read.schema(SONG).json(pattern, multiLine=True)
-    return df.select(F.coalesce("artist", F.lit("Unknown")).alias("artist"), F.coalesce("title", F.lit("Untitled")).alias("title"), F.coalesce("lyrics", F.lit("")).alias("lyrics"))
+def read_songs(spark: SparkSession, pattern: str, stream: bool = False) -> DataFrame:
+    """Songs of JSON arrays, a file an artist; missing names become Unknown and Untitled, missing lyrics empty. Of a torn file no song is taken."""
+    torn = "_torn string"
+    df = (spark.readStream if stream else spark.read).schema(f"{SONG}, {torn}").json(pattern, multiLine=True, columnNameOfCorruptRecord="_torn")
+    return df.where("_torn is null").select(F.coalesce("artist", F.lit("Unknown")).alias("artist"), F.coalesce("title", F.lit("Untitled")).alias("title"), F.coalesce("lyrics", F.lit("")).alias("lyrics"))
+
+
+def read_index_rows(spark: SparkSession, path: str, column: str = "lyrics_clean", artist: str = "artist", title: str | None = None) -> DataFrame:
+    """(artist, title, text) of a CSV to index: without a title column, ``Track n`` with n the row's place in its file from 0.
+
+    A missing artist is Unknown. Texts of under 50 characters leave, but count for n.
+    """
+    df = spark.read.csv(path, header=True, multiLine=True, escape='"', quote='"')
+    name = F.coalesce(F.col(artist), F.lit("Unknown")) if artist in df.columns else F.lit("Unknown")
+    if title in df.columns:
+        rows = df.select(name.alias("artist"), F.coalesce(F.col(title), F.lit("")).alias("title"), F.col(column).alias("text"))
+    else:
+        rows = df.select(name.alias("artist"), F.col(column).alias("text"), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+        rows = numbered(rows, "_file", "_at").select("artist", F.concat(F.lit("Track "), (F.col("_no") - 1).cast("string")).alias("title"), "text")
+    return rows.where(F.length("text") >= 50)
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
@@ -135,16 +152,26 @@ def songs_of(corpus: DataFrame, artist: str, order: str) -> DataFrame:
     return rows.select(F.lit(artist).alias("artist"), F.concat(F.lit("Track "), F.col("_no").cast("string")).alias("title"), text.clean_page(F.col("text")).alias("lyrics"))
 
 
+def existing_songs(artist: str, *corpora: DataFrame, order: str) -> DataFrame:
+    """``songs_of`` the first of ``corpora`` (cleaned, then raw) that has a row of the artist, whatever the case; of the last where none has."""
+    for corpus in corpora[:-1]:
+        if corpus.where(F.lower("artist") == artist.lower()).head(1):
+            return songs_of(corpus, artist, order)
+    return songs_of(corpora[-1], artist, order)
+
+
 def cached_songs(spark: SparkSession, artist: str, folder: str, fetch: Callable[[str], DataFrame]) -> DataFrame:
     """(artist, title, lyrics) of ``folder``'s table for the artist; where it has none, what ``fetch`` gives, which is kept there unless empty."""
     path = f"{folder}/{re.sub('[^a-z0-9]+', '_', artist.lower()).strip('_')}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.read.schema(SONG).parquet(path)
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*/_SUCCESS")
+    kept = done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done) or []
+    if len(kept):
+        return spark.read.schema(SONG).parquet(min(f.getPath().getParent().toString() for f in kept))
     songs = fetch(artist).select("artist", "title", "lyrics")
     if not songs.head(1):
         return songs
-    songs.write.mode("overwrite").parquet(path)
+    path = f"{path}/{uuid.uuid4().hex}"  # two drivers may fetch at once: neither overwrites what the other reads
+    songs.write.parquet(path)
     return spark.read.schema(SONG).parquet(path)
 
 
