@@ -52,10 +52,8 @@ def contains_any(line: Column, parts: tuple[str, ...]) -> Column:
 
 def page_lines(text: Column) -> Column:
     """Lines of a fetched lyrics page: the title line, headers, page noise and short non-letters leave."""
-    lines = split_lines(text)
-    lines = F.when(lines[0].contains("Lyrics"), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
     keep = lambda x: (x != "") & ~is_header(x) & ~x.rlike(PAGE_NOISE) & ((F.length(x) >= 3) | x.rlike(r"^\p{L}"))
-    return F.filter(F.transform(lines, strip), keep)
+    return F.filter(F.transform(split_lines(text), strip), lambda x, i: ~((i == 0) & x.contains("Lyrics")) & keep(x))
 
 
 def clean_page(text: Column) -> Column:

@@ -42,25 +42,36 @@ def syllables_of_lines(lines: DataFrame, lexicon: DataFrame, *keep: str) -> Data
     return rows.join(known, F.col("_w") == F.col("_word"), "left").groupBy(*keep, "line_no").agg(F.sum(n).alias("syllables"))
 
 
+def _page(docs: DataFrame, name: str, *keep: str) -> DataFrame:
+    """``keep`` and the cleaned lines of each text, null where they have 100 characters or fewer; a condition here, not a filter, so that texts are cut once."""
+    cut = docs.select(*keep, text.page_lines(F.col("text")).alias(name))
+    return cut.withColumn(name, F.when(F.length(F.array_join(name, "\n")) > 100, F.col(name)))
+
+
 def spam_lines(docs: DataFrame, least: int = 5) -> DataFrame:
     """(line, n): cleaned lines that occur at least ``least`` times in cleaned texts of over 100 characters."""
-    kept = docs.withColumn("_lines", text.page_lines(F.col("text"))).where(F.length(F.array_join("_lines", "\n")) > 100)
-    return kept.select(F.explode("_lines").alias("line")).groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return _frequent(_page(docs, "lines"), least)
+
+
+def _frequent(cut: DataFrame, least: int) -> DataFrame:
+    each = cut.select(F.explode_outer("lines").alias("line")).where("line is not null")  # a filter on the array would cut the texts again
+    return each.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def without_spam(docs: DataFrame, least: int = 5, small: int = 500) -> DataFrame:
     """(doc_id, source, text): cleaned texts without spam lines, over 100 characters before and after.
 
-    Each row stays a row, repeated ones too. The spam set travels to the texts as one array while it has at most ``small`` lines; a larger
-    one meets the lines of numbered rows in an anti join.
+    Each row stays a row, repeated ones too. Texts are cleaned once and written; spam is counted once. The spam set travels to the texts as one
+    array while it has at most ``small`` lines, and only texts that hold one of them are gone through; a larger one meets the lines of the
+    rows in an anti join. Lines themselves are compared both ways.
     """
-    kept = docs.select("doc_id", "source", text.page_lines(F.col("text")).alias("lines")).where(F.length(F.array_join("lines", "\n")) > 100)
-    spam = spam_lines(docs, least).select("line")
+    rows = stash(_page(docs.withColumn("row", F.monotonically_increasing_id()), "lines", "row", "doc_id", "source"), "cleaned").where("lines is not null")
+    spam = stash(_frequent(rows, least).select("line"), "spam")
     if spam.count() <= small:
-        one = spam.agg(F.collect_set(F.xxhash64("line")).alias("spam"))
-        out = kept.join(F.broadcast(one)).withColumn("lines", F.filter("lines", lambda x: ~F.array_contains(F.col("spam"), F.xxhash64(x))))
+        one = spam.agg(F.collect_list("line").alias("spam"))
+        left = F.filter("lines", lambda x: ~F.array_contains(F.col("spam"), x))
+        out = rows.join(F.broadcast(one)).select("doc_id", "source", F.when(F.arrays_overlap("lines", "spam"), left).otherwise(F.col("lines")).alias("lines"))
     else:
-        rows = stash(kept.withColumn("row", F.monotonically_increasing_id()), "rows")
         each = line_table(rows, F.col("lines"), "row", "doc_id", "source").join(spam, "line", "left_anti")
         out = each.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("lines")).withColumn("lines", F.col("lines.line"))
     return out.select("doc_id", "source", F.array_join("lines", "\n").alias("text")).where(F.length("text") > 100)
@@ -72,12 +83,13 @@ def exact_dedup(docs: DataFrame, key: Column | str = "text", order: str = "doc_i
     Partial aggregation on a hash finds the winners, which the rows then meet by key and order.
     """
     key = F.col(key) if isinstance(key, str) else key
-    named = docs.withColumn("_key", F.sha2(key, 256))
-    first = named.groupBy(F.col("_key").alias("_k")).agg(F.min(order).alias("_first"))
-    won = named.join(first, F.col("_key").eqNullSafe(F.col("_k")) & F.col(order).eqNullSafe(F.col("_first")), "left_semi")
-    if named.groupBy("_key", order).count().where("count > 1").head(1):
-        won = won.dropDuplicates(["_key", order])
-    return won.drop("_key")
+    name = "_key" + "_" * max(map(len, docs.columns))  # no column of the caller's
+    named = docs.withColumn(name, F.sha2(key, 256))
+    first = named.groupBy(F.col(name).alias(f"{name}k")).agg(F.min(order).alias(f"{name}first"))
+    won = named.join(first, F.col(name).eqNullSafe(F.col(f"{name}k")) & F.col(order).eqNullSafe(F.col(f"{name}first")), "left_semi")
+    if named.groupBy(name, order).agg(F.count("*").alias(f"{name}n")).where(F.col(f"{name}n") > 1).head(1):
+        won = won.dropDuplicates([name, order])
+    return won.drop(name)
 
 
 def chunks(docs: DataFrame, lines: Column, size: int, stride: int, least: int, *keep: str) -> DataFrame:

@@ -99,6 +99,11 @@ def test_exact_dedup_of_null_and_repeated_ids(spark):
     assert got == sorted([(None, "alone"), (1, "twice"), (1, "another of id 1"), (7, "here too"), (8, None), (3, "same row")], key=str)
 
 
+def test_exact_dedup_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a", 7, 8), (2, "a", 9, 8)], "doc_id long, text string, _key int, _key_k int")
+    assert lines.exact_dedup(df).collect() == [(1, "a", 7, 8)] and lines.exact_dedup(df).columns == df.columns
+
+
 def test_lines_end_in_many_ways(spark):
     t = "one line\r\ntwo line\rthree line\x0bfour line\u2028five line\x85six line"
     assert len(one(spark, text.style_lines(F.col("t")), t=t)) == 6
