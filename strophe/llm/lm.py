@@ -7,9 +7,11 @@ are normalised over all units (the normaliser of each pair of units is worked ou
 inside its unit has add-half probability, so texts get log-probabilities over an open vocabulary.
 
 Counts cover all training documents and are joined, not collected: at most the ``WIDE`` most frequent words travel to the tasks, the
-rest of each document's words meet their counts in a shuffle. Training takes a pass over all training documents; each
-partition runs AdaGrad from the same start, and parameters are averaged by tokens. What a partition draws is keyed by its number, so
-scores repeat for one way of splitting the table into partitions and differ a little for another; the other columns don't.
+rest of each document's words meet their counts in a shuffle. Training learns once from each training document. They are dealt by a hash of
+id and text to ``ROUNDS`` rounds of shards; with more text, both the shards and the tokens of a shard become more. The shards of a round
+run AdaGrad from the same start over their documents in the order of the hashes; the average by tokens of their parameters and of AdaGrad's
+sums is the next round's start. Averages are sums of integers, taken in levels, so neither the files' split nor the order of tasks changes
+a parameter.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .stash import partitions, stash
+from .stash import discard, partitions, stash
 from .words import mix, slices, words
 
 TOP = 1024
@@ -29,6 +31,16 @@ WIDE = 262_144
 DIM = 16
 NOISE = 32
 BATCH = 1024
+#: Tokens that are shuffled together in training.
+CHUNK = 262_144
+#: A corpus of this many tokens is one shard; one of k times as many is dealt to k ** (2/3) shards.
+SHARD = 524_288
+#: Averages are taken so many times.
+ROUNDS = 3
+#: A parameter times its shard's tokens is rounded to so small a part of 1 before the sum.
+FINE = 4096
+#: Rows of parameters that one task adds up.
+FAN = 32
 END = int(mix(np.array([1], np.uint64)).view(np.int64)[0])
 
 
@@ -151,12 +163,22 @@ def contexts(u: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarray,
 class Trainer:
     """Noise-contrastive estimation with noise shared by a batch, AdaGrad."""
 
-    def __init__(self, model: Model, seed: int, rate: float = 0.1):
+    def __init__(self, model: Model, seed: int, start: np.ndarray | None = None, rate: float = 0.1):
         self.m, self.rate = model, rate
         self.r = np.random.Generator(np.random.PCG64(seed))
         self.cdf = np.cumsum(model.noise)
         self.log_noise = np.log(NOISE * model.noise).astype(np.float32)
         self.sum = {k: np.full(getattr(model, k).shape, 1e-7, np.float32) for k in ("R", "C", "Q", "b")}
+        if start is not None:
+            model.load(start)
+            at = len(model.flat())
+            for x in self.sum.values():
+                np.maximum(x, start[at : at + x.size].reshape(x.shape), out=x, casting="same_kind")
+                at += x.size
+
+    def state(self) -> np.ndarray:
+        """Parameters, then AdaGrad's sums."""
+        return np.concatenate([self.m.flat(), *(x.ravel() for x in self.sum.values())])
 
     def _step(self, name, grad):
         self.sum[name] += grad * grad
@@ -186,26 +208,66 @@ class Trainer:
             self._step(name, g)
 
 
-def _train(units: Units, unigram: np.ndarray):
+def _train(units: Units, unigram: np.ndarray, start: np.ndarray | None):
+    """Each partition is a shard, in order; its draws are keyed by the shard's number, and it trains on ``CHUNK`` tokens of the stream at a
+    time, wherever Arrow's batches end."""
+
     def run(batches):
-        trainer, seen = Trainer(Model(unigram), 100 + (TaskContext.get().partitionId() if TaskContext.get() else 0)), 0
+        trainer, seen, shard, held, size = None, 0, 0, [], 0
+
+        def train(k):
+            nonlocal held, size
+            u, u1, u2 = (np.concatenate(x) for x in zip(*held, strict=True))
+            held, size = [(u[k:], u1[k:], u2[k:])], size - k
+            order = trainer.r.permutation(k)
+            for a in range(0, k, BATCH):
+                at = order[a : a + BATCH]
+                trainer.batch(u[at], u1[at], u2[at])
+
         for whole in batches:
             for batch in slices(whole):
+                if trainer is None:
+                    shard = batch["shard"][0].as_py()
+                    trainer = Trainer(Model(unigram), 100 + shard, start)
                 ids, shape, first = tokens(batch["text"])
                 u = units.units(ids, shape)
-                u1, u2 = contexts(u, first, units.size)
-                order = trainer.r.permutation(len(u))
-                for a in range(0, len(u), BATCH):
-                    k = order[a : a + BATCH]
-                    trainer.batch(u[k], u1[k], u2[k])
+                held.append((u, *contexts(u, first, units.size)))
+                size += len(u)
                 seen += len(u)
+                while size >= CHUNK:
+                    train(CHUNK)
+        if size:
+            train(size)
         if seen:
-            flat = trainer.m.flat().astype(np.float64)
-            yield pa.record_batch([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), seen, np.int64))], ["i", "v", "w"])
+            sums = np.rint(trainer.state().astype(np.float64) * seen * FINE).astype(np.int64)
+            yield pa.record_batch([pa.array([shard]), pa.array([sums.tobytes()], pa.binary()), pa.array([seen])], ["k", "sums", "seen"])
 
     return run
 
 
+def _added(batches):
+    """The sum of a task's rows of parameters, under the least of their numbers."""
+    least, total, seen = None, None, 0
+    for batch in batches:
+        for k, sums, n in zip(*(batch[c].to_pylist() for c in ("k", "sums", "seen")), strict=True):
+            x = np.frombuffer(sums, np.int64)
+            least, total, seen = (k, x.copy(), n) if total is None else (min(least, k), total + x, seen + n)
+    if total is not None:
+        yield pa.record_batch([pa.array([least]), pa.array([total.tobytes()], pa.binary()), pa.array([seen])], ["k", "sums", "seen"])
+
+
+def averaged(learned: DataFrame, shards: int) -> np.ndarray | None:
+    """Parameters averaged by tokens over the rows (k, sums, seen) of ``shards`` shards, ``FAN`` rows a task, until few are left; None without rows."""
+    while shards > FAN:
+        shards = -(-shards // FAN)
+        learned = learned.repartitionById(shards, (F.col("k") % shards).cast("int")).mapInArrow(_added, "k long, sums binary, seen long")
+    total, seen = None, 0
+    for r in learned.toLocalIterator():  # at most FAN rows
+        x = np.frombuffer(r.sums, np.int64)
+        total, seen = (x.copy() if total is None else total + x), seen + r.seen
+    return total / (float(FINE) * seen) if seen else None
+
+
 def norm_table(spark: SparkSession, unigram: np.ndarray, flat: np.ndarray, parts: int) -> np.ndarray:
     """``Model.norms``, a task some rows of it: (units + 1) squared numbers, whatever the corpus."""
 
@@ -269,13 +331,14 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; learned where crc32(doc_id) mod 5 is not 1.
 
     Null and empty texts are one end. A null doc_id is held out. Without training rows, counts are 0 and every word is unseen. Repeated
-    rows each give a row; other columns are ignored. Words are compared by 64-bit hashes.
+    rows each give a row; other columns are ignored. Words are compared by 64-bit hashes. Copies of a text under other ids are learned in
+    other shards; rows of equal id and text in the same one.
     """
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(True))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held)
-    train = docs.where(~F.col("held_out")).select("text")
-    counts = stash(train.mapInArrow(_count, "word long, shape int, n long").groupBy("word").agg(F.first("shape").alias("shape"), F.sum("n").alias("n")), "counts")
+    train = docs.where(~F.col("held_out")).select("doc_id", "text")
+    counts = stash(train.select("text").mapInArrow(_count, "word long, shape int, n long").groupBy("word").agg(F.first("shape").alias("shape"), F.sum("n").alias("n")), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     wide = frequent(counts, WIDE).select("word", "n", "shape").toPandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)  # at most WIDE rows
     word, n = wide["word"].to_numpy(np.int64), wide["n"].to_numpy(np.int64)
@@ -292,8 +355,18 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     unigram = unigram / unigram.sum()
     known = spark.sparkContext.broadcast(units)
     pack = lambda f, *a: (lambda batches: f(known.value, *a)(batches))
-    found = train.mapInArrow(pack(_train, unigram), "i int, v double, w long").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).orderBy("i").toPandas()
-    flat = found["v"].to_numpy(np.float64) if len(found) else Model(unigram).flat()
+    shards = max(1, int(np.ceil((total.n / SHARD) ** (2 / 3) / ROUNDS)))
+    hashed = train.select(F.xxhash64("doc_id", "text").alias("h"), "text").withColumn("shard", F.pmod("h", F.lit(shards * ROUNDS)).cast("int"))
+    state = None
+    for part in range(ROUNDS):
+        dealt = hashed.where(F.col("shard") % ROUNDS == part).repartitionById(shards, F.floor(F.col("shard") / ROUNDS).cast("int"))
+        learned = dealt.sortWithinPartitions("h").select("shard", "text").mapInArrow(pack(_train, unigram, state), "k long, sums binary, seen long")
+        learned = stash(learned.withColumn("k", F.floor(F.col("k") / ROUNDS)), "learned")
+        better = averaged(learned, shards)
+        discard(learned)
+        state = state if better is None else better
+    model = Model(unigram)
+    flat = model.flat() if state is None else state[: len(model.flat())]
     norms = spark.sparkContext.broadcast(norm_table(spark, unigram, flat, partitions(docs)))
     out = docs.mapInArrow(pack(_score, unigram, flat, log_class, norms), "rid long, doc_id long, held_out boolean, n_tokens long, part double, logs double, known long, rare array<long>, times array<int>")
     out = stash(out, "scores")

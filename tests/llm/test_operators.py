@@ -516,6 +516,22 @@ def test_lm_beats_its_base_on_held_out_texts(spark):
     assert gain > 0.1
 
 
+def test_lm_scores_do_not_depend_on_the_split(docs, monkeypatch):
+    """Two or seven partitions, and trees of averages of two rows a task: the same scores, copies and repeated rows among them."""
+    monkeypatch.setattr(lm, "SHARD", 2_000)
+    monkeypatch.setattr(lm, "FAN", 2)
+    got = [sorted(map(str, lm.lm_scores(docs.repartition(n)).collect())) for n in (2, 7)]
+    assert got[0] == got[1]
+
+
+def test_averaged_parameters(spark):
+    rows = [(k, (np.arange(3) * (k + 1) * lm.FINE * (k + 2)).astype(np.int64).tobytes(), k + 2) for k in range(70)]
+    got = lm.averaged(spark.createDataFrame(rows, "k long, sums binary, seen long"), 70)
+    want = sum(np.arange(3) * (k + 1) * (k + 2) for k in range(70)) / sum(k + 2 for k in range(70))
+    assert np.allclose(got, want)
+    assert lm.averaged(spark.createDataFrame([], "k long, sums binary, seen long"), 1) is None
+
+
 def test_frequent_words_are_bounded(spark):
     counts = spark.createDataFrame([(w, n) for w, n in enumerate([1] * 500 + [2] * 50 + [7] * 20 + [100, 90])], "word long, n long")
     for most in (0, 1, 25, 80, 571, 572):
