@@ -329,6 +329,28 @@ def test_retrieval_in_blocks(spark, monkeypatch):
     assert rows() == whole
 
 
+def test_search_of_copies_and_odd_vectors(spark, monkeypatch):
+    """Products of matrices pick, the sums of ``dot`` decide: the rows and scores of a join of all pairs, without a row a pair."""
+    from strophe.operators import nearest
+
+    monkeypatch.setattr(nearest, "ROWS", 50)
+    monkeypatch.setattr(nearest, "SCORES", 300)
+    r = random.Random(5)
+    some = [[r.gauss(0, 1) for _ in range(16)] for _ in range(40)]
+    rows = [(i, some[i % 40] if i % 3 else some[0], i % 4 if i % 7 else None) for i in range(300)]
+    rows += [(None, some[1], 1), (7, some[1], 1), (400, None, 1), (401, [1.0], 2), (402, [], 1), (403, [math.nan] * 16, 1), (404, [None] + some[2][1:], 2), (405, [math.inf] * 16, 1)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    q = v.where("vec_id % 10 = 0 or vec_id > 400").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("ql"))
+    same = F.col("label") == F.col("ql")
+    ways = ({}, {"keep": ~same}, {"keep": ~same, "mode": "overfetch"}, {"prefer": same}, {"keep": same, "least": 0.3}, {"keep": F.col("vec_id") != F.col("query_id")})
+    rows_of = lambda df: sorted((str(x.query_id), x["rank"], str(x.vec_id), str(x.score), str(x.label), str(x.ql)) for x in df.collect())
+    fine = lambda df, c: df.where(retrieval.fine(c, 16))
+    got = [rows_of(retrieval.search(v, q, 4, **w)) for w in ways]
+    assert "NestedLoopJoin" not in retrieval.search(fine(v, "embedding"), fine(q, "query"), 4, prefer=same)._jdf.queryExecution().toString()
+    monkeypatch.setattr(retrieval, "_kinds", lambda *a: None)
+    assert got == [rows_of(retrieval.search(v, q, 4, **w)) for w in ways]
+
+
 def test_rhyme_groups_are_whole(spark, tmp_path):
     words = [a + b + "ation" for a in "bcdfghjklmnp" for b in "aeioubcdfg"]
     d = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
