@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import phonetics, text
 from ..functions.scheme import classify, window_schemes
-from ..stash import stash
+from ..stash import discard, stash
 from .following import with_following
 
 
@@ -117,6 +117,11 @@ def with_vocabulary_ids(rows: DataFrame, column: str, vocab: DataFrame) -> DataF
     return rows.join(vocab.toDF("_v", "id"), F.col(column) == F.col("_v"), "left").drop("_v").withColumn("id", F.coalesce("id", F.lit(0)))
 
 
+def style_texts(docs: DataFrame) -> DataFrame:
+    """(source, doc_id, lines) of texts of 50 or more characters, cut once and written: what reads them goes on from there."""
+    return stash(docs.where(F.length("text") >= 50).select("source", "doc_id", text.style_lines(F.col("text")).alias("lines")), "lines")
+
+
 def suffix_docs(docs: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     """(source, doc_id, suffixes) of texts of 50 or more characters, by ``lexicon`` or, without one, by spelling."""
     if lexicon is not None:
@@ -124,25 +129,45 @@ def suffix_docs(docs: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     return docs.where(F.length("text") >= 50).select("source", "doc_id", line_suffixes(text.style_lines(F.col("text"))).alias("suffixes"))
 
 
+def followed_suffixes(suffixes: DataFrame, parts: int | None = None) -> DataFrame:
+    """(source, s): the suffixes of each text of ``suffixes`` (source, doc_id, suffixes) and the three after it in its source, in order of doc_id.
+
+    Suffixes are written first, as ranges, filters and windows would each work them out again, and so is what windows make of them.
+    """
+    held = stash(suffixes, "suffixes")
+    rows = with_following(held, "source", "doc_id", "suffixes", 3, "after", parts).select("source", F.concat("suffixes", "after").alias("s"))
+    rows = stash(rows, "followed")
+    discard(held)
+    return rows
+
+
+def windows_of(followed: DataFrame) -> DataFrame:
+    """(source, scheme) of each run of four in ``followed`` (source, s)."""
+    return followed.select("source", F.explode(window_schemes(F.col("s"))).alias("scheme"))
+
+
 def scheme_windows(docs: DataFrame, parts: int | None = None, lexicon: DataFrame | None = None) -> DataFrame:
     """(source, scheme): each run of four lines of a source's texts in order of doc_id; runs cross from text to text."""
-    rows = with_following(suffix_docs(docs, lexicon), "source", "doc_id", "suffixes", 3, "after", parts)
-    return rows.select("source", F.explode(window_schemes(F.concat("suffixes", "after"))).alias("scheme"))
+    return windows_of(followed_suffixes(suffix_docs(docs, lexicon), parts))
 
 
-def adjacent_pairs(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """(source, pairs, rhymes): adjacent known suffixes inside every run of four lines of a source, an inner pair up to three times."""
-    rows = with_following(suffix_docs(docs), "source", "doc_id", "suffixes", 3, "after", parts).withColumn("s", F.concat("suffixes", "after"))
+def pairs_of(followed: DataFrame) -> DataFrame:
+    """(source, pairs, rhymes) of ``followed`` (source, s): a pair counts in each run of four that holds it, so by its place, three times at most."""
     n = F.size("s")
-    at = F.when(n >= 4, F.sequence(F.lit(0), n - 4)).otherwise(F.array().cast("array<int>"))
-    pair = lambda i, k: (F.get("s", i + k), F.get("s", i + k + 1))
+    near = F.arrays_zip(F.slice("s", 1, F.greatest(n - 1, F.lit(0))).alias("a"), F.slice("s", 2, F.greatest(n - 1, F.lit(0))).alias("b"))
+    runs = lambda i: F.least(i, n - 4) - F.greatest(i - 2, F.lit(0)) + 1
 
     def count(test):
-        return F.aggregate(F.transform(at, lambda i: sum((F.when(test(*pair(i, k)), 1).otherwise(0) for k in range(3)), F.lit(0))), F.lit(0), lambda s, x: s + x)
+        return F.aggregate(F.transform(near, lambda x, i: F.when(test(x["a"], x["b"]), runs(i)).otherwise(0)), F.lit(0), lambda s, x: s + x)
+
+    known = F.when(n >= 4, count(lambda a, b: a.isNotNull() & b.isNotNull())).otherwise(0)
+    same = F.when(n >= 4, count(lambda a, b: F.coalesce(a == b, F.lit(False)))).otherwise(0)
+    return followed.select("source", known.alias("pairs"), same.alias("rhymes")).groupBy("source").agg(F.sum("pairs").alias("pairs"), F.sum("rhymes").alias("rhymes"))
 
-    known = count(lambda a, b: a.isNotNull() & b.isNotNull())
-    same = count(lambda a, b: F.coalesce(a == b, F.lit(False)))
-    return rows.select("source", known.alias("pairs"), same.alias("rhymes")).groupBy("source").agg(F.sum("pairs").alias("pairs"), F.sum("rhymes").alias("rhymes"))
+
+def adjacent_pairs(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """(source, pairs, rhymes): adjacent known suffixes inside every run of four lines of a source, an inner pair up to three times."""
+    return pairs_of(followed_suffixes(suffix_docs(docs), parts))
 
 
 def artist_starters(docs: DataFrame, most: int = 50) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.phonetics import line_syllables
 from ..functions.scheme import NAMED
+from ..stash import discard, stash
 from . import lines as L
 
 # Words that never sign, and English stop words of four or more letters.
@@ -32,10 +33,19 @@ STOP = (
 ).split()
 
 
+def scheme_counts(windows: DataFrame) -> DataFrame:
+    """(source, scheme, n) of ``windows`` (source, scheme): a few rows a source."""
+    return windows.groupBy("source", "scheme").agg(F.count("*").alias("n"))
+
+
 def scheme_profile(docs: DataFrame, parts: int | None = None, lexicon: DataFrame | None = None) -> DataFrame:
     """(source, dominant_scheme, both confidences, window counts): ties go to the first of AABB, ABAB, ABBA, AAAA."""
-    n = L.scheme_windows(docs, parts, lexicon).groupBy("source").agg(
-        F.sum(F.when(F.col("scheme") != "unknown", 1).otherwise(0)).cast("long").alias("scheme_window_count"), *[F.sum(F.when(F.col("scheme") == s, 1).otherwise(0)).cast("long").alias(s) for s in NAMED]
+    return _scheme_profile(scheme_counts(L.scheme_windows(docs, parts, lexicon)))
+
+
+def _scheme_profile(counts: DataFrame) -> DataFrame:
+    n = counts.groupBy("source").agg(
+        F.sum(F.when(F.col("scheme") != "unknown", F.col("n")).otherwise(0)).cast("long").alias("scheme_window_count"), *[F.sum(F.when(F.col("scheme") == s, F.col("n")).otherwise(0)).cast("long").alias(s) for s in NAMED]
     )
     named = sum((F.col(s) for s in NAMED), F.lit(0))
     top = F.greatest(*NAMED)
@@ -48,13 +58,20 @@ def scheme_profile(docs: DataFrame, parts: int | None = None, lexicon: DataFrame
 
 def scheme_distribution(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """(source, scheme, n, share) of classified windows."""
-    n = L.scheme_windows(docs, parts).where("scheme <> 'unknown'").groupBy("source", "scheme").agg(F.count("*").alias("n"))
-    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("source")), 3))
+    return _scheme_distribution(scheme_counts(L.scheme_windows(docs, parts)))
+
+
+def _scheme_distribution(counts: DataFrame) -> DataFrame:
+    return counts.where("scheme <> 'unknown'").withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("source")), 3))
 
 
 def line_statistics(docs: DataFrame) -> DataFrame:
     """(source, total_lines, avg_syllables, syllable_stddev, avg_line_length_chars, contraction_rate)."""
-    rows = L.line_table(docs.where(F.length("text") >= 50), text.style_lines(F.col("text")), "source")
+    return _line_statistics(docs.where(F.length("text") >= 50).select("source", text.style_lines(F.col("text")).alias("lines")))
+
+
+def _line_statistics(cut: DataFrame) -> DataFrame:
+    rows = cut.select("source", F.explode("lines").alias("line"))
     syl = F.nullif(line_syllables(F.col("line")), F.lit(0))
     rows = rows.select("source", syl.alias("s"), F.length("line").alias("c"), F.size(text.words(F.col("line"))).alias("w"), F.regexp_count("line", F.lit(text.CONTRACTION)).alias("k"))
     return rows.groupBy("source").agg(
@@ -69,13 +86,19 @@ def line_statistics(docs: DataFrame) -> DataFrame:
 def signature_words(docs: DataFrame, top: int = 30, features: int = 10_000) -> DataFrame:
     """(source, rank, word, score): sublinear TF-IDF with sources as documents; ties by word.
 
-    Words of four or more letters that at least two and at most half of the sources use; of those, the most frequent ``features``.
+    Words of four or more letters that at least two and at most half of the sources use; of those, the most frequent ``features``. Texts
+    are cut once; the counts of each source's words, which several steps read, are written.
     """
-    rows = docs.where(F.length("text") >= 50)
-    tokens = F.regexp_extract_all(F.lower(F.array_join(text.style_lines(F.col("text")), " ")), F.lit(r"[\p{L}\p{N}_]+"), 0)
-    rows = rows.select("source", F.explode(F.filter(tokens, lambda w: w.rlike("^[a-z]{4,}$"))).alias("word"))
-    tf = rows.groupBy("source", "word").agg(F.count("*").alias("tf")).where(~F.col("word").isin(STOP))
-    sources = docs.where((F.length("text") >= 50) & (F.size(text.style_lines(F.col("text"))) > 0)).agg(F.countDistinct("source").alias("all"))
+    return _signature_words(docs.where(F.length("text") >= 50).select("source", text.style_lines(F.col("text")).alias("lines")), top, features)
+
+
+def _signature_words(cut: DataFrame, top: int, features: int) -> DataFrame:
+    tokens = F.regexp_extract_all(F.lower(F.array_join("lines", " ")), F.lit(r"[\p{L}\p{N}_]+"), 0)
+    # beside the words a null for each text that holds a line: its source counts
+    marked = F.concat(F.filter(tokens, lambda w: w.rlike("^[a-z]{4,}$")), F.when(F.size("lines") > 0, F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")))
+    counted = stash(cut.select("source", F.explode(marked).alias("word")).groupBy("source", "word").agg(F.count("*").alias("tf")), "words")
+    tf = counted.where(F.col("word").isNotNull() & ~F.col("word").isin(STOP))
+    sources = counted.where("word is null").agg(F.countDistinct("source").alias("all"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).join(F.broadcast(sources)).where("df >= 2 and df <= 0.5 * all")
     df = df.orderBy(F.desc("total"), "word").limit(features)
     scored = tf.join(F.broadcast(df), "word")  # at most ``features`` rows
@@ -87,9 +110,15 @@ def signature_words(docs: DataFrame, top: int = 30, features: int = 10_000) -> D
 
 
 def style_profiles(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """All profile fields of each source."""
-    out = line_statistics(docs).join(scheme_profile(docs, parts), "source", "left")
-    dist = scheme_distribution(docs, parts).groupBy("source").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("scheme", "share")))).alias("scheme_distribution"))
-    pairs = L.adjacent_pairs(docs, parts).select("source", F.coalesce(F.round(F.try_divide("rhymes", "pairs"), 3), F.lit(0.0)).alias("rhyme_density"))
-    sign = signature_words(docs).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("rank", "word"))).alias("x")).select("source", F.col("x.word").alias("signature_words"))
+    """All profile fields of each source; texts are cut into lines once, and suffixes meet those that follow once."""
+    cut = L.style_texts(docs)
+    followed = L.followed_suffixes(cut.select("source", "doc_id", L.line_suffixes(F.col("lines")).alias("suffixes")), parts)
+    counts = stash(scheme_counts(L.windows_of(followed)), "schemes")
+    pairs = stash(L.pairs_of(followed).select("source", F.coalesce(F.round(F.try_divide("rhymes", "pairs"), 3), F.lit(0.0)).alias("rhyme_density")), "pairs")
+    discard(followed)
+    out = stash(_line_statistics(cut), "statistics")
+    sign = _signature_words(cut, 30, 10_000).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("rank", "word"))).alias("x")).select("source", F.col("x.word").alias("signature_words"))
+    discard(cut)  # read: counts of words are written
+    dist = _scheme_distribution(counts).groupBy("source").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("scheme", "share")))).alias("scheme_distribution"))
+    out = out.join(_scheme_profile(counts), "source", "left")
     return out.join(dist, "source", "left").join(pairs, "source", "left").join(sign, "source", "left")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strophe.config import Config
 from strophe.functions import phonetics, reports, scheme, text
-from strophe.operators import augment, lines, merges, originality, quality, retrieval, sequences, tokenizers, vector_index
+from strophe.operators import augment, lines, merges, originality, profiles, quality, retrieval, sequences, tokenizers, vector_index
 from strophe.operators.following import numbered, numbered_values, with_following
 from strophe.plans import queries
 from strophe.sources import corpora, runs
@@ -509,6 +509,22 @@ def test_walk_of_open_words(spark):
     assert {(r.suffix, r.n_words, tuple(r.tokens)) for r in most.collect()} == {("x", 2, (3, 9)), ("y", 1, (9,))}
 
 
+def test_profiles_cut_texts_once(spark, tmp_path):
+    """Each text is read and cut in one job that writes; what the result still reads is made of that."""
+    r = random.Random(1)
+    texts = [(i, "ab"[i % 2], "\n".join(" ".join(r.choice(["cat", "hat", "code", "rode", "42", "sky"]) for _ in range(4)) for _ in range(r.randrange(9)))) for i in range(30)]
+    spark.createDataFrame(texts, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/texts")
+    d = spark.read.parquet(f"{tmp_path}/texts")
+    for got in (profiles.style_profiles(d), profiles.scheme_profile(d), lines.adjacent_pairs(d), profiles.signature_words(d)):
+        assert f"{tmp_path}/texts" not in got._jdf.queryExecution().toString() and got.count() >= 0
+    arrays = [[r.choice(["x", "y", None]) for _ in range(n)] for n in range(12)]
+    got = lines.pairs_of(spark.createDataFrame([(str(i), a) for i, a in enumerate(arrays)], "source string, s array<string>")).collect()
+    for x in got:
+        a = arrays[int(x.source)]
+        pairs = [(a[i + k], a[i + k + 1]) for i in range(len(a) - 3) for k in range(3)]
+        assert (x.pairs, x.rhymes) == (sum(None not in p for p in pairs), sum(p[0] is not None and p[0] == p[1] for p in pairs))
+
+
 def test_mixed_draws(spark):
     steps = spark.createDataFrame([(i,) for i in range(3000)] + [(None,), (7,)], "step int")
     a, b = spark.createDataFrame([(10 * i,) for i in range(5)] + [(None,)], "a long"), spark.createDataFrame([(i,) for i in range(100, 140)], "b int")
