@@ -27,8 +27,8 @@ from .words import slices
 
 PER_LANGUAGE = 200
 ROUNDS = 3
-#: Words kept by one Python worker.
-KEPT = 200_000
+#: Words kept by one Python worker, and new words scored at once.
+KEPT, AT_ONCE = 200_000, 4096
 _STRETCH = 48
 _LETTERS = re.compile(r"[^\W\d_]+")  # with numerals that are no decimal digits, which _spoken leaves out
 _FLOOR = 1e-9
@@ -143,7 +143,7 @@ class Model:
         new = [w for w in set().union(*found) if w not in known]
         if new:
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self.rows = np.concatenate([self.rows, self.words(new)])
+            self.rows = np.concatenate([self.rows, *(self.words(new[i : i + AT_ONCE]) for i in range(0, len(new), AT_ONCE))])
         out = []
         for words in found:
             if not words:
@@ -192,7 +192,7 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray, path: str
             _LOADED[name] = Model([p for p, _ in pieces(path)], *model.value) if model.value[0] else Model([], [], np.zeros((0, 0)))
         m = _LOADED[name]
         for whole in batches:
-            for batch in slices(whole, most=1_000_000):
+            for batch in slices(whole, most=250_000):
                 got = m.texts(batch["text"].to_pylist())
                 yield pa.record_batch([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*batch.schema.names, *names])
 

@@ -414,6 +414,18 @@ def test_language(rows, docs, none):
     assert {r.lang_pred for r in language.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_scores_few_words_at_a_time(monkeypatch):
+    """What a worker holds while it scores new words doesn't grow with the texts of a batch."""
+    vocabulary = ["▁", *"abcdefghij", "▁ab"]
+    table = np.full((len(vocabulary), 2), 0.05)
+    m, sizes, plain = language.Model(vocabulary, ["x", "y"], table), [], language.Model.words
+    monkeypatch.setattr(language.Model, "words", lambda self, words: sizes.append(len(words)) or plain(self, words))
+    text = " ".join("".join("abcdefghij"[int(c)] for c in str(i)) for i in range(10_000))
+    whole = plain(m, sorted(set(text.split())))
+    assert m.texts([text])[0][0] == "y" and max(sizes) <= 4096 and sum(sizes) == 10_000
+    assert np.allclose(m.rows[[m.known[w] for w in sorted(set(text.split()))]], whole)
+
+
 def test_language_sums_all_segmentations():
     vocab = ["▁", "a", "b", "ab", "▁a", "ba"]
     table = np.array([[0.2, 0.1], [0.2, 0.3], [0.2, 0.1], [0.1, 0.2], [0.2, 0.2], [0.1, 0.1]])
