@@ -197,6 +197,23 @@ def test_tokenizers(spark):
     assert trie["a"] == (["n", "t"], False) and trie["an"] == (["t"], True)
 
 
+def test_characters_there_and_back(spark):
+    texts = ["a\u00e9\U0001f600b", "", None, "\u4e2d\n a", "\U0001f600"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    v = tokenizers.char_vocab(d)
+    assert [(r.char, r.id) for r in v.orderBy("id").collect()] == [(c, i) for i, c in enumerate(sorted(set("".join(t or "" for t in texts))))]
+    ids = {r.char: r.id for r in v.collect()}
+    coded = tokenizers.char_encode(d, v, "doc_id")
+    assert {r.doc_id: r.tokens for r in coded.collect()} == {i: None if t is None else [ids[c] for c in t] for i, t in enumerate(texts)}
+    assert {r.doc_id: r.text for r in tokenizers.char_decode(coded, v, "doc_id").collect()} == dict(enumerate(texts))
+    odd = spark.createDataFrame([(1, [0, None, 99, -1])], "doc_id long, tokens array<long>")
+    assert tokenizers.char_decode(odd, v, "doc_id").first().text == "\n???"
+    plans = [coded._jdf.queryExecution().toString(), tokenizers.char_decode(coded, v, "doc_id")._jdf.queryExecution().toString()]
+    assert not any("split(" in p or "lambda" in p for p in plans)  # no array of characters
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        tokenizers.char_encode(spark.createDataFrame([(1, "z")], "doc_id long, text string"), v, "doc_id").collect()
+
+
 def one_by_one(words, most):
     """Merges one after another, all pairs counted anew each time."""
     words, done = [(list(w), n) for w, n in words], []
