@@ -16,6 +16,12 @@ def line_table(docs: DataFrame, lines: Column, *keep: str) -> DataFrame:
     return docs.select(*keep, F.posexplode(lines).alias("line_no", "line"))
 
 
+def once(docs: DataFrame, new: Column, *keep: str, name: str = "text") -> DataFrame:
+    """(keep..., name): ``new`` of each row, worked out once where conditions on it follow: a filter is pushed below a projection and
+    works it out again, but not below an explosion."""
+    return docs.select(*keep, F.explode_outer(F.array(new)).alias(name))
+
+
 def line_suffixes(lines: Column) -> Column:
     """Rhyme suffix of each line of an array, by spelling."""
     return F.transform(lines, lambda x: phonetics.spelled_suffix(text.end_word(x)))
