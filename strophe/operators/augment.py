@@ -11,6 +11,7 @@ from ..functions import text
 from ..functions.draws import keyed
 from ..stash import stash
 from .following import numbered
+from .lines import once
 
 #: A small default table (word, replacements); pass another (see ``read_synonyms``) to swap more.
 SYNONYMS = {"the": ["this", "that"], "of": ["from"], "and": ["plus"], "is": ["stays"], "to": ["toward"]}
@@ -21,7 +22,7 @@ def shuffled_blocks(docs: DataFrame, *keep: str, block: int = 4, seed: int = 0,
 
     Texts of under ``block`` lines or without change leave, or stay as they are where not only the ``changed`` ones are asked for.
     """
-    rows = docs.select(*keep, "text", text.stripped_lines(F.col("text"), fed_only=True).alias("lines"))
+    rows = once(docs, text.stripped_lines(F.col("text"), fed_only=True), *keep, "text", name="lines")
     full = F.floor(F.size("lines") / block) * block
 
     def key(x: Column, i: Column) -> Column:
@@ -29,7 +30,7 @@ def shuffled_blocks(docs: DataFrame, *keep: str, block: int = 4, seed: int = 0,
         return F.struct(F.floor(i / block).alias("b"), order.alias("o"), x.alias("x"))
 
     new = F.transform(F.array_sort(F.transform("lines", key)), lambda s: s["x"])
-    rows = rows.withColumn("new", new).withColumn("other", (F.size("lines") >= block) & (F.col("new") != F.col("lines")))
+    rows = once(rows, new, *keep, "text", "lines", name="new").withColumn("other", (F.size("lines") >= block) & (F.col("new") != F.col("lines")))
     rows = rows.where("other") if changed else rows
     return rows.select(*keep, F.when(F.col("other"), F.array_join("new", "\n")).otherwise(F.col("text")).alias("text"))
 
@@ -82,7 +83,7 @@ def swapped_synonyms(docs: DataFrame, *keep: str, table: dict[str, list[str]] |
         new = F.when(x.rlike("^[A-Z]"), F.concat(F.upper(F.substring(new, 1, 1)), F.substr(new, F.lit(2)))).otherwise(new)
         return F.when(options.isNotNull(), F.when(h < int(share * 1_000_000), new).otherwise(x)).otherwise(x)
 
-    out = docs.where(F.col("text").isNotNull()).select(*keep, "text", F.array_join(F.transform(parts, swap), "").alias("new"))
+    out = once(docs.where(F.col("text").isNotNull()), F.array_join(F.transform(parts, swap), ""), *keep, "text", name="new")
     return out.where("new <> text").select(*keep, F.col("new").alias("text"))
 
 
@@ -93,14 +94,14 @@ def augmented(docs: DataFrame, group: str = "source", order: str = "doc_id", mul
     draws for each text of the target have failed; then, where that falls short, swapped and shuffled ones (5). Draws pick a group
     each; those of groups that can't be recombined fail, and count. Texts without lines leave first.
     """
-    rows = docs.select(order, group, "text").where(F.size(text.stripped_lines(F.coalesce("text", F.lit("")), fed_only=True)) > 0)
+    rows = docs.select(order, group, "text").where(text.strip(F.coalesce("text", F.lit(""))) != "")
     rows = stash(rows, "originals")
 
     def part(n: int, df: DataFrame) -> DataFrame:
         return df.select(F.lit(n).alias("pass_no"), group, F.col(order).cast("long").alias("_o"), "text")
 
     parts = [part(0, rows), part(1, shuffled_blocks(rows, order, group, seed=seed)), part(2, swapped_synonyms(rows, order, group, table=table, seed=seed))]
-    parts.append(part(3, rows.select(order, group, text.bar_split(F.col("text")).alias("text")).where("text is not null")))
+    parts.append(part(3, once(rows, text.bar_split(F.col("text")), order, group).where("text is not null")))
     done = stash(reduce(DataFrame.unionByName, parts), "passes")
     n = rows.count()
     short = n * multiplier - done.count()
