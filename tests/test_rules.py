@@ -229,6 +229,19 @@ def test_bars_are_split_once(spark, tmp_path):
     assert times(out, "cause") == [1]
 
 
+def test_augmented_texts_are_worked_out_once(spark):
+    d = spark.createDataFrame([(1, "s", "the a\nb\nc\nd of it")], "doc_id long, source string, text string")
+    assert times(augment.swapped_synonyms(d, "doc_id"), "regexp_extract_all") == [1]
+    assert times(augment.shuffled_blocks(d, "doc_id"), "array_sort(", "split(") == [1, 1]
+
+
+def test_completions_cut_texts_once(spark, tmp_path):
+    spark.createDataFrame([(1, "low new  Blow\tnew"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.QUERIES["rhyme_completion_tokens"](spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == [("ew", 1, "5"), ("ow", 2, "5")]
+    assert "documents.parquet" not in out._jdf.queryExecution().toString()  # words are written, then read
+
+
 def test_pages_are_cleaned_once(spark, tmp_path):
     noise = ["You might also like this", "Get tickets as low as 5", "See them Live", "007", "3Embed", "2 Contributors", "[Verse]", "--", "12"]
     kept = ["See them", "Live See", "Embedded", "7 up", "é", "the last line " * 10]
