@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strophe.llm import decontaminate, language, lines, mixture
+from strophe.llm.copies import near_copies
 from strophe.llm.ngram_join import SMALL, ngram_join
 from strophe.llm.stash import stash
 from strophe.session import ship
@@ -35,7 +36,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole, gone = "_whole" + "_" * len(docs.columns), "_gone" + "_" * len(docs.columns)
     bad = lines.boilerplate(docs, "source", "text")
     held = lines.line_dedup(docs.withColumn(whole, F.col("text")), "source", "text", dropped=gone, bad=bad).where(F.col(gone) > 0)
-    groups = stash(ngram_join(held.select("doc_id", F.col(whole).alias("text"))).select("doc_id", "component_id"), "groups")
+    groups = near_copies(held, "doc_id", whole)
     bad = lines.boilerplate(docs, "source", "text", id="doc_id", groups=groups, among=bad)
     out = lines.line_dedup(docs, "source", "text", bad=bad)
     if "n_chars" in docs.columns:

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -350,7 +350,7 @@ def _spanning_links(left: pa.Table, right: pa.Table | None = None) -> pa.Table:
 
 
 def _spanning(member: DataFrame) -> DataFrame:
-    """(a, b): links by which members (grp, node, comp, n, and point or items) of a group join components.
+    """(a, b): links by which members (grp, node, comp, n, and point or items; read several times) of a group join components.
 
     A task takes at most about PART bytes or TREE members of a group. A larger group is first joined within parts by hash. Of what is
     then still apart, each large component is cut by hash and the small ones by size, and two parts meet where their sizes can and
@@ -400,7 +400,7 @@ def _between(docs: DataFrame, points: DataFrame, pairs: DataFrame, large: DataFr
     An R-tree of each block that holds several components tells by points alone which may join; so do the pairs. Components that may
     join form clusters, a node lies in one cluster only, and so each node's whole set travels once, to be compared inside its cluster.
     """
-    member = large.select("key", "node").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    member = large.select("key", "node", F.col("n").cast("long").alias("n")).join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     member = stash(member.join(mixed, "key", "left_semi"), "members")
     rx, ry = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
@@ -408,16 +408,20 @@ def _between(docs: DataFrame, points: DataFrame, pairs: DataFrame, large: DataFr
     apart = stash(apart.where("x <> y"), "apart")
     if not member.head(1) and not apart.head(1):
         return apart.select("a", "b")
-    at = points.where("node is not null").groupBy("node").agg(F.first("point").alias("point"), F.first("n").alias("n"))
+    at = points.where("node is not null").groupBy("node").agg(F.first("point").alias("point"))
     at = stash(at.join(member.select("node").distinct(), "node", "left_semi"), "points")
-    may = _spanning(member.withColumnRenamed("key", "grp").join(at, "node"))
+    wide = stash(member.withColumnRenamed("key", "grp").join(at, "node"), "wide")
+    may = _spanning(wide)
+    discard(wide)
     nodes = member.select("node", "comp").unionByName(apart.select(F.col("a").alias("node"), F.col("x").alias("comp"))).unionByName(apart.select(F.col("b").alias("node"), F.col("y").alias("comp")))
     nodes = stash(nodes.distinct(), "nodes")
     x, y = (nodes.select(F.col("node").alias(c), F.col("comp").alias(d)) for c, d in ("ax", "by"))
     cluster = components(may.join(x, "a").join(y, "b").select("x", "y").unionByName(apart.select("x", "y")).toDF("a", "b"))
     nodes = stash(nodes.join(cluster.select(F.col("node").alias("comp"), F.col("root").alias("grp")), "comp"), "nodes")
     sets = _whole_sets(docs, points, nodes.select("node"), size)
-    found = _spanning(nodes.join(sets, "node").withColumn("n", F.size("items").cast("long")))
+    wide = stash(nodes.join(sets, "node").withColumn("n", F.size("items").cast("long")), "wide")
+    found = _spanning(wide)
+    discard(wide)
     discard(member, apart, at, may, nodes, sets, cluster)
     return found
 
@@ -439,7 +443,12 @@ def links(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     pairs = pairs.where("shared + least(ha, hb) >= 1 + least(na, nb) div 20").select("a", "b", "na", "nb")
     pairs = stash(_bounded(pairs, points), "candidates")
     stuck = held.where("h > n div 25").select("node")
-    large = stash(members.join(stuck, "node", "left_semi"), "stuck")
+    large = members.join(stuck, "node", "left_semi")
+    # two stuck sets that meet share over n div 25 blocks, so each may leave that many, the largest, and still meets the other in the smallest one
+    order = Window.partitionBy("node").orderBy(F.desc("members"), "key")
+    often = large.groupBy("key").agg(F.count("*").alias("members"))
+    large = large.join(often, "key").withColumn("at", F.row_number().over(order)).where("at > n div 25").select("key", "node", "n")
+    large = stash(large, "stuck")
     # first a link for each set to its least neighbour; most groups of copies are whole after it
     lead = large.groupBy("key").agg(F.min("node").alias("b"))
     first = large.join(lead, "key").groupBy(F.col("node").alias("a")).agg(F.min("b").alias("b")).where("a <> b")

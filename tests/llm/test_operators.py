@@ -584,3 +584,21 @@ def test_markov_accuracy():
     hit = sum(len(secrets.spans("".join(r.choice(list(secrets._ALPHABETS[4]), 24)), ratio)[1]) > 0 for _ in range(300))
     miss = sum(len(secrets.spans("".join(r.choice(prose(300, "en", 5).split(), 4)), ratio)[1]) > 0 for _ in range(300))
     assert hit >= 285 and miss <= 6
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_components_of_a_chain(spark, monkeypatch, local):
+    from strophe.llm import graph
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(300, 200), (300, 201), (400, 400), (200, 300)], "a long, b long").repartition(5)
+    expected = {(i, 0) for i in range(101)} | {(i, 200) for i in (200, 201, 300)}
+    assert {(r.node, r.root) for r in graph.components(edges, local=local).collect()} == expected
+    monkeypatch.setattr(graph, "CHUNK", 0)
+    assert {(r.node, r.root) for r in graph.components(edges, local=local).collect()} == expected
+
+
+def test_few_edges_settle_in_one_round(spark):
+    from strophe.llm.graph import components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long").repartition(5)
+    assert components(edges, rounds=1).where("root = 0").count() == 101

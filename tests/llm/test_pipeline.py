@@ -53,3 +53,29 @@ def test_line_stage_drops_lines_of_few_pages(spark):
     pages = [("s", f"{_own(i)}\nAll rights reserved." if i % 33 == 0 else _own(i)) for i in range(300)]
     got = _pages(spark, pages)
     assert got == {i: _own(i) for i in range(300)}
+
+
+def test_line_stage_is_dataframe_operations_only(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    def python(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", python)
+    monkeypatch.setattr(DataFrame, "mapInPandas", python)
+    near = [_own("near").replace("own line 3", f"changed {i}") for i in range(20)]
+    pages = [("s", _own(i)) for i in range(40)] + [("s", t) for t in near]
+    assert _pages(spark, pages) == {i: t for i, (_, t) in enumerate(pages)}
+
+
+def test_near_copies_in_dataframe_functions(spark):
+    from strophe.llm.copies import near_copies
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(100001, None), (100002, " \n"), (100003, "One two"), (100004, "one  TWO"), (100005, "two one")], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(odd)
+    found = {r.id: r.group for r in near_copies(docs, "doc_id", "text").collect()}
+    exact = {r.doc_id: r.component_id for r in ngram_join(docs).collect() if r.n_shingles}
+    assert found.keys() == exact.keys()
+    for a, b in ((found, exact), (exact, found)):
+        assert len({(a[i], b[i]) for i in a}) == len(set(a.values()))
