@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..stash import stash
-from .tokenizers import characters
+from .tokenizers import _codes, characters
 
 SIMILAR = 0.85
+#: Counts of substrings by hash that order them, rarest first.
+BUCKETS = 65_536
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Finalise 64-bit hashes so that all bits depend on all bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def training_lines(corpus: DataFrame) -> DataFrame:
@@ -28,23 +39,63 @@ def copied_lines(docs: DataFrame, corpus: DataFrame, *keep: str) -> DataFrame:
     return probe_lines(docs, *keep).join(training_lines(corpus), "line", "left_semi").select(*keep, "line_no", "line")
 
 
+def _grams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct substrings of ``n`` characters of each text, in that order."""
+    codes, lengths = _codes(texts)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.arange(max(len(codes) - n + 1, 0))
+    at = at[row[at] == row[at + n - 1]]
+    h = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        h = mix(h + codes[at + k].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    row, order = row[at], np.lexsort((h, row[at]))
+    row, h = row[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+    return row[new], h[new]
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(BUCKETS)).astype(np.int64)
+
+
 def gram_counts(texts: DataFrame, column: str, n: int = 5) -> DataFrame:
-    """(gram, freq): in how many rows each substring of ``n`` characters occurs."""
-    return texts.select(F.explode(F.array_distinct(text.char_ngrams(F.col(column), n))).alias("gram")).groupBy("gram").agg(F.count("*").alias("freq"))
+    """(bucket, freq): how often substrings of ``n`` characters of each bucket occur, each counted once a row; at most BUCKETS rows."""
+
+    def run(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            total += np.bincount(_bucket(_grams(batch.column(0), n)[1]), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], ["bucket", "freq"])
+
+    return texts.select(column).mapInArrow(run, "bucket long, freq long").groupBy("bucket").agg(F.sum("freq").alias("freq"))
 
 
 def gram_prefixes(texts: DataFrame, column: str, freq: DataFrame, similar: float, n: int = 5) -> DataFrame:
-    """(h, size, gram): of each distinct text, named by its 64-bit hash, the first ``size - ceil(similar * size) + 1`` substrings, rarest in ``freq`` first.
+    """(h, size, gram): of each text, named by its 64-bit hash, the first ``size - ceil(similar * size) + 1`` substrings, those of the rarest
+    buckets in ``freq`` first. Substrings are 64-bit hashes. Rows that repeat a text repeat its rows.
 
-    Two texts above ``similar`` share one of them. Substrings that ``freq`` lacks come first of all and have no row, as nothing shares
-    them; a text with enough of those has no row at all.
+    Two texts above ``similar`` share one of them, whatever the order is, so buckets lose nothing and no substring travels to be ordered.
+    Substrings of buckets that ``freq`` lacks come first of all and have no row, as nothing shares them; a text with enough of those has no row at all.
     """
-    grams = texts.select(F.xxhash64(column).alias("h"), F.array_distinct(text.char_ngrams(F.col(column), n)).alias("_g")).where(F.size("_g") > 0)
-    rows = grams.select("h", F.size("_g").alias("size"), F.explode("_g").alias("gram")).join(freq, "gram")
-    keep = (F.col("size") - F.ceil(F.lit(similar) * F.col("size")) + 1).cast("int")
-    rows = rows.groupBy("h", "size").agg(F.sort_array(F.collect_list(F.struct("freq", "gram"))).alias("_m"))
-    left = keep - (F.col("size") - F.size("_m"))
-    return rows.where(left > 0).select("h", "size", F.explode(F.slice("_m", 1, left)).alias("_x")).select("h", "size", F.col("_x.gram").alias("gram"))
+    weight = np.zeros(BUCKETS, np.int64)
+    for r in freq.collect():  # BUCKETS rows at most
+        weight[r.bucket] = r.freq
+
+    def run(batches):
+        for batch in batches:
+            row, h = _grams(batch.column(1), n)
+            w = weight[_bucket(h)]
+            order = np.lexsort((h, w, row))
+            row, h, w = row[order], h[order], w[order]
+            size = np.bincount(row, minlength=len(batch))
+            place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+            keep = (place < (size - np.ceil(similar * size) + 1)[row]) & (w > 0)
+            name = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.record_batch([pa.array(name[row[keep]]), pa.array(size[row[keep]], pa.int32()), pa.array(h[keep].view(np.int64))], ["h", "size", "gram"])
+
+    return texts.select(F.xxhash64(column).alias("h"), column).mapInArrow(run, "h long, size int, gram long")
 
 
 def near_copies(docs: DataFrame, corpus: DataFrame, similar: float = SIMILAR) -> DataFrame:

@@ -663,3 +663,16 @@ def test_indexed_search_is_exact_and_skips_clusters(spark, tmp_path, monkeypatch
     assert rows_of(vector_index.search_index(held, clusters, q.limit(0), 5)[0]) == []
     few = vector_index.search_index(held, clusters, q.limit(1), 1000)[0]
     assert few.count() == fine.count()
+
+
+def test_gram_prefixes_order_substrings_where_the_text_is(spark):
+    texts = spark.createDataFrame([("abcdefgh",), ("abcdefgx",), ("",), (None,), ("abcd",), ("\U0001F600bcdef",), ("zzzzzz",)], "line string").repartition(3)
+    freq = originality.gram_counts(texts, "line")
+    rows = originality.gram_prefixes(texts, "line", freq, 0.5)
+    assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+    sizes = {r.line: r.h for r in texts.select("line", F.xxhash64("line").alias("h")).collect()}
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r.h, []).append((r["size"], r.gram))
+    assert {k: (got[h][0][0], len(set(got[h]))) for k, h in sizes.items() if h in got} == {"abcdefgh": (4, 3), "abcdefgx": (4, 3), "\U0001F600bcdef": (2, 2), "zzzzzz": (1, 1)}
+    assert freq.agg(F.sum("freq")).first()[0] == 11
