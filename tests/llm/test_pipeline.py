@@ -79,3 +79,31 @@ def test_near_copies_in_dataframe_functions(spark):
     assert found.keys() == exact.keys()
     for a, b in ((found, exact), (exact, found)):
         assert len({(a[i], b[i]) for i in a}) == len(set(a.values()))
+
+
+def test_near_copies_sends_whole_sets_only_where_heads_allow(spark, monkeypatch):
+    import random
+
+    from strophe.llm import copies
+
+    rng = random.Random(5)
+    shared = [" ".join(f"s{k}_{i}" for i in range(12)) for k in range(3)]
+    texts = []
+    for i in range(60):  # pages that share a passage, and near copies of every likeness
+        own = [f"w{rng.randrange(10**6)}" for _ in range(40 + i)]
+        texts.append(f"{shared[i % 3]} {' '.join(own)}")
+        if i % 4 == 0:
+            for cut in (1, 2, 4, 8):
+                texts.append(f"{shared[i % 3]} {' '.join([f'x{cut}'] * cut + own[cut:])}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    written, stash = {}, copies.stash
+    monkeypatch.setattr(copies, "stash", lambda df, name: written.setdefault(name, stash(df, name)))
+    monkeypatch.setattr(copies, "discard", lambda *frames: None)
+    found = {r.id: r.group for r in copies.near_copies(docs, "doc_id", "text").collect()}
+    sets = {r.node: set(r["items"]) for r in written["sets"].collect()}
+    pairs = {tuple(r) for r in written["pairs"].collect()}
+    alike = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    possible = {tuple(r) for r in written["possible"].collect()}
+    assert alike and {tuple(r) for r in written["edges"].collect()} == alike <= possible
+    assert len(possible) < len(pairs) / 2
+    assert found == {r.id: r.group for r in copies.near_copies(docs, "doc_id", "text", small=0).collect()}
