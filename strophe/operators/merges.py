@@ -1,6 +1,6 @@
 """Byte-pair merges learned from counted words that stay on the executors; the driver sees pairs and their counts only.
 
-A pass guesses the next merges, applies them in the guessed order to all words and sums by how much each one changed which pair. From the counts
+A pass guesses the next merges from a bounded sample of the words, which only steers the guesses, applies them in the guessed order to all words and sums by how much each one changed which pair. From the counts
 before and these changes the driver knows the exact counts after any of them, and follows the true order, the most frequent pair each time:
 a guess that comes too early is put off, by splitting its token again in the counts, which is exact as long as no merge that was
 taken shares a token with it; a pair that wasn't guessed, or shares a token with one put off, ends the pass. The first guess is always right.
@@ -19,10 +19,15 @@ from pyspark.sql import functions as F
 from ..stash import discard, stash
 
 #: Merges guessed in a pass; merges that are applied anew each pass before the words are written with them.
-AHEAD = 64
+AHEAD = 128
 KEEP = 64
+#: Words of each half of the sample (the most frequent ones, and others by hash), and their longest.
+SAMPLE = 10_000
+LONGEST = 64
+#: Codes of pairs up to which a table tells which ones are watched.
+TABLE = 1 << 22
 #: Tokens of a block of words (a longer word is a block of its own).
-TOKENS = 100_000
+TOKENS = 400_000
 Pair = tuple[str, str]
 _BLOCK = "tokens array<int>, n array<bigint>"
 
@@ -60,6 +65,10 @@ class Block:
         ends = tokens == -1
         self.weight = np.append(counts, 0)[np.cumsum(ends) - 1]
         self.codes = np.array([a * span + b for a, b, _ in watch], np.int64)
+        self.watched = None
+        if span * span <= TABLE:
+            self.watched = np.zeros(span * span, bool)
+            self.watched[self.codes] = True
         self.where: dict[int, list[np.ndarray]] = defaultdict(list)
         self._see(np.flatnonzero(~ends))
 
@@ -72,7 +81,7 @@ class Block:
 
     def _see(self, at: np.ndarray) -> None:
         at, code = self._pairs(at)
-        on = np.isin(code, self.codes)
+        on = np.isin(code, self.codes) if self.watched is None else self.watched[code]
         at, code = at[on], code[on]
         order = np.argsort(code, kind="stable")
         at, code = at[order], code[order]
@@ -80,26 +89,40 @@ class Block:
         for part, c in zip(np.split(at, cuts), code[np.concatenate([[0], cuts])] if len(code) else (), strict=False):
             self.where[int(c)].append(part)
 
-    def merge(self, a: int, b: int, to: int) -> tuple[int, np.ndarray, np.ndarray] | None:
-        """Make each pair (a, b), from the left, one token; (merges, codes, changes) weighted by the words' counts."""
+    def _places(self, a: int, b: int) -> np.ndarray:
+        """Where the pair (a, b) is to become one token, from the left."""
         if (found := self.where.pop(a * self.span + b, None)) is None:
-            return None
-        at = np.unique(np.concatenate(found))
+            return np.empty(0, np.int64)
+        at = np.unique(found[0] if len(found) == 1 else np.concatenate(found))
         at = at[(self.tokens[at] == a) & (self.tokens[self.next[at]] == b)]
         if a == b and len(at):  # runs of one token: every other place from the left
             starts = ~np.isin(self.before[at], at)
             run = np.arange(len(at)) - np.flatnonzero(starts)[np.cumsum(starts) - 1]
             at = at[run % 2 == 0]
-        if not len(at):
-            return None
+        return at
+
+    def _put(self, at: np.ndarray, to: int) -> np.ndarray:
+        """Make the pairs at these places the token ``to``; the places whose pairs are new."""
         second = self.next[at]
-        old, old_code = self._pairs(np.unique(np.concatenate([self.before[at], at, second])))
         after = self.next[second]
         self.tokens[at], self.tokens[second] = to, -2
         self.next[at], self.before[after] = after, at
         near = np.unique(np.concatenate([self.before[at], at]))
-        new, new_code = self._pairs(near)
         self._see(near)
+        return near
+
+    def join(self, a: int, b: int, to: int) -> np.ndarray:
+        """Make each pair (a, b), from the left, one token; the places."""
+        if len(at := self._places(a, b)):
+            self._put(at, to)
+        return at
+
+    def merge(self, a: int, b: int, to: int) -> tuple[int, np.ndarray, np.ndarray] | None:
+        """As ``join``; (merges, codes, changes) weighted by the words' counts."""
+        if not len(at := self._places(a, b)):
+            return None
+        old, old_code = self._pairs(np.unique(np.concatenate([self.before[at], at, self.next[at]])))
+        new, new_code = self._pairs(self._put(at, to))
         codes = np.concatenate([old_code, new_code])
         return int(self.weight[at].sum()), codes, np.concatenate([-self.weight[old], self.weight[new]])
 
@@ -118,7 +141,7 @@ def _applied(watch: list[tuple[int, int, int]], span: int):
         for tokens, counts in _each(batches):
             block = Block(tokens, counts, watch, span)
             for a, b, to in watch:
-                block.merge(a, b, to)
+                block.join(a, b, to)
             yield _block(*block.rows())
 
     return run
@@ -128,28 +151,31 @@ def _changes(watch: list[tuple[int, int, int]], first: int, span: int):
     """(step, left, right, n): what each merge from the ``first`` on changes; left -1: how often it was made."""
 
     def run(batches):
-        total: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
         for tokens, counts in _each(batches):
             block = Block(tokens, counts, watch, span)
             for i, (a, b, to) in enumerate(watch):
-                got = block.merge(a, b, to)
-                if got is None or i < first:
-                    continue
-                made, codes, by = got
-                keys, inverse = np.unique(codes, return_inverse=True)
-                sums = np.zeros(len(keys), np.int64)
-                np.add.at(sums, inverse, by)
-                step = total[i - first]
-                step[-1] += made
-                for k, s in zip(keys.tolist(), sums.tolist(), strict=True):
-                    step[k] += s
-        rows = [(i, k // span if k >= 0 else -1, k % span if k >= 0 else -1, n) for i, step in total.items() for k, n in step.items() if n]
-        if rows:
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["step", "left", "right", "n"])
+                if i < first:
+                    block.join(a, b, to)
+                elif (got := block.merge(a, b, to)) is not None:
+                    made, codes, by = got
+                    found[i - first].append(_summed(np.append(codes, -1), np.append(by, made)))
+        for i, parts in found.items():
+            keys, sums = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            keys, sums = keys[sums != 0], sums[sums != 0]
+            left, right = np.where(keys < 0, -1, keys // span), np.where(keys < 0, -1, keys % span)
+            yield pa.record_batch([pa.array(np.full(len(keys), i), pa.int32()), pa.array(left, pa.int32()), pa.array(right, pa.int32()), pa.array(sums, pa.int64())], ["step", "left", "right", "n"])
 
     return run
 
 
+def _summed(codes: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, inverse = np.unique(codes, return_inverse=True)
+    sums = np.zeros(len(keys), np.int64)
+    np.add.at(sums, inverse, by)
+    return keys, sums
+
+
 def _first(batches):
     """(left, right, n): pairs of the blocks as they are."""
     total: dict[tuple[int, int], int] = defaultdict(int)
@@ -172,31 +198,82 @@ def best(counts: dict[Pair, int]) -> Pair | None:
     return min(p for p, n in counts.items() if n == top) if top > 0 else None
 
 
-def guess(counts: dict[Pair, int], known: set[str], ahead: int = AHEAD) -> list[Pair]:
-    """The next merges as they would be if what a token meets didn't depend on its other side. No later one than one that makes a known string."""
+def _joined(tokens: list[str], left: str, right: str) -> list[str]:
+    out, i = [], 0
+    while i < len(tokens):
+        joins = i + 1 < len(tokens) and tokens[i] == left and tokens[i + 1] == right
+        out.append(left + right if joins else tokens[i])
+        i += 2 if joins else 1
+    return out
+
+
+class Sample:
+    """Weighted words on the driver, a bounded number, from which guesses take what a merge does to the pairs around it."""
+
+    def __init__(self, words: list[tuple[str, int]]):
+        self.tokens, self.weight = [list(w) for w, _ in words], [n for _, n in words]
+        self.where: dict[Pair, set[int]] = defaultdict(set)
+        for i, tokens in enumerate(self.tokens):
+            for p in zip(tokens, tokens[1:]):
+                self.where[p].add(i)
+
+    def apply(self, pair: Pair) -> None:
+        for i in list(self.where.pop(pair, ())):
+            self.tokens[i] = _joined(self.tokens[i], *pair)
+            for p in zip(self.tokens[i], self.tokens[i][1:]):
+                self.where[p].add(i)
+
+    def changes(self, pair: Pair, tokens: dict[int, list[str]], where: dict[Pair, set[int]]) -> tuple[int, dict[Pair, int]]:
+        """(merges, changes of the counts) by ``pair`` where ``tokens`` and ``where`` stand for the words that guesses changed before."""
+        by: dict[Pair, int] = defaultdict(int)
+        for i in self.where.get(pair, set()) | where.get(pair, set()):
+            old, n = tokens.get(i, self.tokens[i]), self.weight[i]
+            new = _joined(old, *pair)
+            if len(new) == len(old):
+                continue
+            tokens[i] = new
+            for p in zip(old, old[1:]):
+                by[p] -= n
+            for p in zip(new, new[1:]):
+                by[p] += n
+                where[p].add(i)
+        return -by.pop(pair, 0), by
+
+
+def sampled(words: DataFrame, size: int = 0) -> Sample:
+    """The most frequent of ``words`` (word, n) and as many others by hash, which stand for all others."""
+    size = size or SAMPLE
+    words = words.where(F.length("word").between(2, LONGEST))
+    top = [(r.word, r.n) for r in words.orderBy(F.desc("n"), "word").limit(size).collect()]
+    if len(top) < size:
+        return Sample(top)
+    rest = words.where(F.col("n") < top[-1][1])
+    each = max(1, rest.count() // size)
+    return Sample(top + [(r.word, r.n * each) for r in rest.where(F.pmod(F.xxhash64("word"), F.lit(each)) == 0).limit(2 * size).collect()])
+
+
+def guess(counts: dict[Pair, int], known: set[str], sample: Sample, ahead: int = AHEAD) -> list[Pair]:
+    """The next merges if the pairs around a merged one change as in the sample, in proportion. No later one than one that makes a known string."""
     top = sorted(counts.values(), reverse=True)[: 8 * ahead]
     floor = top[-1] if top else 0  # rarer ones aren't reached
     now: dict[Pair, float] = {p: n for p, n in counts.items() if n >= floor and n > 0}
     out: list[Pair] = []
     made: set[str] = set()
+    tokens: dict[int, list[str]] = {}
+    where: dict[Pair, set[int]] = defaultdict(set)
     while now and len(out) < ahead:
         pair = min(now, key=lambda p: (-now[p], p))
-        a, b = pair
-        if a + b in known or a + b in made:
+        if pair[0] + pair[1] in known or pair[0] + pair[1] in made:
             return out or [pair]
         if now[pair] <= 0:
             break
         out.append(pair)
-        made.add(a + b)
+        made.add(pair[0] + pair[1])
         n = now.pop(pair)
-        of_a = n / (n + sum(m for p, m in now.items() if p[0] == a))
-        of_b = n / (n + sum(m for p, m in now.items() if p[1] == b))
-        for (x, y), m in list(now.items()):
-            share, to = (of_a, (x, a + b)) if y == a else (of_b, (a + b, y)) if x == b else (0, None)
-            if to:
-                now[x, y] = m * (1 - share)
-                if m * share >= floor / 2:
-                    now[to] = now.get(to, 0) + m * share
+        times, by = sample.changes(pair, tokens, where)
+        for p, m in by.items():
+            if times > 0 and p != pair and (p in now or m > 0):
+                now[p] = now.get(p, counts.get(p, 0)) + m * n / times
     return out
 
 
@@ -258,6 +335,7 @@ def learn(words: DataFrame, chars: list[str], most: int, ahead: int = AHEAD, kee
     rows = blocks.mapInArrow(_first, "left int, right int, n bigint").groupBy("left", "right").agg(F.sum("n").alias("n")).collect()
     counts: dict[Pair, int] = {(names[r.left], names[r.right]): r.n for r in rows}
     span = len(names) + most + ahead + 1
+    sample = sampled(words)
     done: list[Pair] = []
     since: list[tuple[int, int, int]] = []
 
@@ -269,22 +347,25 @@ def learn(words: DataFrame, chars: list[str], most: int, ahead: int = AHEAD, kee
         return number[pair[0]], number[pair[1]], number[text]
 
     while len(done) < most and best(counts):
-        guessed = guess(counts, set(number), min(ahead, most - len(done)))
+        guessed = guess(counts, set(number), sample, min(ahead, most - len(done)))
         held = len(names)
         watch = since + [numbers(p) for p in guessed]
         steps = [Step({}) for _ in guessed]
         got = blocks.mapInArrow(_changes(watch, len(since), span), "step int, left int, right int, n bigint")
-        for r in got.groupBy("step", "left", "right").agg(F.sum("n").alias("n")).collect():
-            if r.left < 0:
-                steps[r.step].made = r.n
-            elif r.n:
-                steps[r.step].changes[names[r.left], names[r.right]] = r.n
+        told = got.groupBy("step", "left", "right").agg(F.sum("n").alias("n")).toArrow()
+        for step, a, b, n in zip(*(c.to_pylist() for c in told.columns), strict=True):
+            if a < 0:
+                steps[step].made = n
+            elif n:
+                steps[step].changes[names[a], names[b]] = n
         new, counts = follow(counts, guessed, steps, most - len(done))
         for name in names[held:]:
             del number[name]
         del names[held:]
         since += [numbers(p) for p in new]
         done += new
+        for p in new:
+            sample.apply(p)
         if len(since) >= keep and len(done) < most:
             before, blocks = blocks, stash(blocks.mapInArrow(_applied(since, span), _BLOCK), "blocks")
             discard(before)

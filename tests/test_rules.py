@@ -329,6 +329,17 @@ def test_bpe_queries_take_documents(spark, tmp_path):
         assert "".join(names[i] for i in r.tokens) == r.text
 
 
+def test_bpe_guesses_follow_the_words(spark, monkeypatch):
+    r = random.Random(8)
+    parts = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(40)]
+    words = Counter("".join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(3000))
+    df = spark.createDataFrame(list(words.items()), "word string, n long")
+    passes, follow = [], merges.follow
+    monkeypatch.setattr(merges, "follow", lambda *a: passes.append(follow(*a)) or passes[-1])
+    assert merges.learn(df, list("abcdefgh"), 60) == one_by_one(words.items(), 60)
+    assert len(passes) <= 6
+
+
 def test_augmentation_keeps_lines(spark):
     d = spark.createDataFrame([(i, "s", "\n".join(f"the line {i} {j} of it" for j in range(20))) for i in range(3)], "doc_id long, source string, text string")
     text_of = {r.doc_id: r.text for r in d.collect()}
