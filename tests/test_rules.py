@@ -329,6 +329,21 @@ def test_bpe_queries_take_documents(spark, tmp_path):
         assert "".join(names[i] for i in r.tokens) == r.text
 
 
+def test_bpe_words_of_a_batch_are_those_one_by_one():
+    r = random.Random(3)
+    words = [" ", "\n", "a", "é?", "aaaaa", "abcab" * 30] + ["".join(r.choice("aabcd?") for _ in range(r.randint(1, 14))) for _ in range(400)]
+    pairs = one_by_one(Counter(words).items(), 30) + [("b", "c"), ("a", "b"), ("a", "bc"), ("ab", "c"), ("abc", "a")]  # strings that two merges make
+    pairs = list(dict.fromkeys(pairs))
+    vocab = {c: i + 1 for i, c in enumerate("abcd \n")}
+    for a, b in pairs:
+        vocab[a + b] = len(vocab) + 1
+    bpe = tokenizers.Bpe([p for p in pairs if "?" not in p[0] + p[1] and "é" not in p[0] + p[1]], vocab)
+    assert bpe._steps is not None and bpe._steps[2]
+    assert bpe.words(words) == [bpe.word(w) for w in words]
+    late = tokenizers.Bpe([("ab", "c"), ("a", "b")], vocab)
+    assert late._steps is None and late.words(["abc", "ab"]) == [late.word("abc"), late.word("ab")]
+
+
 def test_bpe_guesses_follow_the_words(spark, monkeypatch):
     r = random.Random(8)
     parts = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(40)]
