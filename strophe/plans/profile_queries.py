@@ -32,8 +32,9 @@ def style_profiles(spark, sf):
 
 
 def _lexicon(spark, sf) -> DataFrame:
+    """As large as the corpus's vocabulary: words of lines meet it by hash, so that they aren't sorted for it."""
     phones = F.transform(tokenizers.characters(F.col("word")), lambda x: F.concat(F.upper(x), F.when(x.rlike("[aeiouy]"), "1").otherwise("")))
-    return vocabulary(spark, sf).select("word", F.lit(0).alias("variant"), phones.alias("phones"))
+    return vocabulary(spark, sf).select("word", F.lit(0).alias("variant"), phones.alias("phones")).hint("shuffle_hash")
 
 
 def _by_letters(w: str) -> str:

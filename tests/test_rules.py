@@ -344,6 +344,12 @@ def test_bpe_words_of_a_batch_are_those_one_by_one():
     assert late._steps is None and late.words(["abc", "ab"]) == [late.word("abc"), late.word("ab")]
 
 
+@pytest.mark.parametrize("name", ["lexicon_line_syllables", "lexicon_line_suffixes"])
+def test_words_meet_the_corpus_lexicon_unsorted(spark, name):
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_bpe_guesses_follow_the_words(spark, monkeypatch):
     r = random.Random(8)
     parts = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(40)]
