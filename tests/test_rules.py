@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -384,6 +385,36 @@ def test_augmentation_keeps_lines(spark):
     assert sum(r.part == 0 for r in mixed) == 3 and sum(r.part == 1 for r in mixed) <= 3
 
 
+def test_augmentation_writes_no_texts(spark):
+    r = random.Random(7)
+    line = lambda: "the " + " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(5)) + ", of it and more of that"
+    d = spark.createDataFrame([(i, "s", "\n".join(line() for _ in range(24))) for i in range(400)], "doc_id long, source string, text string")
+    size = d.agg(F.sum(F.length("text"))).first()[0]
+    where = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    on_disk = lambda: sum(x.stat().st_size for x in where.rglob("*") if x.is_file())
+    before = on_disk()
+    out = augment.augmented(d)
+    assert Counter(x.pass_no for x in out.select("pass_no").collect()) == dict.fromkeys(range(4), 400)
+    assert on_disk() - before < size / 3
+    assert times(out, "regexp_extract_all") == [1]
+
+
+def test_augmentation_of_repeated_rows(spark):
+    long = lambda n: "\n".join(f"the line {n} {j} of it, and so it goes on" for j in range(16))
+    rows = [(1, "s", long(1)), (1, "s", long(1)), (1, "s|1", long(1)), (1, None, long(1)), (None, "s", long(1)), (1, "s", long(2)), (1, "s", long(2)), (2, "t", long(1)), (None, None, "a"), (None, None, "a")]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = augment.augmented(d, multiplier=6).collect()
+    texts = Counter(r.text for r in out)
+    assert set(texts.values()) == {1} and {r.text for r in out if r.pass_no == 0} == {long(1), long(2), "a"}
+    shuffled = {r.text for r in augment.shuffled_blocks(d, "doc_id", "source").collect()}
+    swapped = {r.text for r in augment.swapped_synonyms(d, "doc_id", "source").collect()}
+    assert {r.text for r in out if r.pass_no == 1} == shuffled and {r.text for r in out if r.pass_no == 2} == swapped
+    assert {r.text for r in out if r.pass_no == 3} == {r.t for r in d.select(text.bar_split(F.col("text")).alias("t")).where("t is not null").collect()}
+    chunks = {"\n".join(x.split("\n")[i : i + 8]) for x in (long(1), long(2)) for i in (0, 8)}
+    mixed = augment.recombined(d, "source", "doc_id", d.select("source").distinct().crossJoin(spark.range(20).toDF("draw"))).collect()
+    assert len(mixed) == 80 and {x for m in mixed for x in ("\n".join(m.text.split("\n")[:8]), "\n".join(m.text.split("\n")[8:]))} <= chunks
+
+
 def test_near_copies_against_brute_force(spark):
     base = "the quick brown fox jumps over the lazy dog again"
     d = spark.createDataFrame([(1, base + "s\nsomething else entirely, not close"), (2, base.upper())], "doc_id long, text string")
