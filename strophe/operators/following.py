@@ -29,7 +29,8 @@ def numbered(df: DataFrame, group: str, order: str, *then: str, parts: int | Non
     group. ``order`` is a whole number.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = df.withColumn("_range", ranges(df, order, parts))
+    # exploded, so that Spark works it out once and can't carry it over the join to rows that have no ``order`` (it did, and failed)
+    df = df.select("*", F.explode_outer(F.array(ranges(df, order, parts))).alias("_range"))
     sizes = df.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
     by = Window.partitionBy("_g")
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(by.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_n").over(by))

@@ -415,6 +415,13 @@ def test_augmentation_of_repeated_rows(spark):
     assert len(mixed) == 80 and {x for m in mixed for x in ("\n".join(m.text.split("\n")[:8]), "\n".join(m.text.split("\n")[8:]))} <= chunks
 
 
+def test_ranges_stay_on_their_side_of_the_join(spark):
+    d = spark.createDataFrame([(i, "s", "\n".join(f"{i} {j}" for j in range(20))) for i in range(40)], "doc_id long, source string, text string")
+    out = numbered(augment.full_chunks(d, "source", "doc_id"), "source", "doc_id", "chunk", parts=4)
+    assert sorted((r._no, r.doc_id, r.chunk, r._all) for r in out.collect()) == [(2 * i + c + 1, i, c, 80) for i in range(40) for c in range(2)]
+    assert times(out, "aggregate([") == [2]  # for the rows and for the sizes of ranges, and in no filter
+
+
 def test_near_copies_against_brute_force(spark):
     base = "the quick brown fox jumps over the lazy dog again"
     d = spark.createDataFrame([(1, base + "s\nsomething else entirely, not close"), (2, base.upper())], "doc_id long, text string")
